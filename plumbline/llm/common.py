@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,3 +49,14 @@ def id_crc(column: str | Column, modulus: int) -> Column:
 def whole_text(column: str = "text") -> Column:
     """The text as it stands; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def schema_of(df: DataFrame, added: str) -> T.StructType:
+    """The schema of df with further columns, these as DDL."""
+    return T.StructType(df.schema.fields + T.StructType.fromDDL(added).fields)
+
+
+def kept(docs: DataFrame, operator: Callable[[DataFrame], DataFrame], condition: str) -> DataFrame:
+    """The rows of docs for which the operator's added columns meet a condition, whatever else docs' columns are called."""
+    safe = [n if n == "text" else f"_own{i}" for i, n in enumerate(docs.columns)]
+    return operator(docs.toDF(*safe)).where(condition).select(*safe).toDF(*docs.columns)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat
+from plumbline.llm import chat, decontam, langid, quality
 
 
 def queries() -> dict:
-    return {"op4_chat_format": chat.op4_chat_format}
+    return {
+        "op1_quality": quality.op1_quality,
+        "op4_chat_format": chat.op4_chat_format,
+        "op6_decontaminate": decontam.op6_decontaminate,
+        "op9_language_id": langid.op9_language_id,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op6_decontaminate": decontam.ORACLE}
