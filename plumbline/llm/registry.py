@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import chat, decontam, langid, quality
+from plumbline.llm import bpe, chat, decontam, langid, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
+        "op2_bpe": bpe.op2_bpe,
         "op4_chat_format": chat.op4_chat_format,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op9_language_id": langid.op9_language_id,
