@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, decontam, langid, quality
+from plumbline.llm import bpe, chat, decontam, langid, neardup, quality
 
 
 def queries() -> dict:
@@ -12,8 +12,9 @@ def queries() -> dict:
         "op4_chat_format": chat.op4_chat_format,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op9_language_id": langid.op9_language_id,
+        "op10_near_duplicates": neardup.op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE, "op6_decontaminate": decontam.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op6_decontaminate": decontam.ORACLE, "op10_near_duplicates": neardup.ORACLE}
