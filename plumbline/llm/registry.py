@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, decontam, langid, neardup, quality
+from plumbline.llm import bpe, chat, decontam, langid, neardup, pii, quality
 
 
 def queries() -> dict:
     return {
         "op1_quality": quality.op1_quality,
         "op2_bpe": bpe.op2_bpe,
+        "op3_pii": pii.op3_pii,
         "op4_chat_format": chat.op4_chat_format,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op9_language_id": langid.op9_language_id,
