@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, decontam, langid, neardup, pii, quality
+from plumbline.llm import bpe, chat, decontam, knn, langid, neardup, pii, quality
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_pii": pii.op3_pii,
         "op4_chat_format": chat.op4_chat_format,
+        "op5_top_k": knn.op5_top_k,
         "op6_decontaminate": decontam.op6_decontaminate,
         "op9_language_id": langid.op9_language_id,
         "op10_near_duplicates": neardup.op10_near_duplicates,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE, "op6_decontaminate": decontam.ORACLE, "op10_near_duplicates": neardup.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op5_top_k": knn.ORACLE, "op6_decontaminate": decontam.ORACLE, "op10_near_duplicates": neardup.ORACLE}
