@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, decontam, html_extract, knn, langid, neardup, pii, quality
+from plumbline.llm import bpe, chat, decontam, html_extract, knn, langid, neardup, pii, quality, shards
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_chat_format": chat.op4_chat_format,
         "op5_top_k": knn.op5_top_k,
         "op6_decontaminate": decontam.op6_decontaminate,
+        "op7_token_shards": shards.op7_token_shards,
         "op8_html": html_extract.op8_html,
         "op9_language_id": langid.op9_language_id,
         "op10_near_duplicates": neardup.op10_near_duplicates,
