@@ -1,13 +1,30 @@
-"""Corpus preparation: a sequence of stages over the documents table."""
+"""Corpus preparation: a sequence of stages over the documents table.
+
+Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; ``run`` applies them in order. The stages are
+written and read again between runs, so each one reads whole rows of its predecessor. All but the last keep the columns of
+documents. There is no SQL for the learnt stages, so ORACLE_SQL is None and the tests hold the result against brute force.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from plumbline.llm import bpe, decontam, neardup, pii, quality
+from plumbline.llm.common import Staging, table
+
+STAGES: list = [
+    ("quality classifier", quality.keep_good),
+    ("n-gram Jaccard join", neardup.keep_first),
+    ("benchmark decontamination", decontam.drop_contaminated),
+    ("PII", pii.mask_pii),
+    ("BPE encoding and decoding", bpe.encode_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    staging = Staging(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = staging.write(docs, f"stage{i}")
     return docs
