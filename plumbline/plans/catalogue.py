@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from plumbline.plans import checks, evidence, reports, scalars  # noqa: F401  they fill the registry
+from plumbline.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
