@@ -70,9 +70,10 @@ def read_reference_overlay(spark: SparkSession, path: str) -> DataFrame:
     """key and references of a curated overlay: {schema_version: 1, matching_mode: exact_alias, records: {key: {canonical_answers}}}."""
     whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "schema_version int, matching_mode string, records map<string,struct<canonical_answers:array<string>>>").alias("o")).select("o.*")
     fine = F.assert_true((F.col("schema_version") == 1) & (F.col("matching_mode") == "exact_alias"), F.lit("unknown overlay format"))
-    rows = whole.withColumn("ok", fine).select("ok", F.explode("records").alias("key", "r"))
+    rows = whole.where(fine.isNull()).select(F.explode("records").alias("key", "r"))
     names = F.array_distinct(F.filter(F.transform("r.canonical_answers", tx.strip), lambda x: x != ""))
-    return rows.select("key", names.alias("references"), F.assert_true(F.size(names) > 0, F.concat(F.lit("no references for "), F.col("key"))).alias("_ok"), "ok").drop("_ok", "ok")
+    rows = rows.select("key", names.alias("references"))
+    return rows.where(F.assert_true(F.size("references") > 0, F.concat(F.lit("no references for "), F.col("key"))).isNull())
 
 
 def completed(rows: DataFrame, key: str) -> DataFrame:
