@@ -7,7 +7,7 @@ for each attachment its reference, its place and the number of tokens that the p
 Template of a turn: ``<|turn|>role<|text|>content<|end|>``. A backslash is put after the first character of every control
 string found in a role or a text, and backslashes are doubled, so that dropping one backslash before any character undoes it.
 
-Defined results: a null text or role is empty; a null conversation id is a conversation of its own; equal turn numbers are
+Defined results: a null text, role or list of parts is empty; a null conversation id is a conversation of its own; equal turn numbers are
 ordered by role, then content; repeated rows are kept as repeated turns; an empty table gives no rows.
 """
 
@@ -59,13 +59,15 @@ def text_parts(text: Column) -> Column:
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: formatted, loss_spans (code points in formatted) and attachments."""
+    none = F.array().cast(PARTS)
+    messages = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(parts).cast(PARTS), none).alias("parts"))
     one = messages.select(
-        F.col(conv).alias("conv_id"),
-        F.col(turn).alias("turn"),
-        F.coalesce(F.col(role), F.lit("")).alias("role"),
-        F.array_join(F.transform(F.col(parts), visit), "").alias("content"),
+        F.col("conv_id"),
+        F.col("turn"),
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.array_join(F.transform("parts", visit), "").alias("content"),
         F.transform(
-            F.filter(F.col(parts), lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"),
+            F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"),
             lambda p, i: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), i.cast("int").alias("place"), expanded_tokens(p).alias("n_tokens")),
         ).alias("attached"),
     )

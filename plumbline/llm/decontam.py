@@ -182,7 +182,7 @@ def _merged(docs: DataFrame, shards, scanned) -> DataFrame:
             cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), ids, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*[batch.columns[i] for i in keep], *cols], names=[*[batch.schema.names[i] for i in keep], "n_words", "n_hit", "item_ids", "hit_spans"])
 
-    both = staged.join(hits, "_row", "left")
+    both = staged.join(hits, "_row", "left").select(*staged.columns, "item_ids", "hit_spans")
     out = schema_of(staged, "n_words bigint, n_hit bigint, item_ids array<bigint>, hit_spans " + SPANS)
     return both.mapInArrow(joined, out).drop("_row")
 
