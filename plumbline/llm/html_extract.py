@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import schema_of, table
 
-PAGES, STEPS, RATE, L2 = 400, 150, 0.3, 0.02
+PAGES, STEPS, RATE, L2 = 600, 400, 0.3, 0.005
 #: Elements that end a run of text where they begin and end.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -36,6 +36,7 @@ RAW, HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes
 ENDS = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 #: A new list or table may hold items of its own within an open item.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": {"td", "th", "button"}, "head": set()}
+SECTIONS = frozenset("article aside body div footer form head header main nav section".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?:>|\Z)|([^<]+|<)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
@@ -130,7 +131,9 @@ def parse(page: str) -> list[Block]:
 
 
 def _path_features(tags: tuple[str, ...], names: frozenset[str]) -> list[str]:
-    return [*{f"in:{t}" for t in tags}, f"last:{tags[-1] if tags else ''}", *{f"name:{n}" for n in names if n != "keep"}, "bias"]
+    near = next((t for t in reversed(tags) if t in SECTIONS), "")
+    last = tags[-1] if tags else ""
+    return [*{f"in:{t}" for t in tags}, f"last:{last}", f"near:{near}", f"near:{near}>{last}", *{f"name:{n}" for n in names if n != "keep"}, "bias"]
 
 
 def _text_features(b: Block) -> list[str]:
