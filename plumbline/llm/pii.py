@@ -34,8 +34,8 @@ PATTERNS = {
 #: A text without this has no match.
 _SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-#: Runs without white space, quotes and brackets that hold a digit or an at sign.
-CANDIDATE = r"(?:\G|(?<![^\s\"'<>(){}\[\],;=]))[^\s\"'<>(){}\[\],;=0-9@]*+[0-9@][^\s\"'<>(){}\[\],;=]*+"
+#: Runs of six characters and more without white space, quotes and brackets that hold a digit or an at sign.
+CANDIDATE = r"(?:\G|(?<![^\s\"'<>(){}\[\],;=]))(?=[^\s\"'<>(){}\[\],;=]{6})[^\s\"'<>(){}\[\],;=0-9@]*+[0-9@][^\s\"'<>(){}\[\],;=]*+"
 SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 5, 0.8, 0.9, 2
 #: Characters on either side in which context words are looked for.
 REACH = 48
@@ -73,19 +73,19 @@ def _holds(kind: str, match: Column) -> Column:
 
 
 def located(text: Column, pattern: str) -> Column:
-    """All matches in order: array<struct<match,start,end,before,after>>, the last two being the parts on either side."""
+    """All matches in order: array<struct<match,start,end>>."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<match:string,start:int,end:int,before:string,after:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<match:string,start:int,end:int>>)")
+    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         end = start + F.length(x["match"])
-        one = F.struct(x["match"].alias("match"), start.alias("start"), end.alias("end"), x["before"].alias("before"), x["after"].alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
 
-    around = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.get(parts, i).alias("before"), F.get(parts, i + 1).alias("after")))
-    return F.when(F.size(found) > 0, F.aggregate(around, first, step)["out"]).otherwise(F.expr("cast(array() as array<struct<match:string,start:int,end:int,before:string,after:string>>)"))
+    around = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.get(parts, i).alias("before")))
+    return F.when(F.size(found) > 0, F.aggregate(around, first, step)["out"]).otherwise(none)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -96,20 +96,33 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(may, spans).otherwise(none).cast(SPANS)
 
 
-def _candidates(text: Column) -> Column:
-    """array<struct<token,start,end,patterns>>."""
+def _patterns(text: Column, start: Column, end: Column) -> Column:
+    """The two lexical patterns around a span."""
+    left = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
+    right = F.lower(F.substring(text, end + 1, F.lit(REACH)))
+    last1, last2 = F.regexp_extract(left, r"(\S*\s*)$", 1), F.regexp_extract(left, r"(\S+\s+\S*\s*)$", 1)
+    return F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), F.regexp_extract(right, r"^(\s*\S*)", 1)))
 
-    def one(m: Column) -> Column:
-        left = F.lower(F.substring(m["before"], -REACH, REACH))
-        left = F.when(F.length(m["before"]) > REACH, left).otherwise(F.lower(m["before"]))
-        right = F.lower(F.substring(m["after"], 1, REACH))
-        last1, last2 = F.regexp_extract(left, r"(\S*\s*)$", 1), F.regexp_extract(left, r"(\S+\s+\S*\s*)$", 1)
-        next1 = F.regexp_extract(right, r"^(\s*\S*)", 1)
-        patterns = F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), next1))
-        return F.struct(F.rtrim(m["match"], F.lit(".:!?")).alias("token"), m["start"].alias("start"), patterns.alias("patterns"))
 
-    found = F.transform(located(text, CANDIDATE), one)
-    return F.filter(found, lambda c: F.length(c["token"]) >= 6)
+def _candidates(text: Column, base: Column) -> Column:
+    """array<struct<token,start,end,patterns,seed>>: the base spans with their kind, and the identifier-like tokens outside of them."""
+
+    def seed(b: Column) -> Column:
+        token = F.substring(text, b["start"] + 1, b["end"] - b["start"])
+        return F.struct(token.alias("token"), b["start"].alias("start"), b["end"].alias("end"), _patterns(text, b["start"], b["end"]).alias("patterns"), b["kind"].alias("seed"))
+
+    def short(m: Column) -> Column:
+        token = F.rtrim(m["match"], F.lit(".:!?"))
+        return F.struct(token.alias("token"), m["start"].alias("start"), (m["start"] + F.length(token)).alias("end"))
+
+    def outside(c: Column) -> Column:
+        return (F.length(c["token"]) >= 6) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+
+    def other(c: Column) -> Column:
+        return F.struct(c["token"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), _patterns(text, c["start"], c["end"]).alias("patterns"), F.lit(None).cast("string").alias("seed"))
+
+    tokens = F.filter(F.transform(located(text, CANDIDATE), short), outside)
+    return F.concat(F.transform(base, seed), F.transform(tokens, other))
 
 
 def _fits(kind: Column, token: Column) -> Column:
@@ -127,15 +140,14 @@ def _fits(kind: Column, token: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """_row, the columns of docs, base (spans of the four kinds in order) and cands."""
     text = whole_text()
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id()} | {f"_{k}": base_spans(text, k) for k in KINDS} | {"cands": F.when(text.rlike("[0-9@]"), _candidates(text))})
-    return rows.withColumn("base", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id()} | {f"_{k}": base_spans(text, k) for k in KINDS})
+    rows = rows.withColumn("base", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
+    return rows.withColumn("cands", F.when(text.rlike("[0-9@]"), _candidates(text, F.col("base"))))
 
 
 def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
-    """(_row, extra) with the spans that context adds, of rows with _row, base and cands."""
-    each = rows.select("_row", "base", F.explode("cands").alias("c")).select("_row", "base", "c.token", "c.start", (F.col("c.start") + F.length("c.token")).alias("end"), "c.patterns")
-    seed = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
-    each = staging.write(each.select("_row", "token", "start", "end", "patterns", F.get(F.transform(seed, lambda b: b["kind"]), F.lit(0)).alias("seed")), "candidates")
+    """(_row, extra) with the spans that context adds, of rows with _row and cands."""
+    each = staging.write(rows.select("_row", F.explode("cands").alias("c")).select("_row", "c.*"), "candidates")
     edges = staging.write(each.select("token", F.explode("patterns").alias("pattern")).where("pattern not in ('2|', '1||')").distinct(), "edges")
     known = each.where("seed is not null").groupBy("token").agg(F.min("seed").alias("kind"))
     total = staging.write(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT), "totals")
@@ -166,18 +178,15 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_pii(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The named columns of docs (all without text if none is named), base and spans."""
-    spark = docs.sparkSession
-    staging = Staging(spark, "pii")
-    keep = keep or tuple(c for c in docs.columns if c not in ("text", "base", "spans", "cands", "_row"))
-    names = {c: f"_own{i}" for i, c in enumerate(keep)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if c != "text"], "text")
-    rows = scanned(plain)
-    rows = staging.write(rows if "text" in keep else rows.drop("text"), "rows")
+def find_pii(docs: DataFrame) -> DataFrame:
+    """The columns of docs, base and spans; columns so named are replaced."""
+    staging = Staging(docs.sparkSession, "pii")
+    docs = docs.drop("base", "spans")
+    safe = [c if c == "text" else f"_own{i}" for i, c in enumerate(docs.columns)]
+    rows = staging.write(scanned(docs.toDF(*safe)), "rows")
     both = rows.join(discovered(rows, staging), "_row", "left")
     spans = F.concat("base", F.coalesce("extra", F.expr(f"cast(array() as {SPANS})")))
-    return both.select(*[F.col("text" if c == "text" else names[c]).alias(c) for c in keep], "base", _in_order(spans).alias("spans"))
+    return both.select(*safe, "base", _in_order(spans).alias("spans")).toDF(*docs.columns, "base", "spans")
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -202,5 +211,6 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts is replaced by its kind."""
-    done = find_pii(docs, tuple(docs.columns))
-    return done.select(*[redacted(F.col("text"), F.col("spans")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    safe = [c if c == "text" else f"own{i}" for i, c in enumerate(docs.columns)]
+    done = find_pii(docs.toDF(*safe)).withColumn("text", redacted(F.col("text"), F.col("spans")))
+    return done.select(*safe).toDF(*docs.columns)
