@@ -38,10 +38,7 @@ from plumbline.llm.shingles import sets_of
 PERCENT = 80
 #: A prefix shingle with more groups than this goes by hub.
 FEW = 24
-MIN_CELLS, MAX_CELLS, MAX_BLOOM = 1 << 12, 1 << 22, 1 << 26
-#: Share of the hash range that comes first in the order, and that the sketch counts.
-FIRST = 0.3
-_EDGE = np.uint64(int(FIRST * 2**64))
+MIN_CELLS, MAX_CELLS, MAX_BLOOM = 1 << 12, 1 << 23, 1 << 26
 #: Cells of the sketch in one row, and rows that are summed by one task at once.
 ROW, FAN_IN = 1 << 14, 64
 
@@ -74,18 +71,26 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """For each cell, a rarity class of the shingles that fall into it: never below the class of any one's true count."""
     size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     cells = MIN_CELLS
-    while cells < MAX_CELLS and cells < size * FIRST / 24:
+    while cells < MAX_CELLS and cells < size / 24:
         cells *= 2
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(cells, np.int32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            if held:
+                np.add.at(total, (np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), 1)
+                held.clear()
+
         for batch in it:
-            got = list(sets_of(batch.column(0)))
-            if got:
-                found = np.concatenate(got)
-                total += np.bincount((found[found < _EDGE] & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.int32)
+            for own in sets_of(batch.column(0)):
+                held.append(own)
+                if len(held) >= 500:
+                    add()
+        add()
         part = TaskContext.get().partitionId()
         for row in range(-(-cells // ROW)):
             own = total[row * ROW : (row + 1) * ROW]
@@ -118,16 +123,14 @@ def entities(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT) -> Da
             for own in sets_of(batch.column(1)):
                 n = len(own)
                 p = n - _least(n, percent) + 1 if n else 0
-                early = own[: int(np.searchsorted(own, _EDGE))]
-                rank = table[(early & mask).astype(np.int64)]
+                rank = table[(own & mask).astype(np.int64)]
                 order = np.argsort(rank, kind="stable")[:p]
-                late = own[len(early) : len(early) + p - len(order)]
-                prefix = np.concatenate([early[order], late])
+                prefix = own[order]
                 gid = int.from_bytes(_key(np.append(prefix, np.uint64(n)))[:8], "little", signed=True)
                 ns.append(n)
                 keys.append(_key(own))
                 gids.append(gid)
-                heavies.append(int((rank[order] >= limit).sum()) + len(late))
+                heavies.append(int((rank[order] >= limit).sum()))
                 new = n and gid not in seen
                 prefixes.append(prefix.view(np.int64) if new else None)
                 if new:
@@ -145,12 +148,20 @@ def _need(n1: str, n2: str, percent: int) -> Column:
     return F.ceil((F.col(n1) + F.col(n2)) * percent / (100 + percent) - 1e-9)
 
 
+def _sizes_fit(percent: int) -> Column:
+    return (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+
+
 def _may_link(percent: int) -> Column:
     """Of two groups (n, pos) and (n2, pos2) with a common shingle at these places: whether sizes and places allow a link."""
-    before = F.least("pos", "pos2")
     after = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
-    sizes = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
-    return sizes & (before + after >= _need("n", "n2", percent))
+    return _sizes_fit(percent) & (F.least("pos", "pos2") + after >= _need("n", "n2", percent))
+
+
+def _may_link_first(percent: int) -> Column:
+    """The same if the shingle is the first that the two have in common. Each link has such a shingle in both prefixes."""
+    after = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
+    return _sizes_fit(percent) & (after >= _need("n", "n2", percent))
 
 
 def _second(df: DataFrame, *names: str) -> DataFrame:
@@ -192,30 +203,21 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 at = int.from_bytes(key[:8], "little") & mask
                 if len(own) and int(bloom[at >> 6]) >> (at & 63) & 1 and key not in seen:
                     names.append(key)
-                    items.append(own.tobytes())
+                    items.append(own.view(np.int64))
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(items, pa.binary())], names=["key", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["key", "items"])
 
-    return docs.select("text").mapInArrow(picked, "key binary, items binary").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(picked, "key binary, items array<bigint>").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of keys those that link."""
-
-    def linked(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
+    """Of pairs (a, b) of keys those that link. Sets are compared row by row in the JVM, so no batch of long ones is ever held."""
     first = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
     second = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(linked, "a binary, b binary")
+    both = F.size(F.array_intersect("x", "y")).cast("long")
+    return pairs.join(first, "a").join(second, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
@@ -259,7 +261,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     enough = F.col("common") + F.least("heavy", "heavy2") + rest >= _need("n", "n2", percent)
     by_few = pair.groupBy("gid", "gid2", "n", "n2", "heavy", "heavy2").agg(F.count(F.lit(1)).alias("common")).where(enough).select("gid", "gid2")
     hubs = _second(many.where(hub_key == F.col("hub")).select("token", "gid", "n", "pos"), "gid", "n", "pos")
-    by_hub = many.join(hubs, "token").where((F.col("gid") != F.col("gid2")) & _may_link(percent))
+    by_hub = many.join(hubs, "token").where((F.col("gid") != F.col("gid2")) & _may_link_first(percent))
     by_hub = by_hub.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2"))
     pairs = staging.write(by_few.unionByName(by_hub).distinct(), "group-pairs")
 
@@ -281,13 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     both = pairs.join(state, "gid").join(second, "gid2")
     open_few = both.where(((F.col("size") > 1) | (F.col("size2") > 1)) & ~_same()).select("gid", "gid2")
     open_self = state.where(F.col("lo") != F.col("hi")).select("gid", F.col("gid").alias("gid2"))
-    among = many.select("token", "gid", "n", "pos").join(state.select("gid", "lo", "hi"), "gid")
-    main = hubs.select("token", F.col("gid2").alias("gid")).join(state, "gid").where("lo = hi").groupBy("token").agg(F.min("lo").alias("main"))
-    mixed = among.groupBy("token").agg(F.min("lo").alias("least"), F.max("hi").alias("most")).where(F.col("least") != F.col("most")).select("token")
-    among = staging.write(among.join(mixed, "token").join(main, "token", "left"), "mixed-tokens")
-    minor = among.where(F.col("main").isNull() | (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main")))
-    open_many = minor.drop("main").join(_second(among.drop("main"), "gid", "n", "pos", "lo", "hi"), "token").where((F.col("gid") != F.col("gid2")) & ~_same() & _may_link(percent))
-    open_many = open_many.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2")).distinct()
+    open_many = _open_pairs(many.select("token", "gid", "n", "pos").join(state.select("gid", "lo", "hi"), "gid"), staging, percent)
     left = staging.write(open_few.unionByName(open_self).unionByName(open_many).distinct(), "open-pairs")
     if not left.isEmpty():
         one = label.select("gid", F.col("key").alias("a"), F.col("label").alias("la"))
@@ -307,6 +303,31 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(has_id & (F.col("n") > 0), F.col("component_id")).when(has_id, F.col("doc_id")).alias("component_id"))
 
 
+def _open_pairs(rows: DataFrame, staging: Staging, percent: int) -> DataFrame:
+    """Group pairs (gid, gid2) that may link at a common shingle and aren't whole in one component, of rows (token, gid, n, pos, lo, hi).
+
+    At the first common shingle the smaller of two linked groups has at least need(n, n) of its own shingles left, and the
+    larger one need(n, least size of a smaller one). Rows without a possible partner go first; what stays is paired with
+    the rows outside the shingle's largest component only.
+    """
+    left = F.col("n") - F.col("pos")
+    small = left >= F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
+    least = rows.where(small).groupBy("token").agg(F.min("n").alias("least"))
+    floor = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
+    rows = rows.join(least, "token").withColumn("small", small).where(F.col("small") | (left >= F.ceil((F.col("n") + floor) * percent / (100 + percent) - 1e-9)))
+    rows = staging.write(rows.drop("least"), "possible")
+    mixed = rows.groupBy("token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where(F.col("a") != F.col("b")).select("token")
+    main = rows.where("lo = hi").groupBy("token", "lo").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("lo", "m").alias("main"))
+    rows = staging.write(rows.join(mixed, "token").join(main, "token", "left"), "mixed")
+    minor = F.col("main").isNull() | (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))
+    smaller = _second(rows.where("small"), "gid", "n", "pos", "lo", "hi").drop("small", "main")
+    some = rows.where(minor).drop("small", "main").join(smaller, "token")
+    rest = rows.where(~minor).drop("small", "main").join(_second(rows.where("small").where(minor), "gid", "n", "pos", "lo", "hi").drop("small", "main"), "token")
+    open_ = (F.col("n") >= F.col("n2")) & (F.col("gid") != F.col("gid2")) & ~_same() & _may_link_first(percent)
+    pairs = some.where(open_).select("gid", "gid2").unionByName(rest.where(open_).select("gid", "gid2"))
+    return pairs.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2")).distinct()
+
+
 def _same() -> Column:
     """Both groups lie whole in one component."""
     return (F.col("lo") == F.col("hi")) & (F.col("lo2") == F.col("hi2")) & (F.col("lo") == F.col("lo2"))

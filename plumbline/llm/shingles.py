@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WORDS = 5
 #: Bytes of text handled by numpy at once; a longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 _P = 0x9E3779B97F4A7C15
 _WORD = np.ones(256, np.bool_)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
