@@ -242,7 +242,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     staging = Staging(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = staging.write(entities(docs, sketch(docs), percent), "entities")
+    classes = sketch(docs)
+    staging.release()
+    own = staging.write(entities(docs, classes, percent), "entities")
     usable = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     members = staging.write(usable.select("key", "gid", "n").distinct(), "members")
 
@@ -250,6 +252,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     posts = usable.where(F.col("prefix").isNotNull()).select("gid", "n", "heavy", F.posexplode("prefix").alias("pos", "token"))
     shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
     posts = staging.write(posts.join(shared, "token", "left_semi").dropDuplicates(["token", "gid"]), "posts")
+    staging.release()
     hub_key = F.least("pos", F.lit((1 << 19) - 1)).cast("long") * (1 << 43) + F.col("gid").bitwiseAND((1 << 43) - 1)
     counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(hub_key).alias("hub"))
     many = staging.write(posts.join(counts.where(F.col("m") > FEW), "token"), "many")
@@ -272,6 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     within = members.join(heads.where("size > 1").select("gid", F.col("key").alias("a")), "gid").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"))
     first = staging.write(across.unionByName(within), "pairs1")
     links = staging.write(_verified(first, _sets(docs, _ends(first)), percent), "links1")
+    staging.release()
     labels = components(links, staging, "first")
 
     # candidates in different components
@@ -292,6 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         rest_pairs = staging.write(rest_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2")
         more = _verified(rest_pairs, _sets(docs, _ends(rest_pairs)), percent)
         links = staging.write(links.unionByName(more), "links2")
+        staging.release()
         labels = components(links, staging, "second")
 
     # the smallest id of each component
