@@ -30,6 +30,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import schema_of, table
 
 LEXICON_WORDS = 20_000
-#: Words that a worker remembers before it starts anew, and characters of text in one output batch.
-REMEMBERED, BATCH_CHARS = 150_000, 1 << 21
+#: Words and pieces that a worker remembers before it starts anew, and characters of text in one output batch.
+REMEMBERED, BATCH_CHARS = 500_000, 1 << 21
+#: Words of more bytes are merged by heap.
+SHORT = 48
 _SPACE = "\t-\r \x85\xa0  -     　"
 
 
@@ -86,7 +89,13 @@ class Bpe:
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         letter, number = _ranges("L"), _ranges("N")
         self.find = re.compile(f"[{letter}]+|[{number}]|'(?:s|t|re|ve|m|ll|d)|[^{_SPACE}{letter}{number}]+").findall
-        self._space = re.compile(f"[{_SPACE}]+")
+        self._odd = re.compile("[\x1c-\x1f]").search  # split() takes these for white space, the pattern doesn't
+        self._run = re.compile(r"[,.](?=\s)(?<=(?:[^\w\s]|_)[,.])").search
+        ranked = sorted((a << 20 | b, rank, new) for (a, b), (rank, new) in self.merges.items())
+        self._pairs, self._rank = np.array([x[0] for x in ranked]), np.array([x[1] for x in ranked])
+        self._made = np.zeros(len(ranked) + 1, np.int64)
+        self._made[self._rank] = [x[2] for x in ranked]
+        self._inner, self._last = np.array(self.inner), np.array(self.last)
 
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """Parts of a text, and whether each is a special token."""
@@ -94,16 +103,83 @@ class Bpe:
             if part:
                 yield part in self.special, part
 
+    def chunks(self, text: str) -> list[str]:
+        """Normalised pieces of a text without special tokens. White space only parts words, so each piece is cut by itself."""
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        if self._odd(text):
+            return self.find(text)
+        if not self._run(text):  # a single mark after a word is a word of its own: fewer different pieces
+            text = text.replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n")
+        return text.split()
+
     def words(self, text: str) -> list[str]:
         """Normalised words of a text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-        return self.find(self._space.sub(" ", text).replace("Σ", "σ").lower())
+        return [w for c in self.chunks(text) for w in self.find(c)]
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the pair of lowest rank, leftmost first, is merged until none is left."""
-        raw = word.encode("utf-8", "surrogatepass")
-        ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]
+        return self.merge_many([word.encode("utf-8", "surrogatepass")])[0]
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; the number of merges where there is none."""
+        key = a << 20 | b
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        return np.where((self._pairs[at] == key) & (a >= 0) & (b >= 0), self._rank[at], len(self._pairs))
+
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of many words. Words of like length are merged in step, one merge of each at a time."""
+        out: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        start = 0
+        while start < len(order):
+            size = len(words[order[start]])
+            if size > SHORT:
+                for i in order[start:]:
+                    out[i] = self._merge_long([self.inner[b] for b in words[i][:-1]] + [self.last[words[i][-1]]])
+                break
+            stop = start
+            while stop < len(order) and stop - start < 1 << 14 and len(words[order[stop]]) <= size + 2:
+                stop += 1
+            self._in_step([words[i] for i in order[start:stop]], np.array(order[start:stop]), out)
+            start = stop
+        return out
+
+    def _in_step(self, words: list[bytes], where: np.ndarray, out: list) -> None:
+        sizes = np.array([len(w) for w in words])
+        width = int(sizes.max())
+        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(-1, width)
+        ids = np.where(np.arange(width) < sizes[:, None], self._inner[raw], -1)
+        rows = np.arange(len(words))
+        ids[rows, sizes - 1] = self._last[raw[rows, sizes - 1]]
+        none = len(self._pairs)
+        rank = self._ranks(ids[:, :-1], ids[:, 1:])
+        while True:
+            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(ids), np.int64)
+            best = rank[np.arange(len(ids)), at] if rank.shape[1] else np.full(len(ids), none)
+            done = best == none
+            if done.any():
+                sizes = (ids[done] >= 0).sum(axis=1).tolist()
+                for i, row, n in zip(where[done].tolist(), ids[done].tolist(), sizes, strict=True):
+                    out[i] = row[:n]
+                go = ~done
+                ids, rank, at, best, where = ids[go], rank[go], at[go], best[go], where[go]
+            if not len(ids):
+                return
+            rows = np.arange(len(ids))
+            ids[rows, at] = self._made[best]
+            wide = ids.shape[1]
+            cols = np.arange(wide - 1) + (np.arange(wide - 1) > at[:, None])
+            ids = np.take_along_axis(ids, cols, axis=1)
+            cols = np.arange(wide - 2) + (np.arange(wide - 2) >= at[:, None])
+            rank = np.take_along_axis(rank, cols, axis=1)
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < wide - 2)
+            rank[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            rank[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """Keeps all pairs in a heap."""
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         heap = [(*self.merges[p], i, *p) for i, p in enumerate(pairwise(ids)) if p in self.merges]
@@ -215,7 +291,9 @@ class Worker:
 
     def __init__(self, config: str, lexicon: Lexicon):
         self.bpe, self.lexicon = Bpe(config), lexicon
-        self.ids, self.coded, self.decoded = {}, {}, {}
+        self.coded: dict[str, str] = {}
+        self.digits = [str(i) for i in range(max(self.bpe.pieces) + 1)]
+        self.piece = {self.digits[i]: s for i, s in self.bpe.pieces.items()}
 
     @classmethod
     def of(cls, shared) -> Worker:
@@ -225,34 +303,35 @@ class Worker:
             _workers[name] = cls(config, Lexicon.mapped(SparkFiles.get(name)))
         return _workers[name]
 
-    def learn(self, words: Iterable[str]) -> None:
-        """See to it that all these words are remembered."""
-        new = set(words).difference(self.ids)
-        if len(new) + len(self.ids) > REMEMBERED:
-            self.ids, self.coded, self.decoded = {}, {}, {}
-            new = set(words)
-        pieces = self.bpe.pieces
-        for w in new:
-            ids = self.lexicon.get(w.encode("utf-8", "surrogatepass"))
-            self.ids[w] = ids = self.bpe.merge(w) if ids is None else ids
-            self.coded[w] = " ".join(map(str, ids))
-            self.decoded[w] = " ".join([pieces[i] for i in ids])
-
-    def encode(self, text: str) -> tuple[list[int], str, str]:
-        """Ids, the ids as text, and the decoded text."""
-        ids, coded, decoded = [], [], []
-        for special, part in self.bpe.segments(text):
-            if special:
-                ids.append(self.bpe.special[part])
-                coded.append(str(ids[-1]))
-                decoded.append(part)
-            elif words := self.bpe.words(part):
-                self.learn(words)
-                for w in map(self.ids.__getitem__, words):
-                    ids += w
-                coded.append(" ".join(map(self.coded.__getitem__, words)))
-                decoded.append(" ".join(map(self.decoded.__getitem__, words)))
-        return ids, " ".join(coded), " ".join(decoded)
+    def learn(self, wanted: set[str]) -> None:
+        """See to it that the ids of all these pieces are remembered, as text."""
+        new = wanted.difference(self.coded)
+        if len(new) + len(self.coded) > REMEMBERED:
+            self.coded, new = {}, wanted
+        find, coded, digits = self.bpe.find, self.coded, self.digits
+        cut = {c: w for c in new if not c.isalpha() and (w := find(c)) != [c]}
+        words = new.difference(cut).union(*cut.values()).difference(coded) if cut else new
+        unseen = []
+        for w in words:
+            ids = self.lexicon.get(raw := w.encode("utf-8", "surrogatepass"))
+            if ids is None:
+                unseen.append((w, raw))
+            else:
+                coded[w] = " ".join(map(digits.__getitem__, ids))
+        for (w, _), ids in zip(unseen, self.bpe.merge_many([r for _, r in unseen]), strict=True):
+            coded[w] = " ".join(map(digits.__getitem__, ids))
+        for c, own in cut.items():
+            coded[c] = " ".join([coded[w] for w in own])
+
+    def encode(self, texts: list[str]) -> list[tuple[str, list[str]]]:
+        """For each text its ids as one string and as strings."""
+        parts = [[(special, part if special else self.bpe.chunks(part)) for special, part in self.bpe.segments(t)] for t in texts]
+        self.learn(set().union(*[chunks for p in parts for special, chunks in p if not special]))
+        get, out = self.coded.__getitem__, []
+        for p in parts:
+            text = " ".join([x for special, part in p for x in ([self.digits[self.bpe.special[part]]] if special else [" ".join(map(get, part))]) if x])
+            out.append((text, text.split()))
+        return out
 
 
 def word_counts(docs: DataFrame, config: str) -> DataFrame:
@@ -263,15 +342,18 @@ def word_counts(docs: DataFrame, config: str) -> DataFrame:
         bpe, seen = Bpe(shared.value), Counter()
 
         def out() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+            words = Counter()
+            for chunk, n in seen.items():
+                for w in bpe.find(chunk):
+                    words[w] += n
             seen.clear()
-            return done
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in it:
             for text in batch.column(0).to_pylist():
                 for special, part in bpe.segments(text or ""):
                     if not special:
-                        seen.update(w for w in bpe.words(part)) if len(part) > BATCH_CHARS else seen.update(bpe.words(part))
+                        seen.update(bpe.chunks(part))
                 if len(seen) > REMEMBERED:
                     yield out()
         yield out()
@@ -291,7 +373,8 @@ class Tokenizer:
         name = f"lexicon-{uuid.uuid4().hex}.bin"
         file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
         with open(file, "wb") as f:
-            f.write(compile_lexicon((w.encode("utf-8", "surrogatepass"), bpe.merge(w)) for w in top))
+            raw = [w.encode("utf-8", "surrogatepass") for w in top]
+            f.write(compile_lexicon(zip(raw, bpe.merge_many(raw), strict=True)))
         sc.addFile(file)
         self.shared = sc.broadcast((config, name))
 
@@ -310,8 +393,9 @@ class Tokenizer:
                     while stop < len(texts) and size < BATCH_CHARS:
                         size += len(texts[stop] or "")
                         stop += 1
-                    got = [worker.encode(t or "") for t in texts[start:stop]]
-                    made = {"n_tokens": (len(g[0]) for g in got), "token_ids": (g[0] for g in got), "ids_text": (g[1] for g in got), "decoded": (g[2] for g in got)}
+                    got = worker.encode([t or "" for t in texts[start:stop]])
+                    piece = worker.piece.__getitem__
+                    made = {"n_tokens": (len(g[1]) for g in got), "token_ids": (list(map(int, g[1])) for g in got), "ids_text": (g[0] for g in got), "decoded": (" ".join(map(piece, g[1])) for g in got)}
                     part = batch.slice(start, stop - start)
                     yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(list(made[k]), kinds[k][1]) for k in outputs]], names=[*part.schema.names, *outputs])
                     start = stop
