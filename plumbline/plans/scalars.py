@@ -179,8 +179,8 @@ def answer_slice(spark, sf):
     return rows.select("l_orderkey", F.array_join(F.transform(scores.last(F.col("v"), F.lit(3)), lambda x: x.cast("string")), ",").alias("tail"))
 
 
-@query("semantic_match", """WITH r AS (SELECT event_id, event_type AS p, ['click', 'view', 'unknown', 'purchase'][event_id % 4 + 1] AS g, event_id % 3 = 0 AS binary, CASE WHEN event_id % 11 <> 0 THEN value / 200 END AS sim FROM events)
-SELECT event_id, CASE WHEN p = g AND g <> 'unknown' THEN 1 WHEN binary OR g = 'unknown' THEN 0 WHEN sim IS NOT NULL THEN CAST(sim >= 0.82::DOUBLE AS INTEGER) END AS matched FROM r""")
+@query("semantic_match", """WITH r AS (SELECT event_id, event_type AS p, ['click', 'view', 'unknown', 'purchase'][event_id % 4 + 1] AS g, event_id % 3 = 0 AS closed, CASE WHEN event_id % 11 <> 0 THEN value / 200 END AS sim FROM events)
+SELECT event_id, CASE WHEN p = g AND g <> 'unknown' THEN 1 WHEN closed OR g = 'unknown' THEN 0 WHEN sim IS NOT NULL THEN CAST(sim >= 0.82::DOUBLE AS INTEGER) END AS matched FROM r""")
 def semantic_match(spark, sf):
     n = F.col("event_id")
     m = scores.semantic_match(F.col("event_type"), _pick(("click", "view", "unknown", "purchase"), n), n % 3 == 0, F.when(n % 11 != 0, F.col("value") / 200))
