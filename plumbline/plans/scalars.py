@@ -144,11 +144,11 @@ n AS (SELECT id, ok, CASE WHEN o IN ('true', 'yes') THEN 'true' WHEN o = 'false'
 r AS (SELECT id, CASE WHEN NOT ok OR g = sg OR s = 'unknown' THEN 'invalid' WHEN s = sg THEN 'changed_correctly' WHEN s = o THEN 'invariant' ELSE 'changed_incorrectly' END AS status FROM n)"""
 
 
-@query("swap_outcome", f"{_SW} SELECT id, status, CASE WHEN status = 'invariant' THEN true WHEN status = 'changed_correctly' THEN false END AS invariant FROM r")
+@query("swap_outcome", f"{_SW} SELECT id, status, CASE WHEN status = 'invariant' THEN 'true' WHEN status = 'changed_correctly' THEN 'false' ELSE 'void' END AS invariant FROM r")
 def swap_outcome(spark, sf):
     n = F.col("c_custkey")
     status = tx.swap_status(n % 5 != 0, _pick(("true", "false", "unknown", "yes"), n), _pick(("true", "false", "maybe", "no", "false"), n), _pick(("true", "false"), n), _pick(("false", "true", "true"), n))
-    return synth.table(spark, sf, "customer").select(n.alias("id"), status.alias("status")).withColumn("invariant", tx.swap_invariance(F.col("status")))
+    return synth.table(spark, sf, "customer").select(n.alias("id"), status.alias("status")).withColumn("invariant", F.coalesce(tx.swap_invariance(F.col("status")).cast("string"), F.lit("void")))
 
 
 @query("grounding_parse")
@@ -180,11 +180,11 @@ def answer_slice(spark, sf):
 
 
 @query("semantic_match", """WITH r AS (SELECT event_id, event_type AS p, ['click', 'view', 'unknown', 'purchase'][event_id % 4 + 1] AS g, event_id % 3 = 0 AS closed, CASE WHEN event_id % 11 <> 0 THEN value / 200 END AS sim FROM events)
-SELECT event_id, CASE WHEN p = g AND g <> 'unknown' THEN 1 WHEN closed OR g = 'unknown' THEN 0 WHEN sim IS NOT NULL THEN CAST(sim >= 0.82::DOUBLE AS INTEGER) END AS matched FROM r""")
+SELECT event_id, CASE WHEN p = g AND g <> 'unknown' THEN 1 WHEN closed OR g = 'unknown' THEN 0 WHEN sim IS NOT NULL THEN CAST(sim >= 0.82::DOUBLE AS INTEGER) ELSE -1 END AS matched FROM r""")
 def semantic_match(spark, sf):
     n = F.col("event_id")
     m = scores.semantic_match(F.col("event_type"), _pick(("click", "view", "unknown", "purchase"), n), n % 3 == 0, F.when(n % 11 != 0, F.col("value") / 200))
-    return synth.table(spark, sf, "events").select("event_id", m.alias("matched"))
+    return synth.table(spark, sf, "events").select("event_id", F.coalesce(m, F.lit(-1)).alias("matched"))
 
 
 @query("reference_match", """SELECT event_id, CASE WHEN event_type IN ('click', 'error') THEN 1 WHEN event_id % 2 = 0 THEN CAST(value / 200 >= 0.82::DOUBLE OR value / 400 >= 0.82::DOUBLE AS INTEGER) ELSE 0 END AS matched FROM events""")

@@ -9,7 +9,7 @@ def canonical(frame: pd.DataFrame) -> list[tuple]:
     def plain(v):
         if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "NULL"
-        return repr(float(v)) if isinstance(v, float) else str(v)
+        return repr(float(v)) if isinstance(v, float) and not v.is_integer() else str(int(v) if isinstance(v, float) else v)
 
     return sorted(tuple(plain(v) for v in row) for row in frame[sorted(frame.columns)].itertuples(index=False))
 
