@@ -5,7 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int = 2000) -> Iterator[None]:
+    """Jobs that run inside hand at most n rows at once to Python, which bounds what long texts take on either side."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Staging:
     """Tables of one operator run, written to the shared folder so that lost executors cost no recomputation."""
 
@@ -34,9 +47,20 @@ class Staging:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        with arrow_rows(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_bytes(self, data: bytes, name: str) -> str:
+        """A small file of its own in the shared folder; its full path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        with_scheme = system.makeQualified(path).toString()
+        out = system.create(path)
+        out.write(bytearray(data))
+        out.close()
+        return with_scheme
+
     def release(self) -> None:
         """Asks for a collection of garbage, so that the shuffle files of steps that are written and done with leave the disks."""
         gc.collect()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, table
+from plumbline.llm.common import Staging, arrow_rows, table
 from plumbline.llm.shingles import sets_of
 
 #: Similarity in percent.
@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
     staging = Staging(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = sketch(docs)
+    with arrow_rows(docs.sparkSession):
+        classes = sketch(docs)
     staging.release()
     own = staging.write(entities(docs, classes, percent), "entities")
     usable = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
