@@ -23,7 +23,6 @@ import os
 import re
 import struct
 import sys
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
@@ -36,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import schema_of, table
+from plumbline.llm.common import Staging, schema_of, table
 
 LEXICON_WORDS = 20_000
 #: Words and pieces that a worker remembers before it starts anew, and characters of text in one output batch.
@@ -284,13 +283,23 @@ class Lexicon:
 
 
 _workers: dict[str, Worker] = {}
+_tables: dict[int, Bpe] = {}
+
+
+def _bpe(config: str) -> Bpe:
+    """The merges of a configuration, read once by each Python worker."""
+    key = hash(config)
+    if key not in _tables:
+        _tables.clear()
+        _tables[key] = Bpe(config)
+    return _tables[key]
 
 
 class Worker:
     """Encoder of one Python worker: mapped lexicon, exact merges, and the words met so far."""
 
     def __init__(self, config: str, lexicon: Lexicon):
-        self.bpe, self.lexicon = Bpe(config), lexicon
+        self.bpe, self.lexicon = _bpe(config), lexicon
         self.coded: dict[str, str] = {}
         self.digits = [str(i) for i in range(max(self.bpe.pieces) + 1)]
         self.piece = {self.digits[i]: s for i, s in self.bpe.pieces.items()}
@@ -339,7 +348,7 @@ def word_counts(docs: DataFrame, config: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(config)
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = Bpe(shared.value), Counter()
+        bpe, seen = _bpe(shared.value), Counter()
 
         def out() -> pa.RecordBatch:
             words = Counter()
@@ -368,14 +377,11 @@ class Tokenizer:
         sc = docs.sparkSession.sparkContext
         with open(path or default_path(), encoding="utf-8") as f:
             config = f.read()
-        bpe = Bpe(config)
-        top = [r.word for r in word_counts(docs, config).orderBy(F.desc("n"), "word").limit(words).collect()]
-        name = f"lexicon-{uuid.uuid4().hex}.bin"
-        file = os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
-        with open(file, "wb") as f:
-            raw = [w.encode("utf-8", "surrogatepass") for w in top]
-            f.write(compile_lexicon(zip(raw, bpe.merge_many(raw), strict=True)))
-        sc.addFile(file)
+        bpe, staging, name = Bpe(config), Staging(docs.sparkSession, "bpe"), f"lexicon-{uuid.uuid4().hex}.bin"
+        top = word_counts(docs, config).orderBy(F.desc("n"), "word").limit(words).select("word")
+        top = [r.word for r in staging.write(top, "frequent").collect()]  # the tasks' lists meet in a task, not here
+        raw = [w.encode("utf-8", "surrogatepass") for w in top]
+        sc.addFile(staging.write_bytes(compile_lexicon(zip(raw, bpe.merge_many(raw), strict=True)), name))
         self.shared = sc.broadcast((config, name))
 
     def encode(self, docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "token_ids")) -> DataFrame:
@@ -399,6 +405,7 @@ class Tokenizer:
                     part = batch.slice(start, stop - start)
                     yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(list(made[k]), kinds[k][1]) for k in outputs]], names=[*part.schema.names, *outputs])
                     start = stop
+            worker.coded = {}  # the worker lives on, perhaps for tasks of other operators
 
         return docs.mapInArrow(encoded, schema_of(docs, ", ".join(f"{k} {kinds[k][0]}" for k in outputs)))
 
