@@ -111,7 +111,7 @@ def _key(own: np.ndarray) -> bytes:
 
 
 def entities(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n, key of its set, gid of its group, heavy (prefix shingles that may be in many groups), and the prefix where this task meets the group for the first time."""
+    """Per document: doc_id, n, key of its set, gid of its group, heavy (prefix shingles that may be in many groups), and the prefix where this task meets the group for the first time in a row with an id."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
     limit = int(_class(np.array([FEW]))[0])
 
@@ -120,7 +120,7 @@ def entities(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT) -> Da
         mask = np.uint64(len(table) - 1)
         for batch in it:
             ns, keys, gids, heavies, prefixes = [], [], [], [], []
-            for own in sets_of(batch.column(1)):
+            for own, has_id in zip(sets_of(batch.column(1)), batch.column(0).is_valid().to_pylist(), strict=True):
                 n = len(own)
                 p = n - _least(n, percent) + 1 if n else 0
                 rank = table[(own & mask).astype(np.int64)]
@@ -131,7 +131,7 @@ def entities(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT) -> Da
                 keys.append(_key(own))
                 gids.append(gid)
                 heavies.append(int((rank[order] >= limit).sum()))
-                new = n and gid not in seen
+                new = n and has_id and gid not in seen
                 prefixes.append(prefix.view(np.int64) if new else None)
                 if new:
                     if len(seen) > 1_000_000:

@@ -86,6 +86,14 @@ def test_repeats_null_ids_and_empty_tables(spark):
     assert neardup.near_duplicates(docs.where("false")).count() == 0
 
 
+def test_a_null_id_first_hides_no_group(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, base), (2, base), (None, base + " more"), (1, base + " more"), (7, base + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == {None: None, 2: 1, 1: 1, 7: 1}
+
+
 def test_stage_keeps_one_document_of_each_group(spark):
     rows = [(4, "a b c d e f", "x", 1), (2, "a b c d e f", "y", 2), (2, "a b c d e f", "y", 2), (9, "other words are in this one", "z", 3), (None, "a b c d e f", "n", 4), (11, "", "e", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string, component_id int")
