@@ -2,11 +2,13 @@
 
 Fixed patterns with checks give the base spans (email, ip, card, phone). They are the seeds. Every identifier-like token of
 the corpus is a candidate, with two lexical patterns: the two words before it, and the word before with the word after it.
+So is every stretch of numbers that single spaces, dots, hyphens and brackets join, as a whole: an identifier that only a space
+parts from another number isn't told from it. A stretch whose first part is a candidate itself doesn't count in shares.
 Over the graph of patterns and candidate texts (distinct edges, all documents), each round scores a pattern for a kind by
 the share of its texts known to be of that kind, accepts patterns with ``SUPPORT`` known texts and a share of
 ``CONFIDENCE``, and joins the accepted patterns' scores into a score of each unseen text (noisy or); texts that reach
 ``ACCEPT`` and fit the kind's form become known. After ``ROUNDS`` rounds, every candidate that lies outside the base spans
-and whose text is known by its context becomes a span of its own.
+and whose text is known by its context becomes a span of its own, but for those within another such span.
 
 Positions come from splitting a text by a pattern: the lengths of the parts and of the matches between them add up to
 starts and ends in code points. All quantifiers over groups are possessive, so long runs need no stack.
@@ -36,6 +38,12 @@ _SIGN = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 #: Runs of six characters and more without white space, quotes and brackets that hold a digit or an at sign.
 CANDIDATE = r"(?:\G|(?<![^\s\"'<>(){}\[\],;=]))(?=[^\s\"'<>(){}\[\],;=]{6})[^\s\"'<>(){}\[\],;=0-9@]*+[0-9@][^\s\"'<>(){}\[\],;=]*+"
+#: Numbers joined by single spaces, dots, hyphens and brackets; bracketed ones are followed by a plain one.
+_JOINT, _NUMBER = r"(?:\x20?[.-]\x20?|\x20)?+", r"[0-9]++(?![\p{L}_@])"
+_PART = rf"(?:\([0-9]++\){_JOINT})?+{_NUMBER}"
+SPACED = rf"(?<![\p{{L}}\p{{N}}_@+])\+?+{_PART}(?:{_JOINT}{_PART})++"
+#: Digits of a candidate made of several numbers: the least of a phone, the most of a card.
+LEAST, MOST = 7, 19
 SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 5, 0.8, 0.9, 2
 #: Characters on either side in which context words are looked for.
 REACH = 48
@@ -105,24 +113,32 @@ def _patterns(text: Column, start: Column, end: Column) -> Column:
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<token,start,end,patterns,seed>>: the base spans with their kind, and the identifier-like tokens outside of them."""
+    """array<struct<token,start,end,patterns,seed,main>>: the base spans with their kind, and the identifier-like tokens and stretches of numbers outside of them."""
 
     def seed(b: Column) -> Column:
         token = F.substring(text, b["start"] + 1, b["end"] - b["start"])
-        return F.struct(token.alias("token"), b["start"].alias("start"), b["end"].alias("end"), _patterns(text, b["start"], b["end"]).alias("patterns"), b["kind"].alias("seed"))
+        return F.struct(token.alias("token"), b["start"].alias("start"), b["end"].alias("end"), _patterns(text, b["start"], b["end"]).alias("patterns"), b["kind"].alias("seed"), F.lit(True).alias("main"))
 
     def short(m: Column) -> Column:
         token = F.rtrim(m["match"], F.lit(".:!?"))
-        return F.struct(token.alias("token"), m["start"].alias("start"), (m["start"] + F.length(token)).alias("end"))
+        return F.struct(token.alias("token"), m["start"].alias("start"), (m["start"] + F.length(token)).alias("end"), F.lit(True).alias("main"))
 
     def outside(c: Column) -> Column:
         return (F.length(c["token"]) >= 6) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
 
     def other(c: Column) -> Column:
-        return F.struct(c["token"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), _patterns(text, c["start"], c["end"]).alias("patterns"), F.lit(None).cast("string").alias("seed"))
+        return F.struct(c["token"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), _patterns(text, c["start"], c["end"]).alias("patterns"), F.lit(None).cast("string").alias("seed"), c["main"].alias("main"))
 
     tokens = F.filter(F.transform(located(text, CANDIDATE), short), outside)
-    return F.concat(F.transform(base, seed), F.transform(tokens, other))
+    def whole(m: Column) -> Column:
+        main = F.length(F.regexp_extract(m["match"], r"^[^\x20()]*", 0)) < 6
+        return F.struct(m["match"].alias("token"), m["start"].alias("start"), m["end"].alias("end"), main.alias("main"))
+
+    def fine(m: Column) -> Column:
+        return F.length(_digits(m["match"])).between(LEAST, MOST) & m["match"].rlike(r"[\x20(]")
+
+    numbers = F.filter(F.transform(F.filter(located(text, SPACED), fine), whole), outside)
+    return F.concat(F.transform(base, seed), F.transform(tokens, other), F.transform(numbers, other))
 
 
 def _fits(kind: Column, token: Column) -> Column:
@@ -131,8 +147,8 @@ def _fits(kind: Column, token: Column) -> Column:
     return (
         F.when(kind == "email", F.contains(token, F.lit("@")))
         .when(kind == "ip", (n >= 4) & token.rlike(r"^[0-9A-Fa-f]*(?:[.:][0-9A-Fa-f]*){3,}$"))
-        .when(kind == "card", n.between(12, 19) & token.rlike("^[0-9-]+$"))
-        .when(kind == "phone", n.between(7, 15) & token.rlike("^[+0-9().-]+$"))
+        .when(kind == "card", n.between(12, 19) & token.rlike(r"^[0-9().\x20-]+$"))
+        .when(kind == "phone", n.between(7, 15) & token.rlike(r"^[+0-9().\x20-]+$"))
         .otherwise(False)
     )
 
@@ -148,12 +164,13 @@ def scanned(docs: DataFrame) -> DataFrame:
 def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
     """(_row, extra) with the spans that context adds, of rows with _row and cands."""
     each = staging.write(rows.select("_row", F.explode("cands").alias("c")).select("_row", "c.*"), "candidates")
-    edges = staging.write(each.select("token", F.explode("patterns").alias("pattern")).where("pattern not in ('2|', '1||')").distinct(), "edges")
+    edges = each.select("token", "main", F.explode("patterns").alias("pattern")).where("pattern not in ('2|', '1||')")
+    edges = staging.write(edges.groupBy("token", "pattern").agg(F.max("main").alias("main")), "edges")
     known = each.where("seed is not null").groupBy("token").agg(F.min("seed").alias("kind"))
-    total = staging.write(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT), "totals")
+    total = staging.write(edges.where("main").groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT), "totals")
     for step in range(ROUNDS):
         known = staging.write(known, f"known{step}")
-        hits = edges.join(known, "token").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= SUPPORT)
+        hits = edges.where("main").join(known, "token").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= SUPPORT)
         good = hits.join(total, "pattern").withColumn("score", F.col("hits") / F.col("total")).where(F.col("score") >= CONFIDENCE)
         good = staging.write(good.select("pattern", "kind", "score"), f"patterns{step}")
         unseen = edges.join(known.select("token"), "token", "left_anti").join(good, "pattern").where(_fits(F.col("kind"), F.col("token")))
@@ -162,7 +179,19 @@ def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
         known = known.unionByName(found)
     new = staging.write(known, "known").join(each.where("seed is not null").select("token").distinct(), "token", "left_anti")
     added = each.where("seed is null").join(new, "token").select("_row", F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("span"))
-    return added.groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("extra"))
+    return added.groupBy("_row").agg(_widest(F.collect_list("span")).alias("extra"))
+
+
+def _widest(spans: Column) -> Column:
+    """The spans, by kind and start, without those that lie within another one."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        span = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["less"]).alias("end")))
+        return F.struct(F.greatest(acc["at"], -s["less"]).alias("at"), F.when(-s["less"] > acc["at"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+    return F.array_sort(F.aggregate(by_start, none, step)["out"])
 
 
 def _of(spans: Column | str, kind: str) -> Column:

@@ -116,6 +116,16 @@ def test_context_discovers_what_the_patterns_miss(spark):
     assert found[20] == [("phone", "555-867-5309")] and found[21] == []
 
 
+def test_context_discovers_numbers_with_spaces_and_brackets(spark):
+    rows = [f"please call hotline +1 (555) 01{k}-{1000 + k} today" for k in range(10, 30)] + [f"paid by card 49927398{k}" for k in range(3)]
+    rows += [f"paid by visa {x} now" for x in ("4992739871600000", "4111111111111111", "5500005555555559", "4012888888881881", "4222222222222220", "5105105105105100", "6011111111111117", "3566002020360505", "4000056655665556", "5200828282828210")]
+    extra = ["please call hotline (017) 555-7713 today", "please call hotline 017 555 7713 today", "please call hotline 555 867.5309 4th floor", "please count item (018) 555-7714 today", "paid by visa 4111 1111 1111 1112 now", "please call hotline (017)555-7713 today"]
+    docs = spark.createDataFrame(list(enumerate(rows + extra)), "doc_id long, text string")
+    texts = rows + extra
+    found = {r.doc_id - len(rows): [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.find_pii(docs).collect()}
+    assert [found[k] for k in range(6)] == [[("phone", "(017) 555-7713")], [("phone", "017 555 7713")], [("phone", "555 867.5309")], [], [("card", "4111 1111 1111 1112")], [("phone", "(017)555-7713")]]
+
+
 def test_masking_replaces_spans(spark):
     docs = spark.createDataFrame([(1, "mail me@x.org or 10.0.0.1 now", "a"), (2, None, "b"), (3, "é clean", "c")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.mask_pii(spark, docs, "").collect()}
