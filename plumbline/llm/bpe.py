@@ -1,10 +1,10 @@
 """BPE encoding and decoding through a minimal acyclic transducer of frequent words.
 
-The lexicon: the corpus's most frequent words (counted over all documents) are merged once and compiled into a minimal
-acyclic automaton that shares prefixes and suffixes. Its arcs carry numbers that add up to a word's place in sort order, and
-that place points to the word's ids. The automaton is one file of 32-bit integers, shipped to the executors with addFile
-and memory-mapped by every Python worker. Words that it lacks are merged exactly by rank; each worker remembers a bounded
-number of words that it has met.
+The lexicon: the corpus's most frequent words (counted over all documents, ``LEXICON_WORDS`` at most) are merged once and
+compiled into a minimal acyclic automaton that shares prefixes and suffixes. Its arcs carry numbers that add up to a word's
+place in sort order, and that place points to the word's ids. The automaton is one file of 32-bit integers, shipped to the
+executors with addFile and memory-mapped by every Python worker; many words walk it in step. Words that it lacks are merged
+exactly by rank. Each worker remembers a bounded number of words that it has met, and encodes a bounded stretch of text at once.
 
 The tokenizer is read from a ``tokenizers`` JSON file whose model is BPE with word ends over a byte alphabet, with the NFC,
 white-space and lower-case normalisers and the pattern for contractions, letters, single digits and the rest.
@@ -21,7 +21,6 @@ import json
 import mmap
 import os
 import re
-import struct
 import sys
 import unicodedata
 import uuid
@@ -31,6 +30,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Staging, schema_of, table
 
 LEXICON_WORDS = 20_000
-#: Words and pieces that a worker remembers before it starts anew, and characters of text in one output batch.
-REMEMBERED, BATCH_CHARS = 500_000, 1 << 21
+#: Words and pieces that a worker remembers before it starts anew, and characters of text that are encoded at once.
+REMEMBERED, BATCH_CHARS = 150_000, 1 << 20
 #: Words of more bytes are merged by heap.
 SHORT = 48
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -119,7 +119,7 @@ class Bpe:
 
     def merge(self, word: str) -> list[int]:
         """Ids of a word: the pair of lowest rank, leftmost first, is merged until none is left."""
-        return self.merge_many([word.encode("utf-8", "surrogatepass")])[0]
+        return np.frombuffer(self.merge_many([word.encode("utf-8", "surrogatepass")])[0], np.int32).tolist()
 
     def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs; the number of merges where there is none."""
@@ -127,8 +127,8 @@ class Bpe:
         at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
         return np.where((self._pairs[at] == key) & (a >= 0) & (b >= 0), self._rank[at], len(self._pairs))
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of many words. Words of like length are merged in step, one merge of each at a time."""
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words, each word's as 32-bit integers. Words of like length are merged in step, one merge of each at a time."""
         out: list = [None] * len(words)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
         start = 0
@@ -136,7 +136,7 @@ class Bpe:
             size = len(words[order[start]])
             if size > SHORT:
                 for i in order[start:]:
-                    out[i] = self._merge_long([self.inner[b] for b in words[i][:-1]] + [self.last[words[i][-1]]])
+                    out[i] = np.array(self._merge_long([self.inner[b] for b in words[i][:-1]] + [self.last[words[i][-1]]]), np.int32).tobytes()
                 break
             stop = start
             while stop < len(order) and stop - start < 1 << 14 and len(words[order[stop]]) <= size + 2:
@@ -159,9 +159,10 @@ class Bpe:
             best = rank[np.arange(len(ids)), at] if rank.shape[1] else np.full(len(ids), none)
             done = best == none
             if done.any():
-                sizes = (ids[done] >= 0).sum(axis=1).tolist()
-                for i, row, n in zip(where[done].tolist(), ids[done].tolist(), sizes, strict=True):
-                    out[i] = row[:n]
+                left = ids[done].astype(np.int32)
+                raw, wide = left.tobytes(), 4 * left.shape[1]
+                for k, (i, n) in enumerate(zip(where[done].tolist(), (left >= 0).sum(axis=1).tolist(), strict=True)):
+                    out[i] = raw[k * wide : k * wide + 4 * n]
                 go = ~done
                 ids, rank, at, best, where = ids[go], rank[go], at[go], best[go], where[go]
             if not len(ids):
@@ -197,8 +198,8 @@ class Bpe:
         return [x for x in ids if x >= 0]
 
 
-def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
-    """The minimal acyclic transducer of words with ids, as a block of 32-bit integers."""
+def compile_lexicon(entries: Iterable[tuple[bytes, bytes]]) -> bytes:
+    """The minimal acyclic transducer of words with ids (both as bytes, ids of 32 bits), as a block of 32-bit integers."""
     entries = sorted(entries)
     register: dict[tuple, int] = {}
     states: list[tuple[bool, tuple[tuple[int, int], ...]]] = []
@@ -226,60 +227,61 @@ def compile_lexicon(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
         path[-1][1].append((last[k - 1], done))
     root = frozen(*path.pop())
     below = []  # words that end at or below a state; children are registered before their parents
-    starts, finals, labels, targets, numbers = [0], [], [], [], []
-    for final, arcs in states:
+    finals, keys, targets, numbers = [], [], [], []
+    for state, (final, arcs) in enumerate(states):
         n = int(final)
         for label, target in arcs:
-            labels.append(label)
+            keys.append(state << 8 | label)
             targets.append(target)
             numbers.append(n)
             n += below[target]
         below.append(n)
         finals.append(int(final))
-        starts.append(len(labels))
-    places, flat = [0], []
-    for _, ids in entries:
-        flat += ids
-        places.append(len(flat))
-    body = [root, len(finals), len(labels), len(entries), *starts, *finals, *labels, *targets, *numbers, *places, *flat]
-    return struct.pack(f"<{len(body)}i", *body)
+    places = np.cumsum([0, *(len(ids) // 4 for _, ids in entries)]).tolist()
+    body = [root, len(finals), len(keys), len(entries), *finals, *keys, *targets, *numbers, *places]
+    return np.array(body, "<i4").tobytes() + b"".join(ids for _, ids in entries)
 
 
 class Lexicon:
-    """Lookups in a compiled lexicon, from bytes or a mapped file."""
+    """Lookups in a compiled lexicon, from bytes or a mapped file. Arcs are in order of state and label."""
 
     def __init__(self, block):
-        v = memoryview(block).cast("i")
-        self.root, n_states, n_arcs, self.size = v[:4]
-        at = 4
-        parts = []
-        for n in (n_states + 1, n_states, n_arcs, n_arcs, n_arcs, self.size + 1):
-            parts.append(v[at : at + n])
-            at += n
-        self.starts, self.finals, self.labels, self.targets, self.numbers, self.places = parts
-        self.ids = v[at:]
+        v = np.frombuffer(block, "<i4")
+        self.root, n_states, n_arcs, self.size = v[:4].tolist()
+        ends = 4 + np.cumsum([n_states, n_arcs, n_arcs, n_arcs, self.size + 1])
+        self.finals, self.keys, self.targets, self.numbers, self.places, self.ids = np.split(v[4:], ends - 4)
 
     @classmethod
     def mapped(cls, path: str) -> Lexicon:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def get(self, word: bytes) -> list[int] | None:
-        """The ids of a word, or None."""
-        state, number, labels = self.root, 0, self.labels
-        for b in word:
-            lo, hi = self.starts[state], self.starts[state + 1]
-            while lo < hi:
-                mid = (lo + hi) // 2
-                if labels[mid] < b:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == self.starts[state + 1] or labels[lo] != b:
-                return None
-            number += self.numbers[lo]
-            state = self.targets[lo]
-        return self.ids[self.places[number] : self.places[number + 1]].tolist() if self.finals[state] else None
+    def get_many(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word, or None; all words walk the automaton in step."""
+        out: list[bytes | None] = [None] * len(words)
+        if not self.size or not words:
+            return out
+        data, size = np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size) - size
+        state, number, at = np.full(len(words), self.root), np.zeros(len(words), np.int64), 0
+        alive, ended = np.arange(len(words)), []
+        while len(alive):
+            more = size[alive] > at
+            ended.append(alive[~more])
+            alive = alive[more]
+            key = state[alive] << 8 | data[begin[alive] + at]
+            arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[arc] == key
+            alive, arc = alive[hit], arc[hit]
+            number[alive] += self.numbers[arc]
+            state[alive] = self.targets[arc]
+            at += 1
+        done = np.concatenate(ended)
+        done = done[self.finals[state[done]] == 1]
+        first, stop = self.places[number[done]].tolist(), self.places[number[done] + 1].tolist()
+        for i, a, b in zip(done.tolist(), first, stop, strict=True):
+            out[i] = self.ids[a:b].tobytes()
+        return out
 
 
 _workers: dict[str, Worker] = {}
@@ -300,9 +302,9 @@ class Worker:
 
     def __init__(self, config: str, lexicon: Lexicon):
         self.bpe, self.lexicon = _bpe(config), lexicon
-        self.coded: dict[str, str] = {}
-        self.digits = [str(i) for i in range(max(self.bpe.pieces) + 1)]
-        self.piece = {self.digits[i]: s for i, s in self.bpe.pieces.items()}
+        self.coded: dict[str, bytes] = {}
+        top = max(self.bpe.pieces) + 1
+        self.names = {"ids_text": pa.array([str(i) for i in range(top)]), "decoded": pa.array([self.bpe.pieces.get(i, "") for i in range(top)])}
 
     @classmethod
     def of(cls, shared) -> Worker:
@@ -313,34 +315,33 @@ class Worker:
         return _workers[name]
 
     def learn(self, wanted: set[str]) -> None:
-        """See to it that the ids of all these pieces are remembered, as text."""
+        """See to it that the ids of all these pieces are remembered."""
         new = wanted.difference(self.coded)
         if len(new) + len(self.coded) > REMEMBERED:
             self.coded, new = {}, wanted
-        find, coded, digits = self.bpe.find, self.coded, self.digits
+        find, coded = self.bpe.find, self.coded
         cut = {c: w for c in new if not c.isalpha() and (w := find(c)) != [c]}
-        words = new.difference(cut).union(*cut.values()).difference(coded) if cut else new
-        unseen = []
-        for w in words:
-            ids = self.lexicon.get(raw := w.encode("utf-8", "surrogatepass"))
-            if ids is None:
-                unseen.append((w, raw))
-            else:
-                coded[w] = " ".join(map(digits.__getitem__, ids))
-        for (w, _), ids in zip(unseen, self.bpe.merge_many([r for _, r in unseen]), strict=True):
-            coded[w] = " ".join(map(digits.__getitem__, ids))
+        words = list(new.difference(cut).union(*cut.values()).difference(coded)) if cut else list(new)
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        found = self.lexicon.get_many(raw)
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.bpe.merge_many([raw[i] for i in unseen]), strict=True):
+            found[i] = ids
+        coded.update(zip(words, found, strict=True))
         for c, own in cut.items():
-            coded[c] = " ".join([coded[w] for w in own])
+            coded[c] = b"".join([coded[w] for w in own])
 
-    def encode(self, texts: list[str]) -> list[tuple[str, list[str]]]:
-        """For each text its ids as one string and as strings."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and where each text's begin."""
         parts = [[(special, part if special else self.bpe.chunks(part)) for special, part in self.bpe.segments(t)] for t in texts]
         self.learn(set().union(*[chunks for p in parts for special, chunks in p if not special]))
-        get, out = self.coded.__getitem__, []
-        for p in parts:
-            text = " ".join([x for special, part in p for x in ([self.digits[self.bpe.special[part]]] if special else [" ".join(map(get, part))]) if x])
-            out.append((text, text.split()))
-        return out
+        get, special_id = self.coded.__getitem__, self.bpe.special
+        raw = [b"".join([x for special, part in p for x in ([np.int32(special_id[part]).tobytes()] if special else map(get, part))]) for p in parts]
+        return np.frombuffer(b"".join(raw), np.int32), np.cumsum([0, *(len(r) // 4 for r in raw)])
+
+    def joined(self, kind: str, ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+        """For each text, the decimal ids or the pieces that they stand for, between spaces."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), self.names[kind].take(pa.array(ids))), " ")
 
 
 def word_counts(docs: DataFrame, config: str) -> DataFrame:
@@ -359,8 +360,8 @@ def word_counts(docs: DataFrame, config: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in it:
-            for text in batch.column(0).to_pylist():
-                for special, part in bpe.segments(text or ""):
+            for text in batch.column(0):  # one text at a time is a string
+                for special, part in bpe.segments(text.as_py() or ""):
                     if not special:
                         seen.update(bpe.chunks(part))
                 if len(seen) > REMEMBERED:
@@ -370,6 +371,23 @@ def word_counts(docs: DataFrame, config: str) -> DataFrame:
     return docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, staging: Staging, most: int) -> list[str]:
+    """At most so many words: all that are counted as often as a limit, the lowest of 16 an octave that admits no more.
+
+    Words that occur once are never among them. The limit comes from sums by count, so no task or driver sorts all words.
+    """
+    counts = staging.write(counts.where("n > 1"), "counts")
+    level = F.floor(F.log2("n") * 16 + 1e-9).cast("int")
+    by_level = {r.level: r.words for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()}  # 1,024 rows at most
+    least, room = None, most
+    for at in sorted(by_level, reverse=True):
+        room -= by_level[at]
+        if room < 0:
+            break
+        least = at
+    return [] if least is None else [r.word for r in counts.where(level >= least).select("word").collect()]
+
+
 class Tokenizer:
     """Encoding and decoding of a DataFrame's texts with a lexicon of the corpus's frequent words."""
 
@@ -378,46 +396,49 @@ class Tokenizer:
         with open(path or default_path(), encoding="utf-8") as f:
             config = f.read()
         bpe, staging, name = Bpe(config), Staging(docs.sparkSession, "bpe"), f"lexicon-{uuid.uuid4().hex}.bin"
-        top = word_counts(docs, config).orderBy(F.desc("n"), "word").limit(words).select("word")
-        top = [r.word for r in staging.write(top, "frequent").collect()]  # the tasks' lists meet in a task, not here
-        raw = [w.encode("utf-8", "surrogatepass") for w in top]
+        raw = [w.encode("utf-8", "surrogatepass") for w in frequent_words(word_counts(docs, config), staging, words)]
         sc.addFile(staging.write_bytes(compile_lexicon(zip(raw, bpe.merge_many(raw), strict=True)), name))
         self.shared = sc.broadcast((config, name))
 
     def encode(self, docs: DataFrame, outputs: tuple[str, ...] = ("n_tokens", "token_ids")) -> DataFrame:
         """Docs' columns and, as asked for, n_tokens, token_ids, ids_text (decimal ids between spaces) and decoded."""
-        kinds = {"n_tokens": ("bigint", pa.int64()), "token_ids": ("array<int>", pa.list_(pa.int32())), "ids_text": ("string", pa.string()), "decoded": ("string", pa.string())}
+        kinds = {"n_tokens": "bigint", "token_ids": "array<int>", "ids_text": "string", "decoded": "string"}
         docs, shared = docs.drop(*outputs), self.shared
 
         def encoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worker = Worker.of(shared)
+            make = {
+                "n_tokens": lambda ids, starts: pa.array(np.diff(starts), pa.int64()),
+                "token_ids": lambda ids, starts: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)),
+                "ids_text": lambda ids, starts: worker.joined("ids_text", ids, starts),
+                "decoded": lambda ids, starts: worker.joined("decoded", ids, starts),
+            }
             for batch in it:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                column = batch.column(batch.schema.get_field_index("text"))
+                size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
                 start = 0
-                while start < len(texts):
-                    size, stop = 0, start
-                    while stop < len(texts) and size < BATCH_CHARS:
-                        size += len(texts[stop] or "")
-                        stop += 1
-                    got = worker.encode([t or "" for t in texts[start:stop]])
-                    piece = worker.piece.__getitem__
-                    made = {"n_tokens": (len(g[1]) for g in got), "token_ids": (list(map(int, g[1])) for g in got), "ids_text": (g[0] for g in got), "decoded": (" ".join(map(piece, g[1])) for g in got)}
+                while start < len(column):
+                    before = size[start - 1] if start else 0
+                    stop = max(start + 1, int(np.searchsorted(size, before + BATCH_CHARS, side="right")))
+                    got = worker.encode([t or "" for t in column.slice(start, stop - start).to_pylist()])
                     part = batch.slice(start, stop - start)
-                    yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(list(made[k]), kinds[k][1]) for k in outputs]], names=[*part.schema.names, *outputs])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *[make[k](*got) for k in outputs]], names=[*part.schema.names, *outputs])
                     start = stop
             worker.coded = {}  # the worker lives on, perhaps for tasks of other operators
 
-        return docs.mapInArrow(encoded, schema_of(docs, ", ".join(f"{k} {kinds[k][0]}" for k in outputs)))
+        return docs.mapInArrow(encoded, schema_of(docs, ", ".join(f"{k} {kinds[k]}" for k in outputs)))
 
     def decode(self, encoded: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """Docs' columns and the text that an array of ids stands for (null: empty)."""
         shared = self.shared
 
         def decoded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces = Worker.of(shared).bpe.pieces
+            worker = Worker.of(shared)
             for batch in it:
-                got = [" ".join([pieces[i] for i in x or ()]) for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.string())], names=[*batch.schema.names, out])
+                column = batch.column(batch.schema.get_field_index(ids))
+                starts = np.cumsum([0, *pc.fill_null(column.value_lengths(), 0).to_pylist()])
+                got = worker.joined("decoded", column.flatten().to_numpy(zero_copy_only=False), starts)
+                yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, out])
 
         encoded = encoded.drop(out)
         return encoded.mapInArrow(decoded, schema_of(encoded, f"{out} string"))

@@ -7,23 +7,31 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_local: list[str] = []
+_scopes: ContextVar[tuple[list[Staging], ...]] = ContextVar("scopes", default=())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share. Only a local session, whose driver is its executor, may go without one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local:
+        _local.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return _local[0]
 
 
 @contextmanager
@@ -39,11 +47,16 @@ def arrow_rows(spark: SparkSession, n: int = 2000) -> Iterator[None]:
 
 
 class Staging:
-    """Tables of one operator run, written to the shared folder so that lost executors cost no recomputation."""
+    """Tables of one operator run, written to the shared folder so that lost executors cost no recomputation.
+
+    They stay, as the operator's result reads them, until ``drop`` or the end of a surrounding ``temporary_tables``.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        for held in _scopes.get():
+            held.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -66,9 +79,24 @@ class Staging:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
-    def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes these tables, or all of them."""
+        for name in names or ("",):
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def temporary_tables() -> Iterator[None]:
+    """The tables that operators stage inside are deleted at the end: results must be written, or used up, by then."""
+    held: list[Staging] = []
+    token = _scopes.set((*_scopes.get(), held))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for staging in held:
+            staging.drop()
 
 
 def id_crc(column: str | Column, modulus: int) -> Column:

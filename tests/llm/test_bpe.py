@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -50,17 +51,25 @@ def test_odd_texts_repeats_and_clashing_columns(spark, library):
 
 def test_automaton_is_minimal_and_exact():
     rng = random.Random(3)
-    words = {bytes(rng.choices(b"abc", k=rng.randint(1, 7))): [rng.randint(0, 99) for _ in range(rng.randint(0, 3))] for _ in range(400)}
-    block = bpe.compile_lexicon(words.items())
-    lexicon = bpe.Lexicon(block)
+    words = {bytes(rng.choices(b"abc", k=rng.randint(1, 7))): np.array([rng.randint(0, 99) for _ in range(rng.randint(0, 3))], np.int32).tobytes() for _ in range(400)}
+    lexicon = bpe.Lexicon(bpe.compile_lexicon(words.items()))
     assert lexicon.size == len(words)
-    for w, ids in words.items():
-        assert lexicon.get(w) == ids
-    for _ in range(500):
-        w = bytes(rng.choices(b"abcd", k=rng.randint(0, 8)))
-        assert lexicon.get(w) == words.get(w)
-    shared = bpe.Lexicon(bpe.compile_lexicon([(a + b"xyz", [1]) for a in (b"p", b"q", b"r")]))
+    others = [*words, *(bytes(rng.choices(b"abcd", k=rng.randint(0, 8))) for _ in range(500)), b"a" * 5000]
+    assert lexicon.get_many(others) == [words.get(w) for w in others]
+    one = np.int32(1).tobytes()
+    shared = bpe.Lexicon(bpe.compile_lexicon([(a + b"xyz", one) for a in (b"p", b"q", b"r")]))
     assert len(shared.finals) == 5  # the three words share all states behind their first bytes
+    assert bpe.Lexicon(bpe.compile_lexicon([])).get_many([b"a", b""]) == [None, None]
+
+
+def test_frequent_words_are_bounded_and_fully_counted(spark):
+    docs = spark.createDataFrame([(" ".join(w for k, w in enumerate(("aa", "bb", "cc", "dd")) for _ in range(40 - 10 * k)) + " once",)], "text string")
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        counts = bpe.word_counts(docs, f.read())
+    assert {r.word: r.n for r in counts.collect()} == {"aa": 40, "bb": 30, "cc": 20, "dd": 10, "once": 1}
+    staging = bpe.Staging(spark, "test")
+    assert [sorted(bpe.frequent_words(counts, bpe.Staging(spark, "test"), k)) for k in (0, 2, 9)] == [[], ["aa", "bb"], ["aa", "bb", "cc", "dd"]]
+    assert bpe.frequent_words(counts.where("false"), staging, 5) == []
 
 
 def test_long_and_short_words_merge_alike():
