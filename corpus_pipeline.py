@@ -1,14 +1,14 @@
 """Corpus preparation: a sequence of stages over the documents table.
 
 Each stage is a function of (spark, docs, sf_dir) that returns a DataFrame; ``run`` applies them in order. The stages are
-written and read again between runs, so each one reads whole rows of its predecessor. All but the last keep the columns of
-documents. There is no SQL for the learnt stages, so ORACLE_SQL is None and the tests hold the result against brute force.
+written and read again between runs, so each one reads whole rows of its predecessor; what a stage staged on the way, and its
+input, are deleted once its result is written. All but the last keep the columns of documents. There is no SQL for the learnt stages, so ORACLE_SQL is None and the tests hold the result against brute force.
 """
 
 from __future__ import annotations
 
 from plumbline.llm import bpe, decontam, neardup, pii, quality
-from plumbline.llm.common import Staging, table
+from plumbline.llm.common import Staging, table, temporary_tables
 
 STAGES: list = [
     ("quality classifier", quality.keep_good),
@@ -23,8 +23,9 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     staging = Staging(spark, "pipeline")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = staging.write(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with temporary_tables():
+            docs = staging.write(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            staging.drop(f"stage{i - 1}")
+    return STAGES[-1][1](spark, docs, sf_dir)
