@@ -7,8 +7,12 @@ for each attachment its reference, its place and the number of tokens that the p
 Template of a turn: ``<|turn|>role<|text|>content<|end|>``. A backslash is put after the first character of every control
 string found in a role or a text, and backslashes are doubled, so that dropping one backslash before any character undoes it.
 
-Defined results: a null text, role or list of parts is empty; a null conversation id is a conversation of its own; equal turn numbers are
-ordered by role, then content; repeated rows are kept as repeated turns; an empty table gives no rows.
+Reading back gives each turn's role and text, or its parts in order: a placeholder never stands inside escaped text, so parts
+and texts that look like them are told apart (neighbouring text parts come back as one, empty ones not at all).
+
+Defined results: a null text, role or list of parts is empty; a part of any other kind than those of ``PLACEHOLDERS`` is text,
+so no kind forges a control string; a null conversation id is a conversation of its own; equal turn numbers are ordered by
+role, then content as escaped; repeated rows are kept as repeated turns; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +23,9 @@ from pyspark.sql import functions as F
 PART = "struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 PARTS = f"array<{PART}>"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+#: Kinds of parts with a placeholder.
+PLACEHOLDERS = ("image", "audio", "document")
+_MARK = rf"<\|(?:{'|'.join(PLACEHOLDERS)})\|>"
 #: Where a control string of this or of another common template begins.
 CONTROL = r"([<\[])(?=\||/?s>|/?INST\])"
 
@@ -46,10 +53,13 @@ def expanded_tokens(part: Column, patch: int = 14, audio_rate: int = 25, page_to
     )
 
 
+def is_attachment(part: Column) -> Column:
+    return F.coalesce(part["kind"].isin(*PLACEHOLDERS), F.lit(False))
+
+
 def visit(part: Column) -> Column:
     """What a part becomes in the content."""
-    kind = F.coalesce(part["kind"], F.lit("text"))
-    return F.when(kind == "text", escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind, F.lit("|>")))
+    return F.when(is_attachment(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
 
 
 def text_parts(text: Column) -> Column:
@@ -67,7 +77,7 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         F.coalesce("role", F.lit("")).alias("role"),
         F.array_join(F.transform("parts", visit), "").alias("content"),
         F.transform(
-            F.filter("parts", lambda p: F.coalesce(p["kind"], F.lit("text")) != "text"),
+            F.filter("parts", is_attachment),
             lambda p, i: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), i.cast("int").alias("place"), expanded_tokens(p).alias("n_tokens")),
         ).alias("attached"),
     )
@@ -102,6 +112,18 @@ def read_back(formatted: Column) -> Column:
     )
 
 
+def read_parts(content: Column) -> Column:
+    """The parts of a turn's content as formatted (not unescaped): array<struct<kind,text>>, a placeholder's text is null."""
+    pieces = F.filter(F.split(content, rf"(?={_MARK})|(?<={_MARK})", -1), lambda x: x != "")
+    return F.transform(pieces, lambda x: F.struct(F.when(x.rlike(f"^{_MARK}$"), F.regexp_extract(x, r"\w+", 0)).otherwise("text").alias("kind"), F.when(~x.rlike(f"^{_MARK}$"), unescape(x)).alias("text")))
+
+
+def contents(formatted: Column) -> Column:
+    """The contents of the turns of a formatted conversation, for ``read_parts``."""
+    turns = F.filter(F.split(formatted, r"<\|turn\|>", -1), lambda x, i: i > 0)
+    return F.transform(turns, lambda x: F.substring_index(F.split(x, r"<\|text\|>", 2)[1], END, 1))
+
+
 def loss_text(formatted: Column, spans: Column) -> Column:
     """What stands under the loss mask, unescaped."""
     return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
@@ -113,7 +135,7 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     own = spark.sql("select -1L conv_id, 0L turn, 'user' role, '</s>[INST] ok [/INST]' text union all select -1L, 1L, 'assistant', '</s>[INST] ok [/INST]'")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     done = format_chats(rows.select("conv_id", "turn", "role", text_parts(whole_text()).alias("parts")))
-    back = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = done.select("conv_id", "formatted", "attachments", read_back(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     return back.select(
         "conv_id",
         F.size("back").cast("long").alias("n_turns"),
@@ -121,21 +143,25 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["n_tokens"]).alias("attached_tokens"),
     )
 
 
-#: The digests are of the plain texts, so they hold only if the format can be undone.
+#: The digests are of the plain texts, so they hold only if the format can be undone. The table has texts only, no attachments.
 ORACLE = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g') AS escaped FROM c
+  SELECT *, regexp_replace(replace(text, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g') AS escaped,
+    regexp_replace(replace(role, '\', '\\'), '([<\[])(\||/?s>|/?INST\])', '\1\\\2', 'g') AS named FROM c
 )
 SELECT conv_id, count(*) AS n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, escaped)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(escaped) + length(role) + 23) AS BIGINT) AS formatted_chars
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, escaped) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(escaped) + length(named) + 23) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attached_tokens
 FROM e GROUP BY conv_id
 """
