@@ -5,7 +5,8 @@ number of buckets. The log-probability matrix (buckets x languages) is broadcast
 and the closed set of languages. Scoring gathers matrix rows for a whole batch and sums them by document in numpy.
 
 The classifier is fitted on a sample of labelled rows: at most about ``FIT_ROWS`` documents of each language, chosen by a
-hash of the id, so rare languages keep all their rows. Everything else covers every row and every character.
+hash of the id, so rare languages keep all their rows. All languages are equally likely before a text is read (a uniform
+prior), as a corpus's shares say little of the next text. Everything else covers every row and every character.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any labelled row every text is ``und``;
 ties go to the first language in sort order; null ids are scored like others and count as not held out; repeated rows each

@@ -3,16 +3,18 @@
 Statistics of the whole text are computed in Arrow batches. Trees are grown on quantised statistics with per-node gradient
 histograms, then flattened into arrays (feature, threshold, left, right, value) that numpy walks for a whole batch at once.
 
-The trees are fitted on at most ``FIT_ROWS`` labelled rows, the ones with the smallest hash of their id; every document is
-scored on its whole text.
+The trees are fitted on about ``FIT_ROWS`` labelled ids at most, chosen by a hash of the id, one row for each; every document
+is scored on its whole text.
 
 Defined results: a null text counts as empty and has a score like any other text; null labels are not learnt from; a
-document labelled more than once counts once; with no labelled row, or one class only, the score is that class's share (0.5
+document labelled more than once counts once, with its smallest label; of rows that repeat an id the one whose text has the
+smallest digest is learnt from; with no labelled row, or one class only, the score is that class's share (0.5
 without any); ids that are null are scored and not held out; repeated rows each get a result; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from operator import eq
@@ -109,15 +111,22 @@ def score(model: dict, x: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     """Trees from (doc_id, text) and (doc_id, quality) rows."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # of fixed size at most, so it can be broadcast
+    share = min(1.0, rows / max(1, usable.count()))
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))  # about rows ids at most, so it can be broadcast
 
     def measured(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple] = {}  # one row for each id of the sample
         for batch in it:
-            found = [stats(x or "") for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInArrow(measured, "doc_id bigint, quality int, x array<double>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+            for doc_id, text, quality in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "text", "quality")], strict=True):
+                digest = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if doc_id not in best or digest < best[doc_id][0]:
+                    best[doc_id] = (digest, quality, stats(text or ""))
+        cols = list(zip(*best.values(), strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), *(pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.list_(pa.float64())), strict=True))], names=["doc_id", "digest", "quality", "x"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
+    one = picked.mapInArrow(measured, "doc_id bigint, digest binary, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("digest", "quality", "x")).alias("r"))
+    got = one.select("doc_id", "r.quality", "r.x").toPandas().sort_values("doc_id")  # about rows of them at most
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(STATS))
     return grow(x, got["quality"].to_numpy(np.float64))
 
