@@ -5,8 +5,9 @@ gives windows of ``width`` consecutive words (an item with fewer words, but not
 between single spaces, form one automaton; a document's words, joined likewise, are scanned once. An occurrence is mapped
 back to word numbers and, for documents with hits, to code points of the original text.
 
-The automaton is broadcast only while the windows' text stays under ``SHARD_BYTES``; beyond that the items are dealt into
-several automata of at most that size, the texts are scanned for each, and the hits are put together by document.
+One automaton holds windows of about ``SHARD_BYTES`` of text. A larger benchmark is dealt by a hash of the item id over as many
+automata as that takes; the texts are scanned for each of them and the hits put together by document, with the same result.
+The driver holds one automaton's items at a time, and each Python worker builds the automaton once.
 
 Defined results: null and empty texts have no words and no hits; null or empty items have no windows; equal items are
 reported with all their ids; repeated document rows each get their own result; an empty benchmark leaves all rows clean.
@@ -104,15 +105,15 @@ def _automaton(shared):
     return _kept[key]
 
 
-def _shards(benchmark: DataFrame, limit: int) -> list[list[tuple[int, str]]]:
-    """The items in lists of at most ``limit`` bytes of window text (an item beyond that stands alone)."""
+def _n_shards(benchmark: DataFrame, width: int, limit: int) -> int:
     size = F.octet_length(F.coalesce("text", F.lit("")))
-    n_shards = int((benchmark.agg(F.sum(size.cast("double"))).first()[0] or 0) * WIDTH // limit) + 1
+    return int((benchmark.agg(F.sum(size.cast("double"))).first()[0] or 0) * width // limit) + 1
+
+
+def _items(benchmark: DataFrame, n_shards: int, k: int) -> list[tuple[int, str]]:
+    """The items of one shard."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    if n_shards == 1:
-        return [[(r.item_id, r.text) for r in rows.collect()]]
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(n_shards))
-    return [[(r.item_id, r.text) for r in rows.where(shard == k).collect()] for k in range(n_shards)]
+    return [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == k).collect()]
 
 
 def _key(items: list[tuple[int, str]], width: int) -> str:
@@ -123,7 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
     """All columns of docs, and n_words, n_hit, item_ids, hit_spans (code points of the text); columns so named are replaced."""
     spark = docs.sparkSession
     docs = docs.drop("n_words", "n_hit", "item_ids", "hit_spans")
-    shards = _shards(benchmark, shard_bytes)
+    n_shards = _n_shards(benchmark, width, shard_bytes)
     added = "n_words bigint, n_hit bigint, item_ids array<bigint>, hit_spans " + SPANS
 
     def scanned(df: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -145,18 +146,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
         return df.mapInArrow(batches, schema_of(df, added))
 
-    if len(shards) == 1:
-        return scanned(docs, shards[0])
-    return _merged(docs, shards, scanned)
+    if n_shards == 1:
+        return scanned(docs, _items(benchmark, 1, 0))
+    return _merged(docs, (_items(benchmark, n_shards, k) for k in range(n_shards)), scanned)
 
 
 def _merged(docs: DataFrame, shards, scanned) -> DataFrame:
     """Hits of several automata: the runs of every shard are joined to runs of the document."""
-    spark = docs.sparkSession
-    staged = Staging(spark, "decontam").write(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
+    staging = Staging(docs.sparkSession, "decontam")
+    staged = staging.write(docs.withColumn("_row", F.monotonically_increasing_id()), "docs")
     parts = None
-    for items in shards:
-        part = scanned(staged, items).where((F.size("hit_spans") > 0)).select("_row", "item_ids", "hit_spans", "text")
+    for k, items in enumerate(shards):
+        part = staging.write(scanned(staged, items).where(F.size("hit_spans") > 0).select("_row", "item_ids", "hit_spans"), f"hits{k}")
         parts = part if parts is None else parts.unionByName(part)
     hits = parts.groupBy("_row").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
@@ -191,15 +192,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = decontaminate(docs, table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("item_ids", lambda x: x.cast("string"))), ",")
-    return done.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("item_ids").cast("long").alias("n_items"),
-        F.sha2(ids, 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
-        "hit_spans",
-    ).drop("hit_spans")
+    spans = F.array_join(F.transform("hit_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return done.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), spans.alias("hit_spans"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -209,15 +203,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 ORACLE = r"""
-WITH t AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+WITH t AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, low
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents)),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i : i + 9], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 lens AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT rid, i, n, array_to_string(w[i : i + n - 1], ' ') AS win FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM t, lens WHERE len(w) >= n)),
 m AS (SELECT DISTINCT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
-h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
-it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY rid)
+p AS (SELECT DISTINCT rid, unnest(range(i, i + n)) AS p FROM m),
+h AS (SELECT rid, count(*) AS n_hit FROM p GROUP BY rid),
+it AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY rid),
+c AS (SELECT rid, unnest(w) AS word, unnest(regexp_split_to_array(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')[: len(w)]) AS gap, unnest(range(1, len(w) + 1)) AS p FROM t SEMI JOIN h USING (rid)),
+e AS (SELECT rid, p, length(word) AS n, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY rid ORDER BY p) AS BIGINT) AS stop FROM c),
+r AS (SELECT rid, min(stop - n) AS a, max(stop) AS z FROM (SELECT *, p - row_number() OVER (PARTITION BY rid ORDER BY p) AS run FROM e SEMI JOIN p USING (rid, p)) GROUP BY rid, run),
+sp AS (SELECT rid, string_agg(a || ':' || z, ',' ORDER BY a) AS spans FROM r GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM t LEFT JOIN h USING (rid) LEFT JOIN it USING (rid)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS hit_spans
+FROM t LEFT JOIN h USING (rid) LEFT JOIN it USING (rid) LEFT JOIN sp USING (rid)
 """
