@@ -4,11 +4,15 @@ Fixed patterns with checks give the base spans (email, ip, card, phone). They ar
 the corpus is a candidate, with two lexical patterns: the two words before it, and the word before with the word after it.
 So is every stretch of numbers that single spaces, dots, hyphens and brackets join, as a whole: an identifier that only a space
 parts from another number isn't told from it. A stretch whose first part is a candidate itself doesn't count in shares.
+A run of fewer than six characters, and a stretch of fewer than ``LEAST`` or more than ``MOST`` digits, is no candidate.
 Over the graph of patterns and candidate texts (distinct edges, all documents), each round scores a pattern for a kind by
 the share of its texts known to be of that kind, accepts patterns with ``SUPPORT`` known texts and a share of
 ``CONFIDENCE``, and joins the accepted patterns' scores into a score of each unseen text (noisy or); texts that reach
-``ACCEPT`` and fit the kind's form become known. After ``ROUNDS`` rounds, every candidate that lies outside the base spans
-and whose text is known by its context becomes a span of its own, but for those within another such span.
+``ACCEPT`` and fit the kind's form become known. Rounds go on until one finds nothing. Then every candidate that lies outside
+the base spans and whose text is known by its context becomes a span of its own, but for those within another such span.
+
+Joins by a text or pattern that may stand on many rows are salted for the frequent ones. No side is marked for a broadcast:
+Spark broadcasts a side only under its own limit of size.
 
 Positions come from splitting a text by a pattern: the lengths of the parts and of the matches between them add up to
 starts and ends in code points. All quantifiers over groups are possessive, so long runs need no stack.
@@ -22,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, table, whole_text
+from plumbline.llm.common import Staging, frequent_of, salted_join, table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -44,9 +48,9 @@ _PART = rf"(?:\([0-9]++\){_JOINT})?+{_NUMBER}"
 SPACED = rf"(?<![\p{{L}}\p{{N}}_@+])\+?+{_PART}(?:{_JOINT}{_PART})++"
 #: Digits of a candidate made of several numbers: the least of a phone, the most of a card.
 LEAST, MOST = 7, 19
-SUPPORT, CONFIDENCE, ACCEPT, ROUNDS = 5, 0.8, 0.9, 2
-#: Characters on either side in which context words are looked for.
-REACH = 48
+SUPPORT, CONFIDENCE, ACCEPT = 5, 0.8, 0.9
+#: Characters on either side in which context words are looked for first; where a word is cut, the next reach is tried, then the whole text.
+REACHES = (48, 1 << 11, 1 << 16)
 
 
 def _digits(x: Column) -> Column:
@@ -105,11 +109,28 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """The two lexical patterns around a span."""
-    left = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
-    right = F.lower(F.substring(text, end + 1, F.lit(REACH)))
-    last1, last2 = F.regexp_extract(left, r"(\S*\s*)$", 1), F.regexp_extract(left, r"(\S+\s+\S*\s*)$", 1)
-    return F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), F.regexp_extract(right, r"^(\s*\S*)", 1)))
+    """The two lexical patterns around a span, of whole words."""
+
+    def before(reach: Column, pattern: str) -> tuple[Column, Column]:
+        """The match at the end of the text before the span, and whether the reach may have cut it."""
+        left = F.lower(F.substring(text, start - reach + 1, reach))
+        found = F.regexp_extract(left, pattern, 1)
+        return found, (F.length(found) == F.length(left)) | (found == "")
+
+    def after(reach: Column) -> tuple[Column, Column]:
+        right = F.lower(F.substring(text, end + 1, reach))
+        found = F.regexp_extract(right, r"^(\s*\S*)", 1)
+        return found, F.length(found) == F.length(right)
+
+    def whole(look, size: Column, *args: str) -> Column:
+        out = look(size, *args)[0]
+        for reach in reversed(REACHES):
+            found, cut = look(F.lit(reach), *args)
+            out = F.when(size <= reach, look(size, *args)[0]).when(~cut, found).otherwise(out)
+        return out
+
+    last1, last2 = whole(before, start, r"(\S*\s*)$"), whole(before, start, r"(\S+\s+\S*\s*)$")
+    return F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), whole(after, F.length(text) - end)))
 
 
 def _candidates(text: Column, base: Column) -> Column:
@@ -166,19 +187,21 @@ def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
     each = staging.write(rows.select("_row", F.explode("cands").alias("c")).select("_row", "c.*"), "candidates")
     edges = each.select("token", "main", F.explode("patterns").alias("pattern")).where("pattern not in ('2|', '1||')")
     edges = staging.write(edges.groupBy("token", "pattern").agg(F.max("main").alias("main")), "edges")
-    known = each.where("seed is not null").groupBy("token").agg(F.min("seed").alias("kind"))
+    seeds = staging.write(each.where("seed is not null").groupBy("token").agg(F.min("seed").alias("kind")), "seeds")
     total = staging.write(edges.where("main").groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= SUPPORT), "totals")
-    for step in range(ROUNDS):
-        known = staging.write(known, f"known{step}")
-        hits = edges.where("main").join(known, "token").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= SUPPORT)
+    hot_token, hot_pattern = frequent_of(edges, "token"), frequent_of(edges, "pattern")
+    known, new, step = seeds, seeds, 0
+    while not new.isEmpty():
+        hits = salted_join(edges.where("main"), known, "token", hot_token).groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= SUPPORT)
         good = hits.join(total, "pattern").withColumn("score", F.col("hits") / F.col("total")).where(F.col("score") >= CONFIDENCE)
         good = staging.write(good.select("pattern", "kind", "score"), f"patterns{step}")
-        unseen = edges.join(known.select("token"), "token", "left_anti").join(good, "pattern").where(_fits(F.col("kind"), F.col("token")))
+        unseen = salted_join(edges, known.withColumn("old", F.lit(True)), "token", hot_token, "left").where("old is null").select("token", "pattern")
+        unseen = salted_join(unseen, good, "pattern", hot_pattern).where(_fits(F.col("kind"), F.col("token")))
         scores = unseen.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
-        found = scores.where(F.col("score") >= ACCEPT).groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-        known = known.unionByName(found)
-    new = staging.write(known, "known").join(each.where("seed is not null").select("token").distinct(), "token", "left_anti")
-    added = each.where("seed is null").join(new, "token").select("_row", F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("span"))
+        new = staging.write(scores.where(F.col("score") >= ACCEPT).groupBy("token").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind")), f"found{step}")
+        known, step = known.unionByName(new), step + 1
+    added = salted_join(each.where("seed is null").select("token", "_row", "start", "end"), known.join(seeds.select("token"), "token", "left_anti"), "token", frequent_of(each, "token"))
+    added = added.select("_row", F.struct("kind", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).alias("span"))
     return added.groupBy("_row").agg(_widest(F.collect_list("span")).alias("extra"))
 
 
