@@ -5,13 +5,15 @@ the last is shorter and padded. A keyed Feistel network over the next even numbe
 number of sequences, maps every sequence to a global slot and back, so no order is ever stored or sorted. Shard k holds
 slots k * per_shard onwards, each of them ``stride`` bytes: a reader finds any slot by multiplication and can resume at any.
 
-Pieces of documents go to the task of their shard by the shard's number; a task sorts its own pieces and writes
-whole shards under a temporary name before it renames them, so a task that is run again does no harm.
+Shards are dealt in ranges over ``TASKS`` tasks at most, so their number doesn't set the number of tasks. Pieces of documents
+go to the task of their shard; a task sorts its own pieces and writes one shard after the other under a temporary name in a
+folder of its own, then puts it in the place of whatever has the shard's name, so a task that is run again, and a job that is
+run again on the same folder, write the same shards again. What lost tasks left is deleted at the end.
 
 Tokens are bytes of UTF-8, or the ids in an array column. ``documents`` must be a table that reads the same rows in
-the same partitions each time, such as files; this is checked.
+the same order and partitions each time, such as files; numbers and sizes of rows by place are checked.
 
-Defined results: null and empty texts or arrays give a separator only; null ids do no harm, as no id is used; repeated rows are
+Defined results: null and empty texts or arrays give a separator only; null ids and clashing names do no harm, as no other column is used; repeated rows are
 each written; an empty table gives no shards and no rows.
 """
 
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import shared_dir, table
 from plumbline.llm.shingles import mix
 
-LENGTH, PER_SHARD, ROUNDS = 2048, 4096, 6
+LENGTH, PER_SHARD, ROUNDS, TASKS = 2048, 4096, 6, 20_000
 #: UTF-8 has no byte 255.
 SEPARATOR, PADDING = 255, 0
+#: Of the check of row sizes by place, and the folder of unfinished shards.
+_MOD, _OPEN = 32_749, "_unfinished"
 
 
 class Permutation:
@@ -76,18 +80,19 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, dtype: str = "uint8", separator: int = SEPARATOR) -> DataFrame:
+def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, dtype: str = "uint8", separator: int = SEPARATOR, tasks: int = TASKS) -> DataFrame:
     """Writes the shards to folder and returns, once they are written, slot, sequence, shard, at (bytes into the shard), n_tokens and tokens_sha256."""
     spark = documents.sparkSession
     value = documents.select(F.col(column).alias("v"))
     is_text = dict(documents.dtypes)[column] == "string"
     size = F.coalesce((F.octet_length if is_text else F.size)(F.col("v")), F.lit(0)).cast("long") + 1
-    counts = value.select(F.spark_partition_id().alias("part"), size.alias("n")).groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within the partition
+    counts = value.select(F.spark_partition_id().alias("part"), size.alias("n"), (place % _MOD * (size % _MOD)).alias("check"))
     starts, total = {}, 0
-    for r in counts:  # one number for each partition
-        starts[r["part"]] = (total, r["n"])
+    for r in sorted(counts.groupBy("part").agg(F.sum("n").alias("n"), F.sum("check").alias("check")).collect()):  # one row for each partition
+        starts[r["part"]] = (total, r["n"], r["check"])
         total += r["n"]
-    out = "slot bigint, sequence bigint, shard int, at bigint, n_tokens int, tokens_sha256 string"
+    out = "slot bigint, sequence bigint, shard bigint, at bigint, n_tokens int, tokens_sha256 string"
     if not total:
         return spark.createDataFrame([], out)
     sequences = -(-total // length)
@@ -99,8 +104,8 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
 
         begins, perm = shared.value
         part = TaskContext.get().partitionId()
-        at, expected = begins.get(part, (0, 0))
-        stop = at + expected
+        at, expected, check = begins.get(part, (0, 0, 0))
+        stop, rows, seen = at + expected, 0, 0
         end = np.array([separator], dtype).tobytes()
         for batch in it:
             values = batch.column(0)
@@ -108,6 +113,9 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
                 own = [b"" if not v.is_valid else v.as_buffer().to_pybytes() for v in values]
             else:
                 own = [b"" if v is None else np.array(v, dtype).tobytes() for v in values.to_pylist()]
+            sizes = np.fromiter((len(v) // wide + 1 for v in own), np.int64, len(own))
+            seen += int((np.arange(rows, rows + len(own)) % _MOD * (sizes % _MOD)).sum())
+            rows += len(own)
             data = end.join(own) + (end if own else b"")
             n = len(data) // wide
             if not n:
@@ -116,25 +124,29 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
             cuts = np.unique(np.concatenate([[at], cuts, [at + n]]))
             first, last = cuts[:-1], cuts[1:]
             slots = perm.slot(first // length)
-            cols = [pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array((first % length).astype(np.int32)), pa.array([data[(a - at) * wide : (b - at) * wide] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())]
+            cols = [pa.array(slots // per_shard), pa.array(slots), pa.array((first % length).astype(np.int32)), pa.array([data[(a - at) * wide : (b - at) * wide] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["shard", "slot", "place", "piece"])
             at += n
-        if at != stop:
-            raise ValueError(f"partition {part} holds other rows than when it was counted")
+        if (at, seen) != (stop, check):
+            raise ValueError(f"partition {part} holds other rows than when it was counted, or in another order")
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, perm = shared.value
         system, root = _file_system(folder)
+        system.create_dir(f"{root}/{_OPEN}", recursive=True)
         state: dict = {"shard": None}
 
         def finish() -> Iterator[pa.RecordBatch]:
             if state["shard"] is None:
                 return
             state["file"].close()
-            system.move(state["path"], f"{root}/{shard_name(state['shard'])}")
+            final = f"{root}/{shard_name(state['shard'])}"
+            if system.get_file_info(final).type.name != "NotFound":  # of a task that did the same work
+                system.delete_file(final)
+            system.move(state["path"], final)
             slots, held, sums = state["rows"]
             slots = np.array(slots)
-            cols = [pa.array(slots), pa.array(perm.sequence(slots)), pa.array(np.full(len(slots), state["shard"], np.int32)), pa.array((slots % per_shard) * length * wide), pa.array(held, pa.int32()), pa.array(sums, pa.string())]
+            cols = [pa.array(slots), pa.array(perm.sequence(slots)), pa.array(np.full(len(slots), state["shard"], np.int64)), pa.array((slots % per_shard) * length * wide), pa.array(held, pa.int32()), pa.array(sums, pa.string())]
             state["shard"] = None
             yield pa.RecordBatch.from_arrays(cols, names=["slot", "sequence", "shard", "at", "n_tokens", "tokens_sha256"])
 
@@ -152,8 +164,7 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
                     parts = []
                 if shard != state["shard"]:
                     yield from finish()
-                    system.create_dir(root, recursive=True)
-                    path = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
+                    path = f"{root}/{_OPEN}/{shard_name(shard)}.{uuid.uuid4().hex}"
                     state.update(shard=shard, path=path, file=system.open_output_stream(path), rows=([], [], []))
                 slot = s
                 parts.append(piece)
@@ -162,10 +173,14 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
         yield from finish()
 
     n_shards = -(-sequences // per_shard)
-    cut = value.mapInArrow(pieces, "shard int, slot bigint, place int, piece binary")
-    dealt = cut.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot", "place")
+    n_tasks = min(n_shards, tasks)
+    cut = value.mapInArrow(pieces, "shard bigint, slot bigint, place int, piece binary")
+    task = F.floor(F.col("shard") * n_tasks / n_shards).cast("int")  # ranges of whole shards
+    dealt = cut.repartitionById(n_tasks, task).sortWithinPartitions("slot", "place")
     manifest = f"{folder.rstrip('/')}/manifest.parquet"
-    dealt.mapInArrow(shards, out).write.parquet(manifest)
+    dealt.mapInArrow(shards, out).write.mode("overwrite").parquet(manifest)
+    system, root = _file_system(folder)
+    system.delete_dir(f"{root}/{_OPEN}")
     return spark.read.schema(out).parquet(manifest)
 
 
