@@ -1,7 +1,8 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is parsed into leaf blocks: runs of text between the borders of block elements, with the ancestors' tags and class words.
-A block's features are its tags, its ancestors' tags and class words, and its text's form. The field has two labels (main text
+Each open element only keeps the features that it adds to those around it, and the places of open elements are held by tag,
+so parsing and scoring take time in proportion to the page however deep it is nested. A block's features are its tags, its ancestors' tags and class words, and its text's form. The field has two labels (main text
 or not), is trained by its exact likelihood on labelled pages, and each page is decoded by Viterbi.
 
 The labelled pages are built by ``labelled_pages`` from a seed: layouts with menus, headers, sidebars, notices, adverts,
@@ -16,7 +17,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 from random import Random
 
 import numpy as np
@@ -36,54 +38,91 @@ RAW, HIDDEN = frozenset("script style textarea title xmp iframe noembed noframes
 ENDS = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 #: A new list or table may hold items of its own within an open item.
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": {"td", "th", "button"}, "head": set()}
+#: An end tag reaches beyond one of these only if it is one of the second kind.
+CLOSED = frozenset("article body nav aside footer header main table".split())
+STRONG = frozenset("html body article nav aside footer header main section div table form".split())
+#: A start tag ends no element outside of these.
+WALLS = frozenset("div article section aside nav form footer header main blockquote".split())
 SECTIONS = frozenset("article aside body div footer form head header main nav section".split())
+#: For each tag, the open elements that it may end, and those beyond which it doesn't look for them.
+ENDED = {t: [o for o, by in ENDS.items() if t in by] for t in frozenset().union(*ENDS.values())}
+LIMITS = {t: WALLS.union(*[SCOPES[o] for o in own if o != "head"]) for t, own in ENDED.items()}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'=])*?)(?:>|\Z)|([^<]+|<)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role|data-keep)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Of labelled pages: an attribute that no page's own features come from.
+_KEEP = re.compile(r"\sdata-keep=keep\b")
+
+
+class Path:
+    """An open element: the one around it, the features that it adds to those around it, and the ones of the innermost element."""
+
+    __slots__ = ("above", "added", "near", "own", "tag")
+
+    def __init__(self, above: Path | None, tag: str, added: tuple[str, ...]):
+        self.above, self.tag, self.added = above, tag, added
+        self.near = tag if tag in SECTIONS else above.near if above else ""
+        self.own = (f"last:{tag}", f"near:{self.near}", f"near:{self.near}>{tag}", "bias")
+
+    def features(self) -> list[str]:
+        out, at = list(self.own), self
+        while at:
+            out += at.added
+            at = at.above
+        return out
+
+
+#: Around all elements.
+TOP = Path(None, "", ())
 
 
 @dataclass
 class Block:
-    """A leaf: its text, the characters of it in links, its ancestors' tags from the root, and their class words."""
+    """A leaf: its text, the characters of it in links, its innermost element, and whether a labelled page marks it as main text."""
 
     text: str
     linked: int
-    tags: tuple[str, ...]
-    names: frozenset[str]
+    path: Path
+    keep: bool = False
 
 
-@dataclass
-class _Open:
-    tag: str
-    names: frozenset[str] = field(default_factory=frozenset)
-
-
-def parse(page: str) -> list[Block]:
+def parse(page: str, labelled: bool = False) -> list[Block]:
     """The leaf blocks of a page in order."""
     blocks: list[Block] = []
-    open_: list[_Open] = []
+    open_: list[Path] = []
+    places: dict[str, list[int]] = {}  # of open elements, by tag
+    having: dict[str, int] = {}  # open elements by feature
+    features: list[list[str]] = []  # of each open element
+    marks: list[bool] = []
     parts: list[str] = []
-    linked = hidden = links = 0
+    linked = hidden = links = marked = 0
 
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            names = frozenset().union(*[o.names for o in open_]) if open_ else frozenset()
-            blocks.append(Block(text, linked, tuple(o.tag for o in open_), names))
+            blocks.append(Block(text, linked, open_[-1] if open_ else TOP, marked > 0))
         parts.clear()
         linked = 0
 
     def pop(n: int) -> None:
         """Closes open elements down to n of them."""
-        nonlocal hidden, links
+        nonlocal hidden, links, marked
         if any(o.tag in BLOCKS for o in open_[n:]):
             close()
         for o in open_[n:]:
             hidden -= o.tag in HIDDEN
             links -= o.tag == "a"
+            places[o.tag].pop()
+            marked -= marks.pop()
+            for f in features.pop():
+                having[f] -= 1
         del open_[n:]
 
+    def last(tags) -> int:
+        """The place of the innermost open element of one of these tags, or -1."""
+        return max((p[-1] for t in tags if (p := places.get(t))), default=-1)
+
     at, size = 0, len(page)
     while at < size and (m := _TOKEN.match(page, at)):
         at = m.end()
@@ -97,19 +136,12 @@ def parse(page: str) -> list[Block]:
             if not m.group().endswith(">"):
                 break  # cut off within a tag
             if ending:
-                for n in range(len(open_) - 1, -1, -1):
-                    if open_[n].tag == tag:
-                        pop(n)
-                        break
-                    if open_[n].tag in ("article", "body", "nav", "aside", "footer", "header", "main", "table") and tag not in ("html", "body", "article", "nav", "aside", "footer", "header", "main", "section", "div", "table", "form"):
-                        break  # an inner end tag doesn't close what is outside
-                continue
-            for n in range(len(open_) - 1, -1, -1):
-                if tag in ENDS.get(open_[n].tag, ()):
+                n = last((tag,))
+                if n >= 0 and (tag in STRONG or n >= last(CLOSED)):  # an inner end tag doesn't close what is outside
                     pop(n)
-                    break
-                if any(open_[n].tag in SCOPES.get(k, ()) for k, v in ENDS.items() if tag in v and k != "head") or open_[n].tag in ("div", "article", "section", "aside", "nav", "form", "footer", "header", "main", "blockquote"):
-                    break
+                continue
+            if tag in ENDED and (n := last(ENDED[tag])) >= 0 and n >= last(LIMITS[tag]):
+                pop(n)
             if tag in BLOCKS:
                 close()
             if tag == "br":
@@ -117,7 +149,14 @@ def parse(page: str) -> list[Block]:
             if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
                 continue
             found = "" if not rest or "=" not in rest else " ".join(x or y or z for x, y, z in _NAMES.findall(rest))
-            open_.append(_Open(tag, frozenset(_WORD.findall(found.lower())) if found else frozenset()))
+            own = [f"in:{tag}", *(f"name:{w}" for w in set(_WORD.findall(found.lower())))]
+            open_.append(Path(open_[-1] if open_ else TOP, tag, tuple(f for f in own if not having.get(f))))
+            for f in own:
+                having[f] = having.get(f, 0) + 1
+            features.append(own)
+            places.setdefault(tag, []).append(len(open_) - 1)
+            marks.append(labelled and bool(rest) and bool(_KEEP.search(rest)))
+            marked += marks[-1]
             hidden += tag in HIDDEN
             links += tag == "a"
             if tag in RAW:
@@ -130,12 +169,6 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-def _path_features(tags: tuple[str, ...], names: frozenset[str]) -> list[str]:
-    near = next((t for t in reversed(tags) if t in SECTIONS), "")
-    last = tags[-1] if tags else ""
-    return [*{f"in:{t}" for t in tags}, f"last:{last}", f"near:{near}", f"near:{near}>{last}", *{f"name:{n}" for n in names if n != "keep"}, "bias"]
-
-
 def _text_features(b: Block) -> list[str]:
     n = len(b.text)
     words = b.text.count(" ") + 1
@@ -149,17 +182,20 @@ class Field:
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray):
         self.weights, self.steps = weights, [[float(x) for x in row] for row in steps]
-        self._paths: dict = {}
 
     def scores(self, blocks: list[Block]) -> list[float]:
         get, out = self.weights.get, []
+        inherited: dict[Path, float] = {}  # weights of what an element and those around it add
         for b in blocks:
-            key = (b.tags, b.names)
-            if key not in self._paths:
-                if len(self._paths) > 50_000:
-                    self._paths.clear()
-                self._paths[key] = sum(get(f, 0.0) for f in _path_features(b.tags, b.names))
-            out.append(self._paths[key] + sum(get(f, 0.0) for f in _text_features(b)))
+            above, at = [], b.path
+            while at and at not in inherited:
+                above.append(at)
+                at = at.above
+            total = inherited[at] if at else 0.0
+            for p in reversed(above):
+                total += sum(get(f, 0.0) for f in p.added)
+                inherited[p] = total
+            out.append(total + sum(get(f, 0.0) for f in b.path.own) + sum(get(f, 0.0) for f in _text_features(b)))
         return out
 
     def decode(self, blocks: list[Block]) -> list[bool]:
@@ -194,7 +230,7 @@ def train(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS) -> Fi
         mask[i, : len(blocks)] = True
         gold[i, : len(labels)] = labels
         for j, b in enumerate(blocks):
-            for f in _path_features(b.tags, b.names) + _text_features(b):
+            for f in b.path.features() + _text_features(b):
                 where.append(i * longest + j)
                 which.append(index.setdefault(f, len(index)))
     where, which = np.array(where), np.array(which)
@@ -315,9 +351,11 @@ def labelled_pages(n: int = PAGES, seed: int = 11) -> list[str]:
     return pages
 
 
+@lru_cache(maxsize=1)
 def trained(n: int = PAGES, seed: int = 11) -> Field:
-    parsed = [parse(p) for p in labelled_pages(n, seed)]
-    return train([(blocks, ["keep" in b.names for b in blocks]) for blocks in parsed])
+    """Of the labelled pages; made once in a driver."""
+    parsed = [parse(p, labelled=True) for p in labelled_pages(n, seed)]
+    return train([(blocks, [b.keep for b in blocks]) for blocks in parsed])
 
 
 def main_text(page: str, model: Field) -> str:
