@@ -3,75 +3,112 @@
 Inner products become distances: with M the largest norm, every candidate x gets one more coordinate, sqrt(M^2 - |x|^2), and
 every query 0, so that |q - x|^2 = |q|^2 + M^2 - 2 q.x, and a query's best scores are its nearest candidates.
 
-1. Pivots are a bounded sample of candidates. Candidates and queries go to the cell of their nearest pivot.
+1. Pivots are a sample of candidates by hash, ``PIVOTS`` at most or little more. Candidates and queries go to the cell of
+   their nearest pivot.
 2. Cell summaries (largest and smallest distance to the pivot, and the k + 1 smallest ones) bound, for each cell of
    queries, the distance of the k-th neighbour: theta. Triangle inequalities then tell which candidates of a cell
    can matter: those whose distance to their pivot is within U + theta of the distance between the pivots.
 3. Cells of candidates are packed into blocks of about ``BLOCK`` vectors, and cells of queries into groups of at most about
    ``QUERIES``. A block goes to the groups that need any of it and to no others; within a group each query checks a
    block's bound against its own k-th score before it multiplies.
-4. A task keeps k + 1 candidates for each query of the groups it meets, and a last aggregation merges the tasks' lists.
+4. A task keeps k candidates for each query of the groups it meets, and a window with a limit before its shuffle merges them.
 
-A hot cell is many blocks and many groups, so no task holds a whole cell. Scores are exact integers.
+A hot cell is many blocks and many groups, so no task holds a whole cell. Scores are exact integers: in floating point or 64
+bits where the norms prove that enough, and in Python's integers for wide vectors (norm of 2^31 or more), which take no
+part in the geometry: as candidates they go to every group, as queries they get every block.
 
-Defined results: vectors that are null, empty, or hold a null or non-finite component take no part, nor do vectors whose length isn't
-the commonest one (the smaller one of equally common ones) or whose id is null; ties go to the smaller vec_id; rows that
-repeat a query's id and vector are one query, and one row of them is its own; other rows with its id are candidates; no
+Defined results: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; of
+two lengths the shorter vector counts as filled up with zeros, and an empty one is all zeros; ties go to the smaller
+vec_id; each row is a query or candidate of its own, so a repeated query row is answered each time and other rows with a
+query's id are candidates; a score beyond 64 bits is ranked by its true value and given as the nearest 64-bit integer; no
 candidates give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import Staging, table
 
 K = 5
 BLOCK, QUERIES = 2048, 512
+#: Wide vectors, whose products are made one by one, have smaller blocks and groups.
+WIDE_BLOCK, WIDE_QUERIES = 256, 64
 #: Pivots: about the square root of the number of candidates, within these.
 PIVOTS = (8, 1024)
 #: Relative slack of the bounds, which are computed in floating point.
 SLACK = 1e-9
+#: Where a list is not full yet.
+_WORST, _NONE = -(2**63 - 1), np.iinfo(np.int64).max
+_MOST = 2**63 - 1
 
 
-def quantised(vector: Column) -> Column:
-    """floor(256 x) of every component; null if the vector takes no part."""
+def usable(vector: Column) -> Column:
+    """The components as doubles (an empty vector as one zero); null if the vector takes no part."""
     as_double = F.transform(vector, lambda x: x.cast("double"))
-    fine = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float(2**40)))
-    return F.when(F.coalesce(fine, F.lit(False)) & (F.size(vector) > 0), F.transform(as_double, lambda x: F.floor(x * 256).cast("long")))
+    fine = F.forall(as_double, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(F.coalesce(fine, F.lit(False)), F.when(F.size(vector) == 0, F.array(F.lit(0.0))).otherwise(as_double))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(-1, dim)
 
 
-def _lifted(x: np.ndarray, most: float) -> np.ndarray:
-    """Candidates with the coordinate that makes all norms equal."""
-    x = x.astype(np.float64)
-    return np.hstack([x, np.sqrt(np.maximum(most - (x * x).sum(axis=1), 0))[:, None]])
+def _by_length(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length of vectors in a batch, and the rows that have it."""
+    for dim in np.unique(dims).tolist():
+        yield dim, np.flatnonzero(dims == dim)
+
+
+class Geometry:
+    """Pivots (all of one length) lifted to norm M, and distances to them."""
 
+    def __init__(self, pivots: np.ndarray, most: float):
+        self.pivots, self.most = pivots.astype(np.float64), most
+        self.lift = self._lifts(self.pivots)
+        #: Rounding of a squared distance is relative to M^2, so this is what a small distance can be off by.
+        self.off = 4 * most * math.sqrt((pivots.shape[1] + 4) * np.finfo(np.float64).eps)
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    square = (x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1) - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(square, 0))
+    def _lifts(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.most**2 - (x * x).sum(axis=1), 0))
+
+    def distances(self, x: np.ndarray, lifted: bool) -> np.ndarray:
+        x = x.astype(np.float64)
+        c = min(x.shape[1], self.pivots.shape[1])
+        cross = x[:, :c] @ self.pivots[:, :c].T
+        if lifted:
+            square = 2 * self.most**2 - 2 * (cross + self._lifts(x)[:, None] * self.lift)
+        else:
+            square = (x * x).sum(axis=1)[:, None] + self.most**2 - 2 * cross
+        return np.sqrt(np.maximum(square, 0))
 
 
-def _to_binary(vectors: DataFrame) -> DataFrame:
-    """(id, items) with the vector as 64-bit integers in a row, and query."""
+def _packed(vectors: DataFrame) -> DataFrame:
+    """rid, id, query, dim, wide, norm, and items: floor(256 x) as 64-bit integers, or x as it is for wide vectors."""
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            column = batch.column(1)
-            values, ends = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
-            rows = [values[b - n : b].tobytes() for b, n in zip(ends, np.diff(ends, prepend=0), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], names=["id", "items", "query"])
-
-    return vectors.mapInArrow(packed, "id bigint, items binary, query boolean")
+            if not batch.num_rows:
+                continue
+            column = batch.column(2)
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+            with np.errstate(over="ignore", invalid="ignore"):
+                whole = np.floor(values * 256)
+                square = np.add.reduceat(whole * whole, ends - sizes)
+            wide = ~(square < 2.0**62)
+            small = np.where(np.repeat(wide, sizes), 0, whole).astype(np.int64)
+            items = [(values if w else small)[b - n : b].tobytes() for w, b, n in zip(wide.tolist(), ends.tolist(), sizes.tolist(), strict=True)]
+            cols = [batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int32()), pa.array(wide), pa.array(np.sqrt(np.where(wide, 0, square))), pa.array(items, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "id", "query", "dim", "wide", "norm", "items"])
+
+    return vectors.mapInArrow(packed, "rid bigint, id bigint, query boolean, dim int, wide boolean, norm double, items binary")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, queries: int = QUERIES) -> DataFrame:
@@ -79,56 +116,56 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
     spark = vectors.sparkSession
     staging = Staging(spark, "knn")
     out = "query_id bigint, rank int, vec_id bigint, score bigint"
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    dims = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    if dims is None:
-        return spark.createDataFrame([], out)
-    dim, n = dims["dim"], dims["count"]
-    rows = staging.write(_to_binary(rows.where(F.size("v") == dim)), "vectors")
-
-    # pivots: rows with the smallest hashes
-    wanted = int(min(max(PIVOTS[0], round(n**0.5)), PIVOTS[1]))
-    picked = rows.select("id", "items").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-
-    def norms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = 0.0
-        for batch in it:
-            x = _matrix(batch.column(0), dim).astype(np.float64)
-            best = max(best, float((x * x).sum(axis=1).max(initial=0.0)))
-        yield pa.RecordBatch.from_arrays([pa.array([best])], names=["norm"])
-
-    most = rows.select("items").mapInArrow(norms, "norm double").agg(F.max("norm")).first()[0]
-    pivots = _lifted(np.stack([np.frombuffer(r["items"], np.int64) for r in picked]), most)
-    shared = spark.sparkContext.broadcast((pivots, most))
+    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("long").alias("id"), usable(F.col("embedding")).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query"))
+    rows = staging.write(_packed(rows.where(F.col("id").isNotNull() & F.col("v").isNotNull())), "vectors")
+    wide, narrow = rows.where("wide"), rows.where("not wide")
+    n_wide, n_wide_queries = wide.agg(F.count(F.lit(1)), F.count_if("query")).first()
+    common = narrow.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
+    n, most = narrow.agg(F.count(F.lit(1)), F.max("norm")).first()
+
+    pivots = np.zeros((1, 1), np.int64)
+    if common:  # rows with the smallest hashes, of the commonest length
+        wanted = min(max(PIVOTS[0], round(n**0.5)), PIVOTS[1])
+        share = F.pmod(F.xxhash64("rid"), F.lit(1 << 40)) < int((1 << 40) * min(1.0, wanted / common["count"]))
+        own = narrow.where(F.col("dim") == common["dim"])
+        picked = own.where(share).select("items").collect() or own.select("items").limit(1).collect()
+        pivots = np.stack([np.frombuffer(r["items"], np.int64) for r in picked])
+    shared = spark.sparkContext.broadcast(Geometry(pivots, most or 0.0))
 
     def celled(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, top = shared.value
+        geometry = shared.value
         for batch in it:
-            x = _matrix(batch.column(1), dim)
-            d = _distances(_lifted(x, top), centres)
-            cell = d.argmin(axis=1)
-            flat = _distances(np.hstack([x.astype(np.float64), np.zeros((len(x), 1))]), centres)
-            near = flat.argmin(axis=1)
-            at = np.arange(len(x))
-            cols = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[at, cell]), pa.array(near.astype(np.int32)), pa.array(flat[at, near])]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "items", "query", "cell", "far", "qcell", "qfar"])
-
-    rows = staging.write(rows.mapInArrow(celled, "id bigint, items binary, query boolean, cell int, far double, qcell int, qfar double"), "cells")
+            cell, far, qcell, qfar = (np.zeros(batch.num_rows, t) for t in (np.int32, np.float64, np.int32, np.float64))
+            for dim, own in _by_length(batch.column(3).to_numpy()):
+                x, at = _matrix(batch.column(4).take(pa.array(own)), dim), np.arange(len(own))
+                for where, what, lifted in ((cell, far, True), (qcell, qfar, False)):
+                    d = geometry.distances(x, lifted)
+                    where[own] = d.argmin(axis=1)
+                    what[own] = d[at, where[own]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, (cell, far, qcell, qfar))], names=["rid", "id", "query", "dim", "items", "cell", "far", "qcell", "qfar"])
+
+    kinds = "rid bigint, id bigint, query boolean, dim int, items binary"
+    rows = staging.write(narrow.select("rid", "id", "query", "dim", "items").mapInArrow(celled, kinds + ", cell int, far double, qcell int, qfar double"), "cells")
 
     # summaries, a few numbers for each pivot
-    closest = rows.select("cell", "far").mapInArrow(_closest(k + 1), "cell int, far double").groupBy("cell").agg(F.slice(F.sort_array(F.collect_list("far")), 1, k + 1).alias("near"))
-    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    near = {r["cell"]: r["near"] for r in closest.collect()}
+    closest = rows.select("cell", "far").mapInArrow(_closest(k + 1), "cell int, far double")
+    by_far = Window.partitionBy("cell").orderBy("far")
+    near: dict[int, list[float]] = {}
+    for r in closest.withColumn("at", F.row_number().over(by_far)).where(F.col("at") <= k + 1).collect():
+        near.setdefault(r["cell"], []).append(r["far"])
+    sizes = {r["cell"]: r["count"] for r in rows.groupBy("cell").count().collect()}
     reach = {r["qcell"]: (r["u"], r["n"]) for r in rows.where("query").groupBy("qcell").agg(F.max("qfar").alias("u"), F.count(F.lit(1)).alias("n")).collect()}
-    if not reach:
+    if not reach and not n_wide_queries:
         return spark.createDataFrame([], out)
-    between = _distances(pivots, pivots)
+    geometry = shared.value
+    between, off = geometry.distances(geometry.pivots, True), geometry.off
     theta = {}
     for i, (u, _) in reach.items():
         upper = np.sort(np.concatenate([u + between[i, j] + np.array(d) for j, d in near.items()]))
-        theta[i] = float(upper[k]) * (1 + SLACK) if len(upper) > k else float("inf")
-    blocks = {r["cell"]: -(-r["n"] // block) for r in sizes}
+        theta[i] = float(upper[k]) * (1 + SLACK) + 3 * off if len(upper) > k else float("inf")
+    parts = np.ones(len(pivots), np.int64)
+    for c, m in sizes.items():
+        parts[c] = -(-m // block)
     groups, taken = {}, (0, 0)  # small cells of queries share a group, large ones are dealt over several
     for i, (_, m) in sorted(reach.items(), key=lambda x: -x[1][1]):
         if m > queries:
@@ -137,103 +174,146 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
         else:
             taken = (taken[0] + 1, m) if not taken[0] or taken[1] + m > queries else (taken[0], taken[1] + m)
             groups[i] = (taken[0], 1)
-    plan = spark.sparkContext.broadcast((between, reach, theta, blocks, groups))
+    n_groups, n_wide_groups = taken[0], -(-n_wide_queries // WIDE_QUERIES)  # wide queries' groups have the numbers behind
+    plan = spark.sparkContext.broadcast((between, off, reach, theta, parts, groups))
 
     def dealt(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, _, many, _ = plan.value
+        many = plan.value[4]
         for batch in it:
-            cell = batch.column(1).to_numpy()
-            salt = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
-            part = np.array([int(s) % many[c] for s, c in zip(salt, cell.tolist(), strict=True)], np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())], names=["id", "cell", "items", "far", "part"])
+            part = _salt(batch.column(0), 0x9E3779B97F4A7C15) % many[batch.column(4).to_numpy()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["rid", "id", "dim", "items", "cell", "far", "part"])
 
     def block_of(rows: pa.Table) -> pa.Table:
         """One row for a block and each group of queries that may need some of it, with the vectors that it may need."""
-        dist, far_of, limit, _, where = plan.value
+        dist, off, far_of, limit, _, where = plan.value
         j = rows.column("cell")[0].as_py()
         far = rows.column("far").to_numpy()
-        need: dict[int, list] = {}
+        need: dict[int, list] = {n_groups + 1 + g: [-1.0, float("inf")] for g in range(n_wide_groups)}
         for i, (u, _) in far_of.items():
-            slack = (u + limit[i] + dist[i, j]) * SLACK
+            slack = (u + limit[i] + dist[i, j]) * SLACK + 3 * off
             low, high = dist[i, j] - u - limit[i] - slack, dist[i, j] + u + limit[i] + slack
             if far.max() >= low and far.min() <= high:
                 for g in range(where[i][0], where[i][0] + where[i][1]):
                     span = need.setdefault(g, [low, high])
                     span[0], span[1] = min(span[0], low), max(span[1], high)
-        ids, x = rows.column("id").to_numpy(), rows.column("items").combine_chunks()
-        x = _matrix(x, dim)
-        made = {"grp": [], "ids": [], "block": []}
+        rids, ids, dim = rows.column("rid").to_numpy(), rows.column("id").to_numpy(), rows.column("dim")[0].as_py()
+        x = _matrix(rows.column("items").combine_chunks(), dim)
+        made = {k: [] for k in ("grp", "dim", "wide", "rids", "ids", "block")}
         for g, (low, high) in need.items():
             own = (far >= low) & (far <= high)
-            made["grp"].append(g)
-            made["ids"].append(ids[own].astype(np.int64).tobytes())
-            made["block"].append(x[own].tobytes())
-        return pa.table({"grp": pa.array(made["grp"], pa.int32()), "ids": pa.array(made["ids"], pa.binary()), "block": pa.array(made["block"], pa.binary())})
-
-    parted = rows.select("id", "cell", "items", "far").mapInArrow(dealt, "id bigint, cell int, items binary, far double, part int")
-    packed = staging.write(parted.groupBy("cell", "part").applyInArrow(block_of, "grp int, ids binary, block binary"), "blocks")
+            if not own.any():
+                continue
+            for name, value in zip(made, (g, dim, False, rids[own].tobytes(), ids[own].tobytes(), x[own].tobytes()), strict=True):
+                made[name].append(value)
+        return pa.table(made, schema=_BLOCKS)
+
+    parted = rows.select("rid", "id", "dim", "items", "cell", "far").mapInArrow(dealt, "rid bigint, id bigint, dim int, items binary, cell int, far double, part int")
+    packed = parted.groupBy("cell", "dim", "part").applyInArrow(block_of, _BLOCK_DDL)
+    if n_wide:
+        every = F.explode(F.sequence(F.lit(1), F.lit(n_groups + n_wide_groups)))
+        parted = wide.select("rid", "id", "dim", "items", F.pmod(F.xxhash64("rid"), F.lit(-(-n_wide // WIDE_BLOCK))).alias("part"))
+        packed = packed.unionByName(parted.groupBy("dim", "part").applyInArrow(_wide_block, _BLOCK_DDL).withColumn("grp", every))
+    packed = staging.write(packed, "blocks")
 
     def grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        *_, where = plan.value
+        where = plan.value[5]
         for batch in it:
-            salt = batch.column(0).to_numpy().astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)
-            grp = [where[c][0] + int(s) % where[c][1] for s, c in zip(salt, batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grp, pa.int32())], names=["id", "items", "grp"])
+            salt = _salt(batch.column(0), 0xC2B2AE3D27D4EB4F).tolist()
+            grp = [where[c][0] + s % where[c][1] for s, c in zip(salt, batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(grp, pa.int32())], names=["rid", "id", "dim", "items", "grp"])
 
     def group_of(rows: pa.Table) -> pa.Table:
-        return pa.table({"grp": rows.column("grp")[:1], "qids": pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()), "qs": pa.array([b"".join(x.as_py() for x in rows.column("items"))], pa.binary())})
+        one = {"grp": rows.column("grp")[:1], "qdim": rows.column("dim")[:1]}
+        return pa.table(one | {"qrids": pa.array([rows.column("rid").to_numpy().tobytes()]), "qids": pa.array([rows.column("id").to_numpy().tobytes()]), "qs": pa.array([b"".join(x.as_py() for x in rows.column("items"))], pa.binary())})
 
-    asked = rows.where("query").select("id", "items", "qcell").mapInArrow(grouped, "id bigint, items binary, grp int").distinct()
-    asked = staging.write(asked.groupBy("grp").applyInArrow(group_of, "grp int, qids binary, qs binary"), "groups")
+    asked = rows.where("query").select("rid", "id", "dim", "items", "qcell").mapInArrow(grouped, "rid bigint, id bigint, dim int, items binary, grp int")
+    if n_wide_queries:
+        number = (F.pmod(F.xxhash64("rid"), F.lit(n_wide_groups)) + n_groups + 1).cast("int")
+        asked = asked.unionByName(wide.where("query").select("rid", "id", "dim", "items", number.alias("grp")))
+    asked = staging.write(asked.groupBy("grp", "dim").applyInArrow(group_of, "grp int, qdim int, qrids binary, qids binary, qs binary"), "groups")
 
     def solved(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}  # by group: query ids, vectors, scores and ids so far
+        best: dict[tuple[int, int], list] = {}  # by group and length: query rows, ids, vectors, and scores and ids so far
         held = 0
+        names = ["qrid", "query_id", "score", "more", "vec_id"]
 
         def lists() -> Iterator[pa.RecordBatch]:
-            for qids, q, score, ids in best.values():
-                own = ids != _NONE
-                qn, at = np.nonzero(own)
-                order = [pa.array(qids[qn]), pa.array([q[a].tobytes() for a in qn], pa.binary()), pa.array(score[qn, at]), pa.array(ids[qn, at])]
-                yield pa.RecordBatch.from_arrays(order, names=["query_id", "q", "score", "vec_id"])
+            for qrids, qids, _, score, ids in best.values():
+                qn, at = np.nonzero((ids != _NONE) & (score != _WORST))
+                yield pa.RecordBatch.from_arrays([pa.array(qrids[qn]), pa.array(qids[qn]), pa.array(score[qn, at]), pa.nulls(len(qn), pa.binary()), pa.array(ids[qn, at])], names=names)
             best.clear()
 
         for batch in it:
-            for g, ids, x, qids, q in zip(*batch.columns, strict=True):
-                g, ids = g.as_py(), np.frombuffer(ids.as_buffer(), np.int64)
-                x = np.frombuffer(x.as_buffer(), np.int64).reshape(-1, dim)
-                if g not in best:
+            for g, dim, is_wide, rids, ids, x, qdim, qrids, qids, q in zip(*batch.columns, strict=True):
+                g, dim, qdim, is_wide = g.as_py(), dim.as_py(), qdim.as_py(), is_wide.as_py()
+                rids, ids = (np.frombuffer(v.as_buffer(), np.int64) for v in (rids, ids))
+                if is_wide or g > n_groups:
+                    own = (np.frombuffer(v.as_buffer(), np.int64) for v in (qrids, qids))
+                    yield pa.RecordBatch.from_arrays(_exact(*own, _integers(q.as_py(), qdim, g > n_groups), rids, ids, _integers(x.as_py(), dim, is_wide), k), names=names)
+                    continue
+                if (g, qdim) not in best:
                     if held > 64 * QUERIES:
                         yield from lists()
                         held = 0
-                    qids, q = np.frombuffer(qids.as_py(), np.int64), np.frombuffer(q.as_py(), np.int64).reshape(-1, dim)
-                    best[g] = (qids, q, np.full((len(qids), k + 1), _WORST), np.full((len(qids), k + 1), _NONE))
+                    qrids, qids = (np.frombuffer(v.as_py(), np.int64) for v in (qrids, qids))
+                    best[g, qdim] = [qrids, qids, np.frombuffer(q.as_py(), np.int64).reshape(-1, qdim), np.full((len(qids), k), _WORST), np.full((len(qids), k), _NONE)]
                     held += len(qids)
-                best[g] = _merge(best[g], ids, x, k + 1)
+                _merge(best[g, qdim], rids, ids, np.frombuffer(x.as_buffer(), np.int64).reshape(-1, dim), k)
         yield from lists()
 
-    lists = packed.join(asked, "grp").select("grp", "ids", "block", "qids", "qs").mapInArrow(solved, "query_id bigint, q binary, score bigint, vec_id bigint")
+    both = packed.join(asked, "grp").select("grp", "dim", "wide", "rids", "ids", "block", "qdim", "qrids", "qids", "qs")
+    lists = both.mapInArrow(solved, "qrid bigint, query_id bigint, score bigint, more binary, vec_id bigint")
+    order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.desc("more"), "vec_id")
+    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def ranked(rows: pa.Table) -> pa.Table:
-        """The last merge of one query's lists, without its own row."""
-        q = np.frombuffer(rows.column("q")[0].as_py(), np.int64)
-        query, own = rows.column("query_id")[0].as_py(), int(sum(int(a) * int(a) for a in q))
-        score, ids = rows.column("score").to_numpy(), rows.column("vec_id").to_numpy()
-        order = np.lexsort((ids, -score))[: k + 1]
-        left, seen = [], False
-        for a in order:
-            if not seen and ids[a] == query and score[a] == own:
-                seen = True
-            else:
-                left.append(a)
-        left = left[:k]
-        return pa.table({"query_id": pa.array([query] * len(left), pa.int64()), "rank": pa.array(range(1, len(left) + 1), pa.int32()), "vec_id": pa.array(ids[left], pa.int64()), "score": pa.array(score[left], pa.int64())})
 
-    return lists.groupBy("query_id", "q").applyInArrow(ranked, out)
+_BLOCKS = pa.schema([("grp", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("rids", pa.binary()), ("ids", pa.binary()), ("block", pa.binary())])
+_BLOCK_DDL = "grp int, dim int, wide boolean, rids binary, ids binary, block binary"
 
 
-#: Where a list is not full yet.
-_WORST, _NONE = -(1 << 62), np.iinfo(np.int64).max
+def _wide_block(rows: pa.Table) -> pa.Table:
+    """The wide vectors of one block in a row."""
+    rids, ids = (rows.column(c).to_numpy().tobytes() for c in ("rid", "id"))
+    made = {"grp": [0], "dim": rows.column("dim")[:1].to_pylist(), "wide": [True], "rids": [rids], "ids": [ids], "block": [b"".join(x.as_py() for x in rows.column("items"))]}
+    return pa.table(made, schema=_BLOCKS)
+
+
+def _salt(rids: pa.Array, by: int) -> np.ndarray:
+    return (rids.to_numpy().astype(np.uint64) * np.uint64(by) >> np.uint64(32)).astype(np.int64)
+
+
+def _integers(data: bytes, dim: int, is_wide: bool) -> np.ndarray:
+    """Vectors as Python's integers."""
+    if not is_wide:
+        return np.frombuffer(data, np.int64).reshape(-1, dim).astype(object)
+    whole = [int(x) * 256 if abs(x) >= 2**53 else math.floor(x * 256) for x in np.frombuffer(data, np.float64).tolist()]
+    out = np.empty(len(whole), object)
+    out[:] = whole
+    return out.reshape(-1, dim)
+
+
+def _ordered(score: int) -> bytes | None:
+    """For scores at the ends of 64 bits or beyond, bytes in the order of the scores."""
+    if abs(score) < _MOST:
+        return None
+    raw = abs(score).to_bytes((score.bit_length() + 7) // 8, "big")
+    raw = len(raw).to_bytes(4, "big") + raw
+    return b"\x01" + raw if score > 0 else b"\x00" + bytes(255 - b for b in raw)
+
+
+def _exact(qrids: np.ndarray, qids: np.ndarray, q: np.ndarray, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[pa.Array]:
+    """The k best candidates of a block for each query by exact products: rows of qrid, query_id, score, more, vec_id."""
+    c = min(q.shape[1], x.shape[1])
+    made = q[:, :c].dot(x[:, :c].T)
+    found: list[list] = [[], [], [], [], []]
+    for a in range(len(q)):
+        order = sorted((b for b in range(len(x)) if rids[b] != qrids[a]), key=lambda b: (-made[a, b], ids[b]))[:k]  # noqa: B023
+        for b in order:
+            score = made[a, b]
+            row = (qrids[a], qids[a], max(-_MOST - 1, min(_MOST, score)), _ordered(score), ids[b])
+            for column, value in zip(found, row, strict=True):
+                column.append(value)
+    return [pa.array(v, t) for v, t in zip(found, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)]
 
 
 def _closest(k: int):
@@ -252,23 +332,29 @@ def _closest(k: int):
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point where that is exact."""
+    """Integer inner products of vectors that aren't wide; in floating point where that is exact."""
     size = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
     return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if size < 2**52 else q @ x.T
 
 
-def _merge(state: tuple, ids: np.ndarray, x: np.ndarray, k: int) -> tuple:
-    """State with a block's candidates; queries whose k-th score the block can't reach are left alone."""
-    qids, q, score, best = state
+def _merge(state: list, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+    """Puts a block's candidates into the state; queries whose k-th score the block can't reach are left alone."""
+    qrids, _, q, score, best = state
     if not len(x):
-        return state
+        return
+    c = min(q.shape[1], x.shape[1])
+    q, x = q[:, :c], x[:, :c]
     centre = x.mean(axis=0)
     radius = np.sqrt(((x - centre) ** 2).sum(axis=1).max())
-    bound = q @ centre + np.sqrt((q.astype(np.float64) ** 2).sum(axis=1)) * radius
-    open_ = np.flatnonzero(bound * (1 + 1e-9) + 1 >= score[:, -1])
+    norm = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+    bound = q @ centre + norm * radius
+    bound += 1e-9 * norm * (np.sqrt((centre**2).sum()) + radius) + 1
+    open_ = np.flatnonzero(bound >= score[:, -1])
     if not len(open_):
-        return state
+        return
     made = _products(q[open_], x)
+    _, own, at = np.intersect1d(qrids[open_], rids, return_indices=True)
+    made[own, at] = _WORST  # a query isn't its own neighbour
     if len(x) > 4 * k:  # ties at the k-th place stay, as ids decide among them
         floor = np.maximum(-np.partition(-made, k - 1, axis=1)[:, k - 1], score[open_, -1])
         rows, cols = np.nonzero(made >= floor[:, None])
@@ -280,9 +366,7 @@ def _merge(state: tuple, ids: np.ndarray, x: np.ndarray, k: int) -> tuple:
     order = np.lexsort((names, -scores, every))
     starts = np.searchsorted(every[order], np.arange(len(open_)))
     take = order[starts[:, None] + np.arange(k)]
-    score, best = score.copy(), best.copy()
     score[open_], best[open_] = scores[take], names[take]
-    return qids, q, score, best
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +376,12 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (
   SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.rid AS qrid, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.rid <> c.rid WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5
 """
