@@ -46,6 +46,16 @@ def test_chat_parts_become_placeholders(spark):
     assert "see <\\|image|> <|image|><|audio|>ok<|document|>" in r.formatted
     assert [(a.kind, a.ref, a.place, a.n_tokens) for a in r.attachments] == [("image", "a.png", 0, 3), ("audio", "b.wav", 1, 63), ("document", "c.pdf", 2, 768)]
     assert chat.format_chats(rows.where("false")).count() == 0
+    content = chat.contents(F.col("formatted"))[0]
+    back = chat.format_chats(rows).select(chat.read_parts(content).alias("p")).first().p
+    assert [(p.kind, p.text) for p in back] == [("text", "see <|image|> "), ("image", None), ("audio", None), ("text", "ok"), ("document", None)]
+
+
+def test_chat_kinds_forge_no_control_strings(spark):
+    parts = [("text", "a", None, None, None, None, None), ("end", None, "r", None, None, None, None), ("turn", "<|turn|>", None, None, None, None, None), ("text|>", "b", None, None, None, None, None)]
+    rows = spark.createDataFrame([(1, 0, "user", parts), (1, 0, "user", parts), (None, 0, "<|end|>", parts[:1]), (2, 1, None, None)], f"conv_id long, turn long, role string, parts {chat.PARTS}")
+    got = {r.conv_id: ([(t.role, t.text) for t in r.b], r.attachments) for r in chat.format_chats(rows).select("conv_id", chat.read_back(F.col("formatted")).alias("b"), "attachments").collect()}
+    assert got == {1: ([("user", "a<|turn|>b")] * 2, []), None: ([("<|end|>", "a")], []), 2: ([("", "")], [])}
 
 
 # decontamination
@@ -126,6 +136,26 @@ def test_context_discovers_numbers_with_spaces_and_brackets(spark):
     assert [found[k] for k in range(6)] == [[("phone", "(017) 555-7713")], [("phone", "017 555 7713")], [("phone", "555 867.5309")], [], [("card", "4111 1111 1111 1112")], [("phone", "(017)555-7713")]]
 
 
+def test_context_words_are_whole_however_long(spark):
+    long, gap = "w" * 3000, " " * 70000
+    rows = [f"{x} {word}{g}+1 (555) 01{k}-{1000 + k} today" for x, word, g in (("at", long, " "), ("by", "hotline", gap)) for k in range(10, 30)]
+    rows += [f"at {long} 555-867-5309 today", f"at x{long} 555-867-5301 today", f"by hotline{gap}555-867-5302 today", "555-867-5303"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id - 40: [s.kind for s in r.spans] for r in pii.find_pii(docs).where("doc_id >= 40").collect()}
+    assert found == {0: ["phone"], 1: [], 2: ["phone"], 3: []}
+
+
+def test_context_goes_on_while_it_finds(spark):
+    """Each place's numbers are only known by those of the place before it, so three rounds find something."""
+    seeds = [f"+1 (555) 010-{k}" for k in range(1000, 1096)]
+    chain = [[f"555-{step}-{k}" for k in range(1000, 1000 + n)] for step, n in ((1, 24), (2, 6), (3, 1))]
+    rows = [f"so {place} is {x} then{place}" for place, known, new in (("p0", seeds, chain[0]), ("p1", chain[0], chain[1]), ("p2", chain[1], chain[2])) for x in known + new]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    assert all(len(r.spans) == 1 for r in pii.find_pii(docs).collect())
+    twice = pii.find_pii(docs.unionByName(docs)).collect()
+    assert len(twice) == 2 * len(rows) and all(len(r.spans) == 1 for r in twice)
+
+
 def test_masking_replaces_spans(spark):
     docs = spark.createDataFrame([(1, "mail me@x.org or 10.0.0.1 now", "a"), (2, None, "b"), (3, "é clean", "c")], "doc_id long, text string, base string")
     got = {r.doc_id: (r.text, r.base) for r in pii.mask_pii(spark, docs, "").collect()}
@@ -136,12 +166,13 @@ def test_masking_replaces_spans(spark):
 
 
 def brute_top(rows, k=5):
-    own = [(i, np.floor(256 * np.array(v, np.float64)).astype(np.int64)) for i, v in rows if v is not None and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
+    """By Python's integers; a shorter vector counts as filled up with zeros."""
+    own = [(i, [math.floor(256 * x) if abs(x) < 2**53 else int(x) * 256 for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for a, (i, q) in enumerate(own):
         if i % 50 == 0:
-            best = sorted((-int(q @ x), j) for b, (j, x) in enumerate(own) if b != a)[:k]
-            out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+            best = sorted((-sum(s * t for s, t in zip(q, x, strict=False)), j) for b, (j, x) in enumerate(own) if b != a)[:k]
+            out += [(i, r, j, max(-(2**63), min(2**63 - 1, -s))) for r, (s, j) in enumerate(best, 1)]
     return sorted(out)
 
 
@@ -149,7 +180,8 @@ def brute_top(rows, k=5):
 def test_search_equals_brute_force_with_ties_and_voids(spark, block, queries):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=8), 1)]) for i in range(260)]
-    rows += [(260 + i, rows[0][1]) for i in range(20)] + [(300, None), (350, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (450, [1.0]), (500, [0.0] * 8)]
+    rows += [(260 + i, rows[0][1]) for i in range(20)] + [(300, None), (350, [1.0, None] + [0.0] * 6), (400, [float("nan")] * 8), (450, [1.0]), (500, [0.0] * 8), (550, [float("inf")] * 8)]
+    rows += [(600, []), (601, [-0.5, 0.25, 3.0]), (650, [0.5] * 11), (0, rows[0][1]), (0, rows[0][1]), (0, rows[1][1]), (None, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
     got = knn.nearest(df, F.col("vec_id") % 50 == 0, block=block, queries=queries)
@@ -160,6 +192,17 @@ def test_search_equals_brute_force_with_ties_and_voids(spark, block, queries):
     assert knn.nearest(few, F.col("vec_id") % 50 == 0).count() == 2
 
 
+def test_search_is_exact_beyond_64_bits(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
+    rows += [(150, [2.0**41, 1.0, 0.0, 0.0, -3.0, 0.5]), (200, [2.0**39] * 6), (201, [2.0**39] * 5 + [2.0**39 + 1]), (202, [-(2.0**45)] * 6), (250, [1e300, -1e300, 1e308, 0.0, 0.0, 1.0]), (251, [1e300, 1e300, 0.0, 0.0, 0.0, 1.0]), (300, [2.0**22 + 0.5] * 6), (301, [30000.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    got = knn.nearest(df, F.col("vec_id") % 50 == 0, block=32, queries=2)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    assert sorted(map(tuple, knn.nearest(df.where("vec_id >= 200"), F.col("vec_id") % 50 == 0).collect())) == brute_top([r for r in rows if r[0] >= 200])
+
+
 def test_search_query_equals_its_sql(spark, duck):
     assert_same(knn.op5_top_k(spark, DATA).toPandas(), duck.execute(knn.ORACLE).fetchdf())
 
@@ -192,6 +235,22 @@ def test_shards_give_the_stream_back(spark, tmp_path):
     assert shards.write_shards(docs.where("false"), str(tmp_path / "none")).count() == 0
 
 
+def test_shards_of_many_partitions_and_a_second_run(spark, tmp_path):
+    rows = [(None if k % 7 == 0 else k, None if k % 11 == 0 else f"text {k} " * (k % 13), k) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, slot int").repartition(7).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    folder = str(tmp_path / "shards")
+    first = shards.write_shards(docs, folder, key=3, length=16, per_shard=4, tasks=3).orderBy("sequence").collect()
+    held = shards.read_slots(folder, 0, 10**6, 16, 4)
+    again = shards.write_shards(docs, folder, key=3, length=16, per_shard=4, tasks=5).orderBy("sequence").collect()
+    assert first == again and (held == shards.read_slots(folder, 0, 10**6, 16, 4)).all()
+    order = shards.Permutation(len(first), 3).slot(np.arange(len(first)))
+    own = held[order].tobytes().split(b"\xff")[:-1]
+    assert sorted(own) == sorted((r.text or "").encode() for r in docs.collect()) and len(own) == 400
+    names = {p.name for p in (tmp_path / "shards").iterdir()} - {"manifest.parquet"}
+    assert names == {shards.shard_name(k) for k in range(-(-len(first) // 4))}
+
+
 def test_shards_of_token_ids(spark, tmp_path):
     spark.createDataFrame([([1, 2, 70000],), (None,), ([],)], "ids array<int>").coalesce(1).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
@@ -219,8 +278,8 @@ def test_held_out_blocks_are_labelled_well():
     model = html_extract.trained()
     wrong = total = 0
     for page in html_extract.labelled_pages(150, seed=77):
-        blocks = html_extract.parse(page)
-        gold = ["keep" in b.names for b in blocks]
+        blocks = html_extract.parse(page, labelled=True)
+        gold = [b.keep for b in blocks]
         wrong += sum(a != b for a, b in zip(gold, model.decode(blocks), strict=True))
         total += len(gold)
     assert wrong / total < 0.03
@@ -228,8 +287,10 @@ def test_held_out_blocks_are_labelled_well():
 
 def test_parser_and_odd_pages(spark):
     odd = [None, "", "   ", "<", "<p", "plain", "<script>var a='<p>x</p>'</script>", "<!-- <p>no</p> -->", "<p>a<p>b<br>c &amp; d<li>e", "<div " + "x" * 20000, "<p>" * 3000 + "deep"]
-    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(odd)], "page_id long, text string, html string")
-    assert html_extract.extract(df).count() == len(odd)
+    rows = [(i, "u", h) for i, h in enumerate(odd)] + [(9, "u", odd[8])] * 2 + [(None, None, "<article><p>" + "very long " * 200000 + "</p></article>")]
+    df = spark.createDataFrame(rows, "page_id long, text string, html string")
+    done = html_extract.extract(df).collect()
+    assert len(done) == len(rows) and len({r.text for r in done[len(odd) : -1]}) == 1 and len(done[-1].text) == 1999999
     assert [b.text for b in html_extract.parse(odd[8])] == ["a", "b c & d", "e"]
     assert html_extract.parse(odd[6]) == [] and html_extract.parse(odd[7]) == []
     assert html_extract.extract(df.where("false")).count() == 0
@@ -237,6 +298,24 @@ def test_parser_and_odd_pages(spark):
     assert html_extract.main_text(article, html_extract.trained()) == "T\n\nBody text of it.\n\nMore text here."
 
 
+def test_pages_without_an_article_element():
+    model = html_extract.trained()
+    page = "<body><div class=topnav><ul><li><a href=#>Home</a></li><li><a href=#>About</a></li></ul></div><div class=content><h1>The title of it</h1><p>A first paragraph that says something at length.</p><p>And a second one, with <a href=#>a link</a> in it.</p></div><div class=sidebar><h3>Related</h3><ul><li><a href=#>Other</a></li></ul></div><div id=footer>&copy; Someone</div></body>"
+    assert html_extract.main_text(page, model) == "The title of it\n\nA first paragraph that says something at length.\n\nAnd a second one, with a link in it."
+    assert [b.text for b in html_extract.parse("<table><tr><td>a<td>b<tr><td><p>c</table>d</div></b>e")] == ["a", "b", "c", "de"]
+
+
+def test_parsing_takes_time_in_proportion_to_the_page():
+    import time
+
+    model = html_extract.trained()
+    for piece in ("<span><p>x</p>", "<div class='a b'><p>x", "<b><article></b>", "<x{0} class='n{0}'>y<p>", "<li><b>"):
+        page = "".join(piece.format(k) for k in range(20000))
+        began = time.perf_counter()
+        html_extract.main_text(page, model)
+        assert time.perf_counter() - began < 8, piece  # quadratic time took minutes
+
+
 # classifiers
 
 
@@ -246,11 +325,12 @@ def test_quality_is_learnt(spark):
     both = got.merge(labels, on="doc_id")
     assert len(got) == pq.read_metadata(f"{DATA}/documents.parquet").num_rows
     assert got.score.between(0, 1).all() and ((got.score >= 0.3).astype(int) == got.predicted).all()
-    good, bad = both[both.quality == 1].score, both[both.quality == 0].score
-    assert np.mean([g > b for g in good for b in bad]) > 0.9
     import zlib
 
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in zip(got.doc_id, got.held_out, strict=True))
+    held = both[both.held_out]  # rows that nothing is learnt from
+    good, bad = held[held.quality == 1].score, held[held.quality == 0].score
+    assert len(good) and len(bad) and np.mean([g > b for g in good for b in bad]) > 0.9
 
 
 def test_trees_split_and_walk_alike():
@@ -263,6 +343,33 @@ def test_trees_split_and_walk_alike():
     assert quality.score(quality.grow(x, np.ones(len(x))), x[:1])[0] > 0.99
 
 
+def test_scores_equal_a_plain_walk():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 3)).round(1)  # with ties at the thresholds
+    model = quality.grow(x, (x[:, 0] + x[:, 2] > 0.2).astype(float))
+
+    def walk(row):
+        raw = model["base"]
+        for tree in range(len(model["feature"])):
+            node = 0
+            while model["left"][tree, node] != node:
+                node = model["left" if row[model["feature"][tree, node]] <= model["threshold"][tree, node] else "right"][tree, node]
+            raw += model["value"][tree, node]
+        return 1 / (1 + math.exp(-raw))
+
+    assert np.allclose(quality.score(model, x), [walk(r) for r in x], atol=1e-12)
+
+
+def test_a_repeated_id_is_learnt_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "grow", lambda x, y: seen.append((x.tolist(), y.tolist())) or {})
+    docs = spark.createDataFrame([(1, t, k) for k, t in enumerate(["one text", "another text here", None, "one text"] * 50)] + [(2, "x", 0)], "doc_id long, text string, quality int").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    quality.fit(docs.orderBy("text"), labels)
+    assert seen[0] == seen[1] and seen[0][1] == [1.0, 0.0]
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, "a b c", 0.5), (1, "a b c", 0.5), (None, None, 0.1), (3, "", 0.2), (4, "word " * 20000, 0.3)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (9, None)], "doc_id long, quality int")
@@ -277,6 +384,20 @@ def test_language_is_learnt(spark, documents):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_scores_equal_plain_sums(spark):
+    rows = [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "b"), (3, "el perro y el gato", "es", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
+    langs, matrix = langid.fit(docs)
+    counts = {}
+    for _, text, lang, _ in rows:
+        for g in langid.hashed(np.array([ord(c) for c in text] + [1, 1, 1], np.uint32)).ravel():
+            counts[lang, g] = counts.get((lang, g), 0) + 1
+    total = {k: sum(n for (lang, _), n in counts.items() if lang == k) + 0.5 * langid.BUCKETS for k in langs}
+    for r in langid.predict(docs, langs, matrix).collect():
+        own = [sum(math.log((counts.get((k, g), 0) + 0.5) / total[k]) for g in langid.hashed(np.array([ord(c) for c in r.text] + [1, 1, 1], np.uint32)).ravel()) for k in langs]
+        assert r.lang_pred == langs[int(np.argmax(own))] and abs(r.score - 1 / sum(math.exp(s - max(own)) for s in own)) < 1e-4
+
+
 def test_language_edge_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "123 ... !", None), (None, "und der", None), (6, "das " * 100000, None), (6, "", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
