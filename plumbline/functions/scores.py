@@ -49,14 +49,15 @@ def margin(distributions: Column) -> Column:
     return mean(F.transform(distributions, one))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Within [-1, 1]; null if a vector is null or has no length."""
+def dot(a: Column, b: Column) -> Column:
+    return total(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
 
-    def dot(x: Column, y: Column) -> Column:
-        return total(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")))
 
-    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.least(F.greatest(dot(a, b) / F.when(size > 0, size), F.lit(-1.0)), F.lit(1.0))
+def cosine(a: Column, b: Column, sizes: Column | None = None) -> Column:
+    """Within [-1, 1]; null if a vector is null or has no length. sizes is the product of the norms where it is known."""
+    if sizes is None:
+        sizes = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.least(F.greatest(dot(a, b) / F.when(sizes > 0, sizes), F.lit(-1.0)), F.lit(1.0))
 
 
 def last(values: Column, k: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.scores import percentile
 from plumbline.operators.labels import LABELS
+from plumbline.operators.sampling import with_rank
 
 
 def dense_labels(labels: DataFrame, slices: list[str]) -> DataFrame:
@@ -62,20 +62,25 @@ def severity_stats(grid: DataFrame, saturated: float = 0.9) -> DataFrame:
     )
 
 
-def order_statistics(rows: DataFrame, value: str, by: list[str], ps: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Mean, population deviation and the entries at floor(p (n - 1)), exact, by ranks instead of gathered lists: a hot group is sorted by many tasks' spills, never held."""
-    from pyspark.sql import Window
+def grid_counts(grid: DataFrame, slices: list[str]) -> DataFrame:
+    """Per slice, probe and severity: rows, valid ones, instances, and whether each instance is there once."""
+    n, own = F.count(F.lit(1)), F.count_distinct("instance_id")
+    return grid.groupBy(*slices, "probe", "severity").agg(n.alias("n"), F.count_if("valid").alias("n_valid"), own.alias("instances"), (n == own).alias("each_once"))
 
-    w = Window.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("x"), F.row_number().over(w.orderBy(value)).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = [F.max(F.when(F.col("i") == F.floor(F.lit(p) * (F.col("n") - 1)) + 1, F.col("x"))).alias(f"p{round(p * 100)}") for p in ps]
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), *at)
 
+def order_statistics(rows: DataFrame, value: str, by: list[str], ps: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """Mean, population deviation and the entries at floor(p (n - 1)) of every group, exact. by must not be null.
 
-def percentiles_of(values: Column, ps: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> list[Column]:
-    """The same entries of an array column."""
-    ordered = F.array_sort(values)
-    return [percentile(ordered, p).alias(f"p{round(p * 100)}") for p in ps]
+    Ranks come from range partitions over groups and values, so a group that holds most rows is sorted by many tasks; the
+    groups' own numbers are a small table that gives each group its first rank.
+    """
+    ranked = with_rank(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("x")), [*by, "x"])
+    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.min("rank").alias("first"))
+    places = F.array(*[F.floor(F.lit(p) * (F.col("n") - 1)) + F.col("first") for p in ps])
+    wanted = groups.withColumn("place", F.explode(F.array_distinct(places))).select("n", "first", *by, F.col("place").alias("rank"))
+    at = [F.max(F.when(F.col("rank") == F.floor(F.lit(p) * (F.col("n") - 1)) + F.col("first"), F.col("x"))).alias(f"p{round(p * 100)}") for p in ps]
+    found = ranked.select("rank", "x").join(wanted, "rank").groupBy(*by).agg(*at)
+    return groups.drop("first").join(found, by)
 
 
 def first_severity(stats: DataFrame) -> DataFrame:
@@ -103,24 +108,34 @@ def run_estimates(observations: DataFrame, clean: DataFrame, models: int) -> Dat
 
 
 def majority(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """The commonest value of each group, the earliest among equals, its count, and how many values share that count."""
+    """The commonest value of each group, the earliest among equals, its count, and how many values share that count.
+
+    Three aggregates with partial sums and no join: by value, by count, by group.
+    """
     counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("at"))
-    best = counts.groupBy(group).agg(F.max_by(value, F.struct("n", -F.col("at"))).alias("winner"), F.max("n").alias("n"))
-    ties = counts.join(best.select(group, F.col("n").alias("top")), group).where(F.col("n") == F.col("top")).groupBy(group).agg(F.count(F.lit(1)).alias("tied"))
-    return best.join(ties, group).select(group, "winner", "n", "tied")
+    level = counts.groupBy(group, "n").agg(F.min_by(value, "at").alias("winner"), F.count(F.lit(1)).alias("tied"))
+    return level.groupBy(group).agg(F.max(F.struct("n", "winner", "tied")).alias("b")).select(group, "b.winner", "b.n", "b.tied")
 
 
 TAUS = tuple(i / 100 for i in range(50, 95, 2))
 
 
 def threshold_table(pairs: DataFrame, taus: tuple[float, ...] = TAUS) -> DataFrame:
-    """Precision, recall and F1 of (similarity, match) at every threshold, in one pass over the pairs: conditional sums, no join."""
-    sums = []
-    for k, t in enumerate(taus):
-        hit = F.col("similarity") >= t
-        sums += [F.count_if(hit & F.col("match")).alias(f"tp{k}"), F.count_if(hit & ~F.col("match")).alias(f"fp{k}"), F.count_if(~hit & F.col("match")).alias(f"fn{k}")]
-    each = F.array(*[F.struct(F.lit(t).alias("tau"), F.col(f"tp{k}").alias("tp"), F.col(f"fp{k}").alias("fp"), F.col(f"fn{k}").alias("fn")) for k, t in enumerate(taus)])
-    rows = pairs.agg(*sums).select(F.explode(each).alias("e")).select("e.*")
+    """Precision, recall and F1 of (similarity, match) at every one of the ascending thresholds.
+
+    A pair counts once, under the number of thresholds that it reaches; the few sums are then added up from the top.
+    """
+    level = F.lit(0)
+    for t in taus:
+        level = level + (F.col("similarity") >= t).cast("int")
+    sums = pairs.where("similarity is not null").groupBy(level.alias("level")).agg(F.count_if("match").alias("pos"), F.count_if(~F.col("match")).alias("neg"))
+    one = sums.agg(F.collect_list(F.struct("level", "pos", "neg")).alias("s"))  # a row for each threshold at most
+
+    def added(name: str, above) -> Column:
+        return F.aggregate(F.filter("s", lambda x: above(x["level"])), F.lit(0).cast("long"), lambda acc, x: acc + x[name])
+
+    each = F.array(*[F.struct(F.lit(t).alias("tau"), added("pos", lambda x, k=k: x > k).alias("tp"), added("neg", lambda x, k=k: x > k).alias("fp"), added("pos", lambda x, k=k: x <= k).alias("fn")) for k, t in enumerate(taus)])
+    rows = one.select(F.explode(each).alias("e")).select("e.*")
     p, r = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0)), F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fn")), F.lit(0.0))
     return rows.withColumns({"precision": p, "recall": r}).withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
 

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def compare_columns(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Every left row with whether it has a partner, and the columns that differ (null equals null)."""
+def compare_columns(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str], carried: list[str] | None = None) -> DataFrame:
+    """Every left row, with its carried columns, whether it has a partner, and the columns that differ (null equals null)."""
     other = right.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_there"))
     both = left.join(other, keys, "left")
     bad = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_{c}")), F.lit(c)) for c in columns]))
     found = F.coalesce("_there", F.lit(False))
-    return both.select(*keys, found.alias("found"), F.when(found, bad).alias("differ"))
+    return both.select(*keys, *(carried or ()), found.alias("found"), F.when(found, bad).alias("differ"))
 
 
 def coverage(expected: DataFrame, observed: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,10 +54,14 @@ def manifest_rules() -> list[Rule]:
     return [*filled, ("relation_applicable is null", F.col("relation_applicable").isNotNull()), ("unknown split", F.col("split").isin(*SPLITS)), ("group_id has no digest", F.col("group_id").rlike("^sha256:[0-9a-f]{16}$"))]
 
 
+def split_rule(splits: Sequence[str]) -> Rule:
+    return ("split is not allowed", F.col("split").isin(*splits))
+
+
 def observation_rules(splits: Sequence[str] = ("train", "val")) -> list[Rule]:
     """Which splits are legal is the caller's choice: a pilot takes two of them, a full run all."""
     shifts = [(f"{c} is not finite", finite(F.col(c))) for c in ("conf_shift", "entropy_shift", "margin_shift")]
-    return [("split is not allowed", F.col("split").isin(*splits)), ("unknown probe", F.col("probe").isin(*CORE_PROBES, "relation")), ("relation probe without relation", (F.col("probe") != "relation") | F.col("relation_applicable")), *shifts, ("semantic_match is not 0 or 1", F.col("semantic_match").isin(0, 1)), ("invalid observation", F.col("valid"))]
+    return [split_rule(splits), ("unknown probe", F.col("probe").isin(*CORE_PROBES, "relation")), ("relation probe without relation", (F.col("probe") != "relation") | F.col("relation_applicable")), *shifts, ("semantic_match is not 0 or 1", F.col("semantic_match").isin(0, 1)), ("invalid observation", F.col("valid"))]
 
 
 def label_rules() -> list[Rule]:

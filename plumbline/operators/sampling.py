@@ -28,7 +28,8 @@ def even_sample(rows: DataFrame, order: list[str], count: int) -> DataFrame:
     if n <= count:
         return ranked.drop("rank")
     places = [n // 2] if count == 1 else sorted({_half_even(i * (n - 1), count - 1) for i in range(count)})
-    return ranked.where(F.col("rank").isin(places)).drop("rank")
+    wanted = rows.sparkSession.createDataFrame([(x,) for x in places], "rank long")
+    return ranked.join(wanted, "rank", "left_semi").drop("rank")
 
 
 def _half_even(a: int, b: int) -> int:
@@ -49,6 +50,13 @@ def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     return parts.withColumn("rank", (offset + F.col("_in")).cast("long")).drop("_part", "_in")
 
 
+def ordinal_shard(rows: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
+    """The rows whose place in this order is the shard's number modulo the number of shards, with that place as rank."""
+    if not 0 <= shard < shards:
+        raise ValueError("the shard must be below the number of shards")
+    return with_rank(rows, order).where(F.col("rank") % shards == shard)
+
+
 def borderline(v: Column, language: Column, a: Column, tv: float = 0.15, tl: float = 0.80, ta: float = 0.15) -> Column:
     """The smallest distance of a signature to its thresholds."""
     return F.least(F.abs(v - tv), F.abs(language - tl), F.abs(a - ta))
@@ -57,7 +65,8 @@ def borderline(v: Column, language: Column, a: Column, tv: float = 0.15, tl: flo
 def stratified(rows: DataFrame, strata: list[str], limit: int, seed: int, *keys: str) -> DataFrame:
     """Exactly min(limit, n) rows, dealt over the strata in turn by keyed rank: the r-th rows of all strata come before any (r + 1)-th.
 
-    Only the first ``limit`` rows of a stratum can matter, so each stratum keeps a bounded top-k before the deal.
+    Only the first ``limit`` rows of a stratum can matter. Spark limits a row_number window before its shuffle, so each task sends
+    at most that many rows of a stratum.
     """
     key = rank_key(seed, *[F.col(k) for k in keys])
     place = F.row_number().over(Window.partitionBy(*strata).orderBy("_key"))

@@ -1,4 +1,8 @@
-"""Partial-evidence states: subsets of legal probes, made row by row from array functions, without a shuffle or a window."""
+"""Partial-evidence states: subsets of legal probes, made and grouped row by row with array functions.
+
+A row's tags never leave it: the fixed subsets and their tags are constants of the plan, the random ones are looked up in
+them, so neither a shuffle nor a window is needed until the states are written.
+"""
 
 from __future__ import annotations
 
@@ -41,33 +45,28 @@ def affordable(acquired: Column, relation: Column, budget: Column) -> Column:
     return F.concat(left, _names(["stop"]))
 
 
-def _tagged(subset: Column, tag: Column) -> Column:
-    return F.struct(F.array_sort(subset).alias("subset"), tag.alias("tag"))
-
-
-def _fixed(legal: tuple[str, ...]) -> Column:
-    """The empty set, single probes and the prefixes of the four orders, as one constant array."""
+def _fixed(legal: tuple[str, ...]) -> list[tuple[str, str]]:
+    """(subset, tag) of the empty set, the single probes and the prefixes of the four orders; a subset is its sorted names between bars."""
     tags = [((), "empty"), *(((p,), f"singleton:{p}") for p in legal)]
     for name, order in ORDERS.items():
         own = [p for p in order if p in legal]
         tags += [(tuple(own[:n]), f"prefix:{name}:{n}") for n in range(1, len(own) + 1)]
-    return F.array(*[_tagged(_names(sorted(s)), F.lit(t)) for s, t in tags])
+    return [("|".join(sorted(s)), t) for s, t in tags]
 
 
 def _random(legal: tuple[str, ...], seed: int, count: int, model: Column, instance: Column) -> Column:
-    """The draws of a row: sizes 1 to 4 in turn, within a size by the rank of a keyed hash."""
+    """The draws of a row, array<struct<key,tag>>: sizes 1 to 4 in turn, within a size by the rank of a keyed hash."""
     sizes = range(1, min(LARGEST, len(legal)) + 1)
-    per_size = -(-count // len(sizes))
     parts = []
     for size in sizes:
-        subsets = F.array(*[_names(c) for c in combinations(sorted(legal), size)])
-        ranked = F.array_sort(F.transform(subsets, lambda s: F.struct(rank_key(seed, model, instance, F.array_join(s, "|")).alias("rank"), s.alias("subset"))))
+        subsets = _names(["|".join(c) for c in combinations(sorted(legal), size)])
+        ranked = F.array_sort(F.transform(subsets, lambda s: F.struct(rank_key(seed, model, instance, s).alias("rank"), s.alias("key"))))
 
         def draw(x: Column, i: Column, size: int = size) -> Column:
-            return _tagged(x["subset"], F.format_string(f"random:%02d:size{size}", i.cast("int") * len(sizes) + size - 1))
+            return F.struct(x["key"].alias("key"), F.format_string(f"random:%02d:size{size}", i.cast("int") * len(sizes) + size - 1).alias("tag"))
 
         own = len([d for d in range(count) if d % len(sizes) == size - 1])
-        parts.append(F.transform(F.slice(ranked, 1, min(own, per_size)), _two(draw)))
+        parts.append(F.transform(F.slice(ranked, 1, own), _two(draw)))
     return F.concat(*parts)
 
 
@@ -76,23 +75,73 @@ def _two(f):
     return lambda x, i: f(x, i)
 
 
+def _is(name: str):
+    return lambda x: x == name
+
+
+def _subset(key: Column) -> Column:
+    return F.when(key == "", _names(())).otherwise(F.split(key, r"\|"))
+
+
+def _by_relation(f) -> Column:
+    """f of the probes that are legal in a row."""
+    return F.when(F.coalesce("relation_applicable", F.lit(False)), f(PROBES)).otherwise(f(CORE_PROBES))
+
+
+def tags_of(seed: int = 42, count: int = RANDOM) -> Column:
+    """All tags of a row, array<struct<key,tag>>; needs model_id, instance_id and relation_applicable."""
+
+    def whole(legal: tuple[str, ...]) -> Column:
+        fixed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("tag")) for k, t in _fixed(legal)])
+        return F.concat(fixed, _random(legal, seed, count, F.col("model_id"), F.col("instance_id")))
+
+    return _by_relation(whole)
+
+
+def states_of(seed: int = 42, count: int = RANDOM) -> Column:
+    """The distinct subsets of a row with their sorted tags, array<struct<key,tags>>. A random draw is never drawn twice."""
+
+    def whole(legal: tuple[str, ...]) -> Column:
+        tags: dict[str, list[str]] = {}
+        for key, tag in _fixed(legal):
+            tags.setdefault(key, []).append(tag)
+        fixed = F.array(*[F.struct(F.lit(k).alias("key"), _names(sorted(t)).alias("tags")) for k, t in tags.items()])
+        draws = _random(legal, seed, count, F.col("model_id"), F.col("instance_id"))
+
+        def merged(drawn: Column) -> Column:
+            """Fixed subsets with the draw that hit them, and the draws that hit none."""
+            own = F.map_from_entries(drawn)
+            both = F.transform(fixed, lambda f: F.struct(f["key"].alias("key"), F.when(F.map_contains_key(own, f["key"]), F.array_sort(F.array_append(f["tags"], F.element_at(own, f["key"])))).otherwise(f["tags"]).alias("tags")))
+            new = F.filter(drawn, lambda d: ~d["key"].isin(*tags))
+            return F.concat(both, F.transform(new, lambda d: F.struct(d["key"].alias("key"), F.array(d["tag"]).alias("tags"))))
+
+        return F.get(F.transform(F.array(draws), merged), F.lit(0))  # the draws are made once and used thrice
+
+    return _by_relation(whole)
+
+
 def subset_tags(rows: DataFrame, seed: int = 42, count: int = RANDOM) -> DataFrame:
     """Every row once for each (subset, tag). rows needs model_id, instance_id and relation_applicable."""
-    model, instance = F.col("model_id"), F.col("instance_id")
-    whole = {legal: F.concat(_fixed(legal), _random(legal, seed, count, model, instance)) for legal in (PROBES, CORE_PROBES)}
-    tags = F.when(F.coalesce("relation_applicable", F.lit(False)), whole[PROBES]).otherwise(whole[CORE_PROBES])
-    return rows.withColumn("t", F.explode(tags)).select("*", "t.subset", "t.tag").drop("t")
+    return rows.withColumn("t", F.explode(tags_of(seed, count))).select(*rows.columns, _subset(F.col("t.key")).alias("subset"), "t.tag")
 
 
 def partial_states(rows: DataFrame, seed: int = 42, count: int = RANDOM) -> DataFrame:
     """One row for each distinct subset: its tags, the mask, and what is left of the budget."""
-    keys = [c for c in rows.columns]
-    each = subset_tags(rows, seed, count).groupBy(*keys, "subset").agg(F.array_sort(F.collect_list("tag")).alias("tags"))
+    each = rows.withColumn("t", F.explode(states_of(seed, count))).select(*rows.columns, _subset(F.col("t.key")).alias("subset"), "t.tags")
     return each.withColumns({"mask": action_mask(F.col("subset"), F.col("relation_applicable")), "remaining_budget": BUDGET - F.size("subset")})
 
 
-def acquired_observations(states: DataFrame, observations: DataFrame) -> DataFrame:
-    """States with the observations of their subsets, in the subsets' order."""
+def tag_coverage(rows: DataFrame, seed: int = 42, count: int = RANDOM) -> DataFrame:
+    """Per row: how many tags there are, of each kind, and how many states."""
+    both = rows.select("model_id", "instance_id", states_of(seed, count).alias("states"))
+    both = both.select("model_id", "instance_id", F.size("states").cast("long").alias("n_states"), F.transform(F.flatten("states.tags"), lambda t: F.substring_index(t, ":", 1)).alias("kinds"))
+    counts = [F.size(F.filter("kinds", _is(kind))).cast("long").alias(n) for n, kind in (("n_random", "random"), ("n_single", "singleton"), ("n_prefix", "prefix"))]
+    return both.select("model_id", "instance_id", F.size("kinds").cast("long").alias("n_tags"), *counts, "n_states")
+
+
+def acquired_observations(rows: DataFrame, observations: DataFrame, seed: int = 42, count: int = RANDOM) -> DataFrame:
+    """The states of rows with the observations of their subsets, in the subsets' order. Rows meet their observations before they become states."""
     keys = ["model_id", "instance_id"]
     own = observations.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("probe", F.struct("flip", "conf_shift", "entropy_shift", "margin_shift", "semantic_match")))).alias("seen"))
-    return states.join(own, keys).withColumn("acquired", F.transform("subset", lambda p: F.struct(p.alias("probe"), F.col("seen")[p].alias("observed")))).drop("seen")
+    states = partial_states(rows.join(own, keys), seed, count)
+    return states.withColumn("acquired", F.transform("subset", lambda p: F.struct(p.alias("probe"), F.col("seen")[p].alias("observed")))).drop("seen")

@@ -16,9 +16,8 @@ def teacher_manifest_join(spark, sf):
     m = synth.manifest(spark, sf).where("ordinal % 17 <> 0").withColumn("split", F.when(F.col("ordinal") % 50 == 0, "other").otherwise(F.col("split")))
     c = synth.clean(spark, sf).select(*KEYS, "group_id", "dataset", "split")
     other = m.select("instance_id", "group_id", "dataset", "split")
-    done = coverage.compare_columns(c, other, ["instance_id"], ["group_id", "dataset", "split"])
-    both = c.select(*KEYS).join(done.distinct(), "instance_id")
-    return both.select(*KEYS, "found", F.array_join("differ", ",").alias("differ"))
+    done = coverage.compare_columns(c, other, ["instance_id"], ["group_id", "dataset", "split"], ["model_id"])
+    return done.select(*KEYS, "found", F.array_join("differ", ",").alias("differ"))
 
 
 @query("teacher_label_join", f"{_L} SELECT c.instance_id, c.model_id, c.clean_correct, l.label6 FROM clean c JOIN labelled l ON l.instance_id = c.instance_id AND l.model_id = c.model_id")
@@ -63,9 +62,10 @@ def overlay_lookup(spark, sf):
     return coverage.lookup(rows, nation, "nation", F.col("dataset") == "vsr").select("instance_id", "n_name", "problem")
 
 
-@query("overlay_unused", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@query("overlay_unused", "SELECT c_custkey AS k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)")
 def overlay_unused(spark, sf):
-    return coverage.unused(synth.table(spark, sf, "nation").select("n_nationkey"), synth.table(spark, sf, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), "n_nationkey")
+    orders = synth.table(spark, sf, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"))
+    return coverage.unused(synth.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), orders, "k")
 
 
 @query("severity_grid_missing", f"WITH {synth.SQL_GRID} SELECT instance_id, model_id, count(*) FILTER (NOT valid) AS missing FROM grid GROUP BY ALL HAVING count(*) FILTER (NOT valid) > 0")
@@ -122,9 +122,10 @@ def label_recompute(spark, sf):
     return done.select(*KEYS, F.array_join("differ", ",").alias("differ"))
 
 
-@query("split_safety", f"{_C} SELECT split, count(*) AS n FROM clean WHERE split IN ('train', 'val') GROUP BY split")
+@query("split_safety", f"{_C} SELECT instance_id, model_id, split IN ('train', 'val') AS readable, CASE WHEN split NOT IN ('train', 'val') THEN 'split is not allowed' ELSE '' END AS error FROM clean")
 def split_safety(spark, sf):
-    return synth.clean(spark, sf).where(F.col("split").isin("train", "val")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    rows = quality.with_errors(synth.clean(spark, sf), [quality.split_rule(("train", "val"))])
+    return rows.select(*KEYS, (F.size("errors") == 0).alias("readable"), F.array_join("errors", "; ").alias("error"))
 
 
 @query("ledger_upsert", f"""{_C}, old AS (SELECT instance_id, model_id, 'old' AS error, 2 AS attempts FROM clean WHERE ordinal % 4 = 0), fail AS (SELECT instance_id, model_id, 'new' AS error FROM clean WHERE ordinal % 6 = 0), ok AS (SELECT instance_id, model_id FROM clean WHERE ordinal % 5 = 0)
@@ -136,10 +137,10 @@ def ledger_upsert(spark, sf):
     return ledger.upsert_failures(old, c.where("ordinal % 6 = 0").select(*KEYS, F.lit("new").alias("error")), c.where("ordinal % 5 = 0"), KEYS)
 
 
-@query("migration_changes", f"{_O} SELECT count(*) AS n, count(*) FILTER (WHERE valid AND semantic_match = 0 AND flip) AS flip_changed, count(*) * 0 AS split_changed FROM obs")
+@query("migration_changes", f"{_O} SELECT count(*) AS n, count(*) FILTER (WHERE valid AND semantic_match = 0 AND flip) AS flip_changed, count(*) FILTER (WHERE ordinal % 9 = 0 AND split <> 'test') AS split_changed FROM obs")
 def migration_changes(spark, sf):
     o = synth.observations(spark, sf)
-    new = o.withColumn("flip", F.when(F.col("valid") & (F.col("semantic_match") == 0), F.lit(False)).otherwise(F.col("flip")))
+    new = o.withColumns({"flip": F.when(F.col("valid") & (F.col("semantic_match") == 0), F.lit(False)).otherwise(F.col("flip")), "split": F.when(F.col("ordinal") % 9 == 0, "test").otherwise(F.col("split"))})
     return ledger.changes(o, new, [*KEYS, "probe"], ["flip", "split"])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashing as h
-from plumbline.operators import coverage, labels, states
+from plumbline.operators import coverage, labels, sampling, states
 from plumbline.plans import synth
 from plumbline.plans.registry import query
 
@@ -28,9 +28,11 @@ def split_stats(spark, sf):
     return coverage.split_stats(synth.manifest(spark, sf), ("train", "val", "cal", "test", "none"))
 
 
-@query("group_overlap", f"{_M} SELECT group_id, count(DISTINCT category) AS splits FROM manifest GROUP BY group_id HAVING count(DISTINCT category) > 1")
+@query("group_overlap", f"{_M}, bad AS (SELECT image_id, CASE WHEN ordinal % 5 = 0 THEN 'test' ELSE split END AS split FROM manifest) SELECT image_id, count(DISTINCT split) AS splits FROM bad GROUP BY image_id HAVING count(DISTINCT split) > 1")
 def group_overlap(spark, sf):
-    return coverage.group_overlap(synth.manifest(spark, sf), "group_id", "category")
+    """Images with questions in several splits: every fifth row is put into the test split."""
+    rows = synth.manifest(spark, sf).withColumn("split", F.when(F.col("ordinal") % 5 == 0, "test").otherwise(F.col("split")))
+    return coverage.group_overlap(rows, "image_id")
 
 
 @query("shard_assign", f"{_C} SELECT instance_id, model_id, CAST(('0x' || substr(sha256(model_id || '|' || instance_id), 1, 16))::UBIGINT % 7 AS INTEGER) AS shard FROM clean")
@@ -38,9 +40,10 @@ def shard_assign(spark, sf):
     return synth.clean(spark, sf).select(*KEYS, h.shard_of(F.col("instance_id"), F.col("model_id"), 7).alias("shard"))
 
 
-@query("ordinal_shard", f"{_M} SELECT ordinal, instance_id FROM manifest WHERE ordinal % 4 = 1")
+@query("ordinal_shard", f"{_M}, r AS (SELECT instance_id, row_number() OVER (ORDER BY instance_id) - 1 AS i FROM manifest) SELECT i AS rank, instance_id FROM r WHERE i % 4 = 1")
 def ordinal_shard(spark, sf):
-    return synth.manifest(spark, sf).where("ordinal % 4 = 1").select("ordinal", "instance_id")
+    """Every fourth row in the order of the ids, from the second on."""
+    return sampling.ordinal_shard(synth.manifest(spark, sf).select("instance_id"), ["instance_id"], 1, 4)
 
 
 @query("derived_seeds", f"{_O} SELECT instance_id, model_id, probe, CAST(('0x' || substr(sha256('42|' || instance_id || '|' || probe || '|25.0'), 1, 8))::UBIGINT AS BIGINT) AS seed FROM obs")
@@ -107,14 +110,15 @@ def partial_states(spark, sf):
 @query("state_tag_coverage", f"{_TAGS} SELECT model_id, instance_id, count(*) AS n_tags, count(*) FILTER (WHERE tag LIKE 'random:%') AS n_random, count(*) FILTER (WHERE tag LIKE 'singleton:%') AS n_single, count(*) FILTER (WHERE tag LIKE 'prefix:%') AS n_prefix, count(DISTINCT subset) AS n_states FROM tags GROUP BY model_id, instance_id")
 def state_tag_coverage(spark, sf):
     rows = synth.clean(spark, sf).select("model_id", "instance_id", "relation_applicable")
-    tags = states.subset_tags(rows).groupBy("model_id", "instance_id")
-    return tags.agg(F.count(F.lit(1)).alias("n_tags"), *[F.count_if(F.col("tag").startswith(p)).alias(n) for n, p in (("n_random", "random:"), ("n_single", "singleton:"), ("n_prefix", "prefix:"))], F.count_distinct("subset").alias("n_states"))
+    return states.tag_coverage(rows)
 
 
-@query("action_mask", f"""{_M} SELECT instance_id, 'blank=0;blur=1;crop=1;brightness=1;noise=1;grounding=0;relation=' || CASE WHEN relation_applicable THEN '1' ELSE '0' END || ';stop=1' AS mask FROM manifest""")
+@query("action_mask", f"""{_TAGS}, s AS (SELECT DISTINCT model_id, instance_id, subset FROM tags) SELECT s.model_id, s.instance_id, array_to_string(s.subset, ',') AS subset,
+  array_to_string(list_transform(['blank','blur','crop','brightness','noise','grounding','relation'], lambda p: p || '=' || CASE WHEN list_contains(s.subset, p) OR (p = 'relation' AND NOT c.relation_applicable) THEN '0' ELSE '1' END), ';') || ';stop=1' AS mask FROM s JOIN clean c ON c.model_id = s.model_id AND c.instance_id = s.instance_id""")
 def action_mask(spark, sf):
-    mask = states.action_mask(F.array(F.lit("blank"), F.lit("grounding")), F.col("relation_applicable"))
-    return synth.manifest(spark, sf).select("instance_id", F.array_join(F.transform(F.map_entries(mask), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";").alias("mask"))
+    rows = states.partial_states(synth.clean(spark, sf).select("model_id", "instance_id", "relation_applicable"))
+    mask = F.array_join(F.transform(F.map_entries("mask"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ";")
+    return rows.select("model_id", "instance_id", F.array_join("subset", ",").alias("subset"), mask.alias("mask"))
 
 
 @query("affordable_actions", f"""{_M} SELECT instance_id, CASE WHEN ordinal % 3 = 0 THEN 'stop' WHEN relation_applicable THEN 'blur,crop,brightness,noise,grounding,relation,stop' ELSE 'blur,crop,brightness,noise,grounding,stop' END AS actions FROM manifest""")
@@ -126,6 +130,6 @@ def affordable_actions(spark, sf):
 @query("acquired_observations", f"{_TAGS}, s AS (SELECT DISTINCT model_id, instance_id, subset FROM tags), {synth.SQL_OBS.split('clean AS', 1)[1].split('swap_invariance FROM c0),', 1)[1].strip()} SELECT s.model_id, s.instance_id, array_to_string(s.subset, ',') AS subset, count(o.probe) AS n_acquired, round(coalesce(sum(o.conf_shift), 0), 9) AS shift FROM s LEFT JOIN obs o ON o.model_id = s.model_id AND o.instance_id = s.instance_id AND list_contains(s.subset, o.probe) GROUP BY s.model_id, s.instance_id, s.subset")
 def acquired_observations(spark, sf):
     rows = synth.clean(spark, sf).select("model_id", "instance_id", "relation_applicable")
-    done = states.acquired_observations(states.partial_states(rows).select("model_id", "instance_id", "subset"), synth.observations(spark, sf))
+    done = states.acquired_observations(rows, synth.observations(spark, sf))
     shift = F.aggregate("acquired", F.lit(0.0), lambda a, x: a + x["observed"]["conf_shift"])
     return done.select("model_id", "instance_id", F.array_join("subset", ",").alias("subset"), F.size("acquired").cast("long").alias("n_acquired"), F.round(shift, 9).alias("shift"))

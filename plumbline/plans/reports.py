@@ -71,9 +71,9 @@ def severity_stats(spark, sf):
     return s.select("probe", "severity", "n", "n_valid", *[F.round(c, 9).alias(c) for c in ("flip_rate", "mean_shift", "saturation", "invalid_rate")], F.round("mean_ms", 6).alias("mean_ms"))
 
 
-@query("severity_counts_by_slice", f"{_G} SELECT dataset, model_id, probe, severity, count(*) AS n FROM grid GROUP BY ALL")
+@query("severity_counts_by_slice", f"{_G} SELECT dataset, model_id, probe, severity, count(*) AS n, count(*) FILTER (valid) AS n_valid, count(DISTINCT instance_id) AS instances, count(*) = count(DISTINCT instance_id) AS each_once FROM grid GROUP BY dataset, model_id, probe, severity")
 def severity_counts_by_slice(spark, sf):
-    return synth.severity_grid(spark, sf).groupBy("dataset", "model_id", "probe", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return audits.grid_counts(synth.severity_grid(spark, sf), ["dataset", "model_id"])
 
 
 @query("severity_percentiles", f"""{_G}, r AS (SELECT probe, severity, probe_ms AS x, row_number() OVER w AS i, count(*) OVER (PARTITION BY probe, severity) AS n FROM grid WHERE valid AND probe_ms IS NOT NULL WINDOW w AS (PARTITION BY probe, severity ORDER BY probe_ms))
@@ -119,10 +119,12 @@ NEIGHBOURS = 8
 
 
 def scored_pairs(spark, sf):
-    v = synth.table(spark, sf, "embeddings").select("vec_id", "embedding", "label")
+    """Norms are taken once for each vector, not for each pair."""
+    v = synth.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
+    v = v.withColumn("size", F.sqrt(scores.dot(F.col("e"), F.col("e"))))
     near = v.withColumn("other", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + NEIGHBOURS)))
-    pairs = near.join(v.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2"), F.col("label").alias("l2")), "other")
-    return pairs.select("vec_id", "other", scores.cosine(F.col("embedding"), F.col("e2")).alias("similarity"), (F.col("label") == F.col("l2")).alias("match"))
+    pairs = near.join(v.select(F.col("vec_id").alias("other"), F.col("e").alias("e2"), F.col("size").alias("s2"), F.col("label").alias("l2")), "other")
+    return pairs.select("vec_id", "other", scores.cosine(F.col("e"), F.col("e2"), F.col("size") * F.col("s2")).alias("similarity"), (F.col("label") == F.col("l2")).alias("match"))
 
 
 _PAIRS = f"""WITH pairs AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS similarity, a.label = b.label AS match

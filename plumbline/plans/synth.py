@@ -25,7 +25,9 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("c_custkey")
     dataset = F.element_at(F.array(*map(F.lit, DATASETS)), (n % 4 + 1).cast("int"))
     image, question = F.concat(F.lit("img"), F.floor(n / 3).cast("string")), F.concat(F.lit("q"), (n % 2).cast("string"))
-    rows = table(spark, sf_dir, "customer").select(
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customers = customers.repartition(spark.sparkContext.defaultParallelism, "c_custkey")  # a row group is one task, and each row becomes many
+    rows = customers.select(
         F.concat_ws("_", dataset, n.cast("string")).alias("instance_id"), group_id(dataset, image, question).alias("group_id"), dataset.alias("dataset"),
         image.alias("image_id"), question.alias("question_id"), ((dataset == "vsr") & (n % 3 == 0)).alias("relation_applicable"), F.col("c_mktsegment").alias("category"), n.alias("ordinal"),
     )
