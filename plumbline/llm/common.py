@@ -118,31 +118,35 @@ def schema_of(df: DataFrame, added: str) -> T.StructType:
 HOT, FEW, SALTS = 1000, 8, 32
 
 
-def frequent(counts: DataFrame, key: str, n: str = "count", total: int | None = None) -> DataFrame | None:
-    """The frequent keys of a table, from its keys' row counts, or None without any; fewer than HOT of them."""
+def frequent(counts: DataFrame, key: str, n: str = "count", total: int | None = None) -> list:
+    """The frequent keys of a table, from its keys' row counts; fewer than HOT of them."""
     total = counts.agg(F.sum(n)).first()[0] or 0 if total is None else total
-    found = counts.where((F.col(n) * HOT > total) & (F.col(n) > FEW)).select(key)
-    rows = found.collect()
-    return counts.sparkSession.createDataFrame(rows, found.schema) if rows else None
+    return [r[0] for r in counts.where((F.col(n) * HOT > total) & (F.col(n) > FEW)).select(key).collect()]
 
 
-def frequent_of(rows: DataFrame, key: str) -> DataFrame | None:
+def frequent_of(rows: DataFrame, key: str) -> list:
     """The same, of a staged table."""
     return frequent(rows.where(F.col(key).isNotNull()).groupBy(key).count(), key, total=rows.count())
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+def _literal(value) -> str:
+    if isinstance(value, bytes | bytearray):
+        return f"X'{bytes(value).hex()}'"
+    return f"{value}L" if isinstance(value, int) else "X'" + str(value).encode("utf-8", "surrogatepass").hex() + "'"
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """left.join(right, key) for a left side in which the hot keys hold many rows, and a right side with one row for each key.
 
     Rows of a hot key are dealt over SALTS places by a hash of their plain columns, and right's row is sent to each of them.
     """
-    if hot is None:
+    if not hot:
         return left.join(right, key, how)
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    text = "cast({} as binary)" if isinstance(hot[0], str) else "{}"
+    is_hot = F.expr(f"{text.format(f'`{key}`')} in ({', '.join(map(_literal, hot))})")
     plain = [c for c, kind in left.dtypes if not kind.startswith(("array", "map", "struct"))]
-    dealt = left.join(hot, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    dealt = left.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*plain), F.lit(SALTS))).otherwise(0).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
 
 

@@ -15,10 +15,13 @@ Two documents link when their sets of five-word shingles have a Jaccard similari
    lost.
 
 Every step between shuffles is a table in the shared folder. Broadcast are only the sketch (``MAX_CELLS`` bytes at most) and
-a Bloom filter (``MAX_BLOOM`` bits at most) that thins the sets that are fetched.
+a Bloom filter (``MAX_BLOOM`` bits at most) that thins the sets that are fetched. Both grow with the data up to these sizes;
+beyond them the results stay the same and the work linear, but the sets of more documents are shuffled (at worst each
+different set once). Joins in which a shingle, group, text or label may hold many rows are salted for the frequent keys.
 
 Defined results: null and empty texts have empty sets and link with nothing; a null id takes part in nothing and has no
-component; rows that repeat an id are one document for components and each get a result; an empty table gives no rows.
+component; each row is a document by its own text, so rows that repeat an id with different texts have a component each,
+and those with equal texts share one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, arrow_rows, table
+from plumbline.llm.common import Staging, arrow_rows, frequent, frequent_of, salted_join, table
 from plumbline.llm.shingles import sets_of
 
 #: Similarity in percent.
@@ -71,7 +74,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """For each cell, a rarity class of the shingles that fall into it: never below the class of any one's true count."""
     size = docs.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0.0
     cells = MIN_CELLS
-    while cells < MAX_CELLS and cells < size / 24:
+    while cells < MAX_CELLS and cells < size / 48:
         cells *= 2
 
     def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +220,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
     second = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(first, "a").join(second, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return salted_join(salted_join(pairs, first, "a", frequent_of(pairs, "a")), second, "b", frequent_of(pairs, "b")).where(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
@@ -225,14 +228,17 @@ def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
     labels, edges, step = None, links, 0
     while step == 0 or not edges.isEmpty():
         ends = edges.select(F.col("a").alias("key"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("key"), F.col("a").alias("to")))
-        parent = staging.write(ends.groupBy("key").agg(F.least("key", F.min("to")).alias("to")), f"{name}-parent{step}")
+        found = staging.write(ends.groupBy("key").agg(F.least("key", F.min("to")).alias("to"), F.count(F.lit(1)).alias("n")), f"{name}-parent{step}")
+        hot, parent = frequent(found, "key", "n"), found.drop("n")
         if labels is None:
             labels = parent.withColumnRenamed("to", "label")
         else:
-            moved = labels.join(parent.select(F.col("key").alias("label"), "to"), "label", "left")
+            moved = salted_join(labels, parent.select(F.col("key").alias("label"), "to"), "label", frequent_of(labels, "label"), "left")
             labels = moved.select("key", F.coalesce("to", "label").alias("label"))
         labels = staging.write(labels, f"{name}-labels{step}")
-        up = edges.join(parent.select(F.col("key").alias("a"), F.col("to").alias("a2")), "a").join(parent.select(F.col("key").alias("b"), F.col("to").alias("b2")), "b")
+        up = edges
+        for end in ("a", "b"):
+            up = salted_join(up, parent.select(F.col("key").alias(end), F.col("to").alias(end + "2")), end, hot)
         edges = staging.write(up.where(F.col("a2") != F.col("b2")).select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), f"{name}-edges{step}")
         step += 1
     return labels
@@ -247,16 +253,19 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     staging.release()
     own = staging.write(entities(docs, classes, percent), "entities")
     usable = own.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    members = staging.write(usable.select("key", "gid", "n").distinct(), "members")
+    members = staging.write(usable.groupBy("key", "gid", "n").count(), "members")
+    copies, members = frequent(members, "key"), members.drop("count")
 
     # groups by prefix shingle, where at least two groups have it
     posts = usable.where(F.col("prefix").isNotNull()).select("gid", "n", "heavy", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo < hi").select("token")
-    posts = staging.write(posts.join(shared, "token", "left_semi").dropDuplicates(["token", "gid"]), "posts")
+    shared = posts.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi")
+    shared = staging.write(shared.select("token", "m"), "tokens")
+    posts = staging.write(salted_join(posts, shared.select("token"), "token", frequent(shared, "token", "m")).dropDuplicates(["token", "gid"]), "posts")
     staging.release()
     hub_key = F.least("pos", F.lit((1 << 19) - 1)).cast("long") * (1 << 43) + F.col("gid").bitwiseAND((1 << 43) - 1)
-    counts = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(hub_key).alias("hub"))
-    many = staging.write(posts.join(counts.where(F.col("m") > FEW), "token"), "many")
+    counts = staging.write(posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min(hub_key).alias("hub")), "counts")
+    hot = frequent(counts, "token", "m")
+    many = staging.write(salted_join(posts, counts.where(F.col("m") > FEW), "token", hot), "many")
     few = posts.join(counts.where(F.col("m") <= FEW), "token").select("token", "gid", "n", "pos", "heavy")
     few = staging.write(few, "few")
 
@@ -265,15 +274,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     enough = F.col("common") + F.least("heavy", "heavy2") + rest >= _need("n", "n2", percent)
     by_few = pair.groupBy("gid", "gid2", "n", "n2", "heavy", "heavy2").agg(F.count(F.lit(1)).alias("common")).where(enough).select("gid", "gid2")
     hubs = _second(many.where(hub_key == F.col("hub")).select("token", "gid", "n", "pos"), "gid", "n", "pos")
-    by_hub = many.join(hubs, "token").where((F.col("gid") != F.col("gid2")) & _may_link_first(percent))
+    by_hub = salted_join(many, hubs, "token", hot).where((F.col("gid") != F.col("gid2")) & _may_link_first(percent))
     by_hub = by_hub.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2"))
     pairs = staging.write(by_few.unionByName(by_hub).distinct(), "group-pairs")
 
     # one member of each group stands for it in pairs with other groups, and is paired with its own group's members
     heads = members.groupBy("gid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("size"))
     heads = staging.write(heads, "heads")
-    across = pairs.join(heads.select("gid", F.col("key").alias("a")), "gid").join(heads.select(F.col("gid").alias("gid2"), F.col("key").alias("b")), "gid2").select("a", "b")
-    within = members.join(heads.where("size > 1").select("gid", F.col("key").alias("a")), "gid").where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"))
+    across = salted_join(pairs, heads.select("gid", F.col("key").alias("a")), "gid", frequent_of(pairs, "gid"))
+    across = salted_join(across, heads.select(F.col("gid").alias("gid2"), F.col("key").alias("b")), "gid2", frequent_of(pairs, "gid2")).select("a", "b")
+    within = salted_join(members, heads.where("size > 1").select("gid", F.col("key").alias("a")), "gid", frequent(heads, "gid", "size")).where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"))
     first = staging.write(across.unionByName(within), "pairs1")
     links = staging.write(_verified(first, _sets(docs, _ends(first)), percent), "links1")
     staging.release()
@@ -288,7 +298,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     both = pairs.join(state, "gid").join(second, "gid2")
     open_few = both.where(((F.col("size") > 1) | (F.col("size2") > 1)) & ~_same()).select("gid", "gid2")
     open_self = state.where(F.col("lo") != F.col("hi")).select("gid", F.col("gid").alias("gid2"))
-    open_many = _open_pairs(many.select("token", "gid", "n", "pos").join(state.select("gid", "lo", "hi"), "gid"), staging, percent)
+    open_many = _open_pairs(many.select("token", "gid", "n", "pos").join(state.select("gid", "lo", "hi"), "gid"), hot, staging, percent)
     left = staging.write(open_few.unionByName(open_self).unionByName(open_many).distinct(), "open-pairs")
     if not left.isEmpty():
         one = label.select("gid", F.col("key").alias("a"), F.col("label").alias("la"))
@@ -301,15 +311,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         labels = components(links, staging, "second")
 
     # the smallest id of each component
-    with_label = usable.select("doc_id", "key").join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
+    first_ids = usable.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    with_label = first_ids.join(labels, "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
     lowest = with_label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = members.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label")).join(lowest, "label").select("key", "component_id")
-    done = own.select("doc_id", "n", "key").join(named, "key", "left")
+    named = staging.write(members.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "last-labels")
+    named = salted_join(named, lowest, "label", frequent_of(named, "label")).select("key", "component_id")
+    done = salted_join(own.select("doc_id", "n", "key"), named, "key", copies, "left")
     has_id = F.col("doc_id").isNotNull()
     return done.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(has_id & (F.col("n") > 0), F.col("component_id")).when(has_id, F.col("doc_id")).alias("component_id"))
 
 
-def _open_pairs(rows: DataFrame, staging: Staging, percent: int) -> DataFrame:
+def _open_pairs(rows: DataFrame, hot: DataFrame, staging: Staging, percent: int) -> DataFrame:
     """Group pairs (gid, gid2) that may link at a common shingle and aren't whole in one component, of rows (token, gid, n, pos, lo, hi).
 
     At the first common shingle the smaller of two linked groups has at least need(n, n) of its own shingles left, and the
@@ -320,11 +332,11 @@ def _open_pairs(rows: DataFrame, staging: Staging, percent: int) -> DataFrame:
     small = left >= F.ceil(F.col("n") * 2 * percent / (100 + percent) - 1e-9)
     least = rows.where(small).groupBy("token").agg(F.min("n").alias("least"))
     floor = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100 - 1e-9))
-    rows = rows.join(least, "token").withColumn("small", small).where(F.col("small") | (left >= F.ceil((F.col("n") + floor) * percent / (100 + percent) - 1e-9)))
+    rows = salted_join(rows, least, "token", hot).withColumn("small", small).where(F.col("small") | (left >= F.ceil((F.col("n") + floor) * percent / (100 + percent) - 1e-9)))
     rows = staging.write(rows.drop("least"), "possible")
     mixed = rows.groupBy("token").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where(F.col("a") != F.col("b")).select("token")
     main = rows.where("lo = hi").groupBy("token", "lo").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("lo", "m").alias("main"))
-    rows = staging.write(rows.join(mixed, "token").join(main, "token", "left"), "mixed")
+    rows = staging.write(salted_join(rows, mixed.join(main, "token", "left"), "token", hot), "mixed")
     minor = F.col("main").isNull() | (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))
     smaller = _second(rows.where("small"), "gid", "n", "pos", "lo", "hi").drop("small", "main")
     some = rows.where(minor).drop("small", "main").join(smaller, "token")
@@ -348,14 +360,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; null ids and texts without words stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    gone = Staging(spark, "neardup-gone").write(gone, "ids")
-    stay = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """Pipeline stage: of each component one row stays, the one with the smallest id; null ids and texts without words all stay."""
+    staging = Staging(spark, "neardup-stage")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return stay
-    return stay.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(stay.where("doc_id is null"))
+        found = near_duplicates(docs.select("doc_id", "text"))
+        gone = staging.write(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")), "gone")
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    # repeated ids: rows are told apart by numbers of their own
+    safe = [f"_own{i}" for i in range(len(docs.columns))]
+    rows = staging.write(docs.toDF(*safe).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    id_, text = (F.col(safe[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    ids = rows.where(id_.isNotNull()).select(F.col("_row"), id_.cast("long").alias("_id"))
+    found = near_duplicates(rows.where(id_.isNotNull()).select(F.col("_row").alias("doc_id"), text.alias("text")))
+    found = found.select(F.col("doc_id").alias("_row"), "component_id").join(ids, "_row")
+    best = found.groupBy("component_id").agg(F.min(F.struct("_id", "_row")).alias("best")).select(F.col("best._row").alias("_row"))
+    best = staging.write(best, "best")
+    stay = rows.join(best, "_row", "left_semi").unionByName(rows.where(id_.isNull()))
+    return stay.select(*safe).toDF(*docs.columns)
 
 
 ORACLE = r"""

@@ -1,8 +1,9 @@
 """Sets of hashed word shingles, computed in numpy over whole Arrow batches.
 
 Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A document's set holds a 64-bit hash of every
-five consecutive words, or of all its words if it has fewer. Two different shingles of one pair of documents share a hash
-with a chance of about (set size)^2 / 2^64.
+five consecutive words, or of all its words if it has fewer. A word's hash sums a 64-bit number for each of its bytes, which
+depends on the byte and its place in the word and follows no rule between places (no powers), so words that differ in any
+way share a hash with a chance of about 2^-64, and two sets of n shingles one of about n^2 / 2^64.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import pyarrow as pa
 WORDS = 5
 #: Bytes of text handled by numpy at once; a longer text is handled alone.
 CHUNK = 1 << 19
-_P = 0x9E3779B97F4A7C15
+#: Places in a word that have numbers of their own; later ones reuse them times an odd number for each such stretch.
+PLACES = 64
 _WORD = np.ones(256, np.bool_)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
-_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,19 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mix((_FOLD.astype(np.uint64) + np.uint64(1)) * np.uint64(_P))
+#: By place and byte.
+_CELL = mix((np.arange(PLACES, dtype=np.uint64)[:, None] * np.uint64(256) + _FOLD.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).ravel()
 _PLACE = mix(np.arange(1, WORDS + 2, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
-def _weights(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, p, np.uint64)])) for p in (_P, pow(_P, -1, 1 << 64))]
-    return _powers[0][:n], _powers[1][:n]
-
-
 def _hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes of texts that lie one after another in data, and where each text's hashes begin."""
     n, docs = len(data), len(bounds) - 1
@@ -57,10 +50,15 @@ def _hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begins[inner] |= is_word[inner]
     ends[inner - 1] |= is_word[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _weights(n + 1)
+    at = np.arange(n, dtype=np.int32)
+    at -= np.maximum.accumulate(np.where(begins, at, 0))  # places in words
+    values = _CELL[(at & np.int32(PLACES - 1)) << 8 | data]
+    if len(start) and (end - start).max() > PLACES:
+        late = np.flatnonzero(is_word & (at >= PLACES))
+        values[late] *= mix((at[late] // PLACES).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    word = mix((sums[end] - sums[start]) * down[start])
+    np.cumsum(values, out=sums[1:])
+    word = mix(sums[end] - sums[start])
     first = np.searchsorted(start, bounds)  # each text's first word
     count = np.diff(first)
     made = np.where(count >= WORDS, count - WORDS + 1, np.minimum(count, 1))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import neardup
 from tests.compare import assert_same
@@ -104,3 +105,37 @@ def test_stage_keeps_one_document_of_each_group(spark):
 
 def test_query_equals_its_sql(spark, duck):
     assert_same(neardup.op10_near_duplicates(spark, DATA).toPandas(), duck.execute(neardup.ORACLE).fetchdf())
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Thue-Morse words collide under every polynomial hash modulo a power of two; long words use places beyond the table."""
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, a + "x"), (4, a), (5, "q" * 500), (6, "q" * 501), (7, ("u" * 64 + "v" * 64) * 3), (8, ("v" * 64 + "u" * 64) * 3)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6, 7: 7, 8: 8}
+
+
+def test_rows_of_one_id_with_different_texts_are_documents_of_their_own(spark):
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, one), (2, two), (3, one + " x"), (3, two + " y"), (4, "a text of its own here"), (3, "and another one that is unlike"), (None, one)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).where("doc_id is not null").collect())
+    assert got == [(1, 1), (2, 2), (3, 1), (3, 2), (3, 3), (4, 4)]
+    stay = sorted((r.doc_id or -1, r.text) for r in neardup.keep_first(spark, docs.toDF("doc_id", "text"), "").collect())
+    assert stay == [(-1, one), (1, one), (2, two), (3, "and another one that is unlike"), (4, "a text of its own here")]
+    assert neardup.keep_first(spark, docs.where("false"), "").count() == 0
+
+
+def test_salted_join_equals_a_join(spark):
+    from plumbline.llm.common import frequent_of, salted_join
+
+    left = spark.createDataFrame([(1, k) for k in range(3000)] + [(k, -k) for k in range(2, 2500)] + [(None, 0)], "key long, v long")
+    right = spark.createDataFrame([(k, k * 2) for k in range(1, 2400)], "key long, w long")
+    hot = frequent_of(left, "key")
+    assert hot == [1] and frequent_of(right, "key") == []
+    named = [t.withColumn("key", F.concat(F.lit("é'"), F.col("key").cast("string"))) for t in (left, right)]
+    assert frequent_of(named[0], "key") == ["é'1"] and salted_join(*named, "key", ["é'1"]).count() == 5398
+    for how in ("inner", "left"):
+        assert sorted(map(str, salted_join(left, right, "key", hot, how).collect())) == sorted(map(str, left.join(right, "key", how).collect()))
