@@ -37,9 +37,16 @@ NOT_SPATIAL = (
 NEGATIONS = r"\b(?:not|no|never|neither|nor)\b"
 CONTEXT_PREFIX = r"(?i)^according\s+to\s+(?:the\s+)?(?:image|table|chart)\s*,\s*"
 INTERROGATIVE = r"(?i)^(?:which|what|who|where|when|how)\b"
+KIND_NAMES = {"hallusion_binary": "numeric_binary"}
+BINARY_SETS = ("pope", "vsr", "hallusionbench", "gqa_relation", "prehal", "illusionbench")
+GROUNDING = "First, describe what you see in the image in 1-2 sentences.\nThen, %s\n%s: %s\nAt the very end of your response, format your final answer strictly as:\nFINAL_ANSWER: <%s>"
+GROUNDED_TASKS = {
+    "statement": ("determine if the following statement is true or false.", "Statement", "true or false"),
+    "open": ("answer the following question concisely.", "Question", "answer"),
+    "binary": ("answer the following question.", "Question", "yes or no"),
+}
 # end of fixed values
 
-BINARY_SETS = ("pope", "vsr", "hallusionbench", "gqa_relation", "prehal", "illusionbench")
 _RELATION = r"\b(?:" + "|".join(sorted(OPPOSITES, key=len, reverse=True)) + r")\b"
 
 
@@ -99,7 +106,7 @@ def dataset_key(dataset: Column) -> Column:
 def normalise(x: Column, dataset: Column, kind: Column | None = None) -> Column:
     """By the dataset's kind, or the given one where it isn't null; an unknown name is an error."""
     found = _lookup(dataset_key(dataset), NORMALISERS)
-    kind = found if kind is None else F.coalesce(kind, found)
+    kind = found if kind is None else F.coalesce(_lookup(kind, KIND_NAMES), kind, found)
     by_kind = {"yes_no": yes_no, "numeric_binary": numeric_binary, "true_false": true_false, "freeform": freeform}
     out = F
     for name, f in by_kind.items():
@@ -135,6 +142,22 @@ def prompt(question: Column, dataset: Column, kind: Column) -> Column:
     )
 
 
+def grounding_prompt(question: Column, dataset: Column, kind: Column) -> Column:
+    """A request to describe the image first and to end with a tagged answer."""
+    key = dataset_key(dataset)
+
+    def ask(task: str) -> Column:
+        text, name, answer = GROUNDED_TASKS[task]
+        return F.format_string(GROUNDING.replace("%s", "%1$s", 1).replace("%s", "%2$s", 1).replace("%s", "%3$s", 1).replace("%s", "%4$s", 1), F.lit(text), F.lit(name), question, F.lit(answer))
+
+    return F.when(key.isin("vsr", "gqa_relation"), ask("statement")).when(F.coalesce(kind == "open_ended", F.lit(False)) | key.isin("vizwiz", "vizwiz_vqa"), ask("open")).otherwise(ask("binary"))
+
+
+def relation_prompt(swapped: Column, dataset: Column, kind: Column) -> Column:
+    """The swapped statement in its dataset's usual form."""
+    return prompt(swapped, dataset, kind)
+
+
 def strip_markup(x: Column) -> Column:
     """Takes surrounding pairs of marks off until none is left."""
 

@@ -44,9 +44,10 @@ def duplicate_sources(rows: DataFrame, source: str, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.min(source).alias("first"), F.count_distinct(source).alias("sources")).where("sources > 1")
 
 
-def capped(errors: Column, limit: int) -> Column:
-    """The first messages, and how many there are in all."""
-    return F.struct(F.slice(errors, 1, limit).alias("first"), F.size(errors).alias("n"))
+def listed(errors: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The first errors in this order, each with the number of all of them in n_errors."""
+    n = errors.agg(F.count(F.lit(1)).alias("n_errors"))
+    return errors.orderBy(*order).limit(limit).crossJoin(n)  # with one row
 
 
 def manifest_rules() -> list[Rule]:
@@ -94,3 +95,55 @@ def expect_count(rows: DataFrame, condition: Column, n: int) -> DataFrame:
     """One row with the count, or an error if it drifted."""
     got = rows.agg(F.count_if(condition).alias("n"))
     return got.where(F.assert_true(F.col("n") == n, F.format_string(f"expected {n} rows, found %d", F.col("n"))).isNull())
+
+
+def require_rows(rows: DataFrame, what: str) -> DataFrame:
+    """The rows, or an error if there are none: a selection that selects nothing is a mistake."""
+    if rows.isEmpty():
+        raise ValueError(f"no rows: {what}")
+    return rows
+
+
+def human_labels(rows: DataFrame) -> DataFrame:
+    """Typed columns of an annotated table of text: human_match as boolean and similarity as double; a row that doesn't fit is an error."""
+    said = F.lower(F.trim("human_match"))
+    similarity = F.col("cosine_similarity").try_cast("double")
+    ok = said.isin("0", "1", "false", "true", "no", "yes") & finite(similarity) & similarity.between(-1, 1) & F.col("split").isin("train", "val")
+    checked = rows.where(F.assert_true(F.coalesce(ok, F.lit(False)), F.concat(F.lit("the label doesn't fit: "), F.coalesce("audit_id", F.lit("")))).isNull())
+    return checked.withColumns({"match": said.isin("1", "true", "yes"), "similarity": similarity})
+
+
+def semantic_candidates(records: DataFrame) -> DataFrame:
+    """Pairs of clean and probe answers that people may judge: of canonical VizWiz records for development, valid, not empty and not equal.
+
+    records need clean and probes structs with norm_answer, and pilot_severity_probe, which is null in canonical ones.
+    """
+    rows = canonical(records).where((F.lower("dataset") == "vizwiz") & F.col("split").isin("train", "val"))
+    each = rows.select("model_id", "instance_id", "split", F.col("clean.norm_answer").alias("clean_answer"), F.explode("probes").alias("probe", "o"))
+    each = each.where(F.coalesce(F.col("o.applicable"), F.lit(True)) & F.coalesce(F.col("o.valid"), F.lit(True)))
+    each = each.select("model_id", "instance_id", "split", "probe", "clean_answer", F.col("o.norm_answer").alias("probe_answer"))
+    return each.where((F.length("clean_answer") > 0) & (F.length("probe_answer") > 0) & (F.col("clean_answer") != F.col("probe_answer")))
+
+
+def canonical(records: DataFrame) -> DataFrame:
+    return records.where(F.col("pilot_severity_probe").isNull())
+
+
+def severities(records: DataFrame) -> DataFrame:
+    return records.where(F.col("pilot_severity_probe").isNotNull())
+
+
+def identity(records: DataFrame) -> DataFrame:
+    """records with key, the struct by which two of them are the same: severity records differ by probe and severity too. A null in it is an error."""
+    varied = F.col("pilot_severity_probe").isNotNull()
+    base = [F.coalesce("record_type", F.lit("teacher_cache")).alias("record_type"), "model_id", "dataset", "instance_id"]
+    ok = F.col("model_id").isNotNull() & F.col("dataset").isNotNull() & F.col("instance_id").isNotNull() & (~varied | F.col("pilot_severity_value").isNotNull())
+    rows = records.where(F.assert_true(ok, F.lit("a record's key is incomplete")).isNull())
+    return rows.withColumn("key", F.struct(*base, "pilot_severity_probe", "pilot_severity_value"))
+
+
+def scope_errors(records: DataFrame, model: str, dataset: str) -> DataFrame:
+    """(key, error) of records that can't be gone on with: of another model or dataset, or there twice."""
+    rows = identity(records)
+    outside = rows.where((F.col("model_id") != model) | (F.col("dataset") != dataset)).select("key", F.lit("another model or dataset").alias("error"))
+    return outside.unionByName(duplicates(rows, "key").select("key", F.lit("there twice").alias("error")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import checks, evidence, reports, scalars  # noqa: F401  they fill the registry
+from plumbline.plans import checks, evidence, nested, reports, scalars  # noqa: F401  they fill the registry
 from plumbline.plans.registry import ORACLES, QUERIES
 
 

@@ -193,12 +193,6 @@ def reference_match(spark, sf):
     return synth.table(spark, sf, "events").select("event_id", m.cast("int").alias("matched"))
 
 
-@query("probe_deltas", f"WITH {synth.SQL_OBS} SELECT instance_id, model_id, probe, CASE WHEN valid THEN round(answer_prob + conf_shift, 9) ELSE 0 END AS prob, CASE WHEN valid THEN flip ELSE false END AS flip FROM obs")
-def probe_deltas(spark, sf):
-    o = synth.observations(spark, sf)
-    return o.select("instance_id", "model_id", "probe", F.when(F.col("valid"), F.round(F.col("answer_prob") + F.col("conf_shift"), 9)).otherwise(0.0).alias("prob"), F.when(F.col("valid"), F.col("flip")).otherwise(False).alias("flip"))
-
-
 @query("alias_dedupe", "WITH g AS (SELECT user_id, list(event_type ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_sort(list_distinct(v)), ',') AS kinds, v[1] AS first FROM g")
 def alias_dedupe(spark, sf):
     rows = synth.table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("v"), F.min_by("event_type", "event_id").alias("first"))

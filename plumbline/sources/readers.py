@@ -6,13 +6,18 @@ import os
 from collections.abc import Callable
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as tx
 from plumbline.functions.hashing import group_id
+from plumbline.operators import coverage, quality
+from plumbline.sources.staging import checkpointed
 
+# fixed values
+VIZWIZ_POLICY = "normalized_majority_source_order_tiebreak_v1"
+# end of fixed values
 MANIFEST = "instance_id string, group_id string, dataset string, image_id string, question_id string, image_path string, question string, gold_answer string, relation_applicable boolean"
 
 
@@ -23,9 +28,48 @@ def read_records(spark: SparkSession, path: str | list[str], schema: str | T.Str
 
 
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array; ordinal is the place in it, the file is whole by its format."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", f"array<struct<{_struct(schema)}>>")).alias("ordinal", "r"))
-    return rows.select("ordinal", "r.*")
+    """A file that is one JSON array; ordinal is the place in it, the file is whole by its format. A malformed one is an error."""
+    found = F.from_json("value", f"array<struct<{_struct(schema)}>>", {"mode": "FAILFAST"})
+    whole = spark.read.text(path, wholetext=True).where("trim(value) <> ''")
+    whole = whole.where(F.assert_true(F.col("value").rlike(r"^\s*\["), F.lit("the file is no JSON array")).isNull()).select(found.alias("a"))
+    return whole.select(F.posexplode("a").alias("ordinal", "r")).select("ordinal", "r.*")
+
+
+def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One JSON record a line of one file, with ordinal, its place among the lines that aren't blank; a malformed line is an error.
+
+    The file is read in splits. A split's first ordinal comes from the numbers of lines of those before it, so no task holds the file.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")).where("trim(value) <> ''")
+    lines = checkpointed(lines)
+    sizes = lines.groupBy("_at").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least"))
+    first, total = [], 0
+    for r in sorted(sizes.collect()):  # a row for each split
+        first += [F.lit(r["_at"]), F.lit(total)]
+        total += r["n"]
+    place = F.row_number().over(Window.partitionBy("_at").orderBy("_id")) - 1
+    at = (F.create_map(*first)[F.col("_at")] if first else F.lit(0)) + place
+    record = F.from_json("value", f"struct<{_struct(schema)}>", {"mode": "FAILFAST"})
+    return lines.select(at.cast("long").alias("ordinal"), record.alias("r")).select("ordinal", "r.*")
+
+
+def read_unique(spark: SparkSession, path: str, schema: str, keys: list[str], glob: str | None = None) -> DataFrame:
+    """Records of all files; a key that is there twice is an error when the rows are read."""
+    rows = read_records(spark, path, schema, glob)
+    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(twice, keys).where(F.assert_true(F.col("_n") == 1, F.lit("a key is there twice")).isNull()).drop("_n")
+
+
+def first_rows(spark: SparkSession, folder: str, schema: str, limit: int | None, glob: str) -> DataFrame:
+    """The first rows of all files together, in the order of the files' names and their lines; all without a limit.
+
+    Only the first ``limit`` rows of a file can be among them. Spark limits a row_number window before its shuffle.
+    """
+    rows = read_records(spark, folder, schema, glob).withColumns({"file": F.col("_metadata.file_name"), "_at": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    if not limit:
+        return rows.drop("_at", "_id")
+    own = rows.withColumn("_n", F.row_number().over(Window.partitionBy("file").orderBy("_at", "_id"))).where(F.col("_n") <= limit)
+    return own.orderBy("file", "_n").limit(limit).drop("_at", "_id", "_n")
 
 
 def _struct(schema: str) -> str:
@@ -33,11 +77,11 @@ def _struct(schema: str) -> str:
 
 
 def read_array_or_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """By the first character that isn't white space: an array, or one record a line."""
+    """With ordinal; by the first character that isn't white space: an array, or one record a line."""
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
     if first and first[0].value.lstrip().startswith("["):
-        return read_array(spark, path, schema).drop("ordinal")
-    return read_records(spark, path, schema)
+        return read_array(spark, path, schema)
+    return read_lines(spark, path, schema)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -88,12 +132,14 @@ def read_config(path: str) -> dict:
     return found
 
 
-def resolve_path(*candidates: str | None) -> str:
-    """The first candidate that exists on the driver's file system."""
-    for c in candidates:
-        if c and os.path.exists(c):
+def resolve_path(*candidates: str | None, variables: tuple[str, ...] = (), default: str | None = None) -> str:
+    """The first that exists on the driver's file system: the candidates, then the default, then the default under the folders that environment variables name."""
+    under = [os.path.join(os.environ[v], default) for v in variables if default and os.environ.get(v)]
+    tried = [c for c in (*candidates, default, *under) if c]
+    for c in tried:
+        if os.path.exists(c):
             return c
-    raise FileNotFoundError(f"none of {[c for c in candidates if c]} exists")
+    raise FileNotFoundError(f"none of {tried} exists")
 
 
 _loaders: dict[str, Callable[..., DataFrame]] = {}
@@ -125,14 +171,21 @@ def _head(rows: DataFrame, limit: int | None) -> DataFrame:
 
 
 @register_loader("hallusionbench")
-def load_hallusionbench(spark: SparkSession, path: str, overlay: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Rows with an image only, and the limit counts those. Open questions take their gold answer from the overlay and must have one."""
+def load_hallusionbench(spark: SparkSession, path: str, overlay: DataFrame | None = None, limit: int | None = None, expected_open: int | None = None) -> DataFrame:
+    """Rows with an image only, and the limit counts those. Open questions take their gold answer from the overlay and must have one.
+
+    Of a whole file, the number of open questions must be the expected one, and the overlay must have no entry to spare.
+    """
     schema = "category string, subcategory string, set_id string, figure_id string, question_id string, filename string, question string, gt_answer string, gt_answer_details string"
     rows = read_array(spark, path, schema).where(F.coalesce(F.trim("filename"), F.lit("")) != "")
     if limit:
         rows = rows.orderBy("ordinal").limit(limit)
     key = tx.source_key(*[F.col(c) for c in ("category", "subcategory", "set_id", "figure_id", "question_id")])
     rows = rows.withColumns({"key": key, "answer_type": tx.answer_type(F.col("question"))})
+    if not limit and expected_open is not None:  # counts only mean something for the whole file
+        quality.expect_count(rows, F.col("answer_type") == "open_ended", expected_open).collect()
+        if overlay is not None and (spare := [r.key for r in coverage.unused(overlay, rows, "key").limit(10).collect()]):
+            raise ValueError(f"the overlay has entries that no row uses: {spare}")
     overlay = overlay if overlay is not None else spark.createDataFrame([], "key string, references array<string>")
     both = rows.join(overlay, "key", "left")
     fine = (F.col("answer_type") == "open_ended") == F.col("references").isNotNull()
@@ -144,13 +197,10 @@ def load_hallusionbench(spark: SparkSession, path: str, overlay: DataFrame | Non
 
 @register_loader("pope")
 def load_pope(spark: SparkSession, folder: str, limit: int | None = None) -> DataFrame:
-    """The random, popular and adversarial files, in that order; alternative key names are taken as they come."""
+    """The random, popular and adversarial files, in that order, each an array or one record a line; alternative key names are taken as they come, and gold answers as they stand."""
     schema, parts, seen = "image string, text string, question string, label string, answer string, image_id string", [], 0
     for name in ("random", "popular", "adversarial"):
-        rows = spark.read.text(f"{folder}/{name}.json", wholetext=True)
-        lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-        rows = rows.select(F.posexplode(F.transform(lines, lambda x: F.from_json(x, schema))).alias("ordinal", "r")).select("ordinal", "r.*")
-        rows = rows.withColumn("pope_split", F.lit(name))
+        rows = read_array_or_records(spark, f"{folder}/{name}.json", schema).withColumn("pope_split", F.lit(name))
         parts.append(_head(rows, limit - seen) if limit else rows)
         if limit:
             seen += min(limit - seen, rows.count())
@@ -160,13 +210,15 @@ def load_pope(spark: SparkSession, folder: str, limit: int | None = None) -> Dat
     for p in parts[1:]:
         rows = rows.unionByName(p)
     place = F.concat_ws("_", "pope_split", F.col("ordinal").cast("string"))
-    out = rows.select(F.coalesce("image_id", place).alias("image_id"), place.alias("question_id"), F.col("image").alias("image_path"), F.coalesce("text", "question").alias("question"), tx.yes_no(F.coalesce("label", "answer")).alias("gold_answer"), "pope_split", F.lit(False).alias("relation_applicable"))
+    out = rows.select(F.coalesce("image_id", place).alias("image_id"), place.alias("question_id"), F.col("image").alias("image_path"), F.coalesce("text", "question").alias("question"), F.coalesce("label", "answer", F.lit("")).alias("gold_answer"), "pope_split", F.lit(False).alias("relation_applicable"))
     return manifest_rows(out, "pope")
 
 
 @register_loader("vizwiz")
-def load_vizwiz(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """The gold answer is the annotators' commonest normalised one, the earliest among equals."""
+def load_vizwiz(spark: SparkSession, path: str, limit: int | None = None, gold_policy: str = VIZWIZ_POLICY) -> DataFrame:
+    """The gold answer is the annotators' commonest normalised one, the earliest among equals; another policy is refused."""
+    if gold_policy != VIZWIZ_POLICY:
+        raise ValueError(f"the gold policy must be {VIZWIZ_POLICY}, not {gold_policy}")
     rows = _head(read_array(spark, path, "image string, question string, answers array<struct<answer:string>>, answerable int"), limit)
     said = F.transform("answers", lambda a: tx.freeform(a["answer"]))
     counted = F.transform(F.array_distinct(said), lambda w: F.struct(F.size(F.filter(said, lambda x: x == w)).alias("n"), (-F.array_position(said, w)).alias("at"), w.alias("answer")))
@@ -182,8 +234,7 @@ def load_vizwiz(spark: SparkSession, path: str, limit: int | None = None) -> Dat
 def load_vsr(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Statements about spatial relations, with the swapped statement where there is one."""
     schema = "image string, image_link string, caption string, label string, relation string, subrelation string, image_id string"
-    rows = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "").alias("l"))
-    rows = _head(rows.select(F.posexplode(F.transform("l", lambda x: F.from_json(x, schema))).alias("ordinal", "r")).select("ordinal", "r.*"), limit)
+    rows = _head(read_lines(spark, path, schema), limit)
     rows = rows.withColumn("gold_answer", tx.truth_label(F.col("label")))
     rows = rows.withColumn("s", tx.swap_relation(F.col("caption"), F.col("relation"), F.col("gold_answer")))
     out = rows.select(F.coalesce("image_id", "image", "image_link").alias("image_id"), F.col("ordinal").cast("string").alias("question_id"), F.coalesce("image", "image_link").alias("image_path"), F.col("caption").alias("question"), "gold_answer", "relation", "subrelation", F.col("s.applicable").alias("relation_applicable"), F.col("s.swapped_text").alias("swapped_question"), F.col("s.swapped_gold").alias("swapped_gold_answer"), F.col("s.relation").alias("relation_found"))
@@ -193,8 +244,7 @@ def load_vsr(spark: SparkSession, path: str, limit: int | None = None) -> DataFr
 @register_loader("gqa_relation")
 def load_gqa_relation(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """A prepared slice that already has the columns of a manifest."""
-    rows = read_records(spark, path, MANIFEST)
-    return rows.limit(limit) if limit else rows
+    return _head(read_lines(spark, path, MANIFEST), limit).drop("ordinal")
 
 
 def load_dataset(spark: SparkSession, config: dict, **options) -> DataFrame:

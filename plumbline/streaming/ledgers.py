@@ -16,9 +16,9 @@ def first_results(stream: DataFrame, keys: list[str], event_time: str, late: str
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def attempts(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the failures since the last success is unknown to an append-only sum, so both totals are kept."""
-    return stream.groupBy(*keys).agg(F.count_if("failed").alias("failures"), F.count_if(~F.col("failed")).alias("successes"), F.max_by("error", "at").alias("last_error"))
+def attempts(stream: DataFrame, keys: list[str], event_time: str = "at", width: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """Failures, successes and the last error of each key and window; a window's state goes once the watermark has passed it."""
+    return stream.withWatermark(event_time, late).groupBy(F.window(event_time, width), *keys).agg(F.count_if("failed").alias("failures"), F.count_if(~F.col("failed")).alias("successes"), F.max_by("error", F.when(F.col("failed"), F.col(event_time))).alias("last_error"))
 
 
 def windowed_counts(stream: DataFrame, event_time: str, by: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:

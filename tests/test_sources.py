@@ -5,7 +5,7 @@ import json
 
 import pytest
 
-from plumbline.sources import readers, sinks
+from plumbline.sources import gates, readers, sinks
 from plumbline.streaming import ledgers
 
 
@@ -33,6 +33,43 @@ def test_array_or_records(spark, tmp_path):
     assert [(r.ordinal, r.k) for r in readers.read_array(spark, str(a), "k int").collect()] == [(0, 1), (1, 2)]
 
 
+def test_malformed_documents_are_errors(spark, tmp_path):
+    p = tmp_path / "a.json"
+    for text in ('[{"k": 1}, {"k"', '{"k": 1}', "[1, 2"):
+        p.write_text(text)
+        with pytest.raises(Exception, match="(?i)malformed|no JSON array|cannot"):
+            readers.read_array(spark, str(p), "k int").collect()
+    p.write_text('{"k": 1}\n{"k": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_array_or_records(spark, str(p), "k int").collect()
+    p.write_text("\n \n")
+    assert readers.read_array(spark, str(p), "k int").count() == 0
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    p = tmp_path / "many.jsonl"
+    p.write_text("\n" + "".join(json.dumps({"k": k, "pad": "x" * (k % 50)}) + ("\n\n" if k % 7 == 0 else "\n") for k in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = readers.read_lines(spark, str(p), "k long").orderBy("ordinal").collect()
+        lines(tmp_path / "part-b.jsonl", [{"k": k} for k in range(2000, 4000)])
+        lines(tmp_path / "part-a.jsonl", [{"k": k} for k in range(2000)])
+        first = readers.first_rows(spark, str(tmp_path), "k long", 2500, "part-*.jsonl").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.ordinal, r.k) for r in got] == [(k, k) for k in range(3000)]
+    assert sorted(r.k for r in first) == list(range(2500))
+    assert readers.first_rows(spark, str(tmp_path), "k long", None, "part-*.jsonl").count() == 4000
+
+
+def test_unique_keys(spark, tmp_path):
+    lines(tmp_path / "a.jsonl", [{"k": 1}, {"k": 2}])
+    assert readers.read_unique(spark, str(tmp_path), "k int", ["k"]).count() == 2
+    lines(tmp_path / "b.jsonl", [{"k": 2}])
+    with pytest.raises(Exception, match="there twice"):
+        readers.read_unique(spark, str(tmp_path), "k int", ["k"]).collect()
+
+
 def test_artifacts_have_digests_and_no_failures(spark, tmp_path):
     body = lines(tmp_path / "rows_m_shard00-of-02.jsonl", [{"k": 1}, {"k": 2}])
     lines(tmp_path / "rows_m_shard01-of-02.failures.jsonl", [{"k": 9}])
@@ -75,6 +112,65 @@ def test_loader_drops_rows_without_image_before_the_limit(spark, tmp_path):
         readers.get_loader("hallusionbench")(spark, str(p)).collect()
 
 
+def test_whole_files_have_the_expected_open_questions_and_no_spare_overlay(spark, tmp_path):
+    base = {"category": "c", "subcategory": "s", "set_id": "1", "gt_answer": "1", "filename": "f.png"}
+    rows = [{**base, "figure_id": str(i), "question_id": str(i), "question": "Which one?" if i == 0 else "Is it?"} for i in range(3)]
+    p = tmp_path / "h.json"
+    p.write_text(json.dumps(rows))
+    overlay = spark.createDataFrame([("c|s|1|0|0", ["x", "y"])], "key string, references array<string>")
+    load = readers.get_loader("hallusionbench")
+    got = {r.image_id: (r.gold_answer, r.answer_type) for r in load(spark, str(p), overlay=overlay, expected_open=1).collect()}
+    assert got == {"1_0": ("x", "open_ended"), "1_1": ("yes", "binary"), "1_2": ("yes", "binary")}
+    with pytest.raises(Exception, match="expected 2 rows, found 1"):
+        load(spark, str(p), overlay=overlay, expected_open=2)
+    spare = overlay.unionByName(spark.createDataFrame([("other", ["z"])], "key string, references array<string>"))
+    with pytest.raises(ValueError, match="no row uses"):
+        load(spark, str(p), overlay=spare, expected_open=1)
+
+
+def test_pope_files_are_arrays_or_lines_with_gold_as_it_stands(spark, tmp_path):
+    (tmp_path / "random.json").write_text(json.dumps([{"image": "a.jpg", "text": "Is there?", "label": "Yes."}]))
+    lines(tmp_path / "popular.json", [{"image": "b.jpg", "question": "Is it?", "answer": "NO", "image_id": "7"}])
+    lines(tmp_path / "adversarial.json", [{"image": "c.jpg", "question": "Is it?"}])
+    got = {r.pope_split: (r.image_id, r.question, r.gold_answer) for r in readers.get_loader("pope")(spark, str(tmp_path)).collect()}
+    assert got == {"random": ("random_0", "Is there?", "Yes."), "popular": ("7", "Is it?", "NO"), "adversarial": ("adversarial_0", "Is it?", "")}
+    (tmp_path / "popular.json").write_text('{"image": "b.jpg", "question"')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.get_loader("pope")(spark, str(tmp_path)).collect()
+
+
+def test_other_policies_and_slices(spark, tmp_path, monkeypatch):
+    with pytest.raises(ValueError, match="gold policy"):
+        readers.get_loader("vizwiz")(spark, "nowhere", gold_policy="mean")
+    g = lines(tmp_path / "g.jsonl", [{"instance_id": f"i{k}", "question": "q"} for k in range(9)])
+    assert [r.instance_id for r in readers.get_loader("gqa_relation")(spark, g, limit=4).collect()] == ["i0", "i1", "i2", "i3"]
+    monkeypatch.setenv("SOME_DATA_ROOT", str(tmp_path))
+    assert readers.resolve_path(None, "nowhere", variables=("NOT_SET", "SOME_DATA_ROOT"), default="g.jsonl") == g
+    with pytest.raises(FileNotFoundError):
+        readers.resolve_path("nowhere", default="nothing")
+
+
+def test_gates(tmp_path):
+    configs = {"a": {}, "b": {"role": "held_out"}, "c": {"construction_status": "pending"}, "d": {"role": "core"}}
+    assert gates.main_datasets(configs) == ["a", "d"]
+    staged = {"staged_checks_approved": True, "staged_max_examples": 10, "staged_full_dataset_allowlist": ["vsr"]}
+    for limit, name in ((10, None), (3, "pope"), (None, "vsr")):
+        gates.authorise(staged, limit, name)
+    gates.authorise({"full_core_approved": True}, None, None)
+    gates.authorise(None, None, None, dry_run=True)
+    for policy, limit, name in ((None, 1, None), ({}, 1, None), (staged, 11, None), (staged, None, "pope"), (staged, None, None), (staged | {"staged_max_examples": True}, 1, None)):
+        with pytest.raises(PermissionError):
+            gates.authorise(policy, limit, name)
+    sha = "0123456789abcdef0123456789abcdef01234567"
+    assert gates.metadata_revision(f"\n {sha.upper()}\netag\n") == sha and gates.metadata_revision(f"etag\n{sha}") is None
+    assert gates.resolve_revision(f"/models/{sha}", [sha]) == ("RESOLVED", sha)
+    assert gates.resolve_revision(f"/models/{sha}", ["f" * 40])[0] == "AMBIGUOUS" and gates.resolve_revision("/models", [])[0] == "UNRESOLVED"
+    (tmp_path / "full").mkdir()
+    (tmp_path / "full" / "x").write_text("1")
+    (tmp_path / "void").write_text("")
+    assert gates.missing_artifacts(str(tmp_path), ["full", "void", "none", "full/x"]) == ["void", "none"]
+
+
 def test_other_loaders(spark, tmp_path):
     for i, name in enumerate(("random", "popular", "adversarial")):
         lines(tmp_path / f"{name}.json", [{"image": f"{name}.jpg", "text": "Is there?", "label": "yes" if i else "no"}, {"image": "x.jpg", "question": "Is it?", "answer": "no"}])
@@ -109,6 +205,21 @@ def test_sinks(spark, tmp_path):
     assert readers.read_config(str(tmp_path / "c.yaml")) == {"a": 1}
 
 
+def test_streams_count_by_window(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    lines(folder / "a.json", [{"k": "a", "at": f"2024-01-0{d}T0{h}:00:00", "failed": h == 1, "error": f"e{d}{h}"} for d in (1, 2, 9) for h in (1, 2)])
+    schema = "k string, at timestamp, failed boolean, error string"
+    for name, f in (("attempts", lambda s: ledgers.attempts(s, ["k"])), ("counts", lambda s: ledgers.windowed_counts(s, "at", ["k"], "1 day"))):
+        out = str(tmp_path / name)
+        ledgers.run_once(f(ledgers.read_stream(spark, str(folder), schema)), out, str(tmp_path / f"{name}-check"))
+        rows = spark.read.parquet(out).orderBy("window").collect()  # the last window is still open
+        if name == "attempts":
+            assert [(r.failures, r.successes, r.last_error) for r in rows] == [(1, 1, "e11"), (1, 1, "e21")]
+        else:
+            assert [r.n for r in rows] == [2, 2]
+
+
 def test_stream_takes_each_key_once_and_goes_on(spark, tmp_path):
     folder, out, check = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     folder.mkdir()
