@@ -124,8 +124,17 @@ def gold_binary(raw: Column) -> Column:
     return _lookup(F.lower(strip(raw)), GOLD)
 
 
+def required_gold(raw: Column) -> Column:
+    """The same, but anything else is an error."""
+    return F.coalesce(gold_binary(raw), F.raise_error(F.concat(F.lit("no gold answer: "), F.coalesce(raw, F.lit("null")))))
+
+
 def source_key(*parts: Column) -> Column:
-    return F.concat_ws("|", *[strip(p.cast("string")) for p in parts])
+    """Trimmed parts between bars; a missing one is an error."""
+    there = None
+    for p in parts:
+        there = p.isNotNull() if there is None else there & p.isNotNull()
+    return F.when(there, F.concat_ws("|", *[strip(p.cast("string")) for p in parts])).otherwise(F.raise_error(F.lit("a part of the key is missing")))
 
 
 def truth_label(x: Column) -> Column:

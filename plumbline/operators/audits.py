@@ -153,6 +153,21 @@ def progress(clean: DataFrame, expected: int, models: tuple[str, ...]) -> DataFr
     return wanted.join(seen, "model_id", "left").select("model_id", F.coalesce("done", F.lit(0)).alias("done"), (F.coalesce("done", F.lit(0)) / F.lit(expected)).alias("share"))
 
 
+def pilot_completeness(canonical: DataFrame, grid: DataFrame, datasets: tuple[str, ...], instances: int = 100, cells: int = 1200) -> DataFrame:
+    """Per model: the datasets with enough canonical instances and severity cells, and whether those are all that are due."""
+    c = canonical.groupBy("model_id", "dataset").agg(F.count_distinct("instance_id").alias("n_instances"))
+    g = grid.groupBy("model_id", "dataset").agg(F.count_distinct("instance_id", "probe", "severity").alias("n_cells"))
+    both = c.join(g, ["model_id", "dataset"], "full_outer").fillna(0, ["n_instances", "n_cells"])
+    enough = (F.col("n_instances") >= instances) & (F.col("n_cells") >= cells) & F.col("dataset").isin(*datasets)
+    return both.groupBy("model_id").agg(F.count_if(enough).alias("n_complete"), (F.count_if(enough) == len(datasets)).alias("complete"))
+
+
+def enough_models(completeness: DataFrame, least: int = 2) -> DataFrame:
+    """One row: how many models are complete, and whether they are enough."""
+    n = F.count_if("complete")
+    return completeness.agg(n.alias("n_models"), (n >= least).alias("enough"))
+
+
 def gap_fires(full: Column, control: Column, threshold: float = 2.0) -> Column:
     """A control that comes within the threshold of the full model."""
     return (full - control) <= threshold

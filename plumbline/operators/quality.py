@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scores import finite
-from plumbline.operators.labels import CORE_PROBES, LABELS
+from plumbline.operators.labels import CORE_PROBES
 
 Rule = tuple[str, Column]
 SPLITS = ("train", "val", "cal", "test")
@@ -65,10 +65,6 @@ def observation_rules(splits: Sequence[str] = ("train", "val")) -> list[Rule]:
     return [split_rule(splits), ("unknown probe", F.col("probe").isin(*CORE_PROBES, "relation")), ("relation probe without relation", (F.col("probe") != "relation") | F.col("relation_applicable")), *shifts, ("semantic_match is not 0 or 1", F.col("semantic_match").isin(0, 1)), ("invalid observation", F.col("valid"))]
 
 
-def label_rules() -> list[Rule]:
-    return [("unknown label", F.col("label6").isin(*LABELS)), ("visual score out of range", F.col("sig_v").between(0, 1)), ("alignment score out of range", F.col("sig_a").between(0, 1))]
-
-
 def recomputed(stored: DataFrame, fresh: DataFrame, keys: list[str], exact: list[str], close: list[str], tolerance: float = 1e-12) -> DataFrame:
     """Keys where stored and fresh columns differ, by name; null equals null."""
     both = stored.select(*keys, *[F.col(c).alias(f"_{c}") for c in (*exact, *close)]).join(fresh.select(*keys, *exact, *close), keys)

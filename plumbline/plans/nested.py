@@ -11,7 +11,8 @@ from plumbline.plans import synth
 from plumbline.plans.evidence import _C, _L, _O, _TAGS, KEYS, labelled
 from plumbline.plans.registry import query
 from plumbline.plans.reports import dev
-from plumbline.plans.scalars import _DS, _SYES, _T, _listed, _pick, _Q, _questions, _distributions, texts
+from plumbline.plans.scalars import _DS, _SYES, _T, _Q, _distributions, _listed, _pick, _questions, texts
+from plumbline.sources.staging import checkpointed
 
 REVISION = "0123456789abcdef0123456789abcdef01234567"
 CARRIED = ("group_id", "dataset", "split", "relation_applicable", "ordinal", "model_revision", "question", "gold_answer")
@@ -159,7 +160,7 @@ _N_STATES = "SELECT count(*) FROM s JOIN clean c ON c.model_id = s.model_id AND
     ("a state's split differs", f"{_N_STATES} AND c.ordinal % 97 = 29"), ("a state's model_revision differs", f"{_N_STATES} AND c.ordinal % 97 = 17"), ("a record is lacking", "SELECT count(*) FROM manifest"))}) SELECT rule, n FROM e WHERE n > 0""")
 def artifact_errors(spark, sf):
     """All artifacts against each other; a third model is due of which there is no record."""
-    whole = nested(spark, sf)
+    whole = checkpointed(nested(spark, sf))  # as artifacts are: files that are read by every rule
     rows = _faulty(whole)
     n = F.col("ordinal")
     at = synth.manifest(spark, sf).select("instance_id", "ordinal")
@@ -167,7 +168,8 @@ def artifact_errors(spark, sf):
     own = own.unionByName(own.where(n % 31 == 12)).drop("ordinal")
     states = records.state_rows(whole.where((n % 37 != 6) & (n % 97 != 5)).withColumn("teacher_label6", F.when(n % 47 == 4, "stale").otherwise(F.col("teacher_label6"))))
     states = states.join(at.withColumnRenamed("instance_id", "_id"), F.col("metadata.instance_id") == F.col("_id")).where(~((n % 43 == 9) & (F.size("learner_input.acquired_probe_names") == 0))).drop("_id", "ordinal")
-    return _counted(records.artifact_errors(synth.manifest(spark, sf), rows, own, states, (*synth.MODELS, "model_c")))
+    states, own, manifest = checkpointed(states), checkpointed(own), checkpointed(synth.manifest(spark, sf))
+    return _counted(records.artifact_errors(manifest, rows, own, states, (*synth.MODELS, "model_c")))
 
 
 @query("state_source_join", f"{_STATES} SELECT s.model_id, s.instance_id, count(*) AS n_states, any_value(l.label6) AS label6, any_value(CAST(l.clean_correct AS INTEGER)) AS correct FROM s JOIN labelled l ON l.model_id = s.model_id AND l.instance_id = s.instance_id GROUP BY s.model_id, s.instance_id")

@@ -173,6 +173,26 @@ def completeness(spark, sf):
     return done.withColumn("complete", F.col("done") >= 100)
 
 
+_PC = f"""{_G}, a AS (SELECT model_id, dataset, count(DISTINCT instance_id) AS n FROM clean WHERE clean_valid GROUP BY ALL), b AS (SELECT model_id, dataset, count(DISTINCT ROW(instance_id, probe, severity)) AS k FROM grid WHERE valid GROUP BY ALL),
+pc AS (SELECT a.model_id, count(*) FILTER (n >= 100 AND k >= 1200 AND (a.model_id = 'model_a' OR a.dataset <> 'vsr')) AS n_complete FROM a JOIN b ON a.model_id = b.model_id AND a.dataset = b.dataset GROUP BY a.model_id)"""
+
+
+def _pilot_completeness(spark, sf):
+    c, g = synth.clean(spark, sf).where("clean_valid"), synth.severity_grid(spark, sf).where("valid")
+    return audits.pilot_completeness(c, g.where("model_id = 'model_a' or dataset <> 'vsr'"), synth.DATASETS)
+
+
+@query("pilot_completeness", f"{_PC} SELECT model_id, n_complete, n_complete = 4 AS complete FROM pc")
+def pilot_completeness(spark, sf):
+    """The second model has no severities of one dataset."""
+    return _pilot_completeness(spark, sf)
+
+
+@query("enough_models", f"{_PC} SELECT count(*) FILTER (n_complete = 4) AS n_models, count(*) FILTER (n_complete = 4) >= 2 AS enough FROM pc")
+def enough_models(spark, sf):
+    return audits.enough_models(_pilot_completeness(spark, sf))
+
+
 @query("required_coverage", f"{_C} SELECT model_id, array_to_string(list_sort(list_filter(['pope', 'vqa', 'vsr'], lambda x: NOT list_contains(list(DISTINCT dataset), x))), ',') AS lacking FROM clean GROUP BY model_id")
 def required_coverage(spark, sf):
     wanted = F.array(*map(F.lit, ("pope", "vqa", "vsr")))

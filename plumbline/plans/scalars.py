@@ -193,10 +193,12 @@ def reference_match(spark, sf):
     return synth.table(spark, sf, "events").select("event_id", m.cast("int").alias("matched"))
 
 
-@query("alias_dedupe", "WITH g AS (SELECT user_id, list(event_type ORDER BY event_id) AS v FROM events GROUP BY user_id) SELECT user_id, array_to_string(list_sort(list_distinct(v)), ',') AS kinds, v[1] AS first FROM g")
+@query("alias_dedupe", "WITH g AS (SELECT user_id, event_type, min(event_id) AS first_id FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY first_id) AS kinds FROM g GROUP BY user_id")
 def alias_dedupe(spark, sf):
-    rows = synth.table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("v"), F.min_by("event_type", "event_id").alias("first"))
-    return rows.select("user_id", F.array_join(F.array_sort("v"), ",").alias("kinds"), "first")
+    """Each user's kinds of events, once each, in the order in which they first came."""
+    first = synth.table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
+    rows = first.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "event_type"))).alias("v"))  # of a closed set of kinds
+    return rows.select("user_id", F.array_join("v.event_type", ",").alias("kinds"))
 
 
 @query("ordered_digest", "SELECT conv_id, sha256(string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn, role)) AS digest FROM conversations GROUP BY conv_id")
@@ -206,7 +208,7 @@ def ordered_digest(spark, sf):
     return rows.select("conv_id", F.sha2(F.array_join(F.transform("v", lambda s: s["x"]), "|"), 256).alias("digest"))
 
 
-@query("canonical_hash")
+@query("canonical_hash", """SELECT event_id, sha256('{' || (SELECT string_agg('"' || k || '": ' || CAST(json_extract(props, '$."' || k || '"') AS VARCHAR), ', ' ORDER BY k) FROM (SELECT unnest(json_keys(props)) AS k)) || '}') AS digest FROM events""")
 def canonical_hash(spark, sf):
     return synth.table(spark, sf, "events").select("event_id", h.canonical_json_sha256(F.col("props")).alias("digest"))
 

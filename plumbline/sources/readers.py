@@ -30,7 +30,7 @@ def read_records(spark: SparkSession, path: str | list[str], schema: str | T.Str
 def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A file that is one JSON array; ordinal is the place in it, the file is whole by its format. A malformed one is an error."""
     found = F.from_json("value", f"array<struct<{_struct(schema)}>>", {"mode": "FAILFAST"})
-    whole = spark.read.text(path, wholetext=True).where("trim(value) <> ''")
+    whole = spark.read.text(path, wholetext=True).where(F.col("value").rlike(r"\S"))
     whole = whole.where(F.assert_true(F.col("value").rlike(r"^\s*\["), F.lit("the file is no JSON array")).isNull()).select(found.alias("a"))
     return whole.select(F.posexplode("a").alias("ordinal", "r")).select("ordinal", "r.*")
 
@@ -40,7 +40,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     The file is read in splits. A split's first ordinal comes from the numbers of lines of those before it, so no task holds the file.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")).where("trim(value) <> ''")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id")).where(F.col("value").rlike(r"\S"))
     lines = checkpointed(lines)
     sizes = lines.groupBy("_at").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("least"))
     first, total = [], 0
@@ -78,7 +78,7 @@ def _struct(schema: str) -> str:
 
 def read_array_or_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """With ordinal; by the first character that isn't white space: an array, or one record a line."""
-    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    first = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).collect()
     if first and first[0].value.lstrip().startswith("["):
         return read_array(spark, path, schema)
     return read_lines(spark, path, schema)
@@ -120,8 +120,9 @@ def read_reference_overlay(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.assert_true(F.size("references") > 0, F.concat(F.lit("no references for "), F.col("key"))).isNull())
 
 
-def completed(rows: DataFrame, key: str) -> DataFrame:
-    return rows.select(key).where(F.col(key).isNotNull()).distinct()
+def completed(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Distinct ids of the records at a path; none where there is no such path."""
+    return read_or_empty(spark, path, f"`{key}` string").select(key).where(F.col(key).isNotNull()).distinct()
 
 
 def read_config(path: str) -> dict:
@@ -190,7 +191,7 @@ def load_hallusionbench(spark: SparkSession, path: str, overlay: DataFrame | Non
     both = rows.join(overlay, "key", "left")
     fine = (F.col("answer_type") == "open_ended") == F.col("references").isNotNull()
     both = both.where(F.assert_true(fine, F.concat(F.lit("the overlay doesn't fit "), F.col("key"))).isNull())
-    gold = F.when(F.col("answer_type") == "open_ended", F.get("references", F.lit(0))).otherwise(tx.gold_binary(F.col("gt_answer")))
+    gold = F.when(F.col("answer_type") == "open_ended", F.get("references", F.lit(0))).otherwise(tx.required_gold(F.col("gt_answer")))
     out = both.select(F.concat_ws("_", "set_id", "figure_id").alias("image_id"), F.col("ordinal").cast("string").alias("question_id"), F.col("filename").alias("image_path"), "question", gold.alias("gold_answer"), "answer_type", "category", "subcategory", F.col("references").alias("reference_answers"), F.lit(False).alias("relation_applicable"))
     return manifest_rows(out, "hallusionbench")
 

@@ -18,8 +18,14 @@ def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("ignoreNullFields", False).json(path)
 
 
-def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
+def write_ordered(df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> None:
+    """Records in this order over the files in their names' order: range partitions, each sorted, so no task sorts all of them."""
+    write_records(df.orderBy(*order), path, overwrite)
+
+
+def write_csv(df: DataFrame, path: str, overwrite: bool = False, single: bool = False) -> None:
+    """With a header. single is for small reports: one task writes one file."""
+    (df.coalesce(1) if single else df).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def write_text(text: str, path: str) -> None:

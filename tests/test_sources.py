@@ -197,6 +197,12 @@ def test_sinks(spark, tmp_path):
         sinks.write_records(df, out)
     sinks.append_records(df, out)
     assert readers.read_records(spark, out, "k int, t string").count() == 4
+    sinks.write_ordered(spark.range(200).selectExpr("199 - id as k", "'x' as t").repartition(5), str(tmp_path / "ordered"), ["k"])
+    files = sorted((tmp_path / "ordered").glob("part-*.json"))
+    assert [json.loads(line)["k"] for f in files for line in f.read_text().splitlines()] == list(range(200))
+    sinks.write_csv(spark.range(9).repartition(3), str(tmp_path / "csv"), single=True)
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 1
+    assert readers.completed(spark, out, "t").count() == 1 and readers.completed(spark, str(tmp_path / "none"), "t").count() == 0
     sinks.write_report({"b": 1, "a": 2}, str(tmp_path / "r.json"))
     assert (tmp_path / "r.json").read_text().startswith('{\n  "a": 2')
     with pytest.raises(ValueError):
