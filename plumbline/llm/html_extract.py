@@ -220,43 +220,47 @@ class Field:
 
 def train(pages: list[tuple[list[Block], list[bool]]], steps: int = STEPS) -> Field:
     """Maximum likelihood with L2, by full gradients from forward and backward sums over all pages at once."""
-    pages = [p for p in pages if p[0]]
-    longest = max(len(p[0]) for p in pages)
-    shape = (len(pages), longest)
-    mask, gold = np.zeros(shape, bool), np.zeros(shape)
+    pages = sorted((p for p in pages if p[0]), key=lambda p: -len(p[0]))  # so that the pages with a k-th block come first
+    longest, n_pages = len(pages[0][0]), len(pages)
+    some = [sum(len(p[0]) > k for p in pages) for k in range(longest)]
+    mask, y = np.zeros((longest, n_pages), bool), np.zeros((longest, n_pages), int)
     index: dict[str, int] = {}
     where, which = [], []
     for i, (blocks, labels) in enumerate(pages):
-        mask[i, : len(blocks)] = True
-        gold[i, : len(labels)] = labels
+        mask[: len(blocks), i] = True
+        y[: len(labels), i] = labels
         for j, b in enumerate(blocks):
             for f in b.path.features() + _text_features(b):
-                where.append(i * longest + j)
+                where.append(j * n_pages + i)
                 which.append(index.setdefault(f, len(index)))
     where, which = np.array(where), np.array(which)
     w, t = np.zeros(len(index)), np.zeros((2, 2))
     gw, gt = np.full(len(index), 1e-8), np.full((2, 2), 1e-8)
     seen = np.zeros((2, 2))
-    y = gold.astype(int)
-    both = mask[:, 1:]
-    np.add.at(seen, (y[:, :-1][both], y[:, 1:][both]), 1)
+    before, after = np.nonzero(mask[1:])  # each pair of neighbours, by the first one's place
+    np.add.at(seen, (y[before, after], y[before + 1, after]), 1)
+    lasts = mask.sum(axis=0) - 1, np.arange(n_pages)
     for _ in range(steps):
-        unary = np.zeros((*shape, 2))
-        unary[..., 1] = np.bincount(where, w[which], shape[0] * longest).reshape(shape)
-        forward, backward = np.zeros_like(unary), np.zeros_like(unary)
-        forward[:, 0] = unary[:, 0]
+        u = np.bincount(where, w[which], longest * n_pages).reshape(longest, n_pages)
+        forward, backward = np.zeros((2, longest, n_pages)), np.zeros((2, longest, n_pages))  # by label
+        forward[1, 0] = u[0]
         for k in range(1, longest):
-            f = np.logaddexp(forward[:, k - 1, 0, None] + t[0], forward[:, k - 1, 1, None] + t[1]) + unary[:, k]
-            forward[:, k] = np.where(mask[:, k, None], f, forward[:, k - 1])
-        total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-        for k in range(longest - 2, -1, -1):
-            after = unary[:, k + 1] + backward[:, k + 1]
-            b = np.logaddexp(t[:, 0] + after[:, 0, None], t[:, 1] + after[:, 1, None])
-            backward[:, k] = np.where(mask[:, k + 1, None], b, 0.0)
-        on = np.exp(forward[..., 1] + backward[..., 1] - total[:, None]) * mask
-        pair = np.exp(forward[:, :-1, :, None] + t + (unary + backward)[:, 1:, None, :] - total[:, None, None, None]) * both[..., None, None]
-        dw = np.bincount(which, (gold * mask - on).ravel()[where], len(index)) - L2 * w
-        dt = seen - pair.sum(axis=(0, 1)) - L2 * t
+            off, on = forward[:, k - 1, : some[k]]
+            forward[0, k, : some[k]] = np.logaddexp(off + t[0, 0], on + t[1, 0])
+            forward[1, k, : some[k]] = np.logaddexp(off + t[0, 1], on + t[1, 1]) + u[k, : some[k]]
+        total = np.logaddexp(forward[0][lasts], forward[1][lasts])
+        for k in range(longest - 1, 0, -1):
+            off, on = backward[0, k, : some[k]], backward[1, k, : some[k]] + u[k, : some[k]]
+            for label in (0, 1):
+                backward[label, k - 1, : some[k]] = np.logaddexp(t[label, 0] + off, t[label, 1] + on)
+        share = np.where(mask, np.exp(np.where(mask, forward[1] + backward[1] - total, 0)), 0)
+        made = np.empty((2, 2))
+        for x in (0, 1):
+            left = forward[x][before, after] - total[after]
+            for z in (0, 1):
+                made[x, z] = np.exp(left + t[x, z] + backward[z][before + 1, after] + (u[before + 1, after] if z else 0)).sum()
+        dw = np.bincount(which, (y * mask - share).ravel()[where], len(index)) - L2 * w
+        dt = seen - made - L2 * t
         gw += dw**2
         gt += dt**2
         w += RATE * dw / np.sqrt(gw)
