@@ -146,11 +146,18 @@ def calibrate(pairs: DataFrame, target_recall: float = 0.9, taus: tuple[float, .
     return ok.orderBy(F.desc("f1"), "tau").limit(1)
 
 
-def progress(clean: DataFrame, expected: int, models: tuple[str, ...]) -> DataFrame:
-    """Rows of every required model, none included, and the share of those expected."""
-    seen = clean.where("clean_valid").groupBy("model_id").agg(F.count_distinct("instance_id").alias("done"))
+def progress(clean: DataFrame, expected: int, models: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of every required model, none included, and the share of those expected; by further columns where rows have them."""
+    seen = clean.where("clean_valid").groupBy("model_id", *by).agg(F.count_distinct("instance_id").alias("done"))
     wanted = clean.sparkSession.createDataFrame([(m,) for m in models], "model_id string")
-    return wanted.join(seen, "model_id", "left").select("model_id", F.coalesce("done", F.lit(0)).alias("done"), (F.coalesce("done", F.lit(0)) / F.lit(expected)).alias("share"))
+    return wanted.join(seen, "model_id", "left").select("model_id", *by, F.coalesce("done", F.lit(0)).alias("done"), (F.coalesce("done", F.lit(0)) / F.lit(expected)).alias("share"))
+
+
+def frozen_config(chosen: DataFrame, stats: DataFrame, thresholds: dict[str, float]) -> dict:
+    """A configuration to freeze: the chosen severity of each probe with its numbers, and thresholds. chosen has a row for each probe."""
+    own = chosen.join(stats.select("probe", "severity", "n_valid", "flip_rate", "saturation", "invalid_rate"), ["probe", "severity"], "left").orderBy("probe")
+    severities = {r["probe"]: {k: r[k] for k in ("severity", "by_default", "n_valid", "flip_rate", "saturation", "invalid_rate")} for r in own.collect()}
+    return {"severities": severities, "thresholds": dict(thresholds)}
 
 
 def pilot_completeness(canonical: DataFrame, grid: DataFrame, datasets: tuple[str, ...], instances: int = 100, cells: int = 1200) -> DataFrame:

@@ -39,6 +39,16 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def require_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows, or an error when one is read whose key is there twice or null."""
+    twice = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
+    same, null = F.lit(True), F.lit(False)
+    for k in keys:  # null-safe, or null keys would be dropped before they are seen
+        same, null = same & F.col(k).eqNullSafe(F.col(f"_{k}")), null | F.col(f"_{k}").isNull()
+    message = F.when(null, "a key is null").when(F.col("_n") > 1, "a key is there twice")
+    return rows.join(twice, same).where(F.assert_true(message.isNull(), message).isNull()).select(*rows.columns)
+
+
 def duplicate_sources(rows: DataFrame, source: str, *keys: str) -> DataFrame:
     """Keys in more than one source, with the first source and their number."""
     return rows.groupBy(*keys).agg(F.min(source).alias("first"), F.count_distinct(source).alias("sources")).where("sources > 1")

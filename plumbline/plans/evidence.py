@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import hashing as h
-from plumbline.operators import coverage, labels, sampling, states
+from plumbline.operators import coverage, digests, labels, sampling, states
 from plumbline.plans import synth
 from plumbline.plans.registry import query
 
@@ -76,6 +76,17 @@ def six_way(spark, sf):
     return labelled(spark, sf).select(*KEYS, "label6")
 
 
+@query("label_digests", f"{_L} SELECT instance_id, model_id, sha256('instance_id=' || instance_id || chr(10) || 'model_id=' || model_id || chr(10) || 'bit_v=' || CAST(bit_v AS VARCHAR) || chr(10) || 'bit_l=' || CAST(bit_l AS VARCHAR) || chr(10) || 'bit_a=' || CAST(bit_a AS VARCHAR) || chr(10) || 'label6=' || label6) AS digest FROM labelled")
+def label_digests(spark, sf):
+    return labelled(spark, sf).select(*KEYS, digests.record_digest(*KEYS, "bit_v", "bit_l", "bit_a", "label6").alias("digest"))
+
+
+@query("manifest_digest", f"""{_M}, r AS (SELECT (row_number() OVER (ORDER BY instance_id) - 1) AS i, sha256('instance_id=' || instance_id || chr(10) || 'split=' || split || chr(10) || 'ordinal=' || CAST(ordinal AS VARCHAR)) AS d FROM manifest), c AS (SELECT i // 256 AS chunk, count(*) AS n, sha256(string_agg(d, '' ORDER BY i)) AS d FROM r GROUP BY chunk)
+SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, '' ORDER BY chunk)) AS digest FROM c""")
+def manifest_digest(spark, sf):
+    return digests.table_digest(synth.manifest(spark, sf), ["instance_id"], ["instance_id", "split", "ordinal"], 256)
+
+
 @query("mandatory_probe_violations", f"""{_O}, g AS (SELECT instance_id, model_id, any_value(relation_applicable) AS rel, list(DISTINCT probe) FILTER (valid) AS ok FROM obs GROUP BY ALL),
 w AS (SELECT instance_id, model_id, list_sort(list_filter(CASE WHEN rel THEN ['blank','blur','crop','brightness','noise','grounding','relation'] ELSE ['blank','blur','crop','brightness','noise','grounding'] END, lambda p: NOT list_contains(coalesce(ok, []), p))) AS missing FROM g)
 SELECT instance_id, model_id, array_to_string(missing, ',') AS missing FROM w WHERE len(missing) > 0""")

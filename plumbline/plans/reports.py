@@ -161,6 +161,11 @@ def progress_by_model(spark, sf):
     return audits.progress(synth.clean(spark, sf), 1000, ("model_a", "model_b", "model_c")).withColumn("share", F.round("share", 9))
 
 
+@query("progress_by_split", f"{_C}, w AS (SELECT * FROM (VALUES ('model_a'), ('model_b'), ('model_c')) AS v(model_id)) SELECT w.model_id, c.split, count(DISTINCT c.instance_id) AS done FROM w LEFT JOIN clean c ON c.model_id = w.model_id AND c.clean_valid GROUP BY w.model_id, c.split")
+def progress_by_split(spark, sf):
+    return audits.progress(synth.clean(spark, sf), 1000, ("model_a", "model_b", "model_c"), ("split",)).drop("share")
+
+
 @query("readiness_counts", f"{_M} SELECT dataset, count(*) AS n, count(*) FILTER (WHERE relation_applicable) AS relation_rows, CAST(2 * (7 * count(*) + count(*) FILTER (WHERE relation_applicable)) AS BIGINT) AS passes FROM manifest GROUP BY dataset")
 def readiness_counts(spark, sf):
     n, r = F.count(F.lit(1)), F.count_if("relation_applicable")

@@ -55,9 +55,7 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_unique(spark: SparkSession, path: str, schema: str, keys: list[str], glob: str | None = None) -> DataFrame:
     """Records of all files; a key that is there twice is an error when the rows are read."""
-    rows = read_records(spark, path, schema, glob)
-    twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(twice, keys).where(F.assert_true(F.col("_n") == 1, F.lit("a key is there twice")).isNull()).drop("_n")
+    return quality.require_unique(read_records(spark, path, schema, glob), keys)
 
 
 def first_rows(spark: SparkSession, folder: str, schema: str, limit: int | None, glob: str) -> DataFrame:

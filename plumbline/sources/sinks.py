@@ -8,6 +8,8 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+from plumbline.operators.digests import table_digest
+
 
 def write_records(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """One JSON record a line; an existing path is an error unless it may be replaced. Spark's commit makes it whole or nothing."""
@@ -23,6 +25,12 @@ def write_ordered(df: DataFrame, path: str, order: list[str], overwrite: bool =
     write_records(df.orderBy(*order), path, overwrite)
 
 
+def write_manifest(df: DataFrame, path: str, order: list[str], overwrite: bool = False) -> str:
+    """Writes the rows in this order and returns a digest that depends on it."""
+    write_ordered(df, path, order, overwrite)
+    return table_digest(df, order, df.columns).first()["digest"]
+
+
 def write_csv(df: DataFrame, path: str, overwrite: bool = False, single: bool = False) -> None:
     """With a header. single is for small reports: one task writes one file."""
     (df.coalesce(1) if single else df).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.operators import audits, coverage, labels, ledger, quality, sampling, states
+from plumbline.operators import audits, coverage, digests, labels, ledger, quality, sampling, states
 
 CARRIED = ["relation_applicable", "clean_correct", "answer_prob", "swap_invariance"]
 
@@ -162,3 +162,30 @@ def test_recovered_rows_are_disjoint(spark):
     both = spark.createDataFrame([("e", ("a", 2))], "error string, row struct<k:string,v:int>")
     with pytest.raises(Exception, match="both valid and failed"):
         ledger.recovered(valid, both, ["k"], "row").collect()
+
+
+def test_digests_depend_on_order_and_nulls(spark):
+    rows = spark.createDataFrame([(k, "x" if k % 3 else None) for k in range(50)], "k int, t string")
+
+    def digest(df, order=("k",)):
+        return tuple(digests.table_digest(df, list(order), ["k", "t"], 7).first())
+
+    assert digest(rows) == digest(rows.repartition(5)) and digest(rows)[0] == 50
+    assert digest(rows) != digest(rows.withColumn("o", -F.col("k")), ("o",))
+    assert digest(rows) != digest(rows.fillna("")) and digest(rows.where("false"))[0] == 0
+
+
+def test_unique_keys_are_required(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, t string")
+    assert quality.require_unique(rows, ["k"]).count() == 2
+    for extra, message in (((2, "c"), "there twice"), ((None, "c"), "is null")):
+        with pytest.raises(Exception, match=message):
+            quality.require_unique(rows.unionByName(spark.createDataFrame([extra], rows.schema)), ["k"]).collect()
+
+
+def test_frozen_config(spark):
+    stats = spark.createDataFrame([("blur", 4.0, 9, 0.2, 0.0, 0.0)], "probe string, severity double, n_valid long, flip_rate double, saturation double, invalid_rate double")
+    fallback = spark.createDataFrame([("blur", 1.0), ("crop", 1.0)], "probe string, severity double")
+    got = audits.frozen_config(audits.choose_severity(stats, fallback), stats, {"tau": 0.5})
+    assert got["severities"]["blur"] == {"severity": 4.0, "by_default": False, "n_valid": 9, "flip_rate": 0.2, "saturation": 0.0, "invalid_rate": 0.0}
+    assert got["severities"]["crop"]["by_default"] and got["thresholds"] == {"tau": 0.5}

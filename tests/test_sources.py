@@ -200,6 +200,8 @@ def test_sinks(spark, tmp_path):
     sinks.write_ordered(spark.range(200).selectExpr("199 - id as k", "'x' as t").repartition(5), str(tmp_path / "ordered"), ["k"])
     files = sorted((tmp_path / "ordered").glob("part-*.json"))
     assert [json.loads(line)["k"] for f in files for line in f.read_text().splitlines()] == list(range(200))
+    digest = sinks.write_manifest(spark.range(9).withColumnRenamed("id", "k"), str(tmp_path / "manifest"), ["k"])
+    assert len(digest) == 64 and readers.read_records(spark, str(tmp_path / "manifest"), "k long").count() == 9
     sinks.write_csv(spark.range(9).repartition(3), str(tmp_path / "csv"), single=True)
     assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 1
     assert readers.completed(spark, out, "t").count() == 1 and readers.completed(spark, str(tmp_path / "none"), "t").count() == 0
