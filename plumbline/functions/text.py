@@ -37,6 +37,11 @@ NOT_SPATIAL = (
 NEGATIONS = r"\b(?:not|no|never|neither|nor)\b"
 CONTEXT_PREFIX = r"(?i)^according\s+to\s+(?:the\s+)?(?:image|table|chart)\s*,\s*"
 INTERROGATIVE = r"(?i)^(?:which|what|who|where|when|how)\b"
+TAGGED = r"(?is)(?:FINAL_ANSWER|FINAL ANSWER|ANSWER)\s*:\s*(.*)$"
+TERMINAL = r"(?i)^(?:[-*]\s*)?(?:\*\*)?(?:(?:the|my)\s+)?(?:final\s+)?answer(?:\*\*)?\s+(?:is|would\s+be)\s+(.+?)\s*$"
+EMBEDDED = r"(?i)\b(?:the\s+)?(?:final\s+)?answer\s+(?:is|would\s+be)\s+(yes|no|true|false|uncertain)\b"
+WORDS = "([A-Za-z]+(?:'[A-Za-z]+)?)"
+MARKS = ("**", "__", "`", '"', "'")
 KIND_NAMES = {"hallusion_binary": "numeric_binary"}
 BINARY_SETS = ("pope", "vsr", "hallusionbench", "gqa_relation", "prehal", "illusionbench")
 GROUNDING = "First, describe what you see in the image in 1-2 sentences.\nThen, %s\n%s: %s\nAt the very end of your response, format your final answer strictly as:\nFINAL_ANSWER: <%s>"
@@ -172,7 +177,7 @@ def strip_markup(x: Column) -> Column:
 
     def peel(acc: Column) -> Column:
         out = F.when(F.length(acc) < 2, acc)
-        for mark in ("**", "__", "`", '"', "'"):
+        for mark in MARKS:
             n = len(mark)
             out = out.when(acc.startswith(mark) & acc.endswith(mark), strip(F.substring(acc, F.lit(n + 1), F.greatest(F.length(acc) - 2 * n, F.lit(0)))))
         return out.otherwise(acc)
@@ -182,7 +187,7 @@ def strip_markup(x: Column) -> Column:
 
 def _one_outcome(candidate: Column, norm: Column, dataset: Column, kind: Column) -> Column:
     """All words of the candidate that name an outcome name this one."""
-    words = F.regexp_extract_all(candidate, F.lit("([A-Za-z]+(?:'[A-Za-z]+)?)"), F.lit(1))
+    words = F.regexp_extract_all(candidate, F.lit(WORDS), F.lit(1))
     found = F.array_distinct(F.filter(F.transform(words, lambda w: normalise(w, dataset, kind)), lambda o: o.isin("yes", "no", "true", "false", "uncertain")))
     return (F.size(found) == 1) & (F.get(found, F.lit(0)) == norm)
 
@@ -201,22 +206,19 @@ def parse_grounded(text: Column, dataset: Column, kind: Column) -> Column:
         return F.struct(valid.alias("valid"), raw.alias("raw"), norm.alias("norm"), status.alias("status"))
 
     none = F.lit("")
-    tag = r"(?is)(?:FINAL_ANSWER|FINAL ANSWER|ANSWER)\s*:\s*(.*)$"
-    terminal = r"(?i)^(?:[-*]\s*)?(?:\*\*)?(?:(?:the|my)\s+)?(?:final\s+)?answer(?:\*\*)?\s+(?:is|would\s+be)\s+(.+?)\s*$"
-    embedded = r"(?i)\b(?:the\s+)?(?:final\s+)?answer\s+(?:is|would\s+be)\s+(yes|no|true|false|uncertain)\b"
 
     def parts(v: Column) -> Column:
         lines = F.filter(F.transform(F.split(v["clean"], "\n"), strip), lambda x: x != "")
         return let(
-            norms, clean=v["clean"], tagged=v["clean"].rlike(tag), line=strip(F.get(F.split(strip(F.regexp_extract(v["clean"], tag, 1)), "\n"), F.lit(0))),
+            norms, clean=v["clean"], tagged=v["clean"].rlike(TAGGED), line=strip(F.get(F.split(strip(F.regexp_extract(v["clean"], TAGGED, 1)), "\n"), F.lit(0))),
             last=F.coalesce(F.get(lines, F.size(lines) - 1), none), ends=F.filter(F.transform(F.split(v["clean"], r"\n\s*\n"), strip), lambda x: x != ""),
         )
 
     def norms(v: Column) -> Column:
-        said = F.regexp_extract(v["last"], terminal, 1)
+        said = F.regexp_extract(v["last"], TERMINAL, 1)
         return let(
             more, clean=v["clean"], tagged=v["tagged"], line=v["line"], last=v["last"], norm=normalise(v["line"], dataset, own), last_norm=normalise(v["last"], dataset, own),
-            is_terminal=v["last"].rlike(terminal), said=strip_markup(said), short=strip_markup(v["last"]), inner=F.regexp_extract_all(v["last"], F.lit(embedded), F.lit(1)),
+            is_terminal=v["last"].rlike(TERMINAL), said=strip_markup(said), short=strip_markup(v["last"]), inner=F.regexp_extract_all(v["last"], F.lit(EMBEDDED), F.lit(1)),
             alone=(F.size(v["ends"]) >= 2) & (F.get(v["ends"], F.size(v["ends"]) - 1) == v["last"]),
         )
 

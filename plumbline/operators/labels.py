@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# fixed values
 CORE_PROBES = ("blank", "blur", "crop", "brightness", "noise", "grounding")
 PROBES = (*CORE_PROBES, "relation")
 VISUAL_PROBES = ("blur", "crop", "brightness", "noise")
@@ -21,13 +22,14 @@ class Thresholds:
     blank_ratio: float = 0.80
     grounding_shift: float = 0.15
     eps: float = 1e-8
+    # end of fixed values
 
     @classmethod
     def of(cls, mapping: dict[str, float]) -> Thresholds:
-        """From a mapping that names all of them and no others."""
+        """From a mapping that names all of them and no others; eps, which only keeps a ratio stable, may be left out."""
         names = set(cls.__dataclass_fields__)
-        if names != set(mapping):
-            raise ValueError(f"thresholds: unknown {sorted(set(mapping) - names)}, missing {sorted(names - set(mapping))}")
+        if names - {"eps"} - set(mapping) or set(mapping) - names:
+            raise ValueError(f"thresholds: unknown {sorted(set(mapping) - names)}, missing {sorted(names - {'eps'} - set(mapping))}")
         return cls(**mapping)
 
 

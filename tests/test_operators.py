@@ -55,6 +55,9 @@ def test_thresholds_want_every_name():
     with pytest.raises(ValueError, match="missing"):
         labels.Thresholds.of({"eps": 1e-8})
     assert labels.Thresholds.of(labels.Thresholds().__dict__) == labels.Thresholds()
+    assert labels.Thresholds.of({k: v for k, v in labels.Thresholds().__dict__.items() if k != "eps"}) == labels.Thresholds()
+    with pytest.raises(ValueError, match="unknown"):
+        labels.Thresholds.of(labels.Thresholds().__dict__ | {"other": 1.0})
 
 
 def test_states_have_all_their_tags(spark):
