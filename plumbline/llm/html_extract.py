@@ -54,6 +54,17 @@ _WORD = re.compile(r"[a-z]+|[0-9]+")
 _KEEP = re.compile(r"\sdata-keep=keep\b")
 
 
+@lru_cache(maxsize=1 << 12)
+def _innermost(tag: str, near: str) -> tuple[str, ...]:
+    return f"last:{tag}", f"near:{near}", f"near:{near}>{tag}", "bias"
+
+
+@lru_cache(maxsize=1 << 12)
+def _own_features(tag: str, attributes: str) -> tuple[str, ...]:
+    found = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)) if "=" in attributes else ""
+    return (f"in:{tag}", *(f"name:{w}" for w in set(_WORD.findall(found.lower())))) if found else (f"in:{tag}",)
+
+
 class Path:
     """An open element: the one around it, the features that it adds to those around it, and the ones of the innermost element."""
 
@@ -62,7 +73,7 @@ class Path:
     def __init__(self, above: Path | None, tag: str, added: tuple[str, ...]):
         self.above, self.tag, self.added = above, tag, added
         self.near = tag if tag in SECTIONS else above.near if above else ""
-        self.own = (f"last:{tag}", f"near:{self.near}", f"near:{self.near}>{tag}", "bias")
+        self.own = (_innermost if len(tag) < 64 else _innermost.__wrapped__)(tag, self.near)
 
     def features(self) -> list[str]:
         out, at = list(self.own), self
@@ -92,7 +103,7 @@ def parse(page: str, labelled: bool = False) -> list[Block]:
     open_: list[Path] = []
     places: dict[str, list[int]] = {}  # of open elements, by tag
     having: dict[str, int] = {}  # open elements by feature
-    features: list[list[str]] = []  # of each open element
+    features: list[tuple[str, ...]] = []  # of each open element
     marks: list[bool] = []
     parts: list[str] = []
     linked = hidden = links = marked = 0
@@ -136,8 +147,10 @@ def parse(page: str, labelled: bool = False) -> list[Block]:
             if not m.group().endswith(">"):
                 break  # cut off within a tag
             if ending:
-                n = last((tag,))
-                if n >= 0 and (tag in STRONG or n >= last(CLOSED)):  # an inner end tag doesn't close what is outside
+                n = places[tag][-1] if places.get(tag) else -1
+                if n == len(open_) - 1 >= 0:
+                    pop(n)
+                elif n >= 0 and (tag in STRONG or n >= last(CLOSED)):  # an inner end tag doesn't close what is outside
                     pop(n)
                 continue
             if tag in ENDED and (n := last(ENDED[tag])) >= 0 and n >= last(LIMITS[tag]):
@@ -148,8 +161,7 @@ def parse(page: str, labelled: bool = False) -> list[Block]:
                 parts.append(" ")
             if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
                 continue
-            found = "" if not rest or "=" not in rest else " ".join(x or y or z for x, y, z in _NAMES.findall(rest))
-            own = [f"in:{tag}", *(f"name:{w}" for w in set(_WORD.findall(found.lower())))]
+            own = (_own_features if len(rest) < 256 and len(tag) < 64 else _own_features.__wrapped__)(tag, rest)  # long ones aren't remembered
             open_.append(Path(open_[-1] if open_ else TOP, tag, tuple(f for f in own if not having.get(f))))
             for f in own:
                 having[f] = having.get(f, 0) + 1
