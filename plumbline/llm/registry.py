@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import bpe, chat, decontam, html_extract, knn, langid, neardup, pii, quality, shards
+from plumbline.llm import bpe, chat, decontam, fim, html_extract, knn, langid, neardup, pii, quality, repair, shards, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,14 @@ def queries() -> dict:
         "op8_html": html_extract.op8_html,
         "op9_language_id": langid.op9_language_id,
         "op10_near_duplicates": neardup.op10_near_duplicates,
+        "op11_fill_in_middle": fim.op11_fill_in_middle,
+        "op12_warc": warc.op12_warc,
+        "op13_conversation_repair": repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE, "op5_top_k": knn.ORACLE, "op6_decontaminate": decontam.ORACLE, "op10_near_duplicates": neardup.ORACLE}
+    return {
+        "op4_chat_format": chat.ORACLE, "op5_top_k": knn.ORACLE, "op6_decontaminate": decontam.ORACLE, "op10_near_duplicates": neardup.ORACLE,
+        "op11_fill_in_middle": fim.ORACLE, "op12_warc": warc.ORACLE, "op13_conversation_repair": repair.ORACLE,
+    }
