@@ -27,13 +27,13 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import frequent, salted_join, shared_dir, table, whole_text
+from plumbline.llm.common import Staging, frequent, salted_join, shared_dir, table, whole_text
 
 #: Equal payloads of fewer bytes are written again.
 LEAST = 1000
 #: Compressed bytes after which a task begins another archive, records handed on at once, and bytes read at once.
 ARCHIVE_BYTES, BATCH_BYTES, READ_BYTES = 1 << 28, 1 << 23, 1 << 20
-#: The dictionary is trained on so many pages at most, of so many bytes each, chosen by hash.
+#: The dictionary is trained on about so many pages drawn at random, without those of more bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 16, 1 << 16
 LEVEL, DATE = 3, "2024-01-01T00:00:00Z"
 # fixed values of the formats
@@ -64,8 +64,11 @@ def safe_url(url: Column) -> Column:
     return F.array_join(F.transform(F.split(url, ""), lambda c: F.when(c.rlike(r"[\x00-\x20\x7f]"), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
 
 
-def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, bytes, sha1, record_type, refers_to, refers_url: what to write; html is null in revisits."""
+def planned(pages: DataFrame, staging: Staging, least: int = LEAST) -> DataFrame:
+    """page_id, url, html, bytes, sha1, record_type, refers_to, refers_url: what to write; html is null in revisits.
+
+    The keys with several rows are staged, so that Spark knows their size: it sends few of them to every task, and pages don't move.
+    """
     html = whole_text("html")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.when(F.col("url").rlike(r"[\x00-\x20\x7f]"), safe_url(F.col("url"))).otherwise(F.col("url")).alias("url"), html.alias("html"))
     rows = rows.withColumn("bytes", F.octet_length("html").cast("long"))
@@ -75,7 +78,7 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
     large = rows.where(F.col("bytes") >= least).withColumn("key", F.sha2("html", 256))
     same = large.groupBy("key", "page_id", "url").agg(F.count(F.lit(1)).alias("n"))
     groups = same.groupBy("key").agg(F.max(F.struct("page_id", "url", "n")).alias("top"), F.sum("n").alias("count"))
-    copied = groups.where("count > 1")
+    copied = staging.write(groups.where("count > 1"), "copied")
     joined = salted_join(large, copied, "key", frequent(copied, "key", "count"), "left")
     is_top = F.col("page_id").eqNullSafe(F.col("top.page_id")) & F.col("url").eqNullSafe(F.col("top.url"))
     alone = F.col("top").isNull() | is_top
@@ -85,6 +88,9 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
         F.when(~alone, F.col("top.page_id")).alias("refers_to"), F.when(~alone, F.col("top.url")).alias("refers_url"),
     )
     repeated = copied.where("top.n > 1")
+    parts = small.unionByName(decided.select(out))
+    if repeated.isEmpty():
+        return parts
     texts = large.join(repeated.select("key"), "key", "left_semi").groupBy("key").agg(F.any_value("html").alias("html"), F.any_value("bytes").alias("bytes"))
     copies = repeated.join(texts, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("top.n"))))
     first = F.col("copy") == 1
@@ -92,7 +98,7 @@ def planned(pages: DataFrame, least: int = LEAST) -> DataFrame:
         "top.page_id", "top.url", F.when(first, F.col("html")).alias("html"), "bytes", F.sha1("html").alias("sha1"), F.when(first, "response").otherwise("revisit").alias("record_type"),
         F.when(~first, F.col("top.page_id")).alias("refers_to"), F.when(~first, F.col("top.url")).alias("refers_url"),
     )
-    return small.unionByName(decided.select(out)).unionByName(again.select(out))
+    return parts.unionByName(again.select(out))
 
 
 def _id(page: int | None, url: str | None, sha1: str) -> str:
@@ -120,8 +126,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
     from pyarrow import fs
 
     spark = pages.sparkSession
-    fit = pages.select(whole_text("html").alias("html"), F.xxhash64("page_id", "html").alias("h")).where(F.octet_length("html").between(1, SAMPLE_BYTES))
-    samples = [r["html"].encode("utf-8", "surrogatepass") for r in fit.orderBy("h").limit(SAMPLE).collect()]
+    fit = pages.select("html").where(F.rand(SAMPLE) < SAMPLE / max(1, pages.count())).where(F.octet_length("html").between(1, SAMPLE_BYTES))
+    samples = [r["html"].encode("utf-8", "surrogatepass") for r in fit.collect()]
     shared = spark.sparkContext.broadcast(trained_dictionary(samples))
     system, root = file_system(folder)
     if system.get_file_info(root).type.name != "NotFound":
@@ -166,7 +172,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, archive_by
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*made, strict=True)], names=["archive", "records", "bytes"])
 
     index = f"{folder.rstrip('/')}/index.parquet"
-    planned(pages, least).mapInArrow(archives, INDEX).write.mode("overwrite").parquet(index)
+    staging = Staging(spark, "warc-keys")
+    planned(pages, staging, least).mapInArrow(archives, INDEX).write.mode("overwrite").parquet(index)
+    staging.drop()
     done = spark.read.schema(INDEX).parquet(index)
     kept = {r["archive"] for r in done.select("archive").toLocalIterator()}  # a name for each archive
     for found in system.get_file_info(fs.FileSelector(root)):
