@@ -176,11 +176,13 @@ def flagged(rows: DataFrame) -> DataFrame:
     """rows with blank, cut (truncated) and later: an earlier turn of the conversation has the same role and text."""
     blank, cut = _faults()
     rows = rows.withColumns({"blank": blank, "cut": cut})
-    rows = rows.withColumn("key", F.when(~F.col("dropped") & ~F.col("blank"), F.sha2(F.concat_ws("|", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.length("role").cast("string"), "role", "text"), 256)))
-    place = F.struct("turn")
-    seen = rows.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
-    found = salted_join(rows, seen, "key", frequent(seen, "key", "n"), "left")
-    return found.withColumn("later", F.coalesce(F.col("first") < place, F.lit(False))).select("conv_id", "turn", "role", "text", "dropped", "blank", "cut", "later")
+    live = ~F.col("dropped") & ~F.col("blank")
+    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.length("role").cast("string"), "role", "text"), 256)
+    place, out = F.struct("turn"), ["conv_id", "turn", "role", "text", "dropped", "blank", "cut", "later"]
+    texts = rows.where(live).withColumn("key", key)
+    seen = texts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    found = salted_join(texts, seen, "key", frequent(seen, "key", "n"), "left").withColumn("later", F.coalesce(F.col("first") < place, F.lit(False)))
+    return found.select(out).unionByName(rows.where(~live).withColumn("later", F.lit(False)).select(out))
 
 
 def repair(rows: DataFrame) -> DataFrame:
