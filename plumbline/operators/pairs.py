@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import skew_join
+
 _made: dict[str, object] = {}
 
 
@@ -22,8 +24,8 @@ def _once(name: str, make: Callable[[], object]) -> object:
 def scored(rows: DataFrame, left: str, right: str, make: Callable[[], Callable[[str, str], float]], name: str, out: str = "similarity") -> DataFrame:
     """rows with the score of two of its columns; make gives the scoring function, for instance one that loads a model.
 
-    Equal pairs are scored once and joined back, so a costly function runs as often as there are distinct pairs. Nulls have a
-    null score; a score that isn't finite is null.
+    Equal pairs are scored once and joined back, so a costly function runs as often as there are distinct pairs; frequent pairs, and
+    rows without a pair, are dealt over many tasks. Nulls have a null score; a score that isn't finite is null.
     """
     pair = ["_a", "_b"]
 
@@ -37,4 +39,4 @@ def scored(rows: DataFrame, left: str, right: str, make: Callable[[], Callable[[
     distinct = own.select(*pair).where("_a is not null and _b is not null").distinct()
     found = distinct.mapInPandas(score, f"_a string, _b string, {out} double")
     fine = F.when(~F.isnan(out) & (F.abs(F.col(out)) < float("inf")), F.col(out))
-    return own.join(found.withColumn(out, fine), pair, "left").drop(*pair)
+    return skew_join(own, found.withColumn(out, fine), pair, "left").drop(*pair)

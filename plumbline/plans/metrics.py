@@ -287,7 +287,6 @@ def curve_area(spark, sf):
     return diagnostics.area(best, ["o_orderpriority"])
 
 
-_MS = F.floor(F.col("probe_ms") * 1000)
 _BINS = f"""WITH {synth.SQL_GRID}, v AS (SELECT probe, model_id, CAST(floor(probe_ms * 1000) AS BIGINT) AS x FROM grid WHERE valid AND probe_ms IS NOT NULL),
 b AS (SELECT probe, x, CASE WHEN x < 16 THEN x ELSE (length(bin(x)) - 5) * 16 + (x >> (length(bin(x)) - 5)) END AS bin FROM v)"""
 
@@ -295,7 +294,7 @@ b AS (SELECT probe, x, CASE WHEN x < 16 THEN x ELSE (length(bin(x)) - 5) * 16 +
 def _latency(spark, sf):
     """Sketches by model, merged: as from parts that were written at different times."""
     grid = synth.severity_grid(spark, sf).where("valid")
-    own = policy.sketch(grid, ["probe", "model_id"], _MS)
+    own = policy.sketch(grid, ["probe", "model_id"], F.floor(F.col("probe_ms") * 1000))
     return policy.merged(own.where("model_id = 'model_a'").drop("model_id"), own.where("model_id <> 'model_a'").drop("model_id"), by=["probe"])
 
 
