@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.labels import LABELS
-from plumbline.operators.sampling import with_rank
+from plumbline.operators.ranks import counted, join_small
+from plumbline.operators.ranks import order_statistics as order_statistics_of
 
 
 def dense_labels(labels: DataFrame, slices: list[str]) -> DataFrame:
@@ -69,18 +70,19 @@ def grid_counts(grid: DataFrame, slices: list[str]) -> DataFrame:
 
 
 def order_statistics(rows: DataFrame, value: str, by: list[str], ps: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """Mean, population deviation and the entries at floor(p (n - 1)) of every group, exact. by must not be null.
+    """Mean, population deviation and the entries at floor(p (n - 1)) of every group, exact.
 
-    Ranks come from range partitions over groups and values, so a group that holds most rows is sorted by many tasks; the
-    groups' own numbers are a small table that gives each group its first rank.
+    Equal values are counted before they are placed, and places come from ranges of a group's values, so neither a group that holds most
+    rows nor a value that most rows share is one task's work. Mean and deviation are weighted sums over the counted values, the
+    deviation around the mean.
     """
-    ranked = with_rank(rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("x")), [*by, "x"])
-    groups = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("most"), F.min("rank").alias("first"))
-    places = F.array(*[F.floor(F.lit(p) * (F.col("n") - 1)) + F.col("first") for p in ps])
-    wanted = groups.withColumn("place", F.explode(F.array_distinct(places))).select("n", "first", *by, F.col("place").alias("rank"))
-    at = [F.max(F.when(F.col("rank") == F.floor(F.lit(p) * (F.col("n") - 1)) + F.col("first"), F.col("x"))).alias(f"p{round(p * 100)}") for p in ps]
-    found = ranked.select("rank", "x").join(wanted, "rank").groupBy(*by).agg(*at)
-    return groups.drop("first").join(found, by)
+    counts = counted(rows, by, value)
+    places = {f"p{round(p * 100)}": (lambda n, p=p: F.floor(F.lit(p) * (n - 1)) + 1) for p in ps}
+    found = order_statistics_of(counts, by, **places)
+    sums = counts.groupBy(*by).agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.min("x").alias("least"), F.max("x").alias("most"))
+    apart = join_small(counts, sums.select(*by, "mean"), by, "inner").groupBy(*by).agg(F.sqrt(F.sum(F.col("n") * F.pow(F.col("x") - F.col("mean"), 2)) / F.sum("n")).alias("std"))
+    both = join_small(join_small(found, sums, by), apart, by)
+    return both.select(*by, "n", "mean", "std", "least", "most", *places)
 
 
 def first_severity(stats: DataFrame) -> DataFrame:

@@ -41,13 +41,10 @@ def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     """rank from 0 in a total order, by sorted range partitions and one offset for each of them."""
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     parts = checkpointed(parts.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id() % (1 << 33)}))
-    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    start, offsets = 0, []
-    for p in sorted(sizes):
-        offsets += [F.lit(p), F.lit(start)]
-        start += sizes[p]
-    offset = F.create_map(*offsets)[F.col("_part")] if offsets else F.lit(0)
-    return parts.withColumn("rank", (offset + F.col("_in")).cast("long")).drop("_part", "_in")
+    sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    return parts.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
 
 
 def ordinal_shard(rows: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
