@@ -6,6 +6,7 @@ for each attachment its reference, its place and the number of tokens that the p
 
 Template of a turn: ``<|turn|>role<|text|>content<|end|>``. A backslash is put after the first character of every control
 string found in a role or a text, and backslashes are doubled, so that dropping one backslash before any character undoes it.
+Neighbouring text parts are joined before that, so no control string arises where two of them meet.
 
 Reading back gives each turn's role and text, or its parts in order: a placeholder never stands inside escaped text, so parts
 and texts that look like them are told apart (neighbouring text parts come back as one, empty ones not at all).
@@ -57,9 +58,22 @@ def is_attachment(part: Column) -> Column:
     return F.coalesce(part["kind"].isin(*PLACEHOLDERS), F.lit(False))
 
 
-def visit(part: Column) -> Column:
-    """What a part becomes in the content."""
-    return F.when(is_attachment(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+def places(parts: Column) -> Column:
+    """Where the attachments stand, and the end, each with the place before it: the runs of text lie between them. array<struct<before:int,at:int>>"""
+    at = F.concat(F.filter(F.transform(parts, lambda p, i: F.when(is_attachment(p), i)), lambda i: i.isNotNull()), F.array(F.size(parts)))
+    before = F.concat(F.array(F.lit(-1)), F.slice(at, 1, F.size(at) - 1))
+    return F.arrays_zip(before.alias("before"), at.alias("at")).cast("array<struct<before:int,at:int>>")
+
+
+def visit(parts: Column, runs: Column) -> Column:
+    """What the parts become in the content: each run of text escaped as one, and each attachment's placeholder after it."""
+
+    def one(r: Column) -> Column:
+        texts = F.transform(F.slice(parts, r["before"] + 2, r["at"] - r["before"] - 1), lambda p: F.coalesce(p["text"], F.lit("")))
+        mark = F.concat(F.lit("<|"), F.get(parts, r["at"])["kind"], F.lit("|>"))
+        return F.concat(escape(F.array_join(texts, "")), F.coalesce(mark, F.lit("")))
+
+    return F.array_join(F.transform(runs, one), "")
 
 
 def text_parts(text: Column) -> Column:
@@ -71,11 +85,11 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     """One row per conversation: formatted, loss_spans (code points in formatted) and attachments."""
     none = F.array().cast(PARTS)
     messages = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.coalesce(F.col(parts).cast(PARTS), none).alias("parts"))
-    one = messages.select(
+    one = messages.withColumn("runs", places(F.col("parts"))).select(
         F.col("conv_id"),
         F.col("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform("parts", visit), "").alias("content"),
+        visit(F.col("parts"), F.col("runs")).alias("content"),
         F.transform(
             F.filter("parts", is_attachment),
             lambda p, i: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), i.cast("int").alias("place"), expanded_tokens(p).alias("n_tokens")),
@@ -106,8 +120,8 @@ def read_back(formatted: Column) -> Column:
     return F.transform(
         F.filter(F.split(formatted, r"<\|turn\|>", -1), lambda x, i: i > 0),
         lambda x: F.struct(
-            unescape(F.split(x, r"<\|text\|>", 2)[0]).alias("role"),
-            unescape(F.substring_index(F.split(x, r"<\|text\|>", 2)[1], END, 1)).alias("text"),
+            unescape(F.get(F.split(x, r"<\|text\|>", 2), F.lit(0))).alias("role"),
+            unescape(F.substring_index(F.get(F.split(x, r"<\|text\|>", 2), F.lit(1)), END, 1)).alias("text"),
         ),
     )
 
@@ -121,7 +135,7 @@ def read_parts(content: Column) -> Column:
 def contents(formatted: Column) -> Column:
     """The contents of the turns of a formatted conversation, for ``read_parts``."""
     turns = F.filter(F.split(formatted, r"<\|turn\|>", -1), lambda x, i: i > 0)
-    return F.transform(turns, lambda x: F.substring_index(F.split(x, r"<\|text\|>", 2)[1], END, 1))
+    return F.transform(turns, lambda x: F.substring_index(F.get(F.split(x, r"<\|text\|>", 2), F.lit(1)), END, 1))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
