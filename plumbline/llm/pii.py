@@ -15,7 +15,8 @@ Joins by a text or pattern that may stand on many rows are salted for the freque
 Spark broadcasts a side only under its own limit of size.
 
 Positions come from splitting a text by a pattern: the lengths of the parts and of the matches between them add up to
-starts and ends in code points. All quantifiers over groups are possessive, so long runs need no stack.
+starts and ends in code points. All quantifiers over groups are possessive, so long runs need no stack. The work in a row grows with its text and
+its candidates: sums run over blocks, contexts are cut from pieces of the text, and base spans are found by halving.
 
 Defined results: null and empty texts have no spans; equal rows each get a result; null ids are kept; input columns named
 like an added one are replaced; an empty table gives no rows.
@@ -23,6 +24,8 @@ like an added one are replaced; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,7 +53,9 @@ SPACED = rf"(?<![\p{{L}}\p{{N}}_@+])\+?+{_PART}(?:{_JOINT}{_PART})++"
 LEAST, MOST = 7, 19
 SUPPORT, CONFIDENCE, ACCEPT = 5, 0.8, 0.9
 #: Characters on either side in which context words are looked for first; where a word is cut, the next reach is tried, then the whole text.
-REACHES = (48, 1 << 11, 1 << 16)
+REACHES = (48, 1 << 8, 1 << 16)
+#: Texts are also held in pieces of so many characters, in which places are found.
+PIECES = (1 << 8, 1 << 16)
 
 
 def _digits(x: Column) -> Column:
@@ -84,82 +89,155 @@ def _holds(kind: str, match: Column) -> Column:
     }[kind]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what stands in a lambda is computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def prefixes(numbers: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """Of an array of whole numbers: for each of them, the sum (by plus, from 0) of those before it.
+
+    Appending copies an array, so the numbers are summed up in blocks of about the root of their number, then the blocks' sums.
+    """
+    ints = "array<int>"
+
+    def fold(block: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(ints).alias("out"))
+        return F.aggregate(block, first, lambda a, x: F.struct(plus(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def in_blocks(v: Column) -> Column:
+        edge = F.ceil(F.sqrt(F.size(v))).cast("int")
+        blocks = let(edge, lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / e).cast("int")), lambda k: fold(F.slice(v, k * e + 1, e))))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, fold(F.transform(b, lambda x: x["at"]))["out"], lambda x, o: F.transform(x["out"], lambda y: plus(o, y)))))
+
+    return let(numbers, lambda v: F.when(F.size(v) <= 32, fold(v)["out"]).otherwise(in_blocks(v)))
+
+
 def located(text: Column, pattern: str) -> Column:
     """All matches in order: array<struct<match,start,end>>."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
     none = F.expr("cast(array() as array<struct<match:string,start:int,end:int>>)")
-    first = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(x["match"].alias("match"), start.alias("start"), end.alias("end")))).alias("out"))
+    def placed(m: Column) -> Column:
+        around = F.zip_with(m, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), lambda x, before: F.struct(x.alias("match"), F.length(before).alias("gap"), F.length(x).alias("size")))
+        return let(around, lambda a: F.zip_with(a, prefixes(F.transform(a, lambda x: x["gap"] + x["size"]), lambda p, q: p + q), lambda x, at: F.struct(x["match"].alias("match"), (at + x["gap"]).alias("start"), (at + x["gap"] + x["size"]).alias("end"))))
 
-    around = F.transform(found, lambda m, i: F.struct(m.alias("match"), F.get(parts, i).alias("before")))
-    return F.when(F.size(found) > 0, F.aggregate(around, first, step)["out"]).otherwise(none)
+    return let(found, lambda m: F.when(F.size(m) > 0, placed(m)).otherwise(none))
+
+
+def base_matches(text: Column, kind: str) -> Column:
+    """Checked matches of one kind: array<struct<match,start,end>>."""
+    none = F.expr("cast(array() as array<struct<match:string,start:int,end:int>>)")
+    may = F.contains(text, F.lit(_SIGN[kind])) if _SIGN[kind] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
+    return F.when(may, F.filter(located(text, PATTERNS[kind]), lambda m: _holds(kind, m["match"]))).otherwise(none)
+
+
+def as_spans(matches: Column, kind: str) -> Column:
+    return F.transform(matches, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"))).cast(SPANS)
 
 
 def base_spans(text: Column, kind: str) -> Column:
     """Checked matches of one kind: array<struct<kind,start,end>>."""
-    spans = F.transform(F.filter(located(text, PATTERNS[kind]), lambda m: _holds(kind, m["match"])), lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    none = F.expr(f"cast(array() as {SPANS})")
-    may = F.contains(text, F.lit(_SIGN[kind])) if _SIGN[kind] else text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")
-    return F.when(may, spans).otherwise(none).cast(SPANS)
+    return as_spans(base_matches(text, kind), kind)
+
+
+def pieces(text: Column, size: int) -> Column:
+    """The text in pieces of so many characters, so that a place in it is found without reading what stands before."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
 
+def cut(parts: Column, size: int, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text in pieces."""
+    i, j = F.floor(start / size).cast("int"), F.floor(end / size).cast("int")
+    first, last = F.coalesce(F.get(parts, i), F.lit("")), F.coalesce(F.get(parts, j), F.lit(""))
+    inner = F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    apart = F.concat(F.substring(first, start % size + 1, F.lit(size)), inner, F.substring(last, F.lit(1), end % size))
+    return F.when(end <= start, F.lit("")).when(i == j, F.substring(first, start % size + 1, end - start)).otherwise(apart)
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """The two lexical patterns around a span, of whole words."""
 
-    def before(reach: Column, pattern: str) -> tuple[Column, Column]:
-        """The match at the end of the text before the span, and whether the reach may have cut it."""
-        left = F.lower(F.substring(text, start - reach + 1, reach))
-        found = F.regexp_extract(left, pattern, 1)
-        return found, (F.length(found) == F.length(left)) | (found == "")
+def _patterns(small: Column, large: Column, length: Column, start: Column, end: Column) -> Column:
+    """The two lexical patterns around a span, of whole words: in the nearest characters, or else in more of them.
 
-    def after(reach: Column) -> tuple[Column, Column]:
-        right = F.lower(F.substring(text, end + 1, reach))
-        found = F.regexp_extract(right, r"^(\s*\S*)", 1)
-        return found, F.length(found) == F.length(right)
+    small and large are the text in pieces of the two sizes of ``PIECES``.
+    """
 
-    def whole(look, size: Column, *args: str) -> Column:
-        out = look(size, *args)[0]
+    def first(own: Column, otherwise: Column, all_there: Column, cut_off: Callable[[Column, Column], Column]) -> Column:
+        return let(own, lambda o: F.when(all_there | ~cut_off(o["f"], o["w"]), o["f"]).otherwise(otherwise))
+
+    def whole(found: Callable[[Column], Column], window: Callable[[int], Column], there: Column, cut_off: Callable[[Column, Column], Column]) -> Column:
+        """What is found in the window of least reach that is all there is, or doesn't cut it off."""
+        out = found(window(1 << 30))
         for reach in reversed(REACHES):
-            found, cut = look(F.lit(reach), *args)
-            out = F.when(size <= reach, look(size, *args)[0]).when(~cut, found).otherwise(out)
+            own = let(window(reach), lambda w: F.struct(w.alias("w"), found(w).alias("f")))
+            out = first(own, out, there <= reach, cut_off)
         return out
 
-    last1, last2 = whole(before, start, r"(\S*\s*)$"), whole(before, start, r"(\S+\s+\S*\s*)$")
-    return F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), whole(after, F.length(text) - end)))
+    def before(reach: int) -> Column:
+        parts, size = (small, PIECES[0]) if reach <= PIECES[0] else (large, PIECES[1])
+        return F.lower(cut(parts, size, F.greatest(start - reach, F.lit(0)), start))
+
+    def after(reach: int) -> Column:
+        parts, size = (small, PIECES[0]) if reach <= PIECES[0] else (large, PIECES[1])
+        return F.lower(cut(parts, size, end, F.least(end + reach, length)))
+
+    def at_edge(f: Column, w: Column) -> Column:
+        return F.length(f) == F.length(w)
+
+    last1 = whole(lambda w: F.regexp_extract(w, r"(?:^|(?<!\S)(?=\S))(\S*+\s*+)$", 1), before, start, lambda f, w: at_edge(f, w) | (f == ""))
+    last2 = whole(lambda w: F.regexp_extract(w, r"(?<!\S)(\S++\s++\S*+\s*+)$", 1), before, start, lambda f, w: at_edge(f, w) | (f == ""))
+    next1 = whole(lambda w: F.regexp_extract(w, r"^(\s*+\S*+)", 1), after, length - end, at_edge)
+    return F.array(F.concat(F.lit("2|"), last2), F.concat(F.lit("1|"), last1, F.lit("|"), next1))
+
+
+def _meets(spans: Column, start: Column, end: Column) -> Column:
+    """Whether one of these spans, which are in order and apart from each other, meets the one from start to end: by halving."""
+    size = F.size(spans)
+    none = F.struct(F.lit(0).alias("low"), size.alias("high"))
+
+    def halve(a: Column, _: Column) -> Column:
+        mid = F.floor((a["low"] + a["high"]) / 2).cast("int")
+        less = F.coalesce(F.get(spans, mid)["start"] < end, F.lit(False)) & (a["low"] < a["high"])
+        return F.struct(F.when(less, mid + 1).otherwise(a["low"]).alias("low"), F.when(less, a["high"]).otherwise(F.least(a["high"], mid)).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    before = F.aggregate(steps, none, halve)["low"]  # so many begin before the end
+    return F.when(size == 0, False).otherwise(F.coalesce(F.get(spans, before - 1)["end"] > start, F.lit(False)))
+
 
+def _candidates(text: Column, small: Column, large: Column, length: Column, base: dict[str, Column]) -> Column:
+    """array<struct<token,start,end,patterns,seed,main>>: the base matches with their kind, and the identifier-like tokens and stretches of numbers outside of them.
 
-def _candidates(text: Column, base: Column) -> Column:
-    """array<struct<token,start,end,patterns,seed,main>>: the base spans with their kind, and the identifier-like tokens and stretches of numbers outside of them."""
+    All columns but text must be plain ones: they stand in lambdas.
+    """
 
-    def seed(b: Column) -> Column:
-        token = F.substring(text, b["start"] + 1, b["end"] - b["start"])
-        return F.struct(token.alias("token"), b["start"].alias("start"), b["end"].alias("end"), _patterns(text, b["start"], b["end"]).alias("patterns"), b["kind"].alias("seed"), F.lit(True).alias("main"))
+    def plain(token: Column, m: Column, end: Column, main: Column, kind: str | None = None) -> Column:
+        return F.struct(token.alias("token"), m["start"].alias("start"), end.alias("end"), F.lit(kind).cast("string").alias("seed"), main.alias("main"))
 
     def short(m: Column) -> Column:
         token = F.rtrim(m["match"], F.lit(".:!?"))
-        return F.struct(token.alias("token"), m["start"].alias("start"), (m["start"] + F.length(token)).alias("end"), F.lit(True).alias("main"))
+        return plain(token, m, m["start"] + F.length(token), F.lit(True))
 
     def outside(c: Column) -> Column:
-        return (F.length(c["token"]) >= 6) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
+        met = F.lit(False)
+        for spans in base.values():
+            met = met | _meets(spans, c["start"], c["end"])
+        return (F.length(c["token"]) >= 6) & ~met
 
-    def other(c: Column) -> Column:
-        return F.struct(c["token"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), _patterns(text, c["start"], c["end"]).alias("patterns"), F.lit(None).cast("string").alias("seed"), c["main"].alias("main"))
-
-    tokens = F.filter(F.transform(located(text, CANDIDATE), short), outside)
-    def whole(m: Column) -> Column:
-        main = F.length(F.regexp_extract(m["match"], r"^[^\x20()]*", 0)) < 6
-        return F.struct(m["match"].alias("token"), m["start"].alias("start"), m["end"].alias("end"), main.alias("main"))
+    def stretch(m: Column) -> Column:
+        return plain(m["match"], m, m["end"], F.length(F.regexp_extract(m["match"], r"^[^\x20()]*", 0)) < 6)
 
     def fine(m: Column) -> Column:
         return F.length(_digits(m["match"])).between(LEAST, MOST) & m["match"].rlike(r"[\x20(]")
 
-    numbers = F.filter(F.transform(F.filter(located(text, SPACED), fine), whole), outside)
-    return F.concat(F.transform(base, seed), F.transform(tokens, other), F.transform(numbers, other))
+    def seeds(spans: Column, kind: str) -> Column:
+        return F.transform(spans, lambda m: plain(m["match"], m, m["end"], F.lit(True), kind))
+
+    def entry(c: Column) -> Column:
+        around = _patterns(small, large, length, c["start"], c["end"])
+        return F.struct(c["token"].alias("token"), c["start"].alias("start"), c["end"].alias("end"), around.alias("patterns"), c["seed"].alias("seed"), c["main"].alias("main"))
+
+    found = F.concat(F.transform(located(text, CANDIDATE), short), F.transform(F.filter(located(text, SPACED), fine), stretch))
+    return F.transform(F.concat(*[seeds(spans, kind) for kind, spans in base.items()], F.filter(found, outside)), entry)
 
 
 def _fits(kind: Column, token: Column) -> Column:
@@ -176,10 +254,12 @@ def _fits(kind: Column, token: Column) -> Column:
 
 def scanned(docs: DataFrame) -> DataFrame:
     """_row, the columns of docs, base (spans of the four kinds in order) and cands."""
-    text = whole_text()
-    rows = docs.withColumns({"_row": F.monotonically_increasing_id()} | {f"_{k}": base_spans(text, k) for k in KINDS})
-    rows = rows.withColumn("base", F.concat(*[f"_{k}" for k in KINDS])).drop(*[f"_{k}" for k in KINDS])
-    return rows.withColumn("cands", F.when(text.rlike("[0-9@]"), _candidates(text, F.col("base"))))
+    text, may = whole_text(), whole_text().rlike("[0-9@]")
+    rows = docs.withColumns({"_row": F.monotonically_increasing_id()} | {f"_{k}": base_matches(text, k) for k in KINDS})
+    rows = rows.withColumns({"_small": F.when(may, pieces(text, PIECES[0])), "_large": F.when(may, pieces(text, PIECES[1])), "_length": F.length(text)})
+    found = _candidates(text, F.col("_small"), F.col("_large"), F.col("_length"), {k: F.col(f"_{k}") for k in KINDS})
+    rows = rows.withColumns({"base": F.concat(*[as_spans(F.col(f"_{k}"), k) for k in KINDS]), "cands": F.when(may, found)})
+    return rows.drop(*[f"_{k}" for k in KINDS], "_small", "_large", "_length")
 
 
 def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
@@ -205,16 +285,25 @@ def discovered(rows: DataFrame, staging: Staging) -> DataFrame:
     return added.groupBy("_row").agg(_widest(F.collect_list("span")).alias("extra"))
 
 
+def _by_start(spans: Column) -> Column:
+    """By start, the longest first."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    return F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["less"]).alias("end")))
+
+
+def _reached(spans: Column) -> Column:
+    """How far the spans before each one reach."""
+    return prefixes(F.transform(spans, lambda s: s["end"]), F.greatest)
+
+
 def _widest(spans: Column) -> Column:
     """The spans, by kind and start, without those that lie within another one."""
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
-    none = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        span = F.array(F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["less"]).alias("end")))
-        return F.struct(F.greatest(acc["at"], -s["less"]).alias("at"), F.when(-s["less"] > acc["at"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def kept(s: Column) -> Column:
+        each = F.zip_with(s, _reached(s), lambda x, far: F.when(x["end"] > far, x))
+        return F.filter(each, lambda x: x.isNotNull())
 
-    return F.array_sort(F.aggregate(by_start, none, step)["out"])
+    return F.array_sort(let(_by_start(spans), kept)).cast(SPANS)
 
 
 def _of(spans: Column | str, kind: str) -> Column:
@@ -243,16 +332,17 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its kind in brackets."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.greatest(s["start"] - acc["at"], F.lit(0))
-        mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, gap), mark).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def replaced(parts: Column) -> Column:
+        def one(s: Column, far: Column) -> Column:
+            return F.when(s["start"] >= far, F.concat(cut(parts, PIECES[0], far, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+        def joined(s: Column) -> Column:
+            return F.concat(F.array_join(F.zip_with(s, _reached(s), one), ""), cut(parts, PIECES[0], F.array_max(F.transform(s, lambda x: x["end"])), F.length(text)))
+
+        return let(_by_start(spans), joined)
 
-    by_start = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), (-s["less"]).alias("end")))
-    done = F.aggregate(by_start, start, step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(pieces(text, PIECES[0]), replaced)).otherwise(text)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -445,3 +445,47 @@ def test_every_number_has_one_query():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert set(registry.oracle_sql()) <= set(names)
     assert pa  # pyarrow is what the batches are made of
+
+
+# personal data at scale
+
+
+def test_pii_takes_time_in_proportion_to_a_text(spark):
+    import time
+
+    numbers = " ".join(str(1_000_000 + i) for i in range(100_000))
+    mails = " ".join(f"u{i}@x.org" for i in range(20_000))
+    rows = spark.createDataFrame([(1, numbers), (2, mails)], "doc_id int, text string")
+    began = time.monotonic()
+    done = {r.doc_id: r for r in pii.scanned(rows).select("doc_id", F.size("base").alias("base"), F.size("cands").alias("cands"), F.element_at("cands", -1).alias("last")).collect()}
+    assert time.monotonic() - began < 60  # a quadratic scan takes hours
+    assert (done[1].base, done[1].cands) == (0, 100_000) and done[1]["last"].token == "1099999" and done[1]["last"].end == len(numbers)
+    assert (done[2].base, done[2].cands) == (20_000, 20_000) and done[2]["last"].patterns == [f"2|{' '.join(mails.split()[-3:-1])} ", f"1|{mails.split()[-2]} |"]
+
+
+def test_pii_contexts_of_long_words_and_masking_of_many_spans(spark):
+    wide = "w" * 300 + " " + "v" * 70_000 + " 1234567 " + "z" * 70_000 + " end"
+    c = pii.scanned(spark.createDataFrame([(1, wide)], "doc_id int, text string")).selectExpr("cands[0] c").first().c
+    assert c.patterns == [f"2|{'w' * 300} {'v' * 70_000} ", f"1|{'v' * 70_000} | {'z' * 70_000}"]
+    text = "".join(f"é{i} a{i}@b.cd, " for i in range(500)) + "tail"
+    spans = [("email", m.start(), m.end()) for m in re.finditer(r"a\d+@b\.cd", text)] + [("ip", 0, 3), ("ip", 1, 2), ("card", 2, 9)]
+    df = spark.createDataFrame([(text, spans), ("none", []), ("", [])], f"text string, spans {pii.SPANS}")
+    got = [r[0] for r in df.select(pii.redacted(F.col("text"), F.col("spans"))).collect()]
+    out, at = "", 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        out += (text[at:a] + f"[{kind}]") if a >= at else ""
+        at = max(at, b)
+    assert got == [out + text[at:], "none", ""]
+
+
+def test_pii_recall_on_identifiers_planted_in_documents(spark, documents):
+    texts = [(d["doc_id"], d["text"] or "") for d in documents]
+    planted = {}
+    for k, (i, t) in enumerate(texts[:150]):
+        number = f"{2000 + k} {3000 + k} {4000 + k}"
+        planted[i] = (f"+{number}" if k % 6 else number, len(t))
+    rows = [(i, f"{t} reachable under {planted[i][0]} today" if i in planted else t) for i, t in texts]
+    done = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    unseen = {i: v for i, (v, _) in planted.items() if v[0] != "+"}
+    found = sum(any(s.kind == "phone" and s.start == planted[i][1] + len(" reachable under ") for s in done[i].spans) for i in unseen)
+    assert len(unseen) == 25 and found / len(unseen) >= 0.95, found
