@@ -6,9 +6,11 @@ number of sequences, maps every sequence to a global slot and back, so no order
 slots k * per_shard onwards, each of them ``stride`` bytes: a reader finds any slot by multiplication and can resume at any.
 
 Shards are dealt in ranges over ``TASKS`` tasks at most, so their number doesn't set the number of tasks. Pieces of documents
-go to the task of their shard; a task sorts its own pieces and writes one shard after the other under a temporary name in a
-folder of its own, then puts it in the place of whatever has the shard's name, so a task that is run again, and a job that is
-run again on the same folder, write the same shards again. What lost tasks left is deleted at the end.
+go to the task of their shard; a task sorts its own pieces and writes one shard after the other under a temporary name, then
+puts it in its place, so a task that is run again writes the same shards again.
+
+Each run has a folder of its own, and ``current.json``, written when all is there, names it with its sizes: readers see the run before
+until then, and nothing of it afterwards. Older runs and what lost tasks left are deleted at the end.
 
 Tokens are bytes of UTF-8, or the ids in an array column. ``documents`` must be a table that reads the same rows in
 the same order and partitions each time, such as files; numbers and sizes of rows by place are checked.
@@ -20,6 +22,7 @@ each written; an empty table gives no shards and no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -36,7 +39,7 @@ LENGTH, PER_SHARD, ROUNDS, TASKS = 2048, 4096, 6, 20_000
 #: UTF-8 has no byte 255.
 SEPARATOR, PADDING = 255, 0
 #: Of the check of row sizes by place, and the folder of unfinished shards.
-_MOD, _OPEN = 32_749, "_unfinished"
+_MOD, _OPEN, CURRENT = 32_749, "_unfinished", "current.json"
 
 
 class Permutation:
@@ -93,9 +96,11 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
         starts[r["part"]] = (total, r["n"], r["check"])
         total += r["n"]
     out = "slot bigint, sequence bigint, shard bigint, at bigint, n_tokens int, tokens_sha256 string"
+    run = f"run-{uuid.uuid4().hex}"
+    sequences = -(-total // length)
     if not total:
+        _publish(folder, {"run": run, "sequences": 0, "length": length, "per_shard": per_shard, "dtype": dtype})
         return spark.createDataFrame([], out)
-    sequences = -(-total // length)
     order, wide = Permutation(sequences, key), np.dtype(dtype).itemsize
     shared = spark.sparkContext.broadcast((starts, order))
 
@@ -132,7 +137,7 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
 
     def shards(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, perm = shared.value
-        system, root = _file_system(folder)
+        system, root = _file_system(f"{folder.rstrip('/')}/{run}")
         system.create_dir(f"{root}/{_OPEN}", recursive=True)
         state: dict = {"shard": None}
 
@@ -177,30 +182,53 @@ def write_shards(documents: DataFrame, folder: str, key: int = 1, column: str =
     cut = value.mapInArrow(pieces, "shard bigint, slot bigint, place int, piece binary")
     task = F.floor(F.col("shard") * n_tasks / n_shards).cast("int")  # ranges of whole shards
     dealt = cut.repartitionById(n_tasks, task).sortWithinPartitions("slot", "place")
-    manifest = f"{folder.rstrip('/')}/manifest.parquet"
-    dealt.mapInArrow(shards, out).write.mode("overwrite").parquet(manifest)
-    system, root = _file_system(folder)
-    system.delete_dir(f"{root}/{_OPEN}")
+    manifest = f"{folder.rstrip('/')}/{run}/manifest.parquet"
+    dealt.mapInArrow(shards, out).write.parquet(manifest)
+    _publish(folder, {"run": run, "sequences": sequences, "length": length, "per_shard": per_shard, "dtype": dtype})
     return spark.read.schema(out).parquet(manifest)
 
 
-def read_slots(folder: str, first: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD, dtype: str = "uint8") -> np.ndarray:
-    """Up to count sequences from slot first on, padding included: (rows, length)."""
+def _publish(folder: str, about: dict) -> None:
+    """Makes a run the current one, then deletes what isn't of it."""
+    from pyarrow import fs
+
+    system, root = _file_system(folder)
+    system.create_dir(root, recursive=True)
+    new = f"{root}/{about['run']}.json"
+    with system.open_output_stream(new) as f:
+        f.write(json.dumps(about).encode())
+    system.move(new, f"{root}/{CURRENT}")
+    for found in system.get_file_info(fs.FileSelector(root)):
+        if found.base_name.startswith("run-") and found.base_name != about["run"]:
+            system.delete_dir(found.path) if found.type == fs.FileType.Directory else system.delete_file(found.path)
+    if system.get_file_info(left := f"{root}/{about['run']}/{_OPEN}").type != fs.FileType.NotFound:
+        system.delete_dir(left)
+
+
+def current(folder: str) -> dict:
+    """The run that readers see: its folder's name, number of sequences, their length, sequences a shard and type."""
     system, root = _file_system(folder)
-    stride, out = length * np.dtype(dtype).itemsize, []
-    while count > 0:
+    with system.open_input_stream(f"{root}/{CURRENT}") as f:
+        return json.loads(f.read())
+
+
+def read_slots(folder: str, first: int, count: int) -> np.ndarray:
+    """Up to count sequences from slot first on, padding included: (rows, length). Slots end with the run's sequences."""
+    about = current(folder)
+    length, per_shard, kind = about["length"], about["per_shard"], np.dtype(about["dtype"])
+    system, root = _file_system(f"{folder.rstrip('/')}/{about['run']}")
+    stride, out, stop = length * kind.itemsize, [], min(first + count, about["sequences"])
+    while first < stop:
         shard, at = divmod(first, per_shard)
-        try:
-            with system.open_input_file(f"{root}/{shard_name(shard)}") as f:
-                f.seek(at * stride)
-                got = f.read(min(count, per_shard - at) * stride)
-        except FileNotFoundError:
-            break
-        if not got:
-            break
-        out.append(np.frombuffer(got, dtype).reshape(-1, length))
-        first, count = first + len(out[-1]), count - len(out[-1])
-    return np.concatenate(out) if out else np.zeros((0, length), dtype)
+        n = min(stop - first, per_shard - at)
+        with system.open_input_file(f"{root}/{shard_name(shard)}") as f:
+            f.seek(at * stride)
+            got = f.read(n * stride)
+        if len(got) < n * stride:
+            raise ValueError(f"shard {shard} is cut off")
+        out.append(np.frombuffer(got, kind).reshape(-1, length))
+        first += n
+    return np.concatenate(out) if out else np.zeros((0, length), kind)
 
 
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -257,11 +257,11 @@ def test_shards_give_the_stream_back(spark, tmp_path):
     rows = shards.write_shards(docs, folder, key=5, length=16, per_shard=4).orderBy("sequence").collect()
     stream = b"".join((r.text or "").encode() + b"\xff" for r in docs.collect())
     assert len(rows) == -(-len(stream) // 16) and [r.sequence for r in rows] == list(range(len(rows)))
-    held = shards.read_slots(folder, 0, 10**6, 16, 4)
+    held = shards.read_slots(folder, 0, 10**6)
     order = shards.Permutation(len(rows), 5).slot(np.arange(len(rows)))
     assert held[order].tobytes()[: len(stream)] == stream
     assert [r.tokens_sha256 for r in rows] == [hashlib.sha256(stream[i * 16 : i * 16 + 16]).hexdigest() for i in range(len(rows))]
-    assert (shards.read_slots(folder, 5, 3, 16, 4) == held[5:8]).all()  # resumes anywhere
+    assert (shards.read_slots(folder, 5, 3) == held[5:8]).all()  # resumes anywhere
     assert shards.write_shards(docs.where("false"), str(tmp_path / "none")).count() == 0
 
 
@@ -271,14 +271,21 @@ def test_shards_of_many_partitions_and_a_second_run(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "docs"))
     folder = str(tmp_path / "shards")
     first = shards.write_shards(docs, folder, key=3, length=16, per_shard=4, tasks=3).orderBy("sequence").collect()
-    held = shards.read_slots(folder, 0, 10**6, 16, 4)
+    held = shards.read_slots(folder, 0, 10**6)
     again = shards.write_shards(docs, folder, key=3, length=16, per_shard=4, tasks=5).orderBy("sequence").collect()
-    assert first == again and (held == shards.read_slots(folder, 0, 10**6, 16, 4)).all()
+    assert first == again and (held == shards.read_slots(folder, 0, 10**6)).all()
     order = shards.Permutation(len(first), 3).slot(np.arange(len(first)))
     own = held[order].tobytes().split(b"\xff")[:-1]
     assert sorted(own) == sorted((r.text or "").encode() for r in docs.collect()) and len(own) == 400
-    names = {p.name for p in (tmp_path / "shards").iterdir()} - {"manifest.parquet"}
+    run = shards.current(folder)["run"]
+    assert {p.name for p in (tmp_path / "shards").iterdir() if p.name[0] != "."} == {run, shards.CURRENT}
+    names = {p.name for p in (tmp_path / "shards" / run).iterdir()} - {"manifest.parquet"}
     assert names == {shards.shard_name(k) for k in range(-(-len(first) // 4))}
+    fewer = docs.where("slot < 20")
+    fewer.coalesce(1).write.parquet(str(tmp_path / "fewer"))
+    small = shards.write_shards(spark.read.parquet(str(tmp_path / "fewer")), folder, key=3, length=16, per_shard=4).collect()
+    assert len(shards.read_slots(folder, 0, 10**6)) == len(small) < len(first)  # nothing of the larger run is read
+    assert shards.write_shards(docs.where("false"), folder).count() == 0 and len(shards.read_slots(folder, 0, 10)) == 0
 
 
 def test_shards_of_token_ids(spark, tmp_path):
@@ -286,7 +293,7 @@ def test_shards_of_token_ids(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     folder = str(tmp_path / "s")
     shards.write_shards(docs, folder, column="ids", length=4, per_shard=2, dtype="uint32", separator=9).collect()
-    held = shards.read_slots(folder, 0, 9, 4, 2, "uint32")
+    held = shards.read_slots(folder, 0, 9)
     stream = held[shards.Permutation(2, 1).slot(np.arange(2))].ravel().tolist()
     assert stream[:6] == [*[x for r in docs.collect() for x in [*(r.ids or []), 9]]][:6] and stream[6:] == [0, 0]
 
