@@ -64,3 +64,8 @@ def derived_seed(seed: int, *parts: Column) -> Column:
 def canonical_json_sha256(rows: pd.Series) -> pd.Series:
     """The sha256 of JSON text written anew with sorted keys. Number formats are those of Python, so this needs Python."""
     return rows.map(lambda x: None if x is None else hashlib.sha256(json.dumps(json.loads(x), sort_keys=True).encode()).hexdigest())
+
+
+def stable_json_sha256(*columns: Column | str) -> Column:
+    """The sha256 of a record's stable JSON: the columns by name, keys sorted at every depth, nulls kept, numbers as Python writes them."""
+    return canonical_json_sha256(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))

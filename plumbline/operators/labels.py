@@ -63,6 +63,34 @@ def pivot_probes(observations: DataFrame, keys: list[str], carried: list[str]) -
     )
 
 
+def row_pivot(records: DataFrame) -> DataFrame:
+    """records (clean struct, map of probes) with the columns of ``pivot_probes``, taken from their own map."""
+
+    def of(name: str, value: Column | None, *flags: str) -> Column:
+        probe = F.try_element_at("probes", F.lit(name))
+        ok = probe["valid"] if "applicable" not in flags else probe["valid"] & probe["applicable"]
+        return F.when(F.coalesce(ok, F.lit(False)), F.lit(1) if value is None else value)
+
+    def at(name: str, field: str) -> Column:
+        return F.try_element_at("probes", F.lit(name))[field]
+
+    def added(parts: list[Column], none: Column) -> Column:
+        total = None
+        for p in parts:
+            one = F.coalesce(p, none)
+            total = one if total is None else total + one
+        return total
+
+    return records.withColumns({
+        "answer_prob": F.col("clean.answer_prob"),
+        "n_visual": added([of(p, None, "applicable") for p in VISUAL_PROBES], F.lit(0)),
+        "visual_flips": added([of(p, at(p, "flip").cast("int"), "applicable") for p in VISUAL_PROBES], F.lit(0)),
+        "visual_shift": added([of(p, F.abs(at(p, "conf_shift")), "applicable") for p in VISUAL_PROBES], F.lit(0.0)),
+        "blank_match": of("blank", at("blank", "semantic_match").cast("int")), "blank_shift": of("blank", at("blank", "conf_shift")),
+        "grounding_flip": of("grounding", at("grounding", "flip").cast("int")), "grounding_shift": of("grounding", F.abs(at("grounding", "conf_shift"))),
+    })
+
+
 def visual_bit(t: Thresholds) -> Column:
     n = F.greatest("n_visual", F.lit(1))
     return (F.col("n_visual") > 0) & ((F.col("visual_flips") / n >= t.visual_flip) | (F.col("visual_shift") / n >= t.visual_shift))

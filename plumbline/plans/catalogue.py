@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import checks, evidence, metrics, nested, reports, scalars, transitions  # noqa: F401  they fill the registry
+from plumbline.plans import checks, evidence, metrics, migrations, nested, reports, scalars, transitions  # noqa: F401  they fill the registry
 from plumbline.plans.registry import ORACLES, QUERIES
 
 
