@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import features, hashing
 from plumbline.functions import text as tx
-from plumbline.operators import ledger, packets, pairs, quality, records
+from plumbline.operators import ledger, packets, pairs, provenance, quality, records
 from plumbline.plans import synth
 from plumbline.plans.evidence import _C, _L, _O, _TAGS, KEYS, labelled
 from plumbline.plans.registry import query
@@ -400,3 +400,76 @@ def listed_errors(spark, sf):
     """The first hundred errors, and how many there are."""
     found = records.errors_of(synth.clean(spark, sf), [quality.split_rule(("train", "val"))])
     return quality.listed(found, ["rule", "instance_id", "model_id"], 100)
+
+
+_FILE = "'file' || CAST(ordinal % 3 AS VARCHAR)"
+_LAB = f"""{_SIX}, x AS (SELECT * FROM n WHERE ordinal % 83 <> 2),
+e AS ({_rules(("a label has no record", "SELECT count(*) FROM x WHERE ordinal % 89 = 1"), ("the label's split is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 67 = 5"), ("the label's dataset is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 71 = 6"),
+    ("the label's visual is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 73 = 7"), ("the label's visual is no bit", "SELECT count(*) FROM x WHERE ordinal % 73 = 7"), ("the label's teacher_label6 is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 79 = 8"), ("the label is unknown", "SELECT count(*) FROM x WHERE ordinal % 79 = 8"),
+    ("the label's clean_correct is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 61 = 4"), ("the label's signature is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 59 = 3"), ("the label's signature is not finite", "SELECT count(*) FROM x WHERE ordinal % 59 = 3"),
+    ("the label's digest is stale", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 53 = 2"), ("the label's digest is not that of its fields", "SELECT count(*) FROM x WHERE ordinal % 53 = 2 OR ordinal % 67 = 5 OR ordinal % 71 = 6 OR ordinal % 73 = 7 OR ordinal % 79 = 8 OR ordinal % 61 = 4"),
+    ("the label is of another teacher file", "SELECT count(*) FROM x WHERE ordinal % 89 <> 1 AND ordinal % 47 = 1"))})"""
+
+
+def _labels_of(rows):
+    """Label rows of healthy records, with faults: each kind in the rows of one remainder."""
+    n = F.col("ordinal")
+    file = F.concat(F.lit("file"), (n % 3).cast("string"))
+    own = provenance.label_table(rows.withColumn("teacher_file_sha256", file), F.col("teacher_file_sha256"))
+    own = own.join(rows.select(*KEYS, "ordinal"), KEYS).where(n % 83 != 2)
+    return own.withColumns({
+        "split": F.when(n % 67 == 5, "dev").otherwise(F.col("split")), "dataset": F.when(n % 71 == 6, "other").otherwise(F.col("dataset")), "visual": F.when(n % 73 == 7, 2).otherwise(F.col("visual")), "teacher_label6": F.when(n % 79 == 8, "?").otherwise(F.col("teacher_label6")),
+        "clean_correct": F.when(n % 61 == 4, 1 - F.col("clean_correct")).otherwise(F.col("clean_correct")), "teacher_signature": F.when(n % 59 == 3, F.col("teacher_signature").withField("L", F.lit(float("nan")))).otherwise(F.col("teacher_signature")),
+        "label_record_sha256": F.when(n % 53 == 2, F.lit("0" * 64)).otherwise(F.col("label_record_sha256")), "source_teacher_file_sha256": F.when(n % 47 == 1, "other").otherwise(F.col("source_teacher_file_sha256")),
+    })
+
+
+@query("label_errors", f"{_LAB} SELECT rule, n FROM e WHERE n > 0")
+def label_errors(spark, sf):
+    rows = checkpointed(nested(spark, sf))
+    n = F.col("ordinal")
+    whole = rows.withColumn("teacher_file_sha256", F.concat(F.lit("file"), (n % 3).cast("string")))
+    return _counted(provenance.label_errors(_labels_of(rows).drop("ordinal"), whole.where(n % 89 != 1)))
+
+
+@query("state_file_errors", f"""{_STATES}, k AS (SELECT c.ordinal FROM s JOIN clean c ON c.model_id = s.model_id AND c.instance_id = s.instance_id), e AS ({_rules(("a state has no record and label", "SELECT count(*) FROM k WHERE ordinal % 83 = 2"),
+    ("the state is of another teacher file", "SELECT count(*) FROM k WHERE ordinal % 83 <> 2 AND ordinal % 31 = 4"), ("the state is of another label file", "SELECT count(*) FROM k WHERE ordinal % 83 <> 2 AND ordinal % 37 = 5"))}) SELECT rule, n FROM e WHERE n > 0""")
+def state_file_errors(spark, sf):
+    rows = checkpointed(nested(spark, sf))
+    n = F.col("ordinal")
+    file = F.concat(F.lit("file"), (n % 3).cast("string"))
+    states = records.state_rows(rows).select("metadata", "state_id").join(rows.select(F.col("model_id").alias("_m"), F.col("instance_id").alias("_i"), "ordinal"), (F.col("metadata.model_id") == F.col("_m")) & (F.col("metadata.instance_id") == F.col("_i")))
+    states = states.withColumns({"source_teacher_file_sha256": F.when(n % 31 == 4, "other").otherwise(file), "source_label_file_sha256": F.when(n % 37 == 5, F.lit(None)).otherwise("labels")}).drop("_m", "_i", "ordinal")
+    return _counted(provenance.state_file_errors(states, rows.withColumn("teacher_file_sha256", file), _labels_of(rows).withColumn("label_file_sha256", F.lit("labels"))))
+
+
+#: Each rule of records and of probes, with the remainder of 101 at which it is broken, and what breaks it.
+def _every_fault():
+    clean, probes, nan = F.col("clean"), F.col("probes"), F.lit(float("nan"))
+
+    def each(field, value):
+        return "probes", F.transform_values(probes, lambda k, v: v.withField(field, value))
+
+    faults = {
+        "the key is incomplete": ("model_id", F.lit("")), "the record type is wrong": ("record_type", F.lit(None).cast("string")), "the split is not allowed": ("split", F.lit("dev")), "the model's revision is not pinned": ("model_revision", F.lit("main")),
+        "the clean pass is invalid": ("clean", clean.withField("valid", F.lit(False))), "a clean feature is not finite": ("clean", clean.withField("token_margin_mean", nan)), "answer_prob is out of range": ("clean", clean.withField("answer_prob", F.lit(-0.5))), "clean.correct is not 0 or 1": ("clean", clean.withField("correct", F.lit(2))),
+        "the probes are not the legal ones": ("probes", F.map_filter(probes, lambda k, v: k != "blur")), "an answer is missing": each("norm_answer", F.lit("")), "a flag is missing": each("flip", F.lit(None).cast("boolean")),
+        **{f"{c} is not finite": each(c, nan) for c in ("conf_shift", "entropy_shift", "margin_shift", "exact_match", "semantic_match")}, "a legal probe is invalid or inapplicable": each("applicable", F.lit(False)),
+        "a bit is not 0 or 1": ("teacher_bits", F.col("teacher_bits").withField("language", F.lit(3))), "a signature is out of range": ("teacher_signature", F.col("teacher_signature").withField("A", F.lit(1.5))), "the label is unknown": ("teacher_label6", F.lit("none")),
+    }
+    return {rule: (at, *fault) for at, (rule, fault) in enumerate(faults.items())}
+
+
+_FAULTS = (
+    "the key is incomplete", "the record type is wrong", "the split is not allowed", "the model''s revision is not pinned", "the clean pass is invalid", "a clean feature is not finite", "answer_prob is out of range", "clean.correct is not 0 or 1", "the probes are not the legal ones", "an answer is missing",
+    "a flag is missing", "conf_shift is not finite", "entropy_shift is not finite", "margin_shift is not finite", "exact_match is not finite", "semantic_match is not finite", "a legal probe is invalid or inapplicable", "a bit is not 0 or 1", "a signature is out of range", "the label is unknown",
+)
+
+
+@query("every_record_rule", f"""{_C}, f(place, rule) AS (VALUES {", ".join(f"({i}, '{r}')" for i, r in enumerate(_FAULTS))}) SELECT rule, instance_id FROM clean JOIN f ON ordinal % 101 = place WHERE model_id = 'model_a'""")
+def every_record_rule(spark, sf):
+    """Each rule is broken in rows of its own, and must be the only one found there."""
+    rows = nested(spark, sf).where("model_id = 'model_a'")
+    for at, column, value in _every_fault().values():
+        rows = rows.withColumn(column, F.when(F.col("ordinal") % 101 == at, value).otherwise(F.col(column)))
+    return records.errors_of(rows, records.record_rules()).select("rule", "instance_id")
