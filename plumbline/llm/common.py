@@ -35,15 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int = 2000) -> Iterator[None]:
-    """Jobs that run inside hand at most n rows at once to Python, which bounds what long texts take on either side."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, n)
+def arrow_rows(spark: SparkSession, n: int = 2000, size: int = 1 << 24) -> Iterator[None]:
+    """Jobs that run inside hand at most n rows, and about size bytes of them, at once to Python, which bounds what long texts take on either side."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"}
+    before = {key: spark.conf.get(key) for key in own}
     try:
+        for key, value in own.items():
+            spark.conf.set(key, value)
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 class Staging:

@@ -9,8 +9,8 @@ One automaton holds windows of about ``SHARD_BYTES`` of text. A larger benchmark
 automata as that takes; the texts are scanned for each of them and the hits put together by document, with the same result.
 The driver holds one automaton's items at a time, and each Python worker builds the automaton once.
 
-Defined results: null and empty texts have no words and no hits; null or empty items have no windows; equal items are
-reported with all their ids; repeated document rows each get their own result; an empty benchmark leaves all rows clean.
+Defined results: null and empty texts have no words and no hits; null or empty items have no windows; an item without an id hits like
+others and is reported as null, at the end; equal items are reported with all their ids; repeated document rows each get their own result; an empty benchmark leaves all rows clean.
 """
 
 from __future__ import annotations
@@ -93,6 +93,10 @@ def char_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": places[r[0]][0], "end": places[r[-1]][1]} for r in runs]
 
 
+def _nulls_last(item_id: int | None) -> tuple[bool, int]:
+    return item_id is None, item_id or 0
+
+
 _kept: dict[str, object] = {}
 
 
@@ -112,12 +116,12 @@ def _n_shards(benchmark: DataFrame, width: int, limit: int) -> int:
 
 def _items(benchmark: DataFrame, n_shards: int, k: int) -> list[tuple[int, str]]:
     """The items of one shard."""
-    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     return [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n_shards)) == k).collect()]
 
 
 def _key(items: list[tuple[int, str]], width: int) -> str:
-    return hashlib.sha256(repr((sorted(items), width)).encode()).hexdigest()
+    return hashlib.sha256(repr((sorted(items, key=lambda x: (_nulls_last(x[0]), x[1])), width)).encode()).hexdigest()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -139,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
                     hit, found = scan(auto, words)
                     n_words.append(len(words))
                     n_hit.append(len(hit))
-                    ids.append(sorted(found))
+                    ids.append(sorted(found, key=_nulls_last))
                     spans.append(char_spans(text or "", hit))
                 cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_words", "n_hit", "item_ids", "hit_spans"])

@@ -26,7 +26,7 @@ from plumbline.llm.common import id_crc, schema_of, table
 
 BUCKETS = 1 << 15
 FIT_ROWS = 2000
-#: Characters handled by numpy at once.
+#: Characters whose n-grams numpy handles at once; a text's letters are held whole, at some 15 bytes a character.
 CHUNK = 1 << 20
 _GAP = np.uint32(1)
 _letters: list[np.ndarray] = []
@@ -78,6 +78,15 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np
         yield at, np.concatenate(parts), np.array(starts)
 
 
+def stretches(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The buckets of codes, about CHUNK characters at once: number of the first document in a stretch, where documents begin in it, buckets."""
+    for at in range(0, len(codes), CHUNK):
+        end = min(at + CHUNK, len(codes))
+        first = int(np.searchsorted(starts, at, side="right")) - 1
+        last = int(np.searchsorted(starts, end, side="left"))
+        yield first, np.maximum(starts[first:last] - at, 0), hashed(codes[at : end + 2])[:, : end - at]
+
+
 def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities, of (text, lang, doc_id) rows."""
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -93,8 +102,9 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], np.ndarra
         for batch in it:
             lang = batch.column("lang").to_pylist()
             for at, codes, starts in _groups(batch.column("text").to_pylist()):
-                for i, own in zip(at, np.split(hashed(codes), starts[1:], axis=1), strict=True):
-                    total[lang[i]] += np.bincount(own.ravel(), minlength=BUCKETS)
+                for first, begins, h in stretches(codes, starts):
+                    for i, own in zip(at[first:], np.split(h, begins[1:], axis=1), strict=False):
+                        total[lang[i]] += np.bincount(own.ravel(), minlength=BUCKETS)
         for k, v in total.items():
             where = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(v[where], pa.int64())], names=["lang", "bucket", "n"])
@@ -116,8 +126,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
             pred, score = ["und"] * batch.num_rows, np.zeros(batch.num_rows)
             if names:
                 for at, codes, starts in _groups(batch.column(batch.schema.get_field_index("text")).to_pylist()):
-                    h = hashed(codes)
-                    sums = np.stack([sum(np.add.reduceat(row[h[k]], starts, dtype=np.float64) for k in range(3)) for row in by_lang])
+                    sums = np.zeros((len(names), len(at)))
+                    for first, begins, h in stretches(codes, starts):
+                        sums[:, first : first + len(begins)] += [sum(np.add.reduceat(row[h[k]], begins, dtype=np.float64) for k in range(3)) for row in by_lang]
                     best = sums.argmax(axis=0)
                     top = 1 / np.exp(sums - sums.max(axis=0)).sum(axis=0)
                     for i, b in zip(at, best, strict=True):

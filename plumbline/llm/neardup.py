@@ -281,8 +281,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # one member of each group stands for it in pairs with other groups, and is paired with its own group's members
     heads = members.groupBy("gid").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("size"))
     heads = staging.write(heads, "heads")
-    across = salted_join(pairs, heads.select("gid", F.col("key").alias("a")), "gid", frequent_of(pairs, "gid"))
-    across = salted_join(across, heads.select(F.col("gid").alias("gid2"), F.col("key").alias("b")), "gid2", frequent_of(pairs, "gid2")).select("a", "b")
+    hot1, hot2 = frequent_of(pairs, "gid"), frequent_of(pairs, "gid2")  # hubs
+    across = salted_join(pairs, heads.select("gid", F.col("key").alias("a")), "gid", hot1)
+    across = salted_join(across, heads.select(F.col("gid").alias("gid2"), F.col("key").alias("b")), "gid2", hot2).select("a", "b")
     within = salted_join(members, heads.where("size > 1").select("gid", F.col("key").alias("a")), "gid", frequent(heads, "gid", "size")).where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b"))
     first = staging.write(across.unionByName(within), "pairs1")
     links = staging.write(_verified(first, _sets(docs, _ends(first)), percent), "links1")
@@ -295,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     state = label.groupBy("gid").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
     state = staging.write(state, "group-labels")
     second = _second(state, "gid", "lo", "hi", "size")
-    both = pairs.join(state, "gid").join(second, "gid2")
+    both = salted_join(salted_join(pairs, state, "gid", hot1), second, "gid2", hot2)
     open_few = both.where(((F.col("size") > 1) | (F.col("size2") > 1)) & ~_same()).select("gid", "gid2")
     open_self = state.where(F.col("lo") != F.col("hi")).select("gid", F.col("gid").alias("gid2"))
     open_many = _open_pairs(many.select("token", "gid", "n", "pos").join(state.select("gid", "lo", "hi"), "gid"), hot, staging, percent)
@@ -303,7 +304,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     if not left.isEmpty():
         one = label.select("gid", F.col("key").alias("a"), F.col("label").alias("la"))
         two = label.select(F.col("gid").alias("gid2"), F.col("key").alias("b"), F.col("label").alias("lb"))
-        rest_pairs = left.join(one, "gid").join(two, "gid2").where(F.col("la") != F.col("lb"))
+        wide = frequent(state, "gid", "size")  # groups of many members: these are dealt, their pairs sent to each place
+        rest_pairs = salted_join(two, salted_join(one, left, "gid", wide), "gid2", wide).where(F.col("la") != F.col("lb"))
         rest_pairs = staging.write(rest_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs2")
         more = _verified(rest_pairs, _sets(docs, _ends(rest_pairs)), percent)
         links = staging.write(links.unionByName(more), "links2")
@@ -338,9 +340,12 @@ def _open_pairs(rows: DataFrame, hot: DataFrame, staging: Staging, percent: int)
     main = rows.where("lo = hi").groupBy("token", "lo").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.max_by("lo", "m").alias("main"))
     rows = staging.write(salted_join(rows, mixed.join(main, "token", "left"), "token", hot), "mixed")
     minor = F.col("main").isNull() | (F.col("lo") != F.col("main")) | (F.col("hi") != F.col("main"))
-    smaller = _second(rows.where("small"), "gid", "n", "pos", "lo", "hi").drop("small", "main")
-    some = rows.where(minor).drop("small", "main").join(smaller, "token")
-    rest = rows.where(~minor).drop("small", "main").join(_second(rows.where("small").where(minor), "gid", "n", "pos", "lo", "hi").drop("small", "main"), "token")
+    own = ("gid", "n", "pos", "lo", "hi")
+    rows = rows.withColumn("minor", F.coalesce(minor, F.lit(True))).drop("main")
+    few = rows.where("minor").drop("small", "minor")
+    # of each pair one side is outside the largest component: there are few of these rows, and they are sent to every place of a frequent shingle
+    some = salted_join(_second(rows.where("small").drop("small", "minor"), *own), few, "token", hot)
+    rest = salted_join(rows.where(~F.col("minor")).drop("small", "minor"), _second(rows.where("small and minor").drop("small", "minor"), *own), "token", hot)
     open_ = (F.col("n") >= F.col("n2")) & (F.col("gid") != F.col("gid2")) & ~_same() & _may_link_first(percent)
     pairs = some.where(open_).select("gid", "gid2").unionByName(rest.where(open_).select("gid", "gid2"))
     return pairs.select(F.least("gid", "gid2").alias("gid"), F.greatest("gid", "gid2").alias("gid2")).distinct()

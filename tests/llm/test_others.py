@@ -496,3 +496,28 @@ def test_pii_recall_on_identifiers_planted_in_documents(spark, documents):
     unseen = {i: v for i, (v, _) in planted.items() if v[0] != "+"}
     found = sum(any(s.kind == "phone" and s.start == planted[i][1] + len(" reachable under ") for s in done[i].spans) for i in unseen)
     assert len(unseen) == 25 and found / len(unseen) >= 0.95, found
+
+
+def test_language_of_texts_longer_than_a_stretch(spark, monkeypatch):
+    random_letters = np.random.default_rng(3)
+    texts = ["".join(random_letters.choice(list(alphabet), n)) for alphabet, n in (("abcde ", 900), ("vwxyz ", 700), ("abxyz ", 5), ("é ", 1))]
+    codes = np.concatenate([np.concatenate([langid._codes(t), np.repeat(langid._GAP, 3)]) for t in texts])
+    starts = np.cumsum([0, *[len(langid._codes(t)) + 3 for t in texts[:-1]]])
+    whole = langid.hashed(codes)
+    for chunk in (1, 2, 7, 64, 10_000):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        parts = list(langid.stretches(codes, starts))
+        assert (np.concatenate([h for _, _, h in parts], axis=1) == whole).all()
+        sums = np.zeros(len(texts), np.int64)
+        for first, begins, h in parts:
+            sums[first : first + len(begins)] += np.add.reduceat(h[0], begins)
+        assert (sums == np.add.reduceat(whole[0], starts)).all()
+
+
+def test_items_without_an_id_hit_like_others(spark):
+    words = [f"w{i}" for i in range(12)]
+    docs = spark.createDataFrame([(1, "a " + " ".join(words) + " b"), (2, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(words[:10])), (7, " ".join(words[2:]))], "item_id long, text string")
+    for size in (decontam.SHARD_BYTES, 40):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontam.decontaminate(docs, items, shard_bytes=size).collect()}
+        assert got == {1: (12, [7, None]), 2: (0, [])}
