@@ -132,7 +132,32 @@ def negation_count(spark, sf):
     return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), tx.negations(F.coalesce("text", F.lit(""))).alias("n"))
 
 
-@query("relation_swap")
+_OPP = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in tx.OPPOSITES.items()) + "}"
+
+
+def _unspatial(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches(lower({x}), '{p.replace(chr(39), chr(39) * 2)}')" for p in tx.NOT_SPATIAL) + ")"
+
+
+def _put(x: str, at: str, old: str, new: str) -> str:
+    """The relation at a place of a text replaced, keeping a capital."""
+    first = f"substr({x}, {at}, 1)"
+    return f"substr({x}, 1, {at} - 1) || CASE WHEN {first} <> lower({first}) THEN upper(substr({new}, 1, 1)) || substr({new}, 2) ELSE {new} END || substr({x}, {at} + length({old}))"
+
+
+def _at(x: str) -> str:
+    return f"length(regexp_extract(lower({x}), '(?s)^(.*?)\\b{_REL}\\b', 1)) + 1"
+
+
+_NEG = r"\b(?:not|no|never|neither|nor)\b"
+_SWAP = f"""{_SWAPS}, a AS (SELECT id, x, found, CASE WHEN id % 2 = 0 THEN 'true' END AS gold, {_OPP}[found[1]] AS to_, {_at("x")} AS at_ FROM r),
+b AS (SELECT *, {_put("x", "at_", "found[1]", "to_")} AS new FROM a), c AS (SELECT *, regexp_extract_all(lower(new), '\\b{_REL}\\b') AS again, {_at("new")} AS at2 FROM b),
+d AS (SELECT *, coalesce(NOT {_unspatial("new")} AND len(again) = 1 AND len(regexp_extract_all(lower(new), '{_NEG}')) <= 1 AND again[1] = to_ AND {_put("new", "at2", "again[1]", "found[1]")} = x, false) AS fits FROM c),
+e AS (SELECT *, CASE WHEN {_unspatial("x")} THEN 'non_spatial_usage_detected' WHEN len(found) = 0 THEN 'no_reversible_relation_found' WHEN len(found) > 1 THEN 'multiple_relations_found' WHEN len(regexp_extract_all(lower(x), '{_NEG}')) > 1 THEN 'ambiguous_negation' WHEN NOT fits THEN 'round_trip_failed' END AS reason FROM d),
+k AS (SELECT *, reason IS NULL OR reason = 'round_trip_failed' AS known FROM e)"""
+
+
+@query("relation_swap", f"{_SWAP} SELECT id, reason IS NULL AS applicable, CASE WHEN known THEN new END AS swapped_text, CASE WHEN known THEN found[1] END AS relation, CASE WHEN known THEN to_ END AS swapped_to, CASE WHEN known AND gold = 'true' THEN 'false' END AS swapped_gold, reason FROM k")
 def relation_swap(spark, sf):
     rows = _statements(spark, sf)
     swap = tx.swap_relation(F.col("x"), F.lit(None).cast("string"), F.when(F.col("id") % 2 == 0, "true"))
