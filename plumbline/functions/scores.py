@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -49,15 +49,31 @@ def margin(distributions: Column) -> Column:
     return mean(F.transform(distributions, one))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
+#: Longer vectors are multiplied by an array function rather than by an expression with a term for each component.
+UNROLLED = 256
 
 
-def cosine(a: Column, b: Column, sizes: Column | None = None) -> Column:
-    """Within [-1, 1]; null if a vector is null or has no length. sizes is the product of the norms where it is known."""
+def dot(a: Column, b: Column, dims: int | None = None) -> Column:
+    """The inner product, summed up from the first component on. With dims, the length of all vectors, it is plain arithmetic that Spark compiles."""
+    if dims is None or dims > UNROLLED:
+        return total(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
+    sum_ = F.lit(0.0)
+    for i in range(dims):
+        sum_ = sum_ + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
+    return sum_
+
+
+def cosine(a: Column, b: Column, sizes: Column | None = None, dims: int | None = None) -> Column:
+    """Within [-1, 1]; null if a vector is null or has no length. sizes is the product of the norms where it is known, dims the length of all vectors."""
     if sizes is None:
-        sizes = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.least(F.greatest(dot(a, b) / F.when(sizes > 0, sizes), F.lit(-1.0)), F.lit(1.0))
+        sizes = F.sqrt(dot(a, a, dims)) * F.sqrt(dot(b, b, dims))
+    return F.least(F.greatest(dot(a, b, dims) / F.when(sizes > 0, sizes), F.lit(-1.0)), F.lit(1.0))
+
+
+def common_length(vectors: DataFrame, column: str) -> int | None:
+    """The length of a table's vectors if all have the same, by one aggregate."""
+    low, high = vectors.agg(F.min(F.size(column)), F.max(F.size(column))).first()
+    return low if low == high else None
 
 
 def last(values: Column, k: Column) -> Column:

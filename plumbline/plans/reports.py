@@ -120,11 +120,13 @@ NEIGHBOURS = 8
 
 def scored_pairs(spark, sf):
     """Norms are taken once for each vector, not for each pair."""
-    v = synth.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
-    v = v.withColumn("size", F.sqrt(scores.dot(F.col("e"), F.col("e"))))
+    table = synth.table(spark, sf, "embeddings")
+    dims = scores.common_length(table.where("embedding is not null"), "embedding")
+    v = table.select("vec_id", F.col("embedding").alias("e"), "label")
+    v = v.withColumn("size", F.sqrt(scores.dot(F.col("e"), F.col("e"), dims)))
     near = v.withColumn("other", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + NEIGHBOURS)))
     pairs = near.join(v.select(F.col("vec_id").alias("other"), F.col("e").alias("e2"), F.col("size").alias("s2"), F.col("label").alias("l2")), "other")
-    return pairs.select("vec_id", "other", scores.cosine(F.col("e"), F.col("e2"), F.col("size") * F.col("s2")).alias("similarity"), (F.col("label") == F.col("l2")).alias("match"))
+    return pairs.select("vec_id", "other", scores.cosine(F.col("e"), F.col("e2"), F.col("size") * F.col("s2"), dims).alias("similarity"), (F.col("label") == F.col("l2")).alias("match"))
 
 
 _PAIRS = f"""WITH pairs AS (SELECT a.vec_id, b.vec_id AS other, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))) AS similarity, a.label = b.label AS match

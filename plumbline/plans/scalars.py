@@ -178,8 +178,11 @@ def swap_outcome(spark, sf):
 
 @query("grounding_parse")
 def grounding_parse(spark, sf):
-    c = synth.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"))
-    rows = c.withColumns({"x": _pick(GROUNDED, F.col("id")), "ds": _pick(("pope", "vizwiz", "hallusionbench"), F.floor(F.col("id") / 3))})
+    """Typical answers, and the conversations' whole texts, some with a tag at the end."""
+    c = synth.table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    ds = _pick(("pope", "vizwiz", "hallusionbench"), F.floor(F.col("id") / 3))
+    tagged = F.concat("text", F.when(F.col("id") % 3 == 0, F.concat(F.lit("\n\nFINAL_ANSWER: "), _pick(ANSWERS, F.col("id")))).otherwise(""))
+    rows = c.select("id", _pick(GROUNDED, F.col("id")).alias("x"), ds.alias("ds")).unionByName(c.select((F.col("id") + 1_000_000_000).alias("id"), tagged.alias("x"), ds.alias("ds")))
     return rows.withColumn("p", tx.parse_grounded(F.col("x"), F.col("ds"), F.lit(None).cast("string"))).select("id", "ds", "p.*")
 
 
