@@ -180,3 +180,21 @@ def enough_models(completeness: DataFrame, least: int = 2) -> DataFrame:
 def gap_fires(full: Column, control: Column, threshold: float = 2.0) -> Column:
     """A control that comes within the threshold of the full model."""
     return (full - control) <= threshold
+
+
+def completeness(clean: DataFrame, by: list[str], least: int) -> DataFrame:
+    """Per group: the instances with a valid pass, and whether they are enough."""
+    done = clean.groupBy(*by).agg(F.count_distinct(F.when(F.col("clean_valid"), F.col("instance_id"))).alias("done"))
+    return done.withColumn("complete", F.col("done") >= least)
+
+
+def readiness(manifest: DataFrame, by: list[str], models: int, probes: int = 7) -> DataFrame:
+    """Per group: rows, rows with a relation, and the passes that so many models will take."""
+    n, r = F.count(F.lit(1)), F.count_if("relation_applicable")
+    return manifest.groupBy(*by).agg(n.alias("n"), r.alias("relation_rows"), (models * (probes * n + r)).alias("passes"))
+
+
+def inventory(rows: DataFrame, listed: dict[str, str], counted: str, name: str) -> DataFrame:
+    """One row: the sorted distinct values of columns with few of them (name: column), the distinct values of another one, and all rows."""
+    sets = [F.array_sort(F.collect_set(c)).alias(n) for n, c in listed.items()]
+    return rows.agg(*sets, F.count_distinct(counted).alias(name), F.count(F.lit(1)).alias("n"))

@@ -88,3 +88,8 @@ def split_stats(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     have = rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("group_id").alias("groups"))
     wanted = rows.sparkSession.createDataFrame([(n,) for n in names], "split string")
     return wanted.join(have, "split", "left").fillna(0, ["n", "groups"])
+
+
+def only_left(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct keys of left that right has not; null equals null."""
+    return left.select(*keys).subtract(right.select(*keys))

@@ -139,3 +139,8 @@ def missing_probes(observations: DataFrame, keys: list[str]) -> DataFrame:
     due = F.when(F.any_value("relation_applicable"), F.array(*map(F.lit, PROBES))).otherwise(F.array(*map(F.lit, CORE_PROBES)))
     rows = observations.groupBy(*keys).agg(F.array_sort(F.array_except(due, F.collect_set(F.when(F.col("valid"), F.col("probe"))))).alias("missing"))
     return rows.where(F.size("missing") > 0)
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, keys: list[str], columns: tuple[str, ...] = ("label6",)) -> DataFrame:
+    """rows that have a label, with columns of it."""
+    return rows.join(labels.select(*keys, *columns), keys)

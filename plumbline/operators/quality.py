@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.scores import finite
+from plumbline.operators.joins import skew_join
 from plumbline.operators.labels import CORE_PROBES
 
 Rule = tuple[str, Column]
@@ -39,6 +40,15 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
+def later_duplicates(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows that come after the first of their key; a null key is a key of its own. Orders differ within a key."""
+    own = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{i}") for i, k in enumerate(keys)] + [F.col(k).isNull().alias(f"_n{i}") for i, k in enumerate(keys)]
+    names = [f"_{i}" for i in range(len(keys))] + [f"_n{i}" for i in range(len(keys))]
+    plain = rows.select("*", *own)
+    first = plain.groupBy(*names).agg(F.min(F.struct(order)).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    return skew_join(plain, first, names).where(F.struct(order) > F.col("_first")).select(*rows.columns)
+
+
 def require_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows, or an error when one is read whose key is there twice or null."""
     twice = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))

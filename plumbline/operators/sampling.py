@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import rank_key
+from plumbline.operators.ranks import running
 from plumbline.sources.staging import checkpointed
 
 
@@ -47,6 +48,11 @@ def with_rank(rows: DataFrame, order: list[str]) -> DataFrame:
     return parts.join(F.broadcast(starts), "_part").withColumn("rank", F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
 
 
+def ordinals(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with their place, from 0, in their group's order, which must tell them apart; a group of any size is numbered by ranges."""
+    return running(rows, by, order, ordinal=("sum", F.lit(1)))
+
+
 def ordinal_shard(rows: DataFrame, order: list[str], shard: int, shards: int) -> DataFrame:
     """The rows whose place in this order is the shard's number modulo the number of shards, with that place as rank."""
     if not 0 <= shard < shards:

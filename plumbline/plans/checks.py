@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import coverage, ledger, quality
+from plumbline.operators import audits, coverage, labels, ledger, quality, sampling
 from plumbline.plans import synth
 from plumbline.plans.evidence import _C, _L, _M, _O, KEYS, labelled
 from plumbline.plans.registry import query
@@ -22,7 +22,7 @@ def teacher_manifest_join(spark, sf):
 
 @query("teacher_label_join", f"{_L} SELECT c.instance_id, c.model_id, c.clean_correct, l.label6 FROM clean c JOIN labelled l ON l.instance_id = c.instance_id AND l.model_id = c.model_id")
 def teacher_label_join(spark, sf):
-    return synth.clean(spark, sf).select(*KEYS, "clean_correct").join(labelled(spark, sf).select(*KEYS, "label6"), KEYS)
+    return labels.with_labels(synth.clean(spark, sf).select(*KEYS, "clean_correct"), labelled(spark, sf), KEYS)
 
 
 @query("resume_anti", f"{_C} SELECT instance_id, model_id FROM clean WHERE NOT clean_valid")
@@ -87,9 +87,7 @@ def cross_file_dups(spark, sf):
 
 @query("later_duplicates", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn > 1")
 def later_duplicates(spark, sf):
-    e = synth.table(spark, sf, "events")
-    first = e.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    return e.select("event_id").join(first.select("event_id"), "event_id", "left_anti")
+    return quality.later_duplicates(synth.table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id").select("event_id")
 
 
 _R = f"""{_O} SELECT rule, violations FROM (SELECT count(*) FILTER (WHERE NOT coalesce(split IN ('train', 'val'), false)) AS a, count(*) FILTER (WHERE NOT coalesce(probe IN ('blank', 'blur', 'crop', 'brightness', 'noise', 'grounding', 'relation'), false)) AS b, count(*) FILTER (WHERE NOT coalesce(probe <> 'relation' OR relation_applicable, false)) AS c,
@@ -168,7 +166,7 @@ def union_sources(spark, sf):
 
 @query("keys_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
 def keys_except(spark, sf):
-    return synth.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(synth.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")))
+    return coverage.only_left(synth.table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), synth.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
 
 
 @query("keys_intersect", "SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -178,11 +176,10 @@ def keys_intersect(spark, sf):
 
 @query("distinct_values", "SELECT array_to_string(list_sort(list(DISTINCT dataset)), ',') AS datasets, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, count(DISTINCT instance_id) AS instances, count(*) AS n FROM (" + f"{_C} SELECT dataset, split, instance_id FROM clean)")
 def distinct_values(spark, sf):
-    c = synth.clean(spark, sf)
-    return c.agg(F.array_join(F.array_sort(F.collect_set("dataset")), ",").alias("datasets"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("splits"), F.count_distinct("instance_id").alias("instances"), F.count(F.lit(1)).alias("n"))
+    done = audits.inventory(synth.clean(spark, sf), {"datasets": "dataset", "splits": "split"}, "instance_id", "instances")
+    return done.withColumns({c: F.array_join(c, ",") for c in ("datasets", "splits")})
 
 
 @query("source_ordinals", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS ordinal, turn, role FROM conversations")
 def source_ordinals(spark, sf):
-    rows = synth.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("v"))
-    return rows.select("conv_id", F.posexplode("v").alias("ordinal", "s")).select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "s.turn", "s.role")
+    return sampling.ordinals(synth.table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn", "role"])

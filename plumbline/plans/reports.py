@@ -170,14 +170,12 @@ def progress_by_split(spark, sf):
 
 @query("readiness_counts", f"{_M} SELECT dataset, count(*) AS n, count(*) FILTER (WHERE relation_applicable) AS relation_rows, CAST(2 * (7 * count(*) + count(*) FILTER (WHERE relation_applicable)) AS BIGINT) AS passes FROM manifest GROUP BY dataset")
 def readiness_counts(spark, sf):
-    n, r = F.count(F.lit(1)), F.count_if("relation_applicable")
-    return synth.manifest(spark, sf).groupBy("dataset").agg(n.alias("n"), r.alias("relation_rows"), (2 * (7 * n + r)).alias("passes"))
+    return audits.readiness(synth.manifest(spark, sf), ["dataset"], len(synth.MODELS))
 
 
 @query("completeness", f"{_C} SELECT model_id, dataset, count(DISTINCT instance_id) FILTER (clean_valid) AS done, count(DISTINCT instance_id) FILTER (clean_valid) >= 100 AS complete FROM clean GROUP BY ALL")
 def completeness(spark, sf):
-    done = synth.clean(spark, sf).groupBy("model_id", "dataset").agg(F.count_distinct(F.when(F.col("clean_valid"), F.col("instance_id"))).alias("done"))
-    return done.withColumn("complete", F.col("done") >= 100)
+    return audits.completeness(synth.clean(spark, sf), ["model_id", "dataset"], 100)
 
 
 _PC = f"""{_G}, a AS (SELECT model_id, dataset, count(DISTINCT instance_id) AS n FROM clean WHERE clean_valid GROUP BY ALL), b AS (SELECT model_id, dataset, count(DISTINCT ROW(instance_id, probe, severity)) AS k FROM grid WHERE valid GROUP BY ALL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 import tempfile
@@ -36,6 +38,17 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False, single: bool =
     (df.coalesce(1) if single else df).write.mode("overwrite" if overwrite else "errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
+def write_csv_file(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A small report as one file of that name with a header, put in place by a rename; more than ``most`` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: write a table")
+    text = io.StringIO()
+    out = csv.writer(text, lineterminator="\n")
+    out.writerows([df.columns, *rows])
+    write_text(text.getvalue(), path)
+
+
 def write_text(text: str, path: str) -> None:
     """A small report of the driver, put in place by a rename."""
     folder = os.path.dirname(os.path.abspath(path))

@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import acquisition, conformal, diagnostics, joins, policy, ranks, resampling
+from plumbline.operators import acquisition, conformal, diagnostics, joins, policy, quality, ranks, resampling, sampling
 from plumbline.operators.labels import LABELS
 from plumbline.plans.metrics import PRICES
+from plumbline.sources import sinks
 
 
 def test_running_totals_of_a_group_that_holds_most_rows(spark):
@@ -221,3 +222,20 @@ def test_acquisitions_follow_the_rules_in_order(spark):
         r = got[i, s]
         assert (r.outcome, r.budget_left, r.acquired) == (outcome, left, had), (i, s)
     assert acquisition.acquisitions(spark.createDataFrame([], "id string, seq int, probe string"), ["id"], "seq", 4).count() == 0
+
+
+def test_ordinals_and_later_duplicates_of_hot_groups(spark):
+    rows = [("hot", k, "x" if k % 3 else None) for k in range(900)] + [(None, 1, "x"), (None, 2, "x"), ("b", 5, "y")]
+    df = spark.createDataFrame(rows, "g string, k int, v string").repartition(5)
+    got = {(r.g, r.k): r.ordinal for r in sampling.ordinals(df, ["g"], ["k"]).collect()}
+    assert got == {("hot", k): k for k in range(900)} | {(None, 1): 0, (None, 2): 1, ("b", 5): 0}
+    later = sorted((r.g or "", r.k) for r in quality.later_duplicates(df, ["g", "v"], "k").collect())
+    assert later == sorted([("hot", k) for k in range(2, 900) if k != 0 and k != 1] + [("", 2)])
+
+
+def test_small_reports_are_one_file(spark, tmp_path):
+    path = str(tmp_path / "a" / "report.csv")
+    sinks.write_csv_file(spark.createDataFrame([(1, 'a "b", c'), (2, None)], "k int, v string"), path)
+    assert open(path).read() == 'k,v\n1,"a ""b"", c"\n2,\n'
+    with pytest.raises(ValueError, match="write a table"):
+        sinks.write_csv_file(spark.range(5), path, most=4)
