@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, schema_of, table
+from plumbline.llm.common import Staging, schema_of, table, tidy
 
 LEXICON_WORDS = 20_000
 #: Words and pieces that a worker remembers before it starts anew, and characters of text that are encoded at once.
@@ -368,7 +368,7 @@ def word_counts(docs: DataFrame, config: str) -> DataFrame:
                     yield out()
         yield out()
 
-    return docs.select("text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(counted), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(counts: DataFrame, staging: Staging, most: int) -> list[str]:
@@ -426,7 +426,7 @@ class Tokenizer:
                     start = stop
             worker.coded = {}  # the worker lives on, perhaps for tasks of other operators
 
-        return docs.mapInArrow(encoded, schema_of(docs, ", ".join(f"{k} {kinds[k]}" for k in outputs)))
+        return docs.mapInArrow(tidy(encoded), schema_of(docs, ", ".join(f"{k} {kinds[k]}" for k in outputs)))
 
     def decode(self, encoded: DataFrame, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
         """Docs' columns and the text that an array of ids stands for (null: empty)."""
@@ -441,7 +441,7 @@ class Tokenizer:
                 yield pa.RecordBatch.from_arrays([*batch.columns, got], names=[*batch.schema.names, out])
 
         encoded = encoded.drop(out)
-        return encoded.mapInArrow(decoded, schema_of(encoded, f"{out} string"))
+        return encoded.mapInArrow(tidy(decoded), schema_of(encoded, f"{out} string"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -35,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, n: int = 2000, size: int = 1 << 24) -> Iterator[None]:
+def arrow_rows(spark: SparkSession, n: int = 2000, size: int = 1 << 23) -> Iterator[None]:
     """Jobs that run inside hand at most n rows, and about size bytes of them, at once to Python, which bounds what long texts take on either side."""
     own = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b"}
     before = {key: spark.conf.get(key) for key in own}
@@ -48,6 +49,28 @@ def arrow_rows(spark: SparkSession, n: int = 2000, size: int = 1 << 24) -> Itera
             spark.conf.set(key, value)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work for mapInArrow, after which a Python worker gives the memory that it no longer uses back to the system: it lives on, often idle, beside other stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 class Staging:
     """Tables of one operator run, written to the shared folder so that lost executors cost no recomputation.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, kept, schema_of, table
+from plumbline.llm.common import Staging, kept, schema_of, table, tidy
 
 WIDTH = 10
 SHARD_BYTES = 64 << 20
@@ -148,7 +148,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
                 cols = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "n_words", "n_hit", "item_ids", "hit_spans"])
 
-        return df.mapInArrow(batches, schema_of(df, added))
+        return df.mapInArrow(tidy(batches), schema_of(df, added))
 
     if n_shards == 1:
         return scanned(docs, _items(benchmark, 1, 0))
@@ -189,7 +189,7 @@ def _merged(docs: DataFrame, shards, scanned) -> DataFrame:
 
     both = staged.join(hits, "_row", "left").select(*staged.columns, "item_ids", "hit_spans")
     out = schema_of(staged, "n_words bigint, n_hit bigint, item_ids array<bigint>, hit_spans " + SPANS)
-    return both.mapInArrow(joined, out).drop("_row")
+    return both.mapInArrow(tidy(joined), out).drop("_row")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

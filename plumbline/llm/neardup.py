@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Staging, arrow_rows, frequent, frequent_of, salted_join, table
+from plumbline.llm.common import Staging, arrow_rows, frequent, frequent_of, salted_join, table, tidy
 from plumbline.llm.shingles import sets_of
 
 #: Similarity in percent.
@@ -100,7 +100,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([row], pa.int32()), pa.array([own.tobytes()], pa.binary())], names=["part", "row", "counts"])
 
-    parts = docs.select("text").mapInArrow(counted, "part bigint, row int, counts binary")
+    parts = docs.select("text").mapInArrow(tidy(counted), "part bigint, row int, counts binary")
     n_parts = docs.rdd.getNumPartitions()
     out = np.zeros(cells, np.uint8)
     for r in _summed(parts, n_parts).collect():  # at most MAX_CELLS counts
@@ -143,7 +143,7 @@ def entities(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT) -> Da
             cols = [batch.column(0), pa.array(ns, pa.int32()), pa.array(keys, pa.binary()), pa.array(gids, pa.int64()), pa.array(heavies, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "key", "gid", "heavy", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, "doc_id bigint, n int, key binary, gid bigint, heavy int, prefix array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(made), "doc_id bigint, n int, key binary, gid bigint, heavy int, prefix array<bigint>")
 
 
 def _need(n1: str, n2: str, percent: int) -> Column:
@@ -187,7 +187,7 @@ def _bloom(keys: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(own[where].view(np.int64), pa.int64())], names=["at", "bits"])
 
     out = np.zeros(bits // 64, np.uint64)
-    got = keys.mapInArrow(marked, "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
+    got = keys.mapInArrow(tidy(marked), "at int, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()
     out[got["at"].to_numpy()] = got["bits"].to_numpy().astype(np.int64).view(np.uint64)
     return out
 
@@ -212,7 +212,7 @@ def _sets(docs: DataFrame, keys: DataFrame) -> DataFrame:
                     seen.add(key)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(items, pa.list_(pa.int64()))], names=["key", "items"])
 
-    return docs.select("text").mapInArrow(picked, "key binary, items array<bigint>").dropDuplicates(["key"])
+    return docs.select("text").mapInArrow(tidy(picked), "key binary, items array<bigint>").dropDuplicates(["key"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import id_crc, kept, schema_of, table
+from plumbline.llm.common import id_crc, kept, schema_of, table, tidy
 
 FIT_ROWS = 12_000
 THRESHOLD = 0.3
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), *(pa.array(list(c), t) for c, t in zip(cols, (pa.binary(), pa.int32(), pa.list_(pa.float64())), strict=True))], names=["doc_id", "digest", "quality", "x"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", F.col("quality").cast("int"))
-    one = picked.mapInArrow(measured, "doc_id bigint, digest binary, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("digest", "quality", "x")).alias("r"))
+    one = picked.mapInArrow(tidy(measured), "doc_id bigint, digest binary, quality int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("digest", "quality", "x")).alias("r"))
     got = one.select("doc_id", "r.quality", "r.x").toPandas().sort_values("doc_id")  # about rows of them at most
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(STATS))
     return grow(x, got["quality"].to_numpy(np.float64))
@@ -142,7 +142,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> Data
             got = score(shared.value, np.array([stats(t or "") for t in texts], np.float64).reshape(len(texts), len(STATS)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got), pa.array((got >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(scored, schema_of(docs, "score double, predicted int"))
+    return docs.mapInArrow(tidy(scored), schema_of(docs, "score double, predicted int"))
 
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> dict:
