@@ -7,15 +7,33 @@ input, are deleted once its result is written. All but the last keep the columns
 
 from __future__ import annotations
 
+from functools import wraps
+
 from plumbline.llm import bpe, decontam, neardup, pii, quality
 from plumbline.llm.common import Staging, table, temporary_tables
 
+#: What is handed at once to Python. A stage's result is computed when it is written, so the session is set for the whole run.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def bounded(stage):
+    """The stage, in a session whose batches are bounded."""
+
+    @wraps(stage)
+    def run_stage(spark, docs, sf_dir):
+        for key, value in BATCHES.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list = [
-    ("quality classifier", quality.keep_good),
-    ("n-gram Jaccard join", neardup.keep_first),
-    ("benchmark decontamination", decontam.drop_contaminated),
-    ("PII", pii.mask_pii),
-    ("BPE encoding and decoding", bpe.encode_stage),
+    ("quality classifier", bounded(quality.keep_good)),
+    ("n-gram Jaccard join", bounded(neardup.keep_first)),
+    ("benchmark decontamination", bounded(decontam.drop_contaminated)),
+    ("PII", bounded(pii.mask_pii)),
+    ("BPE encoding and decoding", bounded(bpe.encode_stage)),
 ]
 ORACLE_SQL = None
 
