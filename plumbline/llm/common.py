@@ -83,10 +83,11 @@ class Staging:
         for held in _scopes.get():
             held.append(self)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+        """df, written and to be read again. Long rows need smaller row groups than Spark's, as a task reads a whole one."""
         path = f"{self.root}/{name}"
         with arrow_rows(self.spark):
-            df.write.parquet(path)
+            (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_bytes(self, data: bytes, name: str) -> str:

@@ -8,9 +8,10 @@ every query 0, so that |q - x|^2 = |q|^2 + M^2 - 2 q.x, and a query's best score
 2. Cell summaries (largest and smallest distance to the pivot, and the k + 1 smallest ones) bound, for each cell of
    queries, the distance of the k-th neighbour: theta. Triangle inequalities then tell which candidates of a cell
    can matter: those whose distance to their pivot is within U + theta of the distance between the pivots.
-3. Cells of candidates are packed into blocks of about ``BLOCK`` vectors, and cells of queries into groups of at most about
-   ``QUERIES``. A block goes to the groups that need any of it and to no others; within a group each query checks a
-   block's bound against its own k-th score before it multiplies.
+3. Cells of candidates are packed into blocks of about ``BLOCK`` vectors, and cells of queries into groups of ``QUERIES`` at
+   least and about ``GROUP_BYTES`` at most. A block is stored once, beside the list of the groups that need any of it, and
+   read again for them: neither a task nor a disk holds a copy for each group. Within a group each query checks a block's
+   bound against its own k-th score before it multiplies.
 4. A task keeps k candidates for each query of the groups it meets, and a window with a limit before its shuffle merges them.
 
 A hot cell is many blocks and many groups, so no task holds a whole cell. Scores are exact integers: in floating point or 64
@@ -38,6 +39,12 @@ from plumbline.llm.common import Staging, table
 
 K = 5
 BLOCK, QUERIES = 2048, 512
+#: There are about GROUPS groups as long as their vectors stay within GROUP_BYTES. A task's groups hold HELD bytes before their lists are handed on.
+GROUPS, GROUP_BYTES, HELD = 64, 1 << 22, 1 << 26
+#: Groups of queries that a task meets, and their bytes in all up to which every task meets all of them.
+TOGETHER, SENT = 8, 1 << 23
+#: Row groups of the staged blocks, which are read as a whole.
+ROW_GROUP = 1 << 23
 #: Wide vectors, whose products are made one by one, have smaller blocks and groups.
 WIDE_BLOCK, WIDE_QUERIES = 256, 64
 #: Pivots: about the square root of the number of candidates, within these.
@@ -60,6 +67,16 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in column), np.int64).reshape(-1, dim)
 
 
+def _compact(x: np.ndarray) -> bytes:
+    """Whole vectors in the smallest integers that hold them and their negatives."""
+    most = max(int(x.max(initial=0)), -int(x.min(initial=0)))
+    return x.astype(next(t for t in (np.int16, np.int32, np.int64) if most <= np.iinfo(t).max)).tobytes()
+
+
+def _whole(data: pa.Buffer, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, f"i{data.size // (n * dim)}").reshape(n, dim)
+
+
 def _by_length(dims: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each length of vectors in a batch, and the rows that have it."""
     for dim in np.unique(dims).tolist():
@@ -166,6 +183,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
     parts = np.ones(len(pivots), np.int64)
     for c, m in sizes.items():
         parts[c] = -(-m // block)
+    n_queries = sum(m for _, m in reach.values())
+    queries = max(queries, min(-(-n_queries // GROUPS), GROUP_BYTES // (8 * pivots.shape[1])))
     groups, taken = {}, (0, 0)  # small cells of queries share a group, large ones are dealt over several
     for i, (_, m) in sorted(reach.items(), key=lambda x: -x[1][1]):
         if m > queries:
@@ -184,11 +203,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], names=["rid", "id", "dim", "items", "cell", "far", "part"])
 
     def block_of(rows: pa.Table) -> pa.Table:
-        """One row for a block and each group of queries that may need some of it, with the vectors that it may need."""
+        """One row for a block, with the groups of queries that may need some of it and the distances between which they do."""
         dist, off, far_of, limit, _, where = plan.value
         j = rows.column("cell")[0].as_py()
         far = rows.column("far").to_numpy()
-        need: dict[int, list] = {n_groups + 1 + g: [-1.0, float("inf")] for g in range(n_wide_groups)}
+        need: dict[int, list] = {}
         for i, (u, _) in far_of.items():
             slack = (u + limit[i] + dist[i, j]) * SLACK + 3 * off
             low, high = dist[i, j] - u - limit[i] - slack, dist[i, j] + u + limit[i] + slack
@@ -196,24 +215,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
                 for g in range(where[i][0], where[i][0] + where[i][1]):
                     span = need.setdefault(g, [low, high])
                     span[0], span[1] = min(span[0], low), max(span[1], high)
-        rids, ids, dim = rows.column("rid").to_numpy(), rows.column("id").to_numpy(), rows.column("dim")[0].as_py()
-        x = _matrix(rows.column("items").combine_chunks(), dim)
-        made = {k: [] for k in ("grp", "dim", "wide", "rids", "ids", "block")}
-        for g, (low, high) in need.items():
-            own = (far >= low) & (far <= high)
-            if not own.any():
-                continue
-            for name, value in zip(made, (g, dim, False, rids[own].tobytes(), ids[own].tobytes(), x[own].tobytes()), strict=True):
-                made[name].append(value)
-        return pa.table(made, schema=_BLOCKS)
+        dim = rows.column("dim")[0].as_py()
+        if not need and not n_wide_groups:
+            return _BLOCKS.empty_table()
+        rids, ids = (rows.column(c).to_numpy().tobytes() for c in ("rid", "id"))
+        x = _compact(_matrix(rows.column("items").combine_chunks(), dim))
+        spans = {"grps": list(need), "lows": [low for low, _ in need.values()], "highs": [high for _, high in need.values()]}
+        return pa.table({"dim": [dim], "wide": [False], "rids": [rids], "ids": [ids], "far": [far.tobytes()], "block": [x]} | {c: [v] for c, v in spans.items()}, schema=_BLOCKS)
 
     parted = rows.select("rid", "id", "dim", "items", "cell", "far").mapInArrow(dealt, "rid bigint, id bigint, dim int, items binary, cell int, far double, part int")
     packed = parted.groupBy("cell", "dim", "part").applyInArrow(block_of, _BLOCK_DDL)
     if n_wide:
-        every = F.explode(F.sequence(F.lit(1), F.lit(n_groups + n_wide_groups)))
         parted = wide.select("rid", "id", "dim", "items", F.pmod(F.xxhash64("rid"), F.lit(-(-n_wide // WIDE_BLOCK))).alias("part"))
-        packed = packed.unionByName(parted.groupBy("dim", "part").applyInArrow(_wide_block, _BLOCK_DDL).withColumn("grp", every))
-    packed = staging.write(packed, "blocks")
+        packed = packed.unionByName(parted.groupBy("dim", "part").applyInArrow(_wide_block, _BLOCK_DDL))
+    packed = staging.write(packed, "blocks", ROW_GROUP)
 
     def grouped(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = plan.value[5]
@@ -224,57 +239,82 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK
 
     def group_of(rows: pa.Table) -> pa.Table:
         one = {"grp": rows.column("grp")[:1], "qdim": rows.column("dim")[:1]}
-        return pa.table(one | {"qrids": pa.array([rows.column("rid").to_numpy().tobytes()]), "qids": pa.array([rows.column("id").to_numpy().tobytes()]), "qs": pa.array([b"".join(x.as_py() for x in rows.column("items"))], pa.binary())})
+        if rows.column("grp")[0].as_py() > n_groups:
+            items = b"".join(x.as_py() for x in rows.column("items"))
+        else:
+            items = _compact(_matrix(rows.column("items").combine_chunks(), rows.column("dim")[0].as_py()))
+        return pa.table(one | {"qrids": pa.array([rows.column("rid").to_numpy().tobytes()]), "qids": pa.array([rows.column("id").to_numpy().tobytes()]), "qs": pa.array([items], pa.binary())})
 
     asked = rows.where("query").select("rid", "id", "dim", "items", "qcell").mapInArrow(grouped, "rid bigint, id bigint, dim int, items binary, grp int")
     if n_wide_queries:
         number = (F.pmod(F.xxhash64("rid"), F.lit(n_wide_groups)) + n_groups + 1).cast("int")
         asked = asked.unionByName(wide.where("query").select("rid", "id", "dim", "items", number.alias("grp")))
-    asked = staging.write(asked.groupBy("grp", "dim").applyInArrow(group_of, "grp int, qdim int, qrids binary, qids binary, qs binary"), "groups")
+    asked = staging.write(asked.groupBy("grp", "dim").applyInArrow(group_of, "grp int, qdim int, qrids binary, qids binary, qs binary"), "groups", ROW_GROUP)
 
     def solved(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], list] = {}  # by group and length: query rows, ids, vectors, and scores and ids so far
+        best: dict[tuple[int, int], list] = {}  # by group and length, in stretches: query rows, ids, vectors, and scores and ids so far
         held = 0
         names = ["qrid", "query_id", "score", "more", "vec_id"]
 
         def lists() -> Iterator[pa.RecordBatch]:
-            for qrids, qids, _, score, ids in best.values():
-                qn, at = np.nonzero((ids != _NONE) & (score != _WORST))
-                yield pa.RecordBatch.from_arrays([pa.array(qrids[qn]), pa.array(qids[qn]), pa.array(score[qn, at]), pa.nulls(len(qn), pa.binary()), pa.array(ids[qn, at])], names=names)
+            for stretches in best.values():
+                for qrids, qids, _, score, ids in stretches:
+                    qn, at = np.nonzero((ids != _NONE) & (score != _WORST))
+                    yield pa.RecordBatch.from_arrays([pa.array(qrids[qn]), pa.array(qids[qn]), pa.array(score[qn, at]), pa.nulls(len(qn), pa.binary()), pa.array(ids[qn, at])], names=names)
             best.clear()
 
         for batch in it:
-            for g, dim, is_wide, rids, ids, x, qdim, qrids, qids, q in zip(*batch.columns, strict=True):
+            for g, dim, is_wide, rids, ids, far, x, grps, lows, highs, qdim, qrids, qids, q in zip(*batch.columns, strict=True):
                 g, dim, qdim, is_wide = g.as_py(), dim.as_py(), qdim.as_py(), is_wide.as_py()
                 rids, ids = (np.frombuffer(v.as_buffer(), np.int64) for v in (rids, ids))
                 if is_wide or g > n_groups:
-                    own = (np.frombuffer(v.as_buffer(), np.int64) for v in (qrids, qids))
-                    yield pa.RecordBatch.from_arrays(_exact(*own, _integers(q.as_py(), qdim, g > n_groups), rids, ids, _integers(x.as_py(), dim, is_wide), k), names=names)
+                    qrids, qids = (np.frombuffer(v.as_buffer(), np.int64) for v in (qrids, qids))
+                    many = _wide_integers(q.as_py(), qdim) if g > n_groups else _whole(q.as_buffer(), len(qids), qdim).astype(object)
+                    some = _wide_integers(x.as_py(), dim) if is_wide else _whole(x.as_buffer(), len(ids), dim).astype(object)
+                    yield pa.RecordBatch.from_arrays(_exact(qrids, qids, many, rids, ids, some, k), names=names)
                     continue
                 if (g, qdim) not in best:
-                    if held > 64 * QUERIES:
+                    if held > HELD:
                         yield from lists()
                         held = 0
                     qrids, qids = (np.frombuffer(v.as_py(), np.int64) for v in (qrids, qids))
-                    best[g, qdim] = [qrids, qids, np.frombuffer(q.as_py(), np.int64).reshape(-1, qdim), np.full((len(qids), k), _WORST), np.full((len(qids), k), _NONE)]
-                    held += len(qids)
-                _merge(best[g, qdim], rids, ids, np.frombuffer(x.as_buffer(), np.int64).reshape(-1, dim), k)
+                    own = _whole(pa.py_buffer(q.as_py()), len(qids), qdim)
+                    cuts = [slice(at, at + QUERIES) for at in range(0, len(qids), QUERIES)]
+                    best[g, qdim] = [[qrids[c], qids[c], own[c], np.full((len(qids[c]), k), _WORST), np.full((len(qids[c]), k), _NONE)] for c in cuts]
+                    held += own.nbytes + 16 * (k + 1) * len(qids)
+                x, at = _whole(x.as_buffer(), len(ids), dim), grps.as_py().index(g)
+                far = np.frombuffer(far.as_buffer(), np.float64)
+                needed = (far >= lows[at].as_py()) & (far <= highs[at].as_py())
+                if not needed.all():
+                    rids, ids, x = rids[needed], ids[needed], x[needed]
+                for stretch in best[g, qdim]:
+                    _merge(stretch, rids, ids, x, k)
         yield from lists()
 
-    both = packed.join(asked, "grp").select("grp", "dim", "wide", "rids", "ids", "block", "qdim", "qrids", "qids", "qs")
-    lists = both.mapInArrow(solved, "qrid bigint, query_id bigint, score bigint, more binary, vec_id bigint")
+    # each block beside each group that needs it: a product of the staged tables, of which no copy is shuffled or stored
+    asked_bytes = 8 * (n_queries + n_wide_queries) * pivots.shape[1]
+    if asked_bytes <= SENT and not n_wide_queries:
+        asked = F.broadcast(asked)
+    else:
+        asked = asked.repartitionByRange(-(-(n_groups + n_wide_groups) // TOGETHER), "grp").hint("shuffle_replicate_nl")
+    due = F.col("wide") | (F.col("grp") > n_groups) | F.array_contains("grps", F.col("grp"))
+    both = packed.join(asked, due).select("grp", "dim", "wide", "rids", "ids", "far", "block", "grps", "lows", "highs", "qdim", "qrids", "qids", "qs")
+    lists = staging.write(both.mapInArrow(solved, "qrid bigint, query_id bigint, score bigint, more binary, vec_id bigint"), "lists")
     order = Window.partitionBy("qrid").orderBy(F.desc("score"), F.desc("more"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-_BLOCKS = pa.schema([("grp", pa.int32()), ("dim", pa.int32()), ("wide", pa.bool_()), ("rids", pa.binary()), ("ids", pa.binary()), ("block", pa.binary())])
-_BLOCK_DDL = "grp int, dim int, wide boolean, rids binary, ids binary, block binary"
+_BLOCKS = pa.schema([
+    ("dim", pa.int32()), ("wide", pa.bool_()), ("rids", pa.binary()), ("ids", pa.binary()), ("far", pa.binary()), ("block", pa.binary()),
+    ("grps", pa.list_(pa.int32())), ("lows", pa.list_(pa.float64())), ("highs", pa.list_(pa.float64())),
+])
+_BLOCK_DDL = "dim int, wide boolean, rids binary, ids binary, far binary, block binary, grps array<int>, lows array<double>, highs array<double>"
 
 
 def _wide_block(rows: pa.Table) -> pa.Table:
-    """The wide vectors of one block in a row."""
+    """The wide vectors of one block in a row; every group needs them."""
     rids, ids = (rows.column(c).to_numpy().tobytes() for c in ("rid", "id"))
-    made = {"grp": [0], "dim": rows.column("dim")[:1].to_pylist(), "wide": [True], "rids": [rids], "ids": [ids], "block": [b"".join(x.as_py() for x in rows.column("items"))]}
+    made = {"dim": rows.column("dim")[:1].to_pylist(), "wide": [True], "rids": [rids], "ids": [ids], "far": [None], "block": [b"".join(x.as_py() for x in rows.column("items"))], "grps": [None], "lows": [None], "highs": [None]}
     return pa.table(made, schema=_BLOCKS)
 
 
@@ -282,10 +322,8 @@ def _salt(rids: pa.Array, by: int) -> np.ndarray:
     return (rids.to_numpy().astype(np.uint64) * np.uint64(by) >> np.uint64(32)).astype(np.int64)
 
 
-def _integers(data: bytes, dim: int, is_wide: bool) -> np.ndarray:
-    """Vectors as Python's integers."""
-    if not is_wide:
-        return np.frombuffer(data, np.int64).reshape(-1, dim).astype(object)
+def _wide_integers(data: bytes, dim: int) -> np.ndarray:
+    """Wide vectors as Python's integers."""
     whole = [int(x) * 256 if abs(x) >= 2**53 else math.floor(x * 256) for x in np.frombuffer(data, np.float64).tolist()]
     out = np.empty(len(whole), object)
     out[:] = whole
@@ -334,7 +372,7 @@ def _closest(k: int):
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products of vectors that aren't wide; in floating point where that is exact."""
     size = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1]
-    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if size < 2**52 else q @ x.T
+    return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64) if size < 2**52 else q.astype(np.int64) @ x.T.astype(np.int64)
 
 
 def _merge(state: list, rids: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:

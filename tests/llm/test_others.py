@@ -222,6 +222,21 @@ def test_search_equals_brute_force_with_ties_and_voids(spark, block, queries):
     assert knn.nearest(few, F.col("vec_id") % 50 == 0).count() == 2
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 23])
+def test_search_stores_no_block_twice(spark, monkeypatch, sent):
+    """However many groups of queries need a block, with the groups broadcast or not."""
+    rng = np.random.default_rng(6)
+    rows = [(10 * i, [float(x) for x in np.round(rng.normal(size=8), 2)]) for i in range(600)]
+    staged = {}
+    write = knn.Staging.write
+    monkeypatch.setattr(knn, "SENT", sent)
+    monkeypatch.setattr(knn.Staging, "write", lambda self, df, name, *own: staged.setdefault(name, write(self, df, name, *own)))
+    got = knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 50 == 0, block=64, queries=2)
+    assert sorted(map(tuple, got.collect())) == brute_top(rows)
+    assert staged["groups"].count() > 20
+    assert staged["blocks"].agg(F.sum(F.length("ids"))).first()[0] == 8 * len(rows)
+
+
 def test_search_is_exact_beyond_64_bits(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(120)]
