@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +66,20 @@ def unused(dimension: DataFrame, rows: DataFrame, key: str) -> DataFrame:
 
 
 def missing_grid(rows: DataFrame, seen: DataFrame, keys: list[str], grid: list[tuple], names: tuple[str, ...]) -> DataFrame:
-    """Keys that lack any cell of a constant grid. The grid is a constant of the plan, so nothing is joined to make it."""
-    cells = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(cell, names, strict=True)]) for cell in grid]))
-    wanted = rows.select(*keys).distinct().withColumn("_c", cells).select(*keys, *[F.col(f"_c.{n}").alias(n) for n in names])
-    return wanted.join(seen.select(*keys, *names), [*keys, *names], "left_anti").groupBy(*keys).agg(F.count(F.lit(1)).alias("missing"))
+    """Keys that lack any cell of a constant grid, and how many. One aggregate over both tables, in which each cell is a bit: no cell is joined. A null key has no cells."""
+    parts = [grid[at : at + 62] for at in range(0, len(grid), 62)]
+    masks = [f"_m{i}" for i in range(len(parts))]
+
+    def bit(cell: tuple, at: int) -> Column:
+        met = [F.col(n) == F.lit(v) for n, v in zip(names, cell, strict=True)]
+        return F.when(reduce(lambda a, b: a & b, met), F.lit(1 << at).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    bits = [reduce(lambda a, b: a.bitwiseOR(b), [bit(c, i) for i, c in enumerate(part)]).alias(m) for m, part in zip(masks, parts, strict=True)]
+    wanted = rows.select(*keys, F.lit(True).alias("_row"), *[F.lit(0).cast("long").alias(m) for m in masks])
+    held = seen.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).select(*keys, F.lit(False).alias("_row"), *bits)
+    both = wanted.unionByName(held).groupBy(*keys).agg(F.bool_or("_row").alias("_row"), *[F.bit_or(m).alias(m) for m in masks]).where("_row")
+    missing = F.lit(len(grid)).cast("long") - reduce(lambda a, b: a + b, [F.bit_count(m).cast("long") for m in masks], F.lit(0).cast("long"))
+    return both.select(*keys, missing.alias("missing")).where("missing > 0")
 
 
 def union_all(*tables: DataFrame) -> DataFrame:

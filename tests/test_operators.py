@@ -192,3 +192,13 @@ def test_frozen_config(spark):
     got = audits.frozen_config(audits.choose_severity(stats, fallback), stats, {"tau": 0.5})
     assert got["severities"]["blur"] == {"severity": 4.0, "by_default": False, "n_valid": 9, "flip_rate": 0.2, "saturation": 0.0, "invalid_rate": 0.0}
     assert got["severities"]["crop"]["by_default"] and got["thresholds"] == {"tau": 0.5}
+
+
+def test_missing_grid_joins_no_cells(spark):
+    """Estimates of exploded rows are far too small, so a join would send them to the driver for a broadcast."""
+    grid = [("p", float(i)) for i in range(100)]
+    rows = spark.createDataFrame([("m", "a"), ("m", "a"), ("m", "b"), ("m", "c"), (None, "a")], "model_id string, instance_id string")
+    seen = [("m", "a", *c) for c in grid] + [("m", "b", *c) for c in grid if c[1] not in (3.0, 77.0, 99.0)] + [("m", "b", "q", 3.0), ("m", "b", "p", 0.0), ("m", "z", "p", 0.0), (None, "a", "p", 0.0)]
+    got = coverage.missing_grid(rows, spark.createDataFrame(seen, "model_id string, instance_id string, probe string, severity double"), ["model_id", "instance_id"], grid, ("probe", "severity"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("m", "b", 3), ("m", "c", 100), (None, "a", 100)], key=str)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
