@@ -124,3 +124,10 @@ def test_relations_end_at_other_than_ascii_letters(spark):
     rows = [("das ß\u00fcunder der", ["under"]), ("l\u00e9ft left\u00e9 x", ["left"]), ("\u0130n front of it", ["in front of"]), ("aleft left_ left1", []), ("on top of\u0301 it", ["on top of"])]
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(tx.relations(F.col("t")).alias("r")).collect()
     assert [r.r for r in got] == [x for _, x in rows]
+
+
+def test_swaps_keep_places_in_other_than_ascii_texts(spark):
+    rows = [("\u0130\u0130 ist \u00fcunder dem", "\u0130\u0130 ist \u00fcon top of dem", None), ("the cup is left\u00e9 it", "the cup is right\u00e9 it", None), ("left\x0bthe cup", "right\x0bthe cup", None), ("\u00e9left the cup", None, "non_spatial_usage_detected")]
+    none = F.lit(None).cast("string")
+    got = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string").orderBy("i").select(tx.swap_relation(F.col("t"), none, none).alias("s")).collect()
+    assert [(r.s.swapped_text, r.s.reason) for r in got] == [(a, b) for _, a, b in rows]
