@@ -131,3 +131,9 @@ def test_swaps_keep_places_in_other_than_ascii_texts(spark):
     none = F.lit(None).cast("string")
     got = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)], "i int, t string").orderBy("i").select(tx.swap_relation(F.col("t"), none, none).alias("s")).collect()
     assert [(r.s.swapped_text, r.s.reason) for r in got] == [(a, b) for _, a, b in rows]
+
+
+def test_negations_end_at_other_than_ascii_letters(spark):
+    rows = [("nicht \u00fcno und nor\u00df", 2), ("not nott _no no1", 1), ("N\u00d6NO \u00e9not", 2)]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(tx.negations(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [x for _, x in rows]
