@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 HOT, FEW, SALTS = 1000, 8, 32
 
 
+def large_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) for two sides that grow with the records, of which neither is broadcast.
+
+    Spark takes exploded and assembled rows for as small as the rows that they came from, and would send millions of them to the driver.
+    """
+    return left.join(right.hint("merge"), keys, how)
+
+
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """left.join(right, keys, how) for an inner or left join, with a right side of one row for each key.
 
@@ -29,4 +37,4 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     dealt = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot") | lacking, spread).otherwise(0)).drop("_hot")
     places = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     sent = right.join(hot, keys, "left").withColumn("_salt", F.explode(places)).drop("_hot")
-    return dealt.join(sent, [*keys, "_salt"], how).drop("_salt")
+    return large_join(dealt, sent, [*keys, "_salt"], how).drop("_salt")

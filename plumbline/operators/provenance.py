@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scores import finite
 from plumbline.operators.digests import record_digest
-from plumbline.operators.joins import skew_join
+from plumbline.operators.joins import large_join
 from plumbline.operators.labels import LABELS
 from plumbline.operators.quality import Rule
 from plumbline.operators.records import KEYS, errors_of
@@ -37,7 +37,7 @@ def label_errors(labels: DataFrame, records: DataFrame) -> DataFrame:
     due = label_table(records, F.col("teacher_file_sha256"))
     fields = [*COPIED, "clean_correct", *BITS, "teacher_label6", "label_record_sha256", "source_teacher_file_sha256"]
     own = due.select(*KEYS, *[F.col(c).alias(f"r_{c}") for c in fields], F.col("teacher_signature").alias("r_signature"), F.lit(True).alias("_there"))
-    both = labels.join(own, KEYS, "left")
+    both = large_join(labels, own, KEYS, "left")
     there, sig = F.coalesce("_there", F.lit(False)), F.col("teacher_signature")
     rules: list[Rule] = [
         ("a label has no record", there),
@@ -56,11 +56,11 @@ def label_errors(labels: DataFrame, records: DataFrame) -> DataFrame:
 def state_file_errors(states: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
     """(rule, keys) of states that name another teacher or label file than their record and label are of.
 
-    records has teacher_file_sha256 and labels label_file_sha256; a record has some fifty states, and may be joined as a frequent key.
+    records has teacher_file_sha256 and labels label_file_sha256; a record has some fifty states, so no key is frequent.
     """
-    sources = records.select(*KEYS, "teacher_file_sha256").join(labels.select(*KEYS, "label_file_sha256"), KEYS)
+    sources = large_join(records.select(*KEYS, "teacher_file_sha256"), labels.select(*KEYS, "label_file_sha256"), KEYS)
     rows = states.select(F.col("metadata.model_id").alias("model_id"), F.col("metadata.instance_id").alias("instance_id"), "state_id", "source_teacher_file_sha256", "source_label_file_sha256")
-    both = skew_join(rows, sources.withColumn("_there", F.lit(True)), KEYS, "left")
+    both = large_join(rows, sources.withColumn("_there", F.lit(True)), KEYS, "left")
     there = F.coalesce("_there", F.lit(False))
     return errors_of(both, [
         ("a state has no record and label", there),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import shard_of
 from plumbline.functions.scores import finite
+from plumbline.operators.joins import large_join
 from plumbline.operators.labels import LABELS
 from plumbline.operators.quality import Rule
 from plumbline.operators.states import BUDGET, action_mask, legal_probes, states_of
@@ -44,12 +45,12 @@ def teacher_rows(clean: DataFrame, observations: DataFrame, labels: DataFrame |
     """One record for each clean row: the clean struct, the map of its probes, and signature, bits and label (defaults without any)."""
     probes = observations.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("probe", observation(observations.columns).alias("o"))))).alias("probes"))
     own = [c for c in clean.columns if c not in (*KEYS, *carried)]
-    rows = clean.select(*KEYS, *carried, F.struct(*own).alias("clean")).join(probes, KEYS, "left")
+    rows = large_join(clean.select(*KEYS, *carried, F.struct(*own).alias("clean")), probes, KEYS, "left")
     rows = rows.withColumn("record_type", F.lit(RECORD_TYPE))
     if labels is None:
         rows = rows.withColumns({n: F.lit(None).cast(t) for n, t in (("sig_v", "double"), ("sig_l", "double"), ("sig_a", "double"), ("bit_v", "boolean"), ("bit_l", "boolean"), ("bit_a", "boolean"), ("label6", "string"))})
     else:
-        rows = rows.join(labels.select(*KEYS, "sig_v", "sig_l", "sig_a", "bit_v", "bit_l", "bit_a", "label6"), KEYS, "left")
+        rows = large_join(rows, labels.select(*KEYS, "sig_v", "sig_l", "sig_a", "bit_v", "bit_l", "bit_a", "label6"), KEYS, "left")
     signature = F.struct(*[F.coalesce(f"sig_{x.lower()}", F.lit(0.0)).alias(x) for x in "VLA"])
     bits = F.struct(*[F.coalesce(F.col(f"bit_{n[0]}").cast("int"), F.lit(0)).alias(n) for n in ("visual", "language", "alignment")])
     out = rows.withColumns({"teacher_signature": signature, "teacher_bits": bits, "teacher_label6": F.coalesce("label6", F.lit("unclear"))})
@@ -196,7 +197,7 @@ def _repeats(rows: DataFrame, message: str, keys: list[str] = KEYS) -> DataFrame
 
 def resume_errors(rows: DataFrame, selected: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, model_id, instance_id) of everything that forbids going on with a shard."""
-    outside = rows.join(selected.select("instance_id").distinct(), "instance_id", "left_anti").select(F.lit("the row is outside of the selection").alias("rule"), *KEYS)
+    outside = large_join(rows, selected.select("instance_id").distinct(), ["instance_id"], "left_anti").select(F.lit("the row is outside of the selection").alias("rule"), *KEYS)
     return errors_of(rows, rules).unionByName(_repeats(rows, "the key is there twice")).unionByName(outside)
 
 
@@ -209,7 +210,7 @@ def contract_errors(records: DataFrame, manifest: DataFrame, normalise) -> DataF
     own = [(F.col(c) if c in records.columns else F.lit(None)).alias(f"t_{c}") for c in fields]
     its = [(F.col(c) if c in manifest.columns else F.lit(None)).alias(f"m_{c}") for c in fields]
     both = records.select(*KEYS, F.col("clean.raw_answer").alias("raw"), F.col("clean.correct").alias("correct"), *own)
-    both = both.join(manifest.select("instance_id", "dataset", *its), "instance_id")
+    both = large_join(both, manifest.select("instance_id", "dataset", *its), ["instance_id"])
     vizwiz, hallusion = F.col("dataset") == "vizwiz", F.col("dataset") == "hallusionbench"
     checked = vizwiz | (hallusion & (F.col("m_answer_type") == "binary"))
     rules: list[Rule] = [(f"{c} differs from the manifest", F.col(f"t_{c}").eqNullSafe(F.col(f"m_{c}")) | ~((vizwiz & F.lit(c in VIZWIZ_CONTRACT)) | (hallusion & F.lit(c in HALLUSION_CONTRACT)))) for c in fields]
@@ -231,17 +232,17 @@ def artifact_errors(manifest: DataFrame, records: DataFrame, labels: DataFrame,
         errors_of(records, record_rules()), _repeats(records, "a record is there twice"), _repeats(labels, "a label is there twice"),
     ]
     source = manifest.select("instance_id", *[F.col(c).alias(f"m_{c}") for c in ("group_id", "dataset", "split")], F.lit(True).alias("_there"))
-    both = records.select(*keys, "group_id", "dataset", "split").join(source, "instance_id", "left")
+    both = large_join(records.select(*keys, "group_id", "dataset", "split"), source, ["instance_id"], "left")
     there = F.coalesce("_there", F.lit(False))
     found.append(errors_of(both, [("the record's instance is not in the manifest", there), *[(f"{c} differs from the manifest", ~there | F.col(c).eqNullSafe(F.col(f"m_{c}"))) for c in ("group_id", "dataset", "split")]]))
     l = labels.select(*keys, F.col("label6").alias("l_label"), F.lit(True).alias("_label"))  # noqa: E741
-    both = records.select(*keys, "teacher_label6", F.lit(True).alias("_record")).join(l, keys, "full_outer")
+    both = large_join(records.select(*keys, "teacher_label6", F.lit(True).alias("_record")), l, keys, "full_outer")
     has_record, has_label = F.coalesce("_record", F.lit(False)), F.coalesce("_label", F.lit(False))
     found.append(errors_of(both, [("a record has no label", has_label), ("a label has no record", has_record), ("the label is stale", ~(has_record & has_label) | F.col("l_label").eqNullSafe(F.col("teacher_label6")))]))
     found += _state_errors(records, states)
     expected = manifest.select("instance_id").distinct()
     wanted = expected.select(F.explode(F.array(*map(F.lit, models))).alias("model_id"), "instance_id")
-    found.append(wanted.join(records.select(*keys), keys, "left_anti").select(F.lit("a record is lacking").alias("rule"), *keys))
+    found.append(large_join(wanted, records.select(*keys), keys, "left_anti").select(F.lit("a record is lacking").alias("rule"), *keys))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -261,7 +262,7 @@ def _state_errors(records: DataFrame, states: DataFrame) -> list[DataFrame]:
     ]
     found = [errors_of(rows, alone), _repeats(rows.select(*keys, "state_id"), "a state is there twice", ["model_id", "instance_id", "state_id"]).drop("state_id")]
     own = records.select(*keys, "relation_applicable", *[F.col(c).alias(f"t_{c}") for c in ("group_id", "dataset", "split", "model_revision", "teacher_label6")], F.lit(True).alias("_there"))
-    both = rows.join(own, keys, "left")
+    both = large_join(rows, own, keys, "left")
     there = F.coalesce("_there", F.lit(False))
     mask = F.map_entries(action_mask(names, F.col("relation_applicable")))
     found.append(errors_of(both, [
@@ -271,7 +272,7 @@ def _state_errors(records: DataFrame, states: DataFrame) -> list[DataFrame]:
     ]))
     tags = rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("sampling.sources"))).alias("tags"))  # of one record, some fifty
     due = states_of()
-    held = records.select(*keys, "relation_applicable").join(tags, keys, "left")
+    held = large_join(records.select(*keys, "relation_applicable"), tags, keys, "left")
     fixed = F.filter(F.flatten(due["tags"]), lambda t: ~t.startswith("random:"))
     drawn = F.size(F.filter("tags", lambda t: t.startswith("random:")))
     found.append(errors_of(held, [("a record has no states", F.col("tags").isNotNull()), ("a record's states lack a tag", F.col("tags").isNull() | (F.size(F.array_except(fixed, "tags")) == 0)), ("a record hasn't 16 random draws", F.col("tags").isNull() | (drawn == 16))]))
@@ -291,6 +292,6 @@ def totals(rows: DataFrame, rules: list[Rule], keys: list[str], listed: tuple[st
 def state_sources(states: DataFrame, records: DataFrame, labels: DataFrame) -> DataFrame:
     """States with their record and their label; a state that lacks either is an error."""
     keys = ["model_id", "instance_id"]
-    rows = states.join(records.withColumn("_record", F.lit(True)), keys, "left").join(labels.withColumn("_label", F.lit(True)), keys, "left")
+    rows = large_join(large_join(states, records.withColumn("_record", F.lit(True)), keys, "left"), labels.withColumn("_label", F.lit(True)), keys, "left")
     ok = F.col("_record").isNotNull() & F.col("_label").isNotNull()
     return rows.where(F.assert_true(ok, F.lit("a state has no record or no label")).isNull()).drop("_record", "_label")

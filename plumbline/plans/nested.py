@@ -47,6 +47,11 @@ def _faulty(rows):
     })
 
 
+def _ordinal(instance):
+    """The number at the end of an instance's id, so that nothing is joined for it."""
+    return F.substring_index(instance, "_", -1).cast("long")
+
+
 def _counted(errors):
     return errors.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
@@ -163,11 +168,10 @@ def artifact_errors(spark, sf):
     whole = checkpointed(nested(spark, sf))  # as artifacts are: files that are read by every rule
     rows = _faulty(whole)
     n = F.col("ordinal")
-    at = synth.manifest(spark, sf).select("instance_id", "ordinal")
-    own = labelled(spark, sf).join(at, "instance_id").where(n % 29 != 8)
+    own = labelled(spark, sf).withColumn("ordinal", _ordinal("instance_id")).where(n % 29 != 8)
     own = own.unionByName(own.where(n % 31 == 12)).drop("ordinal")
     states = records.state_rows(whole.where((n % 37 != 6) & (n % 97 != 5)).withColumn("teacher_label6", F.when(n % 47 == 4, "stale").otherwise(F.col("teacher_label6"))))
-    states = states.join(at.withColumnRenamed("instance_id", "_id"), F.col("metadata.instance_id") == F.col("_id")).where(~((n % 43 == 9) & (F.size("learner_input.acquired_probe_names") == 0))).drop("_id", "ordinal")
+    states = states.where(~((_ordinal("metadata.instance_id") % 43 == 9) & (F.size("learner_input.acquired_probe_names") == 0)))
     states, own, manifest = checkpointed(states), checkpointed(own), checkpointed(synth.manifest(spark, sf))
     return _counted(records.artifact_errors(manifest, rows, own, states, (*synth.MODELS, "model_c")))
 
@@ -416,7 +420,7 @@ def _labels_of(rows):
     n = F.col("ordinal")
     file = F.concat(F.lit("file"), (n % 3).cast("string"))
     own = provenance.label_table(rows.withColumn("teacher_file_sha256", file), F.col("teacher_file_sha256"))
-    own = own.join(rows.select(*KEYS, "ordinal"), KEYS).where(n % 83 != 2)
+    own = own.withColumn("ordinal", _ordinal("instance_id")).where(n % 83 != 2)
     return own.withColumns({
         "split": F.when(n % 67 == 5, "dev").otherwise(F.col("split")), "dataset": F.when(n % 71 == 6, "other").otherwise(F.col("dataset")), "visual": F.when(n % 73 == 7, 2).otherwise(F.col("visual")), "teacher_label6": F.when(n % 79 == 8, "?").otherwise(F.col("teacher_label6")),
         "clean_correct": F.when(n % 61 == 4, 1 - F.col("clean_correct")).otherwise(F.col("clean_correct")), "teacher_signature": F.when(n % 59 == 3, F.col("teacher_signature").withField("L", F.lit(float("nan")))).otherwise(F.col("teacher_signature")),
@@ -438,8 +442,8 @@ def state_file_errors(spark, sf):
     rows = checkpointed(nested(spark, sf))
     n = F.col("ordinal")
     file = F.concat(F.lit("file"), (n % 3).cast("string"))
-    states = records.state_rows(rows).select("metadata", "state_id").join(rows.select(F.col("model_id").alias("_m"), F.col("instance_id").alias("_i"), "ordinal"), (F.col("metadata.model_id") == F.col("_m")) & (F.col("metadata.instance_id") == F.col("_i")))
-    states = states.withColumns({"source_teacher_file_sha256": F.when(n % 31 == 4, "other").otherwise(file), "source_label_file_sha256": F.when(n % 37 == 5, F.lit(None)).otherwise("labels")}).drop("_m", "_i", "ordinal")
+    states = records.state_rows(rows).select("metadata", "state_id").withColumn("ordinal", _ordinal("metadata.instance_id"))
+    states = states.withColumns({"source_teacher_file_sha256": F.when(n % 31 == 4, "other").otherwise(file), "source_label_file_sha256": F.when(n % 37 == 5, F.lit(None)).otherwise("labels")}).drop("ordinal")
     return _counted(provenance.state_file_errors(states, rows.withColumn("teacher_file_sha256", file), _labels_of(rows).withColumn("label_file_sha256", F.lit("labels"))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import features
 from plumbline.functions import text as tx
-from plumbline.operators import packets, pairs, quality, records
+from plumbline.operators import packets, pairs, provenance, quality, records
 from plumbline.plans import nested
 
 
@@ -120,3 +120,12 @@ def test_keys_with_nulls_are_errors(spark):
     assert quality.identity(rows).select("key").distinct().count() == 2
     with pytest.raises(Exception, match="incomplete"):
         quality.identity(rows.withColumn("instance_id", F.lit(None).cast("string"))).collect()
+
+
+def test_states_of_records_are_joined_without_broadcasts(spark):
+    """Estimates of exploded rows are far too small, so a broadcast would send all records to the driver."""
+    rows = one(spark).withColumn("teacher_file_sha256", F.lit("t"))
+    states = records.state_rows(rows).withColumns({"source_teacher_file_sha256": F.lit("t"), "source_label_file_sha256": F.lit(None).cast("string")})
+    found = provenance.state_file_errors(states, rows, rows.select(*records.KEYS).withColumn("label_file_sha256", F.lit("l")))
+    assert {r.rule for r in found.select("rule").collect()} == {"the state is of another label file"} and found.count() == states.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
