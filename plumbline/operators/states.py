@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.hashing import rank_key
+from plumbline.functions.hashing import sha256_hex
 from plumbline.operators.labels import CORE_PROBES, PROBES
 
 # fixed values
@@ -23,6 +23,7 @@ ORDERS = {
 }
 # end of fixed values
 BUDGET, RANDOM, LARGEST = 7, 16, 4
+_HEX = 64  # digits of a hash
 
 
 def _names(names) -> Column:
@@ -57,17 +58,24 @@ def _fixed(legal: tuple[str, ...]) -> list[tuple[str, str]]:
 def _random(legal: tuple[str, ...], seed: int, count: int, model: Column, instance: Column) -> Column:
     """The draws of a row, array<struct<key,tag>>: sizes 1 to 4 in turn, within a size by the rank of a keyed hash."""
     sizes = range(1, min(LARGEST, len(legal)) + 1)
-    parts = []
-    for size in sizes:
-        subsets = _names(["|".join(c) for c in combinations(sorted(legal), size)])
-        ranked = F.array_sort(F.transform(subsets, lambda s: F.struct(rank_key(seed, model, instance, s).alias("rank"), s.alias("key"))))
+    own_key = F.concat_ws("|", F.lit(str(seed)), model, instance, F.lit(""))  # what a row's hashes have in common
 
-        def draw(x: Column, i: Column, size: int = size) -> Column:
-            return F.struct(x["key"].alias("key"), F.format_string(f"random:%02d:size{size}", i.cast("int") * len(sizes) + size - 1).alias("tag"))
+    def drawn(prefix: Column) -> Column:
+        parts = []
+        for size in sizes:
+            subsets = _names(["|".join(c) for c in combinations(sorted(legal), size)])
+            ranked = F.sort_array(F.transform(subsets, lambda s: F.concat(sha256_hex(F.concat(prefix, s)), s)))
+            tags = [f"random:{d:02d}:size{size}" for d in range(count) if d % len(sizes) == size - 1]
+            named = _names(tags)
+            parts.append(F.transform(F.slice(ranked, 1, len(tags)), _two(lambda x, i, named=named: F.struct(F.substr(x, F.lit(_HEX + 1)).alias("key"), F.get(named, i).alias("tag")))))
+        return F.concat(*parts)
 
-        own = len([d for d in range(count) if d % len(sizes) == size - 1])
-        parts.append(F.transform(F.slice(ranked, 1, own), _two(draw)))
-    return F.concat(*parts)
+    return _bound(own_key, drawn)
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
 
 def _two(f):
@@ -108,14 +116,13 @@ def states_of(seed: int = 42, count: int = RANDOM) -> Column:
         fixed = F.array(*[F.struct(F.lit(k).alias("key"), _names(sorted(t)).alias("tags")) for k, t in tags.items()])
         draws = _random(legal, seed, count, F.col("model_id"), F.col("instance_id"))
 
-        def merged(drawn: Column) -> Column:
+        def merged(drawn: Column, own: Column) -> Column:
             """Fixed subsets with the draw that hit them, and the draws that hit none."""
-            own = F.map_from_entries(drawn)
-            both = F.transform(fixed, lambda f: F.struct(f["key"].alias("key"), F.when(F.map_contains_key(own, f["key"]), F.array_sort(F.array_append(f["tags"], F.element_at(own, f["key"])))).otherwise(f["tags"]).alias("tags")))
+            both = F.transform(fixed, lambda f: F.struct(f["key"].alias("key"), F.when(F.map_contains_key(own, f["key"]), F.sort_array(F.array_append(f["tags"], F.element_at(own, f["key"])))).otherwise(f["tags"]).alias("tags")))
             new = F.filter(drawn, lambda d: ~d["key"].isin(*tags))
             return F.concat(both, F.transform(new, lambda d: F.struct(d["key"].alias("key"), F.array(d["tag"]).alias("tags"))))
 
-        return F.get(F.transform(F.array(draws), merged), F.lit(0))  # the draws are made once and used thrice
+        return _bound(draws, lambda drawn: _bound(F.map_from_entries(drawn), lambda own: merged(drawn, own)))
 
     return _by_relation(whole)
 

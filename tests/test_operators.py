@@ -202,3 +202,12 @@ def test_missing_grid_joins_no_cells(spark):
     got = coverage.missing_grid(rows, spark.createDataFrame(seen, "model_id string, instance_id string, probe string, severity double"), ["model_id", "instance_id"], grid, ("probe", "severity"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("m", "b", 3), ("m", "c", 100), (None, "a", 100)], key=str)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_draws_of_states_are_looked_up_in_one_map(spark):
+    """A map of the draws for each of the fixed subsets is some fifty maps a row."""
+    rows = spark.createDataFrame([("i", "m", False)], "instance_id string, model_id string, relation_applicable boolean").withColumn("s", states.states_of())
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("map_from_entries") == 2 and "format_string" not in plan  # with and without relation
+    drawn = [t for s in rows.first().s for t in s.tags if t.startswith("random:")]
+    assert sorted(drawn) == [f"random:{d:02d}:size{d % 4 + 1}" for d in range(16)]
