@@ -15,6 +15,11 @@ def mean(values: Column) -> Column:
     return total(values) / F.when(F.size(values) > 0, F.size(values))
 
 
+def _mean_of(values: Column, f) -> Column:
+    """The mean of f over an array; its length is that of the array, so f's values are made once."""
+    return total(F.transform(values, f)) / F.when(F.size(values) > 0, F.size(values))
+
+
 def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
@@ -36,17 +41,17 @@ def entropy(distributions: Column) -> Column:
     def one(d: Column) -> Column:
         return -F.aggregate(F.map_values(d), F.lit(0.0), lambda a, p: a + F.when(p > 0, p * F.log(p)).otherwise(0.0))
 
-    return mean(F.transform(distributions, one))
+    return _mean_of(distributions, one)
 
 
 def margin(distributions: Column) -> Column:
     """Mean over positions of the best probability less the second one, which is 0 if there is none."""
 
     def one(d: Column) -> Column:
-        best = F.sort_array(F.map_values(d), asc=False)
-        return F.coalesce(F.get(best, F.lit(0)), F.lit(0.0)) - F.coalesce(F.get(best, F.lit(1)), F.lit(0.0))
+        first_two = F.transform(F.array(F.sort_array(F.map_values(d), asc=False)), lambda best: F.coalesce(F.get(best, F.lit(0)), F.lit(0.0)) - F.coalesce(F.get(best, F.lit(1)), F.lit(0.0)))
+        return F.get(first_two, F.lit(0))  # sorted once
 
-    return mean(F.transform(distributions, one))
+    return _mean_of(distributions, one)
 
 
 #: Longer vectors are multiplied by an array function rather than by an expression with a term for each component.

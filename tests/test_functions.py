@@ -6,7 +6,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import hashing, scores
+from plumbline.functions import features, hashing, scores
 from plumbline.functions import text as tx
 
 
@@ -137,3 +137,10 @@ def test_negations_end_at_other_than_ascii_letters(spark):
     rows = [("nicht \u00fcno und nor\u00df", 2), ("not nott _no no1", 1), ("N\u00d6NO \u00e9not", 2)]
     got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").orderBy("i").select(tx.negations(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [x for _, x in rows]
+
+
+def test_lenient_scores_are_computed_once(spark):
+    rows = spark.createDataFrame([([-0.1, -0.2], [{"a": 0.7, "b": 0.3}]), ([], []), ([float("inf")], [{"a": 1.0}])], "l array<double>, d array<map<string,double>>")
+    done = rows.select(features.lenient(F.col("l"), F.col("d")).alias("f"))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("sort_array") == 1
+    assert [(r.f.confidence, r.f.margin, r.f.issues) for r in done.collect()] == [(pytest.approx(math.exp(-0.15)), pytest.approx(0.4), []), (0.0, 0.0, []), (float("inf"), 1.0, ["confidence"])]
