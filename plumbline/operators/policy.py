@@ -20,35 +20,53 @@ def _limited(rows: Column, most: int, what: str) -> Column:
     return F.when(F.size(rows) > most, F.raise_error(F.lit(f"more than {most} {what}"))).otherwise(rows)
 
 
+#: What a state has, beside its record's keys.
+_STATE = ("mask", "set_size", "loss", "budget", "relation_applicable")
+
+
+def _field(name: str):
+    return lambda x: x[name]
+
+
 def probe_values(states: DataFrame, keys: list[str], price: dict[str, float], rate: float, probes: tuple[str, ...] = PROBES, loss_weight: float = LOSS_WEIGHT) -> DataFrame:
-    """For each state S of a record: the value of every probe a that it lacks and can pay, and what to do.
+    """``record_values`` of states that are rows: keys, mask (bit i for the i-th probe), set_size, loss, budget and ``relation_applicable``."""
+    own = states.groupBy(*keys).agg(F.collect_list(F.struct(*_STATE)).alias("states"))
+    return record_values(own.select(*keys, *[F.transform("states", _field(f)).alias(f) for f in _STATE]), keys, price, rate, probes, loss_weight)
 
-    states has keys, mask (bit i for the i-th probe), set_size, loss and budget, and ``relation_applicable``. The value of a is the fall in set size plus ``loss_weight``
+
+def record_values(records: DataFrame, keys: list[str], price: dict[str, float], rate: float, probes: tuple[str, ...] = PROBES, loss_weight: float = LOSS_WEIGHT) -> DataFrame:
+    """For each state S of a record: the value of every probe a that it lacks and can pay, how many they are, and what to do.
+
+    records has a row for each record, with its states' columns (see ``probe_values``) as arrays in one order. The value of a is the fall in set size plus ``loss_weight``
     times the fall in loss from S to S with a, less ``rate`` times a's price. Only states that the record has can be reached. The best
-    probe (the first of equals) is taken unless its value is 0 or less, or there is none: then the action is stop.
+    probe (the first of equals) is taken unless its value is 0 or less, or there is none: then the action is stop. A row's work is its own: nothing is shuffled.
     """
-    state = F.struct("set_size", "loss")
-    own = states.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("mask", state.alias("s")))).alias("lattice"),
-        F.collect_list(F.struct("mask", "set_size", "loss", "budget", "relation_applicable")).alias("states"),
-    )
-    own = own.withColumn("states", _limited(F.col("states"), 1 << len(probes), "states of a record"))
-    rows = own.select(*keys, "lattice", F.explode("states").alias("s"))
-    mask = F.col("s.mask").cast("int")
+    masks = _limited(F.col("mask"), 1 << len(probes), "states of a record")
+    masks = F.when(F.size(F.array_distinct(F.array_compact("mask"))) < F.size("mask"), F.raise_error(F.lit("a record's masks must differ"))).otherwise(masks)
+    own = records.select(*keys, masks.alias("_masks"), *[F.col(f).alias(f"_{f}") for f in _STATE[1:]])
+    rows = own.select("*", F.posexplode("_masks").alias("_at", "mask"))
+    rows = rows.select(*keys, "_masks", "_set_size", "_loss", "mask", *[F.get(f"_{f}", F.col("_at")).alias(f) for f in _STATE[1:]])
+
+    def place(i: int, name: str) -> Column:
+        """Where the state after the i-th probe is, from 1; 0 or null where the probe can't be taken."""
+        bit = F.lit(1 << i).cast("long")
+        legal = (F.col("mask").bitwiseAND(bit) == 0) & (F.lit(price[name]) <= F.col("budget"))
+        if name == "relation":
+            legal = legal & F.col("relation_applicable")
+        return F.when(legal, F.array_position("_masks", F.col("mask").bitwiseOR(bit)).cast("int"))
 
     def value(i: int, name: str) -> Column:
-        after = F.element_at("lattice", mask.bitwiseOR(F.lit(1 << i)).cast("long"))
-        legal = (mask.bitwiseAND(F.lit(1 << i)) == 0) & (F.lit(price[name]) <= F.col("s.budget")) & after.isNotNull()
-        if name == "relation":
-            legal = legal & F.col("s.relation_applicable")
-        gain = (F.col("s.set_size") - after["set_size"]) + loss_weight * (F.col("s.loss") - after["loss"]) - rate * price[name]
-        return F.when(legal, F.struct(F.lit(name).alias("probe"), gain.cast("double").alias("value")))
-
-    found = F.array_compact(F.array(*[value(i, n) for i, n in enumerate(probes)]))
-    best = F.aggregate("values", F.lit(None).cast("struct<probe:string,value:double>"), lambda a, x: F.when(a.isNull() | (x["value"] > a["value"]), x).otherwise(a))
-    done = rows.withColumn("values", found).withColumn("_best", best)
-    take = F.col("_best.value") > 0
-    return done.select(*keys, "s.mask", "values", F.when(take, F.col("_best.probe")).otherwise("stop").alias("action"), F.col("_best.value").alias("best_value"))
+        after = F.col(f"_at{i}") - 1
+        gain = (F.col("set_size") - F.get("_set_size", after)) + loss_weight * (F.col("loss") - F.get("_loss", after)) - rate * price[name]
+        return F.when(F.col(f"_at{i}") > 0, F.struct(gain.cast("double").alias("value"), F.lit(-i).alias("order")))
+
+    rows = rows.withColumns({f"_at{i}": place(i, n) for i, n in enumerate(probes)}).withColumns({f"_v{i}": value(i, n) for i, n in enumerate(probes)})
+    found = {n: F.col(f"_v{i}") for i, n in enumerate(probes)}
+    values = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("probe"), v["value"].alias("value"))) for n, v in found.items()]))
+    n_legal = sum((v.isNotNull().cast("long") for v in found.values()), F.lit(0).cast("long"))
+    done = rows.withColumns({"values": values, "n_legal": n_legal, "_best": F.array_max(F.array(*found.values()))})
+    action = F.when(F.col("_best.value") > 0, F.get(F.array(*map(F.lit, probes)), -F.col("_best.order"))).otherwise("stop")
+    return done.select(*keys, "mask", "values", "n_legal", action.alias("action"), F.col("_best.value").alias("best_value"))
 
 
 def _mean(vectors: Column, i: Column) -> Column:

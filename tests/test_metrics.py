@@ -10,9 +10,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import acquisition, conformal, diagnostics, joins, policy, quality, ranks, resampling, sampling
-from plumbline.operators.labels import LABELS
+from plumbline.operators.labels import LABELS, PROBES
+from plumbline.plans import metrics
 from plumbline.plans.metrics import PRICES
 from plumbline.sources import sinks
+from tests.conftest import DATA
 
 
 def test_running_totals_of_a_group_that_holds_most_rows(spark):
@@ -165,6 +167,44 @@ def test_probe_values_stop_and_choose(spark):
     assert got["i", 1].action == "stop"
 
 
+def _exchanges(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Repartition"), df._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ")
+
+
+def test_probe_values_shuffles_no_states(spark):
+    """Records are dealt over tasks once, before they have states; a state's work stays in its record's row."""
+    df = metrics.probe_values(spark, DATA)
+    assert _exchanges(df) == (1, 0)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "element_at(lattice" not in plan
+
+
+def test_probe_values_match_plain_loops(spark):
+    """Random parts of the lattice in any order, equal values, nulls in the loss; a mask that is there twice is an error."""
+    random.seed(13)
+    states = {}
+    for i in range(40):
+        own = random.sample(range(128), random.randint(1, 128))
+        states[i] = {m: (random.randint(1, 3), random.choice([0.0, 0.5, 1.0, None]) if i % 4 == 0 else random.randint(0, 2) / 2, random.randint(0, 2) * 1.0, bool(i % 3)) for m in own}
+    df = spark.createDataFrame([(i, m, *s) for i, own in states.items() for m, s in own.items()], "id int, mask long, set_size long, loss double, budget double, relation_applicable boolean")
+    got = {(r.id, r.mask): r for r in policy.probe_values(df, ["id"], PRICES, 0.25).collect()}
+    assert len(got) == sum(map(len, states.values()))
+    for i, own in states.items():
+        for m, (size, loss, budget, relation) in own.items():
+            values = []
+            for k, name in enumerate(PROBES):
+                after = own.get(m | 1 << k)
+                if m >> k & 1 == 0 and budget >= PRICES[name] and after and (relation or name != "relation"):
+                    values.append((name, None if loss is None or after[1] is None else size - after[0] + 0.25 * (loss - after[1]) - 0.25 * PRICES[name]))
+            r = got[i, m]
+            assert [tuple(v) for v in r["values"]] == values and r.n_legal == len(values)
+            known = [v for v in values if v[1] is not None]
+            best = max(known, key=lambda v: v[1]) if known else (None, None)  # the first of equals
+            assert r.best_value == best[1] and r.action == (best[0] if best[1] is not None and best[1] > 0 else "stop")
+    with pytest.raises(Exception, match="masks must differ"):
+        policy.probe_values(df.union(df.where("id = 3").limit(1)), ["id"], PRICES, 0.25).collect()
+
+
 def test_permutation_drift(spark):
     random.seed(11)
 
