@@ -30,6 +30,11 @@ def ranked(probs: Column, labels: tuple[str, ...] = LABELS) -> Column:
     return F.aggregate(ordered, first, step)["out"]  # probs stands in it once, so it is computed once
 
 
+def likeliest(probs: Column, labels: tuple[str, ...] = LABELS) -> Column:
+    """The first label of ``ranked``, without ranking the others."""
+    return F.get(F.array(*map(F.lit, labels)), F.array_position(probs, F.array_max(probs)).cast("int") - 1)
+
+
 def true_score(probs: Column, label: Column, labels: tuple[str, ...] = LABELS) -> Column:
     """The sum of probabilities down to the true label; null for a label that isn't one."""
     return F.get(F.filter(ranked(probs, labels), lambda x: x["label"] == label), F.lit(0))["cum"]

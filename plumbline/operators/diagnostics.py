@@ -50,8 +50,9 @@ def bit_quality(rows: DataFrame, by: list[str], bits: dict[str, tuple[Column, Co
 
 def confusion(rows: DataFrame, by: list[str], true: str, said: str, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """Per group: a row for each pair of labels, true and said, with their count, 0 included. Rows with another label don't count."""
-    known = rows.where(F.col(true).isin(*labels) & F.col(said).isin(*labels))
+    known = rows.where(F.col(true).isin(*labels))
     counts = known.groupBy(*by, F.col(true).alias("true")).agg(*[F.count_if(F.col(said) == s).alias(f"_{i}") for i, s in enumerate(labels)])
+    counts = counts.where(sum((F.col(f"_{i}") for i in range(len(labels))), F.lit(0)) > 0)  # on counts, as Spark makes said anew for a condition on rows
     wide = counts.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("true") == t, F.col(f"_{i}"))), F.lit(0)).alias(f"_{k}_{i}") for k, t in enumerate(labels) for i in range(len(labels))])
     cells = F.array(*[F.struct(F.lit(t).alias("true"), F.lit(s).alias("said"), F.col(f"_{k}_{i}").alias("n")) for k, t in enumerate(labels) for i, s in enumerate(labels)])
     return wide.select(*by, F.explode(cells).alias("c")).select(*by, "c.true", "c.said", "c.n")

@@ -66,7 +66,8 @@ def running(rows: DataFrame, by: list[str], order: list[str], **carried: tuple[s
 def counted(rows: DataFrame, by: list[str], value: str | Column, **sums: Column) -> DataFrame:
     """Per group and value x: n rows, further sums, and ``before``, the number of the group's rows with a smaller value. Rows without a value don't count."""
     x = F.col(value) if isinstance(value, str) else value
-    values = rows.where(x.isNotNull()).groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    values = rows.groupBy(*by, x.alias("x")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(k) for k, c in sums.items()])
+    values = values.where(F.when(F.col("x").isNotNull(), F.col("n")) > 0)  # on the counts: for a condition on rows alone Spark would make a computed value twice
     return running(values, by, ["x"], before=("sum", "n"))
 
 

@@ -205,6 +205,39 @@ def test_probe_values_match_plain_loops(spark):
         policy.probe_values(df.union(df.where("id = 3").limit(1)), ["id"], PRICES, 0.25).collect()
 
 
+def test_label_confusion_makes_each_prediction_once(spark):
+    """No condition on the predicted label, for which Spark would make every digest anew, and again for each of its uses."""
+    plan = metrics.label_confusion(spark, DATA)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum(line.count("sha2(") for line in plan) <= 3  # truths and their condition, one a record each, and the budgets' weights
+    assert not any("Filter" in line and "budget" in line for line in plan)
+
+
+def test_counted_values_are_made_once(spark, monkeypatch):
+    """Rows without a value leave after they are counted, so the scores' digests aren't made a second time for a condition."""
+    plans = []
+    real = ranks.running
+    monkeypatch.setattr(ranks, "running", lambda rows, *a, **k: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or real(rows, *a, **k))
+    metrics.aps_thresholds(spark, DATA)
+    assert plans and not any("Filter" in line and "budget" in line and "sha2(" in line for line in plans[0].splitlines())
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("b", None)], "g string, v double")
+    assert [tuple(r) for r in ranks.counted(df, ["g"], "v").select("g", "x", "n", "before").collect()] == [("a", 1.0, 1, 0)]
+
+
+def test_likeliest_is_the_first_of_ranked(spark):
+    random.seed(14)
+    rows = [([random.choice([0.0, 0.25, 0.25, 0.5]) for _ in range(6)],) for _ in range(300)] + [([1.0],), ([0.0] * 6,), ([],), (None,)]
+    df = spark.createDataFrame(rows, "p array<double>")
+    both = df.select(conformal.likeliest(F.col("p")).alias("a"), F.get(conformal.ranked(F.col("p")), F.lit(0))["label"].alias("b")).collect()
+    assert all(r.a == r.b for r in both) and both[-1].a is None and both[-2].a is None
+
+
+def test_confusion_has_no_group_of_unknown_labels_only(spark):
+    a, b = LABELS[:2]
+    rows = [("g", a, b), ("g", a, "other"), ("g", b, None), ("h", a, "other"), ("h", "other", a), ("i", None, None)]
+    cells = diagnostics.confusion(spark.createDataFrame(rows, "g string, t string, s string"), ["g"], "t", "s").collect()
+    assert len(cells) == len(LABELS) ** 2 and {(r.g, r.true, r.said): r.n for r in cells if r.n} == {("g", a, b): 1}
+
+
 def test_permutation_drift(spark):
     random.seed(11)
 
