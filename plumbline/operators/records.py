@@ -6,15 +6,15 @@ records of any number are assembled by one aggregate and checked without a shuff
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.hashing import shard_of
 from plumbline.functions.scores import finite
 from plumbline.operators.joins import large_join
-from plumbline.operators.labels import LABELS
+from plumbline.operators.labels import CORE_PROBES, LABELS, PROBES
 from plumbline.operators.quality import Rule
-from plumbline.operators.states import BUDGET, action_mask, legal_probes, states_of
+from plumbline.operators.states import BUDGET, RANDOM_TAGS, action_mask, bound, fixed_tags, legal_probes, states_of
 
 KEYS = ["model_id", "instance_id"]
 # fixed values
@@ -104,10 +104,13 @@ def probe_table(probes: Column) -> Column:
 def state_rows(records: DataFrame, seed: int = 42, count: int = 16) -> DataFrame:
     """One row for each partial state of each record: id, metadata, what the learner may see, targets and sampling.
 
-    Observations are taken from the record's own map in the subset's order, so states need no join and no shuffle.
+    Observations are taken from the record's own map in the subset's order, so states need no join and no shuffle. What a learner
+    may see of the clean pass and of each legal probe is made once for the record; its states pick from it.
     """
     legal, probes = F.col("relation_applicable"), F.col("probes")
-    each = records.withColumn("s", F.explode(states_of(seed, count)))
+    payloads = F.transform(legal_probes(legal), lambda p: F.struct(p.alias("name"), probes[p].alias("payload")))
+    seen = F.map_from_entries(F.transform(payloads, lambda e: F.struct(e["name"].alias("name"), learner_probe(e["name"], e["payload"]).alias("seen"))))
+    each = records.withColumns({"_clean": learner_clean(F.col("clean")), "_seen": seen}).withColumn("s", F.explode(states_of(seed, count)))
     subset = F.when(F.col("s.key") == "", F.expr("cast(array() as array<string>)")).otherwise(F.split("s.key", r"\|"))
     each = each.withColumn("subset", subset)
     return each.select(
@@ -115,8 +118,8 @@ def state_rows(records: DataFrame, seed: int = 42, count: int = 16) -> DataFrame
         F.concat(F.lit("state:"), F.substring(F.sha2(F.concat_ws("|", "model_id", "instance_id", F.col("s.key"), F.lit(str(seed))), 256), 1, 24)).alias("state_id"),
         F.struct("instance_id", "group_id", "dataset", "split", "model_id", "model_revision").alias("metadata"),
         F.struct(
-            learner_clean(F.col("clean")).alias("clean_features"), F.col("subset").alias("acquired_probe_names"),
-            F.transform("subset", lambda p: learner_probe(p, probes[p])).alias("acquired_observations"),
+            F.col("_clean").alias("clean_features"), F.col("subset").alias("acquired_probe_names"),
+            F.transform("subset", lambda p: F.col("_seen")[p]).alias("acquired_observations"),
             (BUDGET - F.size("subset")).alias("remaining_budget"), action_mask(F.col("subset"), legal).alias("action_mask"),
         ).alias("learner_input"),
         F.struct(F.col("clean.correct").alias("clean_correct"), "teacher_signature", "teacher_bits", "teacher_label6").alias("targets"),
@@ -190,6 +193,12 @@ def errors_of(rows: DataFrame, rules: list[Rule], keys: list[str] = KEYS) -> Dat
     return rows.select(*keys, F.explode(found).alias("rule")).select("rule", *keys)
 
 
+def _counted_errors(rows: DataFrame, counts: list[tuple[str, Column]], keys: list[str] = KEYS) -> DataFrame:
+    """(rule, keys, n) of every rule that something of a row breaks, with how often."""
+    found = F.filter(F.array(*[F.struct(F.lit(m).alias("rule"), n.cast("long").alias("n")) for m, n in counts]), lambda e: e["n"] > 0)
+    return rows.select(*keys, F.explode(found).alias("e")).select("e.rule", *keys, "e.n")
+
+
 def _repeats(rows: DataFrame, message: str, keys: list[str] = KEYS) -> DataFrame:
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return twice.select(F.lit(message).alias("rule"), *keys)
@@ -220,9 +229,10 @@ def contract_errors(records: DataFrame, manifest: DataFrame, normalise) -> DataF
 
 
 def artifact_errors(manifest: DataFrame, records: DataFrame, labels: DataFrame, states: DataFrame, models: tuple[str, ...]) -> DataFrame:
-    """(rule, model_id, instance_id, count) of everything that is wrong between a manifest, its records, labels and states.
+    """(rule, model_id, instance_id, n) of everything that is wrong between a manifest, its records, labels and states; n is how often.
 
-    Keys are null where a rule is about a whole table. Each table is read once for its own rules and once for its joins.
+    Keys are null where a rule is about a whole table. States, by far the most rows, are read once and are added up by record
+    before they are shuffled, so they needn't be stored; the other tables are read once for their own rules and once for each join.
     """
     keys, none = ["model_id", "instance_id"], F.lit(None).cast("string")
     leaks = manifest.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
@@ -239,44 +249,120 @@ def artifact_errors(manifest: DataFrame, records: DataFrame, labels: DataFrame,
     both = large_join(records.select(*keys, "teacher_label6", F.lit(True).alias("_record")), l, keys, "full_outer")
     has_record, has_label = F.coalesce("_record", F.lit(False)), F.coalesce("_label", F.lit(False))
     found.append(errors_of(both, [("a record has no label", has_label), ("a label has no record", has_record), ("the label is stale", ~(has_record & has_label) | F.col("l_label").eqNullSafe(F.col("teacher_label6")))]))
-    found += _state_errors(records, states)
     expected = manifest.select("instance_id").distinct()
     wanted = expected.select(F.explode(F.array(*map(F.lit, models))).alias("model_id"), "instance_id")
     found.append(large_join(wanted, records.select(*keys), keys, "left_anti").select(F.lit("a record is lacking").alias("rule"), *keys))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    return out.withColumn("n", F.lit(1).cast("long")).unionByName(_state_errors(records, states))
+
+
+def _state_errors(records: DataFrame, states: DataFrame) -> DataFrame:
+    """(rule, model_id, instance_id, n) of states alone, and of states held against their records."""
+    keys = ["model_id", "instance_id"]
+    own = records.select(*keys, "relation_applicable", *[F.col(c).alias(f"t_{c}") for c in _TOLD], F.lit(True).alias("_there"))
+    own = own.withColumn("_first", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)) == 1)  # shuffled as for the join
+    held = large_join(own, _states_by_record(states), keys, "full_outer")
+    once = F.coalesce("_first", F.lit(True))  # what states break alone isn't counted for each record of their key
+    there, relation, n = F.coalesce("_there", F.lit(False)), F.coalesce("relation_applicable", F.lit(False)), F.col("n_states")
+
+    def differing(c: str) -> Column:
+        return F.aggregate("told", F.lit(0).cast("long"), lambda a, m: a + F.when(m[c].eqNullSafe(F.col(f"t_{c}")), 0).otherwise(m["n"]))
+
+    def lacking(tags: tuple[str, ...]) -> Column:
+        due = sum(1 << _BIT[t] for t in tags)
+        return F.col("tags").bitwiseAND(due) != due
+
+    drawn = F.bit_count(F.col("tags").bitwiseAND(sum(1 << _BIT[t] for t in RANDOM_TAGS))) + F.size(F.array_distinct(F.filter(F.flatten("odd_tags"), lambda t: t.startswith("random:"))))
+    states_there = n.isNotNull()
+    return _counted_errors(held, [
+        ("a state has no id", F.when(once, F.col("no_id"))), ("a state's observations are not those of its names", F.when(once, F.col("other_names"))), ("a state's budget is wrong", F.when(once, F.col("other_budget"))),
+        ("a state's phase is wrong", F.when(once, F.col("other_phase"))), ("a state is there twice", F.when(once, F.col("n_twice"))), ("a state has no record", F.when(~there, n)),
+        *[(f"a state's {c} differs", F.when(there, differing(c))) for c in _TOLD if c != "teacher_label6"], ("a state's target is stale", F.when(there, differing("teacher_label6"))),
+        ("a state holds an illegal probe", F.when(there, F.when(relation, F.col("illegal_any")).otherwise(F.col("illegal_core")))), ("a state's mask is wrong", F.when(there, F.when(relation, F.col("mask_any")).otherwise(F.col("mask_core")))),
+        ("a record has no states", (there & ~states_there).cast("int")), ("a record's states lack a tag", (there & states_there & F.when(relation, lacking(fixed_tags(PROBES))).otherwise(lacking(fixed_tags(CORE_PROBES)))).cast("int")),
+        ("a record hasn't 16 random draws", (there & states_there & (drawn != 16)).cast("int")),
+    ])
+
+
+_TOLD = ("group_id", "dataset", "split", "model_revision", "teacher_label6")  # what a state says of its record
+_BIT = {t: i for i, t in enumerate(dict.fromkeys((*fixed_tags(PROBES), *fixed_tags(CORE_PROBES), *RANDOM_TAGS)))}
+_ODD = 1 << 62  # a tag that no state should have
+
+
+def _state_facts(states: DataFrame) -> DataFrame:
+    """For each state its record, what it tells of it with a hash, its id, the rules that it breaks as 0 or 1, and its tags as bits of one number."""
+    learner, sampling = F.col("learner_input"), F.col("sampling")
+    rows = states.select(
+        F.col("metadata.model_id").alias("model_id"), F.col("metadata.instance_id").alias("instance_id"), *[F.col(f"metadata.{c}").alias(c) for c in _TOLD if c != "teacher_label6"], F.col("targets.teacher_label6").alias("teacher_label6"), "state_id",
+        learner["acquired_probe_names"].alias("names"), learner["acquired_observations"]["probe_id"].alias("observed"), learner["remaining_budget"].alias("budget"), learner["action_mask"].alias("mask"),
+        sampling["phase"].alias("phase"), sampling["deferred_sources"].alias("deferred"), sampling["sources"].alias("sources"),
+    )
+    names, mask, size = F.col("names"), F.col("mask"), F.size("names")
+    actions = (*PROBES, "stop")
+    held = [F.when(F.array_contains(names, p), 1 << i).otherwise(0) for i, p in enumerate(PROBES)]
+    open_ = [F.when(mask[a] == 1, 1 << i).when(mask[a] == 0, 0) for i, a in enumerate(actions)]  # null for anything else
+    bit = F.create_map(*[F.lit(x) for t, i in _BIT.items() for x in (t, 1 << i)])
+    tags = F.aggregate("sources", F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.coalesce(bit[t].cast("long"), F.lit(_ODD))))
+    rows = rows.withColumns({"held": _sum(held), "open": F.when(F.size(mask) == len(actions), _sum(open_)), "tags": tags, "usual": F.coalesce(F.col("state_id").rlike("^state:[0-9a-f]{24}$"), F.lit(False))})
+    all_, relation = (1 << len(actions)) - 1, 1 << PROBES.index("relation")
+    known, usual = F.bit_count("held") == size, F.col("usual")  # known: all are probes, and no two are the same
+
+    def broken(ok: Column) -> Column:
+        return (~F.coalesce(ok, F.lit(False))).cast("int")
+
+    def legal(probes: tuple[str, ...]) -> Column:
+        return F.size(F.array_except(names, F.array(*map(F.lit, probes)))) == 0
+
+    return rows.select(
+        *KEYS, F.struct(F.xxhash64(*_TOLD).alias("hash"), *_TOLD).alias("told"),
+        F.when(usual, F.conv(F.substring("state_id", 7, 16), 16, -10).cast("long")).alias("id_high"), F.when(usual, (F.conv(F.substring("state_id", 23, 8), 16, 10).cast("long") - (1 << 31)).cast("int")).alias("id_low"),
+        F.when(~usual, F.coalesce(F.concat(F.lit("="), "state_id"), F.lit(""))).alias("odd_id"), broken(F.length("state_id") > 0).alias("no_id"),
+        broken((F.col("observed") == names) & (known | (F.size(F.array_distinct(names)) == size))).alias("other_names"), broken(F.col("budget") == BUDGET - size).alias("other_budget"),
+        broken((F.col("phase") == PHASE) & (F.sort_array("deferred") == F.array(*map(F.lit, sorted(DEFERRED))))).alias("other_phase"),
+        broken(known | legal(PROBES)).alias("illegal_any"), broken(F.when(known, F.col("held") < relation).otherwise(legal(CORE_PROBES))).alias("illegal_core"),
+        broken(F.col("open") == all_ - F.col("held")).alias("mask_any"), broken(F.col("open") == (all_ - F.col("held")).bitwiseAND(all_ - relation)).alias("mask_core"),
+        "tags", F.when(F.col("tags").bitwiseAND(_ODD) != 0, F.filter("sources", lambda t: ~F.map_contains_key(bit, t))).alias("odd_tags"),
+    )
+
+
+def _sum(parts: list[Column]) -> Column:
+    out = parts[0]
+    for c in parts[1:]:
+        out = out + c
     return out
 
 
-def _state_errors(records: DataFrame, states: DataFrame) -> list[DataFrame]:
-    """Of states alone, and of states held against their records."""
-    keys, learner = ["model_id", "instance_id"], F.col("learner_input")
-    rows = states.withColumns({"model_id": F.col("metadata.model_id"), "instance_id": F.col("metadata.instance_id")})
-    names, seen = learner["acquired_probe_names"], learner["acquired_observations"]
-    alone: list[Rule] = [
-        ("a state has no id", F.length("state_id") > 0),
-        ("a state's observations are not those of its names", (F.transform(seen, lambda o: o["probe_id"]) == names) & (F.size(F.array_distinct(names)) == F.size(names))),
-        ("a state's budget is wrong", learner["remaining_budget"] == BUDGET - F.size(names)),
-        ("a state's phase is wrong", (F.col("sampling.phase") == PHASE) & (F.array_sort(F.col("sampling.deferred_sources")) == F.array_sort(F.array(*map(F.lit, DEFERRED))))),
-    ]
-    found = [errors_of(rows, alone), _repeats(rows.select(*keys, "state_id"), "a state is there twice", ["model_id", "instance_id", "state_id"]).drop("state_id")]
-    own = records.select(*keys, "relation_applicable", *[F.col(c).alias(f"t_{c}") for c in ("group_id", "dataset", "split", "model_revision", "teacher_label6")], F.lit(True).alias("_there"))
-    both = large_join(rows, own, keys, "left")
-    there = F.coalesce("_there", F.lit(False))
-    mask = F.map_entries(action_mask(names, F.col("relation_applicable")))
-    found.append(errors_of(both, [
-        ("a state has no record", there), *[(f"a state's {c} differs", ~there | F.col(f"metadata.{c}").eqNullSafe(F.col(f"t_{c}"))) for c in ("group_id", "dataset", "split", "model_revision")],
-        ("a state holds an illegal probe", ~there | (F.size(F.array_except(names, legal_probes(F.col("relation_applicable")))) == 0)),
-        ("a state's mask is wrong", ~there | (F.array_sort(F.map_entries(learner["action_mask"])) == F.array_sort(mask))), ("a state's target is stale", ~there | F.col("targets.teacher_label6").eqNullSafe(F.col("t_teacher_label6"))),
-    ]))
-    tags = rows.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_list("sampling.sources"))).alias("tags"))  # of one record, some fifty
-    due = states_of()
-    held = large_join(records.select(*keys, "relation_applicable"), tags, keys, "left")
-    fixed = F.filter(F.flatten(due["tags"]), lambda t: ~t.startswith("random:"))
-    drawn = F.size(F.filter("tags", lambda t: t.startswith("random:")))
-    found.append(errors_of(held, [("a record has no states", F.col("tags").isNotNull()), ("a record's states lack a tag", F.col("tags").isNull() | (F.size(F.array_except(fixed, "tags")) == 0)), ("a record hasn't 16 random draws", F.col("tags").isNull() | (drawn == 16))]))
-    return found
+def _states_by_record(states: DataFrame) -> DataFrame:
+    """One row for each record that states name: how many break each rule, their tags as bits, and what they say of it, told array<struct<..., n>>.
+
+    A state leaves its task as twelve bytes of its id and a hash of what it tells; the rest is added up before. Some thirty are of one record.
+    """
+    keys = ["model_id", "instance_id"]
+    sums = ("no_id", "other_names", "other_budget", "other_phase", "illegal_any", "illegal_core", "mask_any", "mask_core")
+    by = _state_facts(states).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_states"), *[F.sum(c).alias(c) for c in sums], F.coalesce(F.bit_or("tags"), F.lit(0)).alias("tags"), F.collect_list("odd_tags").alias("odd_tags"),
+        F.collect_set("told").alias("told"), F.collect_list("told.hash").alias("hashes"), *[F.collect_list(c).alias(f"{c}s") for c in ("id_high", "id_low", "odd_id")],
+    )
+    said, alike = F.array_distinct("told"), F.size(F.array_distinct("hashes"))
+    hashed = F.when(F.size(said) == alike, said).otherwise(F.raise_error(F.lit("two of what a record's states tell have one hash")))
+    counted = F.transform(hashed, lambda m: m.withField("n", F.when(alike == 1, F.col("n_states")).otherwise(F.size(F.filter("hashes", lambda h: h == m["hash"])).cast("long"))))
+    whole = F.concat(F.transform(F.arrays_zip("id_highs", "id_lows"), lambda x: F.concat_ws(":", x["id_highs"].cast("string"), x["id_lows"].cast("string"))), "odd_ids")
+    once = (F.size(F.array_distinct("id_highs")) == F.size("id_highs")) & (F.size("odd_ids") == 0)
+    return by.select(*keys, "n_states", *sums, "tags", "odd_tags", counted.alias("told"), F.when(once, 0).otherwise(_n_twice(whole)).alias("n_twice"))
+
+
+def _n_twice(values: Column) -> Column:
+    """How many values an array holds more than once."""
+
+    def second(s: Column):
+        def is_second(x: Column, i: Column) -> Column:
+            return (F.get(s, i - 1) == x) & ~F.coalesce(F.get(s, i - 2) == x, F.lit(False))
+
+        return is_second
+
+    return bound(F.sort_array(values), lambda s: F.size(F.filter(s, second(s))))
 
 
 def totals(rows: DataFrame, rules: list[Rule], keys: list[str], listed: tuple[str, ...]) -> DataFrame:

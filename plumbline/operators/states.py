@@ -55,6 +55,19 @@ def _fixed(legal: tuple[str, ...]) -> list[tuple[str, str]]:
     return [("|".join(sorted(s)), t) for s, t in tags]
 
 
+def fixed_tags(legal: tuple[str, ...]) -> tuple[str, ...]:
+    """The tags of the fixed subsets of a record with these legal probes."""
+    return tuple(t for _, t in _fixed(legal))
+
+
+def random_tags(sizes: int = LARGEST, count: int = RANDOM) -> tuple[str, ...]:
+    """The tags of the draws, whose sizes take turns."""
+    return tuple(f"random:{d:02d}:size{d % sizes + 1}" for d in range(count))
+
+
+RANDOM_TAGS = random_tags()
+
+
 def _random(legal: tuple[str, ...], seed: int, count: int, model: Column, instance: Column) -> Column:
     """The draws of a row, array<struct<key,tag>>: sizes 1 to 4 in turn, within a size by the rank of a keyed hash."""
     sizes = range(1, min(LARGEST, len(legal)) + 1)
@@ -65,15 +78,15 @@ def _random(legal: tuple[str, ...], seed: int, count: int, model: Column, instan
         for size in sizes:
             subsets = _names(["|".join(c) for c in combinations(sorted(legal), size)])
             ranked = F.sort_array(F.transform(subsets, lambda s: F.concat(sha256_hex(F.concat(prefix, s)), s)))
-            tags = [f"random:{d:02d}:size{size}" for d in range(count) if d % len(sizes) == size - 1]
+            tags = [t for d, t in enumerate(random_tags(len(sizes), count)) if d % len(sizes) == size - 1]
             named = _names(tags)
             parts.append(F.transform(F.slice(ranked, 1, len(tags)), _two(lambda x, i, named=named: F.struct(F.substr(x, F.lit(_HEX + 1)).alias("key"), F.get(named, i).alias("tag")))))
         return F.concat(*parts)
 
-    return _bound(own_key, drawn)
+    return bound(own_key, drawn)
 
 
-def _bound(value: Column, f) -> Column:
+def bound(value: Column, f) -> Column:
     """f of a value that is computed once, however often f names it."""
     return F.get(F.transform(F.array(value), lambda x: f(x)), F.lit(0))
 
@@ -122,7 +135,7 @@ def states_of(seed: int = 42, count: int = RANDOM) -> Column:
             new = F.filter(drawn, lambda d: ~d["key"].isin(*tags))
             return F.concat(both, F.transform(new, lambda d: F.struct(d["key"].alias("key"), F.array(d["tag"]).alias("tags"))))
 
-        return _bound(draws, lambda drawn: _bound(F.map_from_entries(drawn), lambda own: merged(drawn, own)))
+        return bound(draws, lambda drawn: bound(F.map_from_entries(drawn), lambda own: merged(drawn, own)))
 
     return _by_relation(whole)
 

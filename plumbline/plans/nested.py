@@ -165,15 +165,16 @@ _N_STATES = "SELECT count(*) FROM s JOIN clean c ON c.model_id = s.model_id AND
     ("a state's split differs", f"{_N_STATES} AND c.ordinal % 97 = 29"), ("a state's model_revision differs", f"{_N_STATES} AND c.ordinal % 97 = 17"), ("a record is lacking", "SELECT count(*) FROM manifest"))}) SELECT rule, n FROM e WHERE n > 0""")
 def artifact_errors(spark, sf):
     """All artifacts against each other; a third model is due of which there is no record."""
-    whole = checkpointed(nested(spark, sf))  # as artifacts are: files that are read by every rule
+    made = checkpointed(labelled(spark, sf).select(*KEYS, *[f"{s}_{x}" for s in ("sig", "bit") for x in "vla"], "label6"))  # as artifacts are: files that are read by every rule
+    whole, manifest = checkpointed(nested(spark, sf, labels=made)), checkpointed(synth.manifest(spark, sf))
     rows = _faulty(whole)
     n = F.col("ordinal")
-    own = labelled(spark, sf).withColumn("ordinal", _ordinal("instance_id")).where(n % 29 != 8)
+    own = made.withColumn("ordinal", _ordinal("instance_id")).where(n % 29 != 8)
     own = own.unionByName(own.where(n % 31 == 12)).drop("ordinal")
     states = records.state_rows(whole.where((n % 37 != 6) & (n % 97 != 5)).withColumn("teacher_label6", F.when(n % 47 == 4, "stale").otherwise(F.col("teacher_label6"))))
     states = states.where(~((_ordinal("metadata.instance_id") % 43 == 9) & (F.size("learner_input.acquired_probe_names") == 0)))
-    states, own, manifest = checkpointed(states), checkpointed(own), checkpointed(synth.manifest(spark, sf))
-    return _counted(records.artifact_errors(manifest, rows, own, states, (*synth.MODELS, "model_c")))
+    found = records.artifact_errors(manifest, rows, own, states, (*synth.MODELS, "model_c"))  # states are some thirty times the records, are read once and aren't stored
+    return found.groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 @query("state_source_join", f"{_STATES} SELECT s.model_id, s.instance_id, count(*) AS n_states, any_value(l.label6) AS label6, any_value(CAST(l.clean_correct AS INTEGER)) AS correct FROM s JOIN labelled l ON l.model_id = s.model_id AND l.instance_id = s.instance_id GROUP BY s.model_id, s.instance_id")
